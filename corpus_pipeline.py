@@ -1,8 +1,57 @@
-"""A corpus from raw documents in stages, each written and read again."""
+"""A corpus from raw documents in five stages, each written as Parquet and read again as the next one's documents.
 
-STAGES = []
-ORACLE_SQL = None
+Language identification drops what the model rejects (no text, no letter, or a calibrated score below its limit); exact
+dedup keeps the smallest id of equal texts; SimHash keeps the smallest id of each group of near copies; mixing repeats
+or leaves out documents until each source has its target weight; packing cuts the mix into power-of-two sequences.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandwork.llm import exact_dedup, language_id, mixing, packing, simhash
+from strandwork.session import shared_dir
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.trained_on(docs)
+    return language_id.identified(docs, model).where("not rejected").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, mixing.cycle_weights)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(docs, *packing.public_vocabulary())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # a trained model and a tokenizer decide; tests hold the stages against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``; what each writes lies under the shared folder of the session."""
+    at = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return docs
