@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwork.llm import exact_dedup, language_id, mixing, packing, quality_model, quality_rules, simhash
+from strandwork.llm import exact_dedup, language_id, mixing, packing, quality_model, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op9_warc": warc.op9_warc,
     "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
