@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandwork.llm import exact_dedup, language_id, mixing, packing, quality_model, quality_rules, simhash, warc
+from strandwork.llm import chunk_dedup, exact_dedup, language_id, mixing, packing, quality_model, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_chunk_dedup": chunk_dedup.op4_chunk_dedup,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
