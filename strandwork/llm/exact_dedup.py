@@ -28,9 +28,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def digests(docs: DataFrame, doc_id: str, text: str, as_is: bool = False) -> DataFrame:
     """``doc_id``, digest of the normalised text, and a second check of it (length and an unrelated hash)."""
-    norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("norm"))
+    body = F.coalesce(F.col(text), F.lit("")) if as_is else normalised(F.col(text))
+    norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("norm"))
     return norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("second"))
 
 
@@ -89,8 +90,8 @@ def tree_merge(runs: DataFrame, rounds: int) -> DataFrame:
     return merged
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_is: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``; ``as_is`` compares without normalising.
 
     Null text counts as empty; of rows that repeat the smallest id of a group, all are kept; null ids sort last and
     are kept only where a group has no other. An empty table gives an empty result.
@@ -100,7 +101,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     while slots < int(spark.conf.get("spark.sql.shuffle.partitions")):
         rounds, slots = rounds + 1, slots << RADIX_BITS
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-    rows = settled(digests(docs, doc_id, text).withColumn("slot", slot))
+    rows = settled(digests(docs, doc_id, text, as_is).withColumn("slot", slot))
     last = F.lit(np.iinfo(np.int64).max)
     runs = rows.select(*KEY, F.coalesce("doc_id", last).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     runs = runs.groupBy(*KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))

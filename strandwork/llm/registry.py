@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwork.llm import chunk_dedup, exact_dedup, language_id, mixing, packing, quality_model, quality_rules, simhash, warc
+from strandwork.llm import chunk_dedup, exact_dedup, language_id, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_warc": warc.op9_warc,
     "op10_language_id": language_id.op10_language_id,
 }
