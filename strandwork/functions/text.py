@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ def tokens(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Text without diacritics and other marks: compatibility decomposition, ASCII only."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:

@@ -1,5 +1,11 @@
 """All queries of the graph side with their SQL twins."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from strandwork.plans import aggregates, cards, changes, filters, insights, joins, ranking, text_queries
+from strandwork.plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "front_page"
+MODULES = [aggregates, cards, changes, filters, insights, joins, ranking, text_queries]
+
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
