@@ -38,6 +38,17 @@ def shards_of(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end in sorted columns; no rows, no runs."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    heads = np.flatnonzero(new)
+    return heads, np.append(heads[1:], n)
+
+
 PACKED = "shard int, kind int, payload binary"
 
 
@@ -45,8 +56,7 @@ def packed(shard: np.ndarray, records: np.ndarray, kind: int) -> pa.RecordBatch:
     """One row for each shard that has records: their bytes, end to end."""
     order = np.argsort(shard, kind="stable")
     shard, records = shard[order], records[order]
-    heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(shard))
+    heads, ends = groups(shard)
     bodies = [records[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(shard[heads], pa.int32()), pa.array([kind] * len(heads), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
 
@@ -71,8 +81,7 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
 def span_rows(spans: np.ndarray) -> pa.RecordBatch:
     """``key, spans``: one row for each key, its spans packed."""
     spans = joined_spans(spans)
-    heads = np.flatnonzero(np.concatenate([[True], spans["key"][1:] != spans["key"][:-1]])) if len(spans) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(spans))
+    heads, ends = groups(spans["key"])
     bodies = [spans[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(spans["key"][heads], pa.int64()), pa.array(bodies, pa.binary())], ["key", "spans"])
 

@@ -79,7 +79,7 @@ def mix_plan(sized: DataFrame, weights, source: str = "source", max_epochs: floa
     ends = (
         slices.withColumn("before", before)
         .join(plan.select(F.col(source).alias("_s"), "wanted"), F.col(source).eqNullSafe(F.col("_s")))
-        .where((F.col("before") <= F.col("wanted")) & (F.col("wanted") < F.col("before") + F.col("words")))
+        .where((F.col("wanted") > 0) & (F.col("before") <= F.col("wanted")) & (F.col("wanted") < F.col("before") + F.col("words")))
         .select("_s", F.col("part").alias("_part"), (F.col("wanted") - F.col("before")).alias("rest"))
     )
     rows = (

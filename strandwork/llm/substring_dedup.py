@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm import _spans
 from strandwork.llm._sample import byte_spans
-from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, joined_spans, keyed, span_rows
+from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, groups, joined_spans, keyed, span_rows
 from strandwork.llm.exact_dedup import exact_groups
 from strandwork.llm.suffix_array import permuted_lcp, suffix_array
 from strandwork.session import settled
@@ -131,15 +131,14 @@ def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataF
             same = (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1])
             distinct = np.concatenate([[True], ~(same & (key[1:] == key[:-1]))])
             part, anchor = part[distinct], anchor[distinct]
-            heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]))
-            docs_with = np.diff(np.append(heads, len(anchor)))
+            heads, ends = groups(anchor, part)
+            docs_with = ends - heads
             part, anchor = part[heads], anchor[heads]
             record = anchor << np.uint64(16) | np.minimum(docs_with, (1 << 16) - 1).astype(np.uint64)
             shard = (anchor % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((part, shard))
             shard, part, record = shard[order], part[order], record[order]
-            cuts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]))
-            ends = np.append(cuts[1:], len(shard))
+            cuts, ends = groups(shard, part)
             bodies = [record[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array(part[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
 
@@ -162,15 +161,14 @@ def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataF
             order = np.argsort(record, kind="stable")
             record, parts_of = record[order], parts_of[order]
             anchor, seen = record >> np.uint64(16), (record & np.uint64(0xFFFF)).astype(np.int64)
-            heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            total = np.repeat(np.add.reduceat(seen, heads), np.diff(np.append(heads, len(anchor))))
+            heads, ends = groups(anchor)
+            total = np.repeat(np.add.reduceat(seen, heads), ends - heads)
             many = total > 1
             answer = (anchor << np.uint64(16) | (total > crowded).astype(np.uint64))[many]
             to = parts_of[many]
             order = np.argsort(to, kind="stable")
             answer, to = answer[order], to[order]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-            ends = np.append(cuts[1:], len(to))
+            cuts, ends = groups(to)
             bodies = [answer[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["part", "body"])
 
@@ -192,8 +190,7 @@ def _packed_runs(shard: np.ndarray, runs: np.ndarray, contexts: np.ndarray) -> p
     shard, runs, size = shard[order], runs[order], size[order]
     contexts = _ragged(contexts, place[order], size)
     place = np.cumsum(size) - size
-    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    ends = np.append(cuts[1:], len(shard))
+    cuts, ends = groups(shard)
     offsets = np.append(place, len(contexts))
     bodies = [np.int64(b - a).tobytes() + runs[a:b].tobytes() + contexts[offsets[a] : offsets[b]].tobytes() for a, b in zip(cuts, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array([0] * len(cuts), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
@@ -211,9 +208,8 @@ def _by_context(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by context, document and place; where in it a context begins; and whether a run is of its first document."""
     order = np.lexsort((runs["start"], runs["key"], runs["context"], runs["anchor"]))
     r = runs[order]
-    new = np.concatenate([[True], (r["anchor"][1:] != r["anchor"][:-1]) | (r["context"][1:] != r["context"][:-1])])
-    heads = np.flatnonzero(new)
-    first = np.repeat(r["key"][heads], np.diff(np.append(heads, len(r))))
+    heads, ends = groups(r["anchor"], r["context"])
+    first = np.repeat(r["key"][heads], ends - heads)
     return order, heads, r["key"] == first
 
 
@@ -234,9 +230,9 @@ def _equal_windows(runs: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     group = np.cumsum(common[sa] < LENGTH)
     keep = is_window[sa]
     sa, group = sa[keep], group[keep]
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    heads, ends = groups(group)
     key = runs["key"][owner[sa]]
-    least = np.repeat(np.minimum.reduceat(key, heads), np.diff(np.append(heads, len(sa))))
+    least = np.repeat(np.minimum.reduceat(key, heads), ends - heads)
     later = sa[key > least]
     out = np.empty(len(later), SPAN)
     out["key"] = owner[later]  # the run for now
@@ -268,8 +264,7 @@ def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             part = batch.column(0).to_numpy()
             kind = batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])) if len(part) else []
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            for a, b in zip(*groups(part, kind), strict=True):
                 if part[a] != now:
                     if size:
                         yield from flush()
