@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandwork.plans import aggregates, cards, changes, filters, handles, insights, joins, ranking, text_queries
+from strandwork.plans import aggregates, cards, changes, filters, handles, insights, joins, pipelines, ranking, text_queries
 from strandwork.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "front_page"
-MODULES = [aggregates, cards, changes, filters, handles, insights, joins, ranking, text_queries]
+MODULES = [aggregates, cards, changes, filters, handles, insights, joins, pipelines, ranking, text_queries]
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
