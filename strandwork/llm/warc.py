@@ -111,7 +111,7 @@ def _file_system(folder: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
 
 
-def write_monolithic(records: DataFrame, folder: str, level: int = 1, roll_bytes: int = 1 << 26) -> DataFrame:
+def write_monolithic(records: DataFrame, folder: str, level: int = 6, roll_bytes: int = 1 << 26) -> DataFrame:
     """Writes ``page_id, url, payload (binary), refers_to, revisit`` as archives of one gzip stream each.
 
     A task begins another archive after ``roll_bytes`` of records. Gives ``archive, records`` for each.
