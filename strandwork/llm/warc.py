@@ -220,7 +220,10 @@ def read_records(index: DataFrame, folder: str, slice_bytes: int = 1 << 23, payl
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-    spread = index.withColumn("_slice", F.floor(F.col("offset") / slice_bytes)).repartition("archive", "_slice").sortWithinPartitions("archive", "offset")
+    # rows of the index are small, what they stand for is not: the number of tasks follows the bytes to read
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // slice_bytes
+    sliced = index.withColumn("_slice", F.floor(F.col("offset") / slice_bytes))
+    spread = sliced.repartition(tasks, "archive", "_slice").sortWithinPartitions("archive", "offset")
     return spread.select("archive", "offset", "length").mapInArrow(run, READ + ", payload binary" * payloads)
 
 
@@ -248,9 +251,10 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     and gives the records read back through the index. An empty table gives an empty result."""
     spark = pages.sparkSession
     raw = settled(write_monolithic(with_revisits(pages), f"{folder}/raw"))
-    done = settled(normalise(raw.repartition("archive"), f"{folder}/raw", f"{folder}/normalised"))
-    if not done.head(1):
+    archives = raw.count()
+    if not archives:
         return spark.createDataFrame([], READ)
+    settled(normalise(raw.repartition(archives), f"{folder}/raw", f"{folder}/normalised"))  # an archive is a task
     return read_records(read_index(spark, f"{folder}/normalised"), f"{folder}/normalised")
 
 
