@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "strandwork") -> SparkSession:
+def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "strandwork", checkpoints: str | None = None) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -19,20 +19,22 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "stran
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests), a folder under the warehouse is used, and set for ``checkpoint``.
+    Where the session sets none (tests), it is the context's checkpoint folder or else one under the warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+        found = own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if own.isEmpty():
+        context.setCheckpointDir(found)
     return found
 
 

@@ -12,8 +12,7 @@ os.environ.setdefault("STRANDWORK_DRIVER_MEMORY", "4g")
 def spark(tmp_path_factory):
     from strandwork.session import local_session
 
-    session = local_session(int(os.environ.get("TEST_CPUS", "4")), 4, "tests")
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), 4, "tests", f"file://{tmp_path_factory.mktemp('checkpoints')}")
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
