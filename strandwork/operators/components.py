@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from strandwork.session import settled
 
 
+SALTS = 16
+
+
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with their ``a``'s row of ``least``. A hub has as many edges as its component has nodes, so the join
+    is dealt by node and a part of the other end, and each row of ``least`` goes to every part."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["a", "_salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node points its larger neighbours to its smallest one."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node points itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _met(down, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "strandwork", checkpoints: str | None = None) -> SparkSession:
@@ -42,3 +43,13 @@ def settled(df: DataFrame) -> DataFrame:
     """Compute once and keep in the shared folder, so that a lost executor costs no recomputation of what is upstream."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` settled, and marked for broadcast if it has no more than ``most_rows`` rows of a few plain columns.
+
+    Spark cannot tell the size of what is settled before it plans, and would shuffle the other side first. A larger
+    ``df`` is left to the shuffle join that Spark plans, with its splitting of skewed partitions.
+    """
+    kept = settled(df)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
