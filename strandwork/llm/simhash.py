@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.operators.components import connected_components
-from strandwork.session import settled
+from strandwork.session import broadcast_if_small, settled
 
 SEED = 42
 MAX_BITS = 2
@@ -164,6 +164,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group; all columns stay."""
     dropped = near_groups(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    dropped = broadcast_if_small(dropped)
     return docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
 
 
