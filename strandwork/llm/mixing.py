@@ -1,9 +1,9 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
 The split of the corpus into a mix needs three small tables only: words per source, words per (source, slice of a
-seeded hash), and the rows of one slice per source. Documents are never shuffled: each row meets its source's plan in
-a join on the source (broadcast when Spark's size check allows it, otherwise a sort-merge join whose hot source AQE
-can split), and the number of copies is an expression of the plan and of the row's own hash.
+seeded hash), and the rows of one slice per source. Each row then meets its source's plan in a join on the source: the
+plan is broadcast if a count finds it small, and the documents are not shuffled; with very many sources it is a
+sort-merge join whose hot source AQE can split. The number of copies is an expression of the plan and the row's hash.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.session import settled
+from strandwork.session import broadcast_if_small, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BITS = 12
@@ -97,9 +97,7 @@ def mix_plan(sized: DataFrame, weights, source: str = "source", max_epochs: floa
     cut = ends.select("_s", "_part").join(last.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left")
     start = F.struct(F.shiftleft("_part", HASH_BITS - SLICE_BITS).alias("mix_hash"), F.lit("").alias("mix_id"))
     cut = cut.select("_s", F.coalesce("last", start).alias("last"))
-    return settled(
-        plan.join(cut, F.col(source).eqNullSafe(F.col("_s")), "left").select(F.col(source).alias("_source"), "source_size", "target", "repeats", "last")
-    )
+    return plan.join(cut, F.col(source).eqNullSafe(F.col("_s")), "left").select(F.col(source).alias("_source"), "source_size", "target", "repeats", "last")
 
 
 def with_copies(docs: DataFrame, weights, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
@@ -111,7 +109,7 @@ def with_copies(docs: DataFrame, weights, *, doc_id: str = "doc_id", text: str =
     base = docs.drop("size", "source_size", "target", "copies")
     keyed = base.withColumn("size", n_words(F.col(text))).withColumn("mix_hash", seeded_hash(seed, F.col(doc_id))).withColumn("mix_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     sized = settled(keyed.select(F.col(source).alias("_source_of"), "size", "mix_hash", "mix_id"))
-    plan = mix_plan(sized, weights, "_source_of", max_epochs)
+    plan = broadcast_if_small(mix_plan(sized, weights, "_source_of", max_epochs), 10_000)  # a row for each source
     first = F.col("last").isNotNull() & (F.struct("mix_hash", "mix_id") <= F.col("last"))
     copies = (F.col("repeats") + F.when(first, 1).otherwise(0)).cast("long")
     joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("copies", copies)
