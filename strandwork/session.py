@@ -45,11 +45,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """``df`` settled, and marked for broadcast if it has no more than ``most_rows`` rows of a few plain columns.
+def broadcast_if_small(df: DataFrame, most_bytes: int = 1 << 25) -> DataFrame:
+    """``df`` settled, and marked for broadcast if its rows have no more than ``most_bytes``.
 
-    Spark cannot tell the size of what is settled before it plans, and would shuffle the other side first. A larger
-    ``df`` is left to the shuffle join that Spark plans, with its splitting of skewed partitions.
+    Spark cannot tell the size of what is settled before it plans, and would shuffle the other side first. The size is
+    counted: 16 bytes for each row and column, and what strings and binaries hold. A larger ``df`` is left to the
+    shuffle join that Spark plans, with its splitting of skewed partitions.
     """
     kept = settled(df)
-    return F.broadcast(kept) if kept.count() <= most_rows else kept
+    held = [F.octet_length(F.col(c)) for c, kind in kept.dtypes if kind in ("string", "binary")]
+    size = F.sum(sum(held, F.lit(16 * len(kept.columns))).cast("long"))
+    return F.broadcast(kept) if (kept.agg(size).first()[0] or 0) <= most_bytes else kept
