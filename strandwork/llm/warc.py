@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.session import settled, shared_dir
+from strandwork.session import broadcast_if_small, settled, shared_dir
 
 PIECE = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -241,7 +241,7 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     runs = settled(keyed.groupBy(*keys).agg(F.max(page_id).alias("_last"), F.count("*").alias("_n")))
     groups = runs.groupBy(*keys[1:]).agg(F.max("_last").alias("_keep"), F.sum("_n").alias("_copies")).where((F.col("_copies") > 1) & (F.col("_size") >= min_bytes))
     back = runs.select(*keys).join(groups, list(keys[1:]))
-    found = keyed.join(back.hint("shuffle_hash"), list(keys), "left")
+    found = keyed.join(broadcast_if_small(back), list(keys), "left")
     revisit = F.col("_keep").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_keep"))
     return found.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("_keep"))).drop(*keys, "_keep", "_copies")
 
