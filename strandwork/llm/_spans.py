@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.session import settled
+from strandwork.session import broadcast_if_small, settled
 
-SPAN = np.dtype([("key", "<i8"), ("start", "<i8"), ("end", "<i8")])
+SPAN = np.dtype([("key", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -78,11 +78,16 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
     return out
 
 
+PLACE = np.dtype([("start", "<u4"), ("end", "<u4")])
+
+
 def span_rows(spans: np.ndarray) -> pa.RecordBatch:
-    """``key, spans``: one row for each key, its spans packed."""
+    """``key, spans``: one row for each key, its spans packed without it."""
     spans = joined_spans(spans)
     heads, ends = groups(spans["key"])
-    bodies = [spans[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
+    places = np.empty(len(spans), PLACE)
+    places["start"], places["end"] = spans["start"], spans["end"]
+    bodies = [places[a:b].tobytes() for a, b in zip(heads, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(spans["key"][heads], pa.int64()), pa.array(bodies, pa.binary())], ["key", "spans"])
 
 
@@ -108,21 +113,40 @@ def exchanged(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def spans_by_key(spans: DataFrame) -> DataFrame:
+    """One row for each key, with its spans joined."""
+
+    def run(batches):
+        for batch in batches:
+            bodies = []
+            for packs in batch.column(1).to_pylist():
+                places = np.frombuffer(b"".join(packs), PLACE)
+                every = np.zeros(len(places), SPAN)
+                every["start"], every["end"] = places["start"], places["end"]
+                one = joined_spans(every)
+                places = np.empty(len(one), PLACE)
+                places["start"], places["end"] = one["start"], one["end"]
+                bodies.append(places.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["key", "spans"])
+
+    return spans.groupBy("key").agg(F.collect_list("spans").alias("spans")).mapInArrow(run, "key long, spans binary")
+
+
 def cut_out(docs: DataFrame, spans: DataFrame, min_run: int = 1, texts: bool = False) -> DataFrame:
     """Removes ``spans`` (rows of ``key, spans``, several for a key) from ``docs`` (``key, doc_id, text``).
 
     Joined spans shorter than ``min_run`` bytes stay. Gives the counts and the SHA-256 of the remaining bytes, and with
-    ``texts`` these bytes.
+    ``texts`` these bytes. The joined spans go to the texts if a count finds them small, so that texts stay where they
+    are; else both are shuffled by key.
     """
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, packs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for doc_id, text, packed_places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 data, cut, removed, at, kept = text.as_py(), 0, 0, 0, []
-                if packs.is_valid:
-                    parts = [np.frombuffer(p, SPAN) for p in packs.as_py()]
-                    for _, start, end in joined_spans(np.concatenate(parts)).tolist():
+                if packed_places.is_valid:
+                    for start, end in np.frombuffer(packed_places.as_py(), PLACE).tolist():
                         if end - start >= min_run:
                             kept.append(data[at:start])
                             cut, removed, at = cut + 1, removed + end - start, end
@@ -134,6 +158,5 @@ def cut_out(docs: DataFrame, spans: DataFrame, min_run: int = 1, texts: bool = F
             n = 6 if texts else 5
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(n)], names[:n])
 
-    lists = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    both = docs.join(lists, "key", "left").select("doc_id", "text", "spans")
+    both = docs.join(broadcast_if_small(spans_by_key(spans)), "key", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(run, CUT + ", kept binary" * texts)

@@ -109,7 +109,7 @@ def with_copies(docs: DataFrame, weights, *, doc_id: str = "doc_id", text: str =
     base = docs.drop("size", "source_size", "target", "copies")
     keyed = base.withColumn("size", n_words(F.col(text))).withColumn("mix_hash", seeded_hash(seed, F.col(doc_id))).withColumn("mix_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     sized = settled(keyed.select(F.col(source).alias("_source_of"), "size", "mix_hash", "mix_id"))
-    plan = broadcast_if_small(mix_plan(sized, weights, "_source_of", max_epochs), 10_000)  # a row for each source
+    plan = broadcast_if_small(mix_plan(sized, weights, "_source_of", max_epochs))  # a row for each source
     first = F.col("last").isNotNull() & (F.struct("mix_hash", "mix_id") <= F.col("last"))
     copies = (F.col("repeats") + F.when(first, 1).otherwise(0)).cast("long")
     joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("copies", copies)

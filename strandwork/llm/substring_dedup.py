@@ -28,14 +28,14 @@ from strandwork.llm._sample import byte_spans
 from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, groups, joined_spans, keyed, span_rows
 from strandwork.llm.exact_dedup import exact_groups
 from strandwork.llm.suffix_array import permuted_lcp, suffix_array
-from strandwork.session import settled
+from strandwork.session import broadcast_if_small, settled
 
 LENGTH, GRAM = 50, 20
 CROWDED = 2000
 BLOCK_BITS = 20
 FLUSH = 1 << 20
 
-RUN = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("key", "<i8"), ("start", "<i8"), ("windows", "<i4")])
+RUN = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("key", "<i8"), ("start", "<u4"), ("windows", "<u2")])
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -200,7 +200,7 @@ def _covered(runs: np.ndarray) -> np.ndarray:
     """What whole runs cover."""
     out = np.empty(len(runs), SPAN)
     out["key"], out["start"] = runs["key"], runs["start"]
-    out["end"] = runs["start"] + runs["windows"] + LENGTH - 1
+    out["end"] = runs["start"].astype(np.int64) + runs["windows"] + LENGTH - 1
     return out
 
 
@@ -330,7 +330,8 @@ def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
                     for run, a, b in hits.tolist():
                         c = chosen[run]
                         for i in order[heads[c] : ends[c]][first[heads[c] : ends[c]]]:
-                            spans.append(np.array([(every["key"][i], every["start"][i] + a, every["start"][i] + b)], SPAN))
+                            at = int(every["start"][i])
+                            spans.append(np.array([(every["key"][i], at + a, at + b)], SPAN))
             yield span_rows(np.concatenate(spans))
 
     none = F.lit(None)
@@ -349,7 +350,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     """
     rows = keyed(docs, doc_id, text)
     whole = exact_groups(rows.select("key", "text"), "key", "text", as_is=True).where("not kept").select(F.col("doc_id").alias("copy"))
-    whole = settled(whole)
+    whole = broadcast_if_small(whole)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
     single = rows.join(whole, F.col("key") == F.col("copy"), "left_anti").select(part.alias("part"), "key", "text")
