@@ -145,3 +145,40 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM x),
+z AS (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS gap FROM y WHERE n > 1),
+rep AS (SELECT doc_id, CAST(sum(gap) AS BIGINT) AS n_repeat_words FROM z GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM w),
+b AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(len(ws), 1) AS words, greatest(len(ls), 1) AS lines
+  FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [
+    CASE WHEN NOT word_chars / words BETWEEN 2.0 AND 14.0 THEN 0 END,
+    CASE WHEN n_symbols / words <= 0.02 AND n_dup_lines / lines <= 0.10 AND n_repeat_words / words <= 0.15 THEN 1 END,
+    CASE WHEN n_symbols / words > 0.10 THEN 0 END, CASE WHEN n_symbols > 0.02 * word_chars THEN 0 END, CASE WHEN n_symbols > 3 * lines THEN 0 END,
+    CASE WHEN n_dup_lines / lines > 0.30 THEN 0 END, CASE WHEN n_repeat_words / words > 0.40 THEN 0 END,
+    CASE WHEN n_dup_lines / lines > 0.20 AND n_repeat_words / words > 0.20 THEN 0 END] AS votes FROM b),
+p AS (SELECT list({'v': votes, 'n': n} ORDER BY votes) AS ps, CAST(sum(n) AS DOUBLE) AS total FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes)),
+em AS (
+  SELECT 0 AS step, 0.8::DOUBLE AS prior, list_transform(range(8), lambda j: 0.8::DOUBLE) AS acc
+  UNION ALL
+  SELECT step + 1, least(0.95, greatest(0.05, list_sum(list_transform(range(1, len(ps) + 1), lambda k: ps[k].n * good[k])) / total)),
+         list_transform(range(1, 9), lambda j: least(0.98, greatest(0.55,
+           (0.8 * 0.01 * total + list_sum(list_transform(range(1, len(ps) + 1), lambda k: CASE ps[k].v[j] WHEN 1 THEN ps[k].n * good[k] WHEN 0 THEN ps[k].n * (1 - good[k]) ELSE 0 END)))
+           / (0.01 * total + list_sum(list_transform(range(1, len(ps) + 1), lambda k: CASE WHEN ps[k].v[j] IS NULL THEN 0 ELSE ps[k].n END))))))
+  FROM (SELECT step, ps, total, list_transform(ps, lambda q: 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j:
+          CASE q.v[j] WHEN 1 THEN ln(acc[j] / (1 - acc[j])) WHEN 0 THEN -ln(acc[j] / (1 - acc[j])) ELSE 0 END)))))) AS good FROM em, p WHERE step < 50)),
+m AS (SELECT prior, acc FROM em WHERE step = 50)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND s >= 0.5 AS kept, round(s, 6) AS posterior
+FROM (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j:
+        CASE votes[j] WHEN 1 THEN ln(acc[j] / (1 - acc[j])) WHEN 0 THEN -ln(acc[j] / (1 - acc[j])) ELSE 0 END))))) AS s FROM v, m)
+"""
