@@ -21,5 +21,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }

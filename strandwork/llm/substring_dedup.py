@@ -241,6 +241,17 @@ def _equal_windows(runs: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return joined_spans(out)
 
 
+def _by_anchor(chosen: np.ndarray, anchors: np.ndarray, width: np.ndarray, most: int = 1 << 19):
+    """``chosen`` in pieces of whole anchors with about ``most`` bytes of contexts, so that a suffix array stays small."""
+    if not len(chosen):
+        return
+    heads, ends = groups(anchors[chosen])
+    size = np.add.reduceat(width[chosen], heads)
+    piece = np.cumsum(size) // most
+    for a, b in zip(*groups(piece), strict=True):
+        yield chosen[heads[a] : ends[b - 1]]
+
+
 def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     """``key, spans`` that windows of smaller documents cover; ``docs`` has ``part, key, text``."""
 
@@ -321,17 +332,19 @@ def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
                 anchors = every["anchor"][one]
                 same = anchors[1:] == anchors[:-1]
                 several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                if several.any():
-                    chosen = np.flatnonzero(several)
-                    runs = every[one[chosen]]
-                    hits = _equal_windows(runs, _ragged(contexts, place[one[chosen]], width[one[chosen]]))
-                    # a first document can have its context in several places
-                    ends = np.append(heads[1:], len(order))
-                    for run, a, b in hits.tolist():
-                        c = chosen[run]
-                        for i in order[heads[c] : ends[c]][first[heads[c] : ends[c]]]:
-                            at = int(every["start"][i])
-                            spans.append(np.array([(every["key"][i], at + a, at + b)], SPAN))
+                places = np.add.reduceat(first.astype(np.int64), heads)
+                for chosen in _by_anchor(np.flatnonzero(several), anchors, width[one]):
+                    hits = _equal_windows(every[one[chosen]], _ragged(contexts, place[one[chosen]], width[one[chosen]]))
+                    # a first document can have its context in several places, the first ones of the context's runs
+                    context = chosen[hits["key"]]
+                    times = places[context]
+                    hits = np.repeat(hits, times)
+                    nth = np.arange(len(hits)) - np.repeat(np.cumsum(times) - times, times)
+                    there = every[order[np.repeat(heads[context], times) + nth]]
+                    hits["key"] = there["key"]
+                    hits["start"] += there["start"]
+                    hits["end"] += there["start"]
+                    spans.append(hits)
             yield span_rows(np.concatenate(spans))
 
     none = F.lit(None)
@@ -370,3 +383,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), texts=False)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 49, 0))) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+c AS (SELECT w.doc_id, p, lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS q FROM w JOIN m USING (s) WHERE m.first < w.doc_id),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM r),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (a - after) AS BIGINT)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(concat(coalesce(kept, ''), substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT))))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
