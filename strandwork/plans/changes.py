@@ -124,10 +124,10 @@ def x12(t):
 
 @query("k2_card_merge", """
 WITH old AS (SELECT catalyst_id AS card_id, headline, significance_score FROM catalysts WHERE catalyst_id % 3 <> 1), new AS (SELECT catalyst_id AS card_id, CASE WHEN catalyst_id % 2 = 0 THEN concat(headline, '!') END AS headline FROM catalysts WHERE catalyst_id % 3 <> 2)
-SELECT card_id, coalesce(new.headline, old.headline) AS headline, round(significance_score, 6) AS significance_score FROM old FULL JOIN new USING (card_id)""")
+SELECT card_id, coalesce(new.headline, old.headline) AS headline, significance_score FROM old FULL JOIN new USING (card_id)""")
 def k2(t):
     k = F.col("catalyst_id")
-    old = t.catalysts.where(k % 3 != 1).select(k.alias("card_id"), "headline", F.round("significance_score", 6).alias("significance_score"))
+    old = t.catalysts.where(k % 3 != 1).select(k.alias("card_id"), "headline", "significance_score")
     new = t.catalysts.where(k % 3 != 2).select(k.alias("card_id"), F.when(k % 2 == 0, F.concat("headline", F.lit("!"))).alias("headline"))
     return merged(old, new, ["card_id"], keep_old=["headline"])
 
