@@ -150,3 +150,47 @@ def k5(t):
 @query("k8_completion_event", "SELECT sector, count(*) AS written FROM catalysts WHERE ts >= DATE '2001-07-25' GROUP BY sector HAVING count(*) > 0")
 def k8(t):
     return t.catalysts.where("ts >= date'2001-07-25'").groupBy("sector").agg(F.count("*").alias("written"))
+
+
+@query("j16_posts_by_entry", """
+WITH posted AS (SELECT entry_id, concat('post-', entry_id) AS post_id FROM catalysts WHERE catalyst_id % 15 = 0 UNION ALL SELECT 'XXX-000000-000', 'post-lost')
+SELECT c.catalyst_id, p.post_id FROM posted p JOIN catalysts c USING (entry_id)""")
+def j16(t):
+    """Rows that name an event by its entry id get the event's key; those that name none are left out."""
+    posted = t.catalysts.where("catalyst_id % 15 = 0").select("entry_id", F.concat(F.lit("post-"), "entry_id").alias("post_id"))
+    lost = t.spark.range(1).select(F.lit("XXX-000000-000").alias("entry_id"), F.lit("post-lost").alias("post_id"))
+    return posted.unionByName(lost).join(t.catalysts.select("entry_id", "catalyst_id"), "entry_id").select("catalyst_id", "post_id")
+
+
+@query("k3_sector_graphs", """
+SELECT sector, count(*) AS n_edges, count(DISTINCT entity_a_id) AS n_sources, round(max(confidence), 6) AS best FROM relationships JOIN catalysts USING (catalyst_id) WHERE status IN ('active', 'materialized') GROUP BY sector""")
+def k3(t):
+    """One document for each sector; a run replaces the sectors that it has."""
+    shown = t.relationships.where("status in ('active', 'materialized')").select("catalyst_id", "entity_a_id", "confidence")
+    rows = shown.join(t.catalysts.select("catalyst_id", "sector"), "catalyst_id").groupBy("sector", "entity_a_id").agg(F.count("*").alias("n"), F.max("confidence").alias("c"))
+    return rows.groupBy("sector").agg(F.sum("n").alias("n_edges"), F.count("*").alias("n_sources"), F.round(F.max("c"), 6).alias("best"))
+
+
+@query("k4_last_runs", """
+SELECT event_type AS sector, max(event_id) AS run, arg_max(value, event_id) AS written FROM events GROUP BY event_type""", base=False)
+def k4(t):
+    """Only the last run of each sector is kept."""
+    return t.raw("events").groupBy(F.col("event_type").alias("sector")).agg(F.max("event_id").alias("run"), F.max_by("value", "event_id").alias("written"))
+
+
+@query("p22_reextracted", """
+WITH old AS (SELECT catalyst_id, rel_type, count(*) AS n FROM relationships GROUP BY 1, 2), again AS (SELECT DISTINCT catalyst_id FROM catalysts WHERE catalyst_id % 6 = 0)
+SELECT catalyst_id, rel_type, n, 'v1' AS prompt_version FROM old WHERE catalyst_id NOT IN (SELECT catalyst_id FROM again)
+UNION ALL SELECT catalyst_id, rel_type, n * 2, 'v2' FROM old WHERE catalyst_id IN (SELECT catalyst_id FROM again)""")
+def p22(t):
+    """Events that are extracted again lose their old edges and get the new ones in one version of the table."""
+    old = t.relationships.groupBy("catalyst_id", "rel_type").agg(F.count("*").alias("n"))
+    again = t.catalysts.where("catalyst_id % 6 = 0").select("catalyst_id")
+    new = old.join(again, "catalyst_id", "left_semi").select("catalyst_id", "rel_type", (F.col("n") * 2).alias("n"), F.lit("v2").alias("prompt_version"))
+    return without(old, again, ["catalyst_id"]).withColumn("prompt_version", F.lit("v1")).unionByName(new)
+
+
+@query("r5_dry_run", "SELECT sector, count(*) AS would_read, count(*) FILTER (WHERE ts > DATE '2001-06-01') AS new FROM catalysts GROUP BY sector")
+def r5(t):
+    """What a run would read and find new, without writing."""
+    return t.catalysts.groupBy("sector").agg(F.count("*").alias("would_read"), F.count_if(F.col("ts") > F.lit("2001-06-01").cast("date")).alias("new"))
