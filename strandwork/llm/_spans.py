@@ -113,27 +113,33 @@ def exchanged(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def packed_spans(spans, parts: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrays of spans as rows for the shards of their keys: one row for each shard and ``most`` spans of a task."""
+    held, size = [], 0
+    for some in spans:
+        held.append(some)
+        size += len(some)
+        if size >= most:
+            joined = joined_spans(np.concatenate(held))
+            yield packed((joined["key"] % parts).astype(np.int32), joined, 1)
+            held, size = [], 0
+    if size:
+        joined = joined_spans(np.concatenate(held))
+        yield packed((joined["key"] % parts).astype(np.int32), joined, 1)
+
+
 def spans_by_key(spans: DataFrame) -> DataFrame:
-    """One row for each key, with its spans joined."""
+    """``key, spans``: one row for each key with its spans joined, from rows of ``packed_spans``."""
 
     def run(batches):
-        for batch in batches:
-            bodies = []
-            for packs in batch.column(1).to_pylist():
-                places = np.frombuffer(b"".join(packs), PLACE)
-                every = np.zeros(len(places), SPAN)
-                every["start"], every["end"] = places["start"], places["end"]
-                one = joined_spans(every)
-                places = np.empty(len(one), PLACE)
-                places["start"], places["end"] = one["start"], one["end"]
-                bodies.append(places.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["key", "spans"])
+        for _, kinds in by_shard(batches):
+            yield span_rows(np.frombuffer(b"".join(b for bodies in kinds.values() for b in bodies), SPAN))
 
-    return spans.groupBy("key").agg(F.collect_list("spans").alias("spans")).mapInArrow(run, "key long, spans binary")
+    return exchanged(spans, run, "key long, spans binary")
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, min_run: int = 1, texts: bool = False) -> DataFrame:
-    """Removes ``spans`` (rows of ``key, spans``, several for a key) from ``docs`` (``key, doc_id, text``).
+    """Removes ``spans`` (rows of ``packed_spans``) from ``docs`` (``key, doc_id, text``).
 
     Joined spans shorter than ``min_run`` bytes stay. Gives the counts and the SHA-256 of the remaining bytes, and with
     ``texts`` these bytes. The joined spans go to the texts if a count finds them small, so that texts stay where they

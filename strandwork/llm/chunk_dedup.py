@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import _spans
-from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, keyed, packed, shards_of, span_rows
+from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, keyed, packed, shards_of
 
 CHUNK = np.dtype([("digest", "S16"), ("key", "<i8"), ("start", "<i8"), ("size", "<i4")])
 WINDOW = 32
@@ -68,8 +68,9 @@ def _as_spans(chunks: np.ndarray) -> np.ndarray:
 
 
 def copied_spans(docs: DataFrame, flush_chunks: int = 1 << 20) -> DataFrame:
-    """``key, spans`` of all chunks that are copies; ``docs`` has ``key, text``. A key can have several rows."""
+    """Packed spans of all chunks that are copies; ``docs`` has ``key, text``."""
     shards = shards_of(docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def chunks(batches):
         table, held, size = gear(), [], 0
@@ -100,14 +101,16 @@ def copied_spans(docs: DataFrame, flush_chunks: int = 1 << 20) -> DataFrame:
         if held:
             yield from flush()
 
-    def copies(batches):
+    def copied(batches):
         for _, kinds in by_shard(batches):
-            spans = [np.frombuffer(b, SPAN) for b in kinds.get(1, [])]
+            yield from (np.frombuffer(b, SPAN) for b in kinds.get(1, []))
             if 0 in kinds:
-                spans.append(_as_spans(_first(np.frombuffer(b"".join(kinds[0]), CHUNK))[1]))
-            yield span_rows(np.concatenate(spans))
+                yield _as_spans(_first(np.frombuffer(b"".join(kinds[0]), CHUNK))[1])
+
+    def copies(batches):
+        return _spans.packed_spans(copied(batches), parts)
 
-    return exchanged(docs.select("key", "text").mapInArrow(chunks, _spans.PACKED), copies, "key long, spans binary")
+    return exchanged(docs.select("key", "text").mapInArrow(chunks, _spans.PACKED), copies, _spans.PACKED)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, texts: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm import _spans
 from strandwork.llm._sample import byte_spans
-from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, groups, joined_spans, keyed, span_rows
+from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, groups, joined_spans, keyed
 from strandwork.llm.exact_dedup import exact_groups
 from strandwork.llm.suffix_array import permuted_lcp, suffix_array
 from strandwork.session import broadcast_if_small, settled
@@ -110,7 +110,23 @@ def _blocks(texts: pa.Array):
             yield data[at : at + most], np.zeros(1, np.int64), np.array([row]), at
 
 
-TALLY = "shard int, kind int, payload binary"
+def _packed_by_part(shard: np.ndarray, part: np.ndarray, record: np.ndarray) -> pa.RecordBatch:
+    """One row for each shard: for each part its number, how many records it has, and the records. Sorted by both."""
+    cuts, ends = groups(shard, part)
+    pieces = [np.array([p, b - a], "<u4").tobytes() + record[a:b].tobytes() for p, a, b in zip(part[cuts].tolist(), cuts, ends, strict=True)]
+    heads, tails = groups(shard[cuts])
+    bodies = [b"".join(pieces[a:b]) for a, b in zip(heads, tails, strict=True)]
+    shards = shard[cuts][heads]
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([0] * len(shards), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
+
+
+def _parts_of(body: bytes):
+    """Part and records, one part after another."""
+    at = 0
+    while at < len(body):
+        part, n = np.frombuffer(body, "<u4", 2, at).tolist()
+        yield part, np.frombuffer(body, "<u8", n, at + 8)
+        at += 8 + 8 * n
 
 
 def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataFrame:
@@ -138,9 +154,7 @@ def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataF
             shard = (anchor % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((part, shard))
             shard, part, record = shard[order], part[order], record[order]
-            cuts, ends = groups(shard, part)
-            bodies = [record[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array(part[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
+            return _packed_by_part(shard, part, record)
 
         for batch in batches:
             part, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -156,8 +170,9 @@ def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataF
 
     def shared(batches):
         for _, kinds in by_shard(batches):
-            parts_of = np.concatenate([np.full(len(b) // 8, part, np.int32) for part, bodies in kinds.items() for b in bodies])
-            record = np.concatenate([np.frombuffer(b, "<u8") for bodies in kinds.values() for b in bodies])
+            pieces = [piece for body in kinds[0] for piece in _parts_of(body)]
+            parts_of = np.repeat(np.array([p for p, _ in pieces], np.int32), [len(r) for _, r in pieces])
+            record = np.concatenate([r for _, r in pieces])
             order = np.argsort(record, kind="stable")
             record, parts_of = record[order], parts_of[order]
             anchor, seen = record >> np.uint64(16), (record & np.uint64(0xFFFF)).astype(np.int64)
@@ -172,7 +187,7 @@ def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataF
             bodies = [answer[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["part", "body"])
 
-    return exchanged(docs.select("part", "key", "text").mapInArrow(tally, TALLY), shared, "part int, body binary")
+    return exchanged(docs.select("part", "key", "text").mapInArrow(tally, _spans.PACKED), shared, "part int, body binary")
 
 
 def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -253,7 +268,7 @@ def _by_anchor(chosen: np.ndarray, anchors: np.ndarray, width: np.ndarray, most:
 
 
 def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
-    """``key, spans`` that windows of smaller documents cover; ``docs`` has ``part, key, text``."""
+    """Packed spans that windows of smaller documents cover; ``docs`` has ``part, key, text``."""
 
     def runs(batches):
         now, fresh, known = None, [], np.zeros(0, np.uint64)
@@ -314,7 +329,7 @@ def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         if size:
             yield from flush()
 
-    def covered(batches):
+    def found_spans(batches):
         for _, kinds in by_shard(batches):
             spans = [np.frombuffer(b, SPAN) for b in kinds.get(1, [])]
             if 0 in kinds:
@@ -345,14 +360,17 @@ def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
                     hits["start"] += there["start"]
                     hits["end"] += there["start"]
                     spans.append(hits)
-            yield span_rows(np.concatenate(spans))
+            yield np.concatenate(spans)
+
+    def covered(batches):
+        return _spans.packed_spans(found_spans(batches), parts)
 
     none = F.lit(None)
     rows = docs.select("part", F.lit(1).alias("kind"), "key", F.col("text").cast("binary").alias("body"))
     rows = rows.union(shared.select("part", F.lit(0), none.cast("long"), "body"))
     rows = rows.withColumn("key", F.coalesce("key", F.lit(0)))
     sent = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(runs, _spans.PACKED)
-    return exchanged(sent, covered, "key long, spans binary")
+    return exchanged(sent, covered, _spans.PACKED)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True, crowded: int = CROWDED) -> DataFrame:
@@ -370,15 +388,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     shared = settled(shared_anchors(single, parts, crowded))
     spans = covered_spans(single, shared, parts)
 
-    def all_of_it(batches):
+    def whole_texts(batches):
         for batch in batches:
             full = np.empty(batch.num_rows, SPAN)
             full["key"], full["start"], full["end"] = batch.column(0).to_numpy(), 0, batch.column(1).to_numpy()
-            yield span_rows(full)
+            yield full
+
+    def all_of_it(batches):
+        return _spans.packed_spans(whole_texts(batches), parts)
 
     size = F.octet_length("text").cast("long")
     copies = rows.join(whole, F.col("key") == F.col("copy"), "left_semi").where(size >= LENGTH).select("key", size.alias("size"))
-    return cut_out(rows, spans.union(copies.mapInArrow(all_of_it, "key long, spans binary")), 1, texts)
+    return cut_out(rows, spans.union(copies.mapInArrow(all_of_it, _spans.PACKED)), 1, texts)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
