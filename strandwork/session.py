@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +29,25 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "stran
     return (builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else builder).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, unless their Python finds it by itself.
+
+    It does where the package's folder is in PYTHONPATH or is the working folder.
+    """
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p).resolve() == root.parent for p in known) or "strandwork-package.zip" in context._python_includes:
+        return
+    place = os.path.realpath(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    path = f"{place}/strandwork-package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
