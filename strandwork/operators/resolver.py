@@ -1,31 +1,16 @@
 """Resolution of mentions to entities: exact by name or alias, then similar names, then new entities.
 
-Similar names are looked for only where two names share a word or its first letters, so the candidates are a join and
-not all pairs; a word that very many names share is no key.
+Similar names are looked for among all pairs of names that the exact pass leaves, see ``operators.similar``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.functions import text as tx
-from strandwork.functions.fuzzy import similarity
 from strandwork.operators.components import connected_components
-
-
-def blocking_keys(names: DataFrame, name: str, crowded: int = 200) -> DataFrame:
-    """``names`` once for each key: its words, their first four letters, and its pairs of neighbouring words.
-
-    Keys of more than ``crowded`` names say too little and are left out, which bounds the candidates of a name; two names
-    that share nothing rarer are not compared.
-    """
-    worded = names.withColumn("_w", tx.tokens(F.col(name)))
-    heads = F.transform("_w", lambda w: F.concat(F.lit("^"), F.substring(w, 1, 4)))
-    pairs = F.filter(F.zip_with("_w", F.slice("_w", 2, F.size("_w")), lambda a, b: F.concat(a, F.lit("+"), b)), lambda p: p.isNotNull())
-    keyed = worded.select(*names.columns, F.explode(F.array_distinct(F.concat("_w", heads, pairs))).alias("_key"))
-    rare = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") <= crowded).select("_key")
-    return keyed.join(rare, "_key").select(*names.columns, "_key")
+from strandwork.operators.similar import links, nearest
+from strandwork.session import settled
 
 
 def exact(mentions: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -48,19 +33,14 @@ def resolved(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, thres
     hit = first.where("entity_id is not null").join(entities.select("entity_id", "name"), "entity_id")
     done = hit.select("mention", "resolved", F.lit(1).alias("tier"), "entity_id", F.col("name").alias("matched_name"))
     rest = first.where("entity_id is null").drop("entity_id")
-    names = rest.select("resolved").distinct()
-    left = blocking_keys(names, "resolved")
-    right = blocking_keys(entities.select("entity_id", "name"), "name")
-    pairs = left.join(right, "_key").select("resolved", "entity_id", "name").distinct()
-    scored = pairs.withColumn("score", similarity(F.col("resolved"), F.col("name"), scorer)).where(F.col("score") >= threshold)
-    best = scored.withColumn("_p", F.row_number().over(Window.partitionBy("resolved").orderBy(F.desc("score"), "name", "entity_id"))).where("_p = 1")
+    names = settled(rest.select("resolved").distinct())
+    known = entities.groupBy("name").agg(F.min("entity_id").alias("entity_id"))
+    found = nearest(names, known.select("name"), threshold, scorer).select(F.col("name").alias("resolved"), F.col("found").alias("name"))
+    best = settled(found.join(known, "name"))
     near = rest.join(best.select("resolved", "entity_id", "name"), "resolved")
     near = near.select("mention", "resolved", F.lit(2).alias("tier"), "entity_id", F.col("name").alias("matched_name"))
-    new = names.join(best.select("resolved"), "resolved", "left_anti")
-    among = blocking_keys(new, "resolved")
-    links = among.join(among.withColumnRenamed("resolved", "other"), "_key").where("resolved < other").select("resolved", "other").distinct()
-    links = links.where(similarity(F.col("resolved"), F.col("other"), scorer) >= threshold).select("resolved", "other")
-    roots = connected_components(links)
+    new = settled(names.join(best.select("resolved"), "resolved", "left_anti"))
+    roots = connected_components(links(new, threshold, scorer))
     named = new.join(roots, F.col("resolved") == F.col("node"), "left").select("resolved", F.coalesce("root", "resolved").alias("matched_name"))
     fresh = rest.join(named, "resolved").select("mention", "resolved", F.lit(3).alias("tier"), F.lit(None).cast("long").alias("entity_id"), "matched_name")
     return done.unionByName(near).unionByName(fresh)
