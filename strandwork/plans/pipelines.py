@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandwork.functions import fuzzy
 from strandwork.functions.numbers import edge_confidence
 from strandwork.operators import log_corrector as lc
-from strandwork.operators.endpoints import drop_reason
+from strandwork.operators.endpoints import drop_reason, visible
 from strandwork.operators.layout import layout
 from strandwork.operators.resolver import exact, resolved
 from strandwork.plans.base import query
@@ -72,8 +73,12 @@ def u1(t):
 
 @query("m9_layout")
 def m9(t):
-    edges = t.relationships.join(t.catalysts.select("catalyst_id", "sector"), "catalyst_id")
-    return layout(edges.select("sector", F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b")), "sector", most_nodes=120)
+    """Every node of the newest 200 cards of each sector, which the payload is made of, also those without a visible edge."""
+    newest = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("ts"), F.desc("entry_id")))
+    cards = t.catalysts.select("catalyst_id", "sector", "ts", "entry_id").withColumn("_p", newest).where("_p <= 200")
+    ends = t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id", "status").join(cards.select("catalyst_id", "sector"), "catalyst_id")
+    nodes = ends.select("sector", F.explode(F.array("entity_a_id", "entity_b_id")).alias("node"))
+    return layout(nodes, ends.where(visible(F.col("status"), False)).select("sector", F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b")), "sector")
 
 
 # Takeaways as the log has them, and as they should be.

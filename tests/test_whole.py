@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import numpy as np
 import pytest
 
 from strandwork.functions import fuzzy
+from strandwork.operators.layout import layout, placed
 from strandwork.operators.resolver import resolved
 from strandwork.operators.similar import Block
+from strandwork.plans.registry import QUERIES
 
 
 def test_bounds_hold():
@@ -45,3 +49,33 @@ def test_resolver_compares_all_pairs(spark, monkeypatch, scorer):
                 root = {m: min(root[a], root[b]) if r in (root[a], root[b]) else r for m, r in root.items()}
     assert got == near | {m: (3, None, r) for m, r in root.items()}
     assert scorer != "weighted" or near["Nvdia"] == (2, 900, "Nvidia")
+
+
+def test_layout_places_every_node(spark):
+    """Over 600 nodes in a group, and one without an edge."""
+    edges = [("a", i, i + 1) for i in range(700)] + [("b", 1, 2)]
+    nodes = [("a", i) for i in range(701)] + [("a", 5000), ("b", 1), ("b", 2)]
+    rows = layout(spark.createDataFrame(nodes, "g string, node long"), spark.createDataFrame(edges, "g string, a long, b long"), "g").collect()
+    assert sorted((r["g"], r["node"]) for r in rows) == sorted(nodes)
+    xy = placed(702, np.array([e[1:] for e in edges[:-1]]), 30, 42)
+    assert np.allclose([(r["x"], r["y"]) for r in sorted(rows, key=lambda r: r["node"]) if r["g"] == "a"], xy)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no data")
+def test_layout_of_the_newest_cards(spark):
+    d = "/root/testdata/sf0.01"
+    read = lambda name, *c: spark.read.parquet(f"{d}/{name}.parquet").select(*c).collect()
+    sector = dict(read("customer", "c_custkey", "c_mktsegment"))
+    orders = {}
+    for key, customer, day in sorted(read("orders", "o_orderkey", "o_custkey", "o_orderdate")):
+        if customer in sector:
+            orders.setdefault(sector[customer], []).append((str(day)[:10], key, customer))
+    newest = {key: (s, customer) for s, found in orders.items() for _, key, customer in sorted(found, reverse=True)[:200]}
+    nodes = set()
+    for key, supplier in read("lineitem", "l_orderkey", "l_suppkey"):
+        if key in newest:
+            s, customer = newest[key]
+            nodes |= {(s, supplier), (s, customer + 10_000_000)}
+    rows = QUERIES["m9_layout"](spark, d).collect()
+    assert len(rows) == len(nodes) and {(r["sector"], r["node"]) for r in rows} == nodes
+    assert max(sum(r["sector"] == s for r in rows) for s in orders) > 120
