@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.operators.endpoints import with_endpoints, with_names
 from strandwork.plans.base import query
+from strandwork.session import settled
 
 
 @query("o1_newest_cards", "SELECT catalyst_id, entry_id, ts FROM catalysts WHERE sector = 'BUILDING' ORDER BY ts DESC, entry_id DESC LIMIT 200")
@@ -110,21 +111,44 @@ def o13(t):
     return top.select("entity_id", F.col("place").cast("long").alias("place"), "catalyst_id", "rel_type", F.round("confidence", 6).alias("confidence"))
 
 
+def heats(relationships):
+    ends = with_endpoints(relationships.select("entity_a_id", "entity_b_id", "confidence"), once=False)
+    return ends.groupBy("entity_id").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("heat"))
+
+
+def batches(heat, size: int = 15):
+    """``entity_id, batch``: nodes are numbered in sorted ranges, each after the counts of the ranges before it."""
+    order = [F.desc("n"), F.desc("heat"), F.asc("entity_id")]
+    ranged = settled(settled(heat).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).drop("count")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    placed = ranged.withColumn("_n", inside).join(F.broadcast(counts), "_p")
+    return placed.select("entity_id", F.floor((F.col("_before") + F.col("_n")) / size).alias("batch"))
+
+
 @query("w4_paint_batches", """
 WITH e AS (SELECT entity_a_id AS id, confidence FROM relationships UNION ALL SELECT entity_b_id, confidence FROM relationships),
 h AS (SELECT id, count(*) AS n, round(sum(confidence), 6) AS heat FROM e GROUP BY id),
 b AS (SELECT id, CAST(floor((row_number() OVER (ORDER BY n DESC, heat DESC, id) - 1) / 15) AS BIGINT) AS batch FROM h WHERE id < 10000000),
 SELECT greatest(x.batch, coalesce(y.batch, 0)) AS edge_batch, count(*) AS n_edges FROM relationships r JOIN b x ON x.id = r.entity_a_id LEFT JOIN b y ON y.id = r.entity_b_id GROUP BY 1""".replace("10000000),\nSELECT", "10000000)\nSELECT"))
 def w4(t):
-    """Nodes are painted fifteen at a time by degree and heat; an edge comes with the later of its ends."""
-    ends = with_endpoints(t.relationships.select("entity_a_id", "entity_b_id", "confidence"), once=False)
-    heat = ends.groupBy("entity_id").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("heat")).where("entity_id < 10000000")
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.desc("heat"), "entity_id")) - 1
-    batch = heat.select("entity_id", F.floor(rank / 15).alias("batch"))
+    """Nodes are painted fifteen at a time by degree and heat; an edge comes with the later of its ends.
+
+    This is the part that its SQL has, suppliers only; ``w4_paint_all`` is the whole painting order.
+    """
+    batch = batches(heats(t.relationships).where("entity_id < 10000000"))
     edges = t.relationships.select("entity_a_id", "entity_b_id").join(batch.toDF("entity_a_id", "a"), "entity_a_id").join(batch.toDF("entity_b_id", "b"), "entity_b_id", "left")
     return edges.groupBy(F.greatest("a", F.coalesce("b", F.lit(0).cast("long"))).alias("edge_batch")).agg(F.count("*").alias("n_edges"))
 
 
+@query("w4_paint_all")
+def w4_all(t):
+    """The batch of every edge, with suppliers and customers in one painting order: the later of both ends."""
+    batch = batches(heats(t.relationships))
+    edges = t.relationships.select("entity_a_id", "entity_b_id").join(batch.toDF("entity_a_id", "a"), "entity_a_id").join(batch.toDF("entity_b_id", "b"), "entity_b_id")
+    return edges.groupBy(F.greatest("a", "b").alias("edge_batch")).agg(F.count("*").alias("n_edges"))
+
+
 @query("w7_related_names", """
 WITH r AS (SELECT catalyst_id, a.name AS x, b.name AS y, row_number() OVER (PARTITION BY catalyst_id ORDER BY confidence DESC, a.name, rel_type, l_partkey, l_linenumber) AS place
   FROM relationships JOIN entities a ON a.entity_id = entity_a_id JOIN entities b ON b.entity_id = entity_b_id WHERE catalyst_id % 3 = 0),

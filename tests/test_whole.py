@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from strandwork.functions import fuzzy
 from strandwork.operators.layout import layout, placed
 from strandwork.operators.resolver import resolved
 from strandwork.operators.similar import Block
+from strandwork.plans import ranking
 from strandwork.plans.registry import QUERIES
 
 
@@ -79,3 +82,18 @@ def test_layout_of_the_newest_cards(spark):
     rows = QUERIES["m9_layout"](spark, d).collect()
     assert len(rows) == len(nodes) and {(r["sector"], r["node"]) for r in rows} == nodes
     assert max(sum(r["sector"] == s for r in rows) for s in orders) > 120
+
+
+def test_painting_order_has_both_ends(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(1, 20), 10_000_000 + int(rng.random() ** 2 * 90), rng.randint(1, 8) / 8) for _ in range(400)]
+    n, heat = Counter(), Counter()
+    for a, b, confidence in edges:
+        for end in (a, b):
+            n[end] += 1
+            heat[end] += confidence
+    batch = {e: i // 15 for i, e in enumerate(sorted(n, key=lambda e: (-n[e], -heat[e], e)))}
+    relationships = spark.createDataFrame(edges, "entity_a_id long, entity_b_id long, confidence double")
+    rows = ranking.w4_all(SimpleNamespace(relationships=relationships)).collect()
+    assert {r["edge_batch"]: r["n_edges"] for r in rows} == Counter(max(batch[a], batch[b]) for a, b, _ in edges)
+    assert max(batch.values()) >= 3
