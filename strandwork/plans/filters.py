@@ -252,8 +252,17 @@ def f22(t):
 SELECT catalyst_id, CASE WHEN catalyst_id % 5 = 0 THEN 'redirect' WHEN catalyst_id % 3 = 0 THEN 'A signal from the graph' ELSE headline END AS title
 FROM catalysts WHERE sector = 'FURNITURE'""")
 def f23(t):
+    return previews(t.catalysts.where("sector = 'FURNITURE'"))
+
+
+@query("f23_preview_text_all")
+def f23_all(t):
+    return previews(t.catalysts)
+
+
+def previews(catalysts):
     """A preview from the card; from the picture alone if there is no card; else a redirect."""
     k = F.col("catalyst_id")
-    rows = t.catalysts.where("sector = 'FURNITURE'").select(k, F.when((k % 3 != 0) & (k % 5 != 0), F.col("headline")).alias("card"), (k % 5 != 0).alias("picture"))
+    rows = catalysts.select(k, F.when((k % 3 != 0) & (k % 5 != 0), F.col("headline")).alias("card"), (k % 5 != 0).alias("picture"))
     title = F.coalesce("card", F.when(F.col("picture"), "A signal from the graph"), F.lit("redirect"))
     return rows.select("catalyst_id", title.alias("title"))

@@ -143,10 +143,20 @@ def p29(t):
 WITH s AS (SELECT c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT a.o_orderkey, (SELECT b.o_totalprice FROM s b WHERE b.c_custkey = a.c_custkey AND b.d <= a.d + 90 AND b.d >= a.d ORDER BY b.d DESC, b.o_orderkey DESC LIMIT 1) AS price_90d FROM s a WHERE a.o_orderkey % 5 = 0""", base=False)
 def p30(t):
-    """The last price known 90 days after an event, from the event on: an as-of join as one window over each customer."""
+    return outcomes(t, 90).where("o_orderkey % 5 = 0")
+
+
+@query("p30_track_record_all", base=False)
+def p30_all(t):
+    return outcomes(t, 30, 60, 90)
+
+
+def outcomes(t, *days):
+    """The last price known so many days after an event, from the event on: an as-of join as one window over each customer."""
     s = t.raw("orders").select("o_custkey", "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("d"), "o_totalprice")
-    last = F.max(F.struct("d", "o_orderkey", "o_totalprice")).over(Window.partitionBy("o_custkey").orderBy("d").rangeBetween(0, 90))
-    return s.withColumn("last", last).where("o_orderkey % 5 = 0").select("o_orderkey", F.col("last.o_totalprice").alias("price_90d"))
+    w = Window.partitionBy("o_custkey").orderBy("d")
+    last = [F.max(F.struct("d", "o_orderkey", "o_totalprice")).over(w.rangeBetween(0, n))["o_totalprice"].alias(f"price_{n}d") for n in days]
+    return s.select("o_orderkey", *last)
 
 
 @query("p31_primary_subject", """

@@ -30,8 +30,17 @@ def o3(t):
 SELECT catalyst_id, rel_type, entity_a_id, row_number() OVER (PARTITION BY catalyst_id ORDER BY confidence DESC, rel_type, entity_a_id, entity_b_id, l_partkey, l_linenumber) AS place
 FROM relationships WHERE catalyst_id % 4 = 1""")
 def o4(t):
+    return placed_edges(t.relationships.where("catalyst_id % 4 = 1"))
+
+
+@query("o4_edges_by_confidence_all")
+def o4_all(t):
+    return placed_edges(t.relationships)
+
+
+def placed_edges(relationships):
     order = Window.partitionBy("catalyst_id").orderBy(F.desc("confidence"), "rel_type", "entity_a_id", "entity_b_id", "l_partkey", "l_linenumber")
-    return t.relationships.where("catalyst_id % 4 = 1").select("catalyst_id", "rel_type", "entity_a_id", F.row_number().over(order).cast("long").alias("place"))
+    return relationships.select("catalyst_id", "rel_type", "entity_a_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("o5_due_entities", """
@@ -157,8 +166,17 @@ n AS (SELECT r.catalyst_id, unnest([r.x, r.y]) AS name, place FROM r WHERE place
 f AS (SELECT n.catalyst_id, name, min(place) AS place FROM n JOIN top USING (catalyst_id) WHERE name <> top.x AND name <> top.y GROUP BY 1, 2)
 SELECT catalyst_id, name, place FROM f QUALIFY row_number() OVER (PARTITION BY catalyst_id ORDER BY place, name) <= 4""")
 def w7(t):
+    return related_names(t.relationships.where("catalyst_id % 3 = 0"), t.entities)
+
+
+@query("w7_related_names_all")
+def w7_all(t):
+    return related_names(t.relationships, t.entities)
+
+
+def related_names(relationships, entities):
     """Up to four other names on an event's edges, in the order of the edges."""
-    edges = with_names(t.relationships.where("catalyst_id % 3 = 0"), t.entities)
+    edges = with_names(relationships, entities)
     w = Window.partitionBy("catalyst_id").orderBy(F.desc("confidence"), "from_name", "rel_type", "l_partkey", "l_linenumber")
     whole = Window.partitionBy("catalyst_id").orderBy("place")
     ranked = edges.withColumn("place", F.row_number().over(w))

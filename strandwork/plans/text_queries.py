@@ -129,8 +129,17 @@ def c17(t):
 SELECT catalyst_id, array_to_string(list_transform(list_sort(list(rel_type))[1:8], lambda r, i: concat('[', CAST(i AS VARCHAR), '] ', r)), chr(10)) AS cites FROM
 (SELECT DISTINCT catalyst_id, rel_type FROM relationships WHERE catalyst_id % 5 = 0) GROUP BY catalyst_id""")
 def c25(t):
+    return prompt_lines(t.relationships.where("catalyst_id % 5 = 0"))
+
+
+@query("c25_prompt_lines_all")
+def c25_all(t):
+    return prompt_lines(t.relationships)
+
+
+def prompt_lines(relationships):
     """The first eight sources, numbered from 1."""
-    rels = t.relationships.where("catalyst_id % 5 = 0").select("catalyst_id", "rel_type").distinct().groupBy("catalyst_id").agg(F.slice(F.array_sort(F.collect_list("rel_type")), 1, 8).alias("r"))
+    rels = relationships.select("catalyst_id", "rel_type").distinct().groupBy("catalyst_id").agg(F.slice(F.array_sort(F.collect_list("rel_type")), 1, 8).alias("r"))
     lines = F.transform("r", lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), r))
     return rels.select("catalyst_id", F.array_join(lines, "\n").alias("cites"))
 

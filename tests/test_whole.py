@@ -97,3 +97,54 @@ def test_painting_order_has_both_ends(spark):
     rows = ranking.w4_all(SimpleNamespace(relationships=relationships)).collect()
     assert {r["edge_batch"]: r["n_edges"] for r in rows} == Counter(max(batch[a], batch[b]) for a, b, _ in edges)
     assert max(batch.values()) >= 3
+
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+def test_whole_tables(spark):
+    """Every id of the tables is in the queries, with what plain Python makes of it."""
+    from strandwork.sources.graph_tables import GraphTables
+
+    t = GraphTables(spark, DATA)
+    got = lambda name: [tuple(r) for r in QUERIES[name](spark, DATA).collect()]
+    name = {r[0]: r[1] for r in t.entities.select("entity_id", "name").collect()}
+    events = {}
+    for r in t.relationships.select("catalyst_id", "entity_a_id", "rel_type", "entity_b_id", "confidence", "l_partkey", "l_linenumber").collect():
+        events.setdefault(r.catalyst_id, []).append(r)
+    places, related, sets, lines = [], set(), set(), set()
+    for c, edges in events.items():
+        edges.sort(key=lambda r: (-r.confidence, r.rel_type, r.entity_a_id, r.entity_b_id, r.l_partkey, r.l_linenumber))
+        places += [(c, r.rel_type, r.entity_a_id, i) for i, r in enumerate(edges, 1)]
+        # Ids are numbers, sorted as such.
+        sets.add((c, ",".join(map(str, sorted({e for r in edges for e in (r.entity_a_id, r.entity_b_id)})))))
+        lines.add((c, "\n".join(f"[{i}] {x}" for i, x in enumerate(sorted({r.rel_type for r in edges})[:8], 1))))
+        known = [r for r in edges if r.entity_a_id in name and r.entity_b_id in name]
+        known.sort(key=lambda r: (-r.confidence, name[r.entity_a_id], r.rel_type, r.l_partkey, r.l_linenumber))
+        first = {}
+        for i, r in enumerate(known, 1):
+            for e in (r.entity_a_id, r.entity_b_id):
+                if i > 1 and e not in (known[0].entity_a_id, known[0].entity_b_id):
+                    first.setdefault(name[e], i)
+        related |= {(c, x, i) for x, i in sorted(first.items(), key=lambda p: (p[1], p[0]))[:4]}
+    assert sorted(got("o4_edges_by_confidence_all")) == sorted(places)
+    assert set(got("x2_name_sets_all")) == sets and set(got("c25_prompt_lines_all")) == lines
+    assert set(got("w7_related_names_all")) == related
+    assert {r[0] for r in got("u1_similar_names")} == set(name.values())
+    orders = [tuple(r) for r in t.raw("orders").selectExpr("o_custkey", "unix_date(cast(o_orderdate as date))", "o_orderkey", "o_totalprice").collect()]
+    mine = {}
+    for c, *rest in orders:
+        mine.setdefault(c, []).append(tuple(rest))
+    after = lambda c, d, n: max(x for x in mine[c] if d <= x[0] <= d + n)[2]
+    assert set(got("p30_track_record_all")) == {(o, *(after(c, d, n) for n in (30, 60, 90))) for c, d, o, _ in orders}
+    headline = {r[0]: r[1] for r in t.catalysts.select("catalyst_id", "headline").collect()}
+    titles = {(k, "redirect" if k % 5 == 0 else "A signal from the graph" if k % 3 == 0 else h) for k, h in headline.items()}
+    assert set(got("f23_preview_text_all")) == titles
+    told = {}
+    for c, edges in events.items():
+        for r in edges:
+            for e in (r.entity_a_id, r.entity_b_id):
+                if e in name and c in headline:
+                    told.setdefault(e, set()).add(headline[c])
+    assert sorted(got("j14_entity_headlines_all")) == sorted((e, h) for e, found in told.items() for h in sorted(found)[:20])
