@@ -5,8 +5,8 @@ an insertion shifts only the chunks around it. A chunk is a copy if its digest o
 earlier in its own. Runs of adjacent copies are removed where they have ``min_run`` bytes or more; shorter ones are
 chance and stay.
 
-Each task digests its documents' chunks and keeps the first occurrence of every digest; the others are copies already,
-and only first occurrences go to the digest's shard, at most one per task, however often a passage is repeated.
+The chunks of a block of documents are digested together. Of every digest the block's first occurrence goes to the
+digest's shard, however often a passage is repeated in the block; the others are copies already.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm import _spans
-from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, keyed, packed, shards_of
+from strandwork.llm._spans import SPAN, Texts, cut_out, dealt, packed, shard_by_shard
 
-CHUNK = np.dtype([("digest", "S16"), ("key", "<i8"), ("start", "<i8"), ("size", "<i4")])
+#: A digest is two numbers, which sort faster than bytes.
+CHUNK = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("key", "<i8"), ("start", "<u4"), ("size", "<u2")])
 WINDOW = 32
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 16, 256, 4
 MIN_RUN = 100
@@ -56,8 +57,9 @@ def chunk_ends(data: np.ndarray, table: np.ndarray) -> list[int]:
 
 def _first(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First occurrence of each digest, and all others."""
-    chunks = chunks[np.lexsort((chunks["start"], chunks["key"], chunks["digest"]))]
-    new = np.concatenate([[True], chunks["digest"][1:] != chunks["digest"][:-1]]) if len(chunks) else np.zeros(0, bool)
+    chunks = chunks[np.lexsort((chunks["start"], chunks["key"], chunks["d2"], chunks["d1"]))]
+    new = np.zeros(len(chunks), bool)
+    new[_spans.groups(chunks["d1"], chunks["d2"])[0]] = True
     return chunks[new], chunks[~new]
 
 
@@ -67,59 +69,47 @@ def _as_spans(chunks: np.ndarray) -> np.ndarray:
     return out
 
 
-def copied_spans(docs: DataFrame, flush_chunks: int = 1 << 20) -> DataFrame:
-    """Packed spans of all chunks that are copies; ``docs`` has ``key, text``."""
-    shards = shards_of(docs)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def chunks(batches):
-        table, held, size = gear(), [], 0
-
-        def flush():
-            first, rest = _first(np.concatenate(held))
-            shard = np.frombuffer(first["digest"].astype("V16").tobytes(), "<u4")[::4] % shards
-            yield packed(shard.astype(np.int32), first, 0)
-            spans = _spans.joined_spans(_as_spans(rest))
-            yield packed((spans["key"] % shards).astype(np.int32), spans, 1)
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                body = text.as_py()
-                if not body:
-                    continue
-                ends = chunk_ends(np.frombuffer(body, np.uint8), table)
-                out = np.empty(len(ends), CHUNK)
-                starts = [0, *ends[:-1]]
-                out["digest"] = [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)]
-                out["key"], out["start"] = key, starts
-                out["size"] = np.diff(np.array([0, *ends]))
-                held.append(out)
-                size += len(out)
-                if size >= flush_chunks:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    def copied(batches):
-        for _, kinds in by_shard(batches):
-            yield from (np.frombuffer(b, SPAN) for b in kinds.get(1, []))
-            if 0 in kinds:
-                yield _as_spans(_first(np.frombuffer(b"".join(kinds[0]), CHUNK))[1])
+def digested(key: int, body: bytes, table: np.ndarray) -> np.ndarray:
+    """The chunks of one text."""
+    ends = chunk_ends(np.frombuffer(body, np.uint8), table)
+    out, starts = np.empty(len(ends), CHUNK), [0, *ends[:-1]]
+    raw = b"".join([hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)])
+    out["d1"], out["d2"] = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+    out["key"], out["start"] = key, starts
+    out["size"] = np.diff(np.array([0, *ends]))
+    return out
+
+
+def copied_spans(texts: Texts) -> DataFrame:
+    """Spans of all chunks that are copies, by block."""
+    shards, blocks = texts.shards, texts.blocks
+
+    def chunks(docs: pa.Table) -> pa.Table:
+        table, bodies = gear(), docs.column("text").cast(pa.binary())
+        held = [digested(key, body, table) for key, body in zip(docs.column("key").to_pylist(), bodies.to_pylist(), strict=True) if body]
+        first, rest = _first(np.concatenate(held) if held else np.zeros(0, CHUNK))
+        shard = first["d1"] % np.uint64(shards)
+        spans = _spans.joined_spans(_as_spans(rest))
+        return pa.concat_tables([packed(shard.astype(np.int32), first, _spans.RECORDS), packed((spans["key"] % shards).astype(np.int32), spans, _spans.SPANS)])
+
+    def fold(bodies: list[bytes]) -> tuple[bytes, np.ndarray]:
+        first, rest = _first(np.frombuffer(b"".join(bodies), CHUNK))
+        return first.tobytes(), _as_spans(rest)
 
     def copies(batches):
-        return _spans.packed_spans(copied(batches), parts)
+        return _spans.spans_of_blocks(shard_by_shard(batches, fold, lambda bodies: [fold(bodies)[1]]), blocks)
 
-    return exchanged(docs.select("key", "text").mapInArrow(chunks, _spans.PACKED), copies, _spans.PACKED)
+    return _spans.sharded(texts.each(chunks, _spans.PACKED), texts).mapInArrow(copies, _spans.OF_BLOCK)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, texts: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, the bytes ``kept``.
 
     Null text counts as empty. Rows that repeat an id, or have none, are taken in the order of their texts' hashes, null
-    ids last. Texts shorter than ``min_run`` lose nothing. An empty table gives an empty result.
+    ids last. Texts shorter than ``min_run`` lose nothing; a long text is one group's work and is held whole. An empty
+    table gives an empty result. Other columns are not read.
     """
-    rows = keyed(docs, doc_id, text)
+    rows = dealt(docs, doc_id, text)
     return cut_out(rows, copied_spans(rows), min_run, texts)
 
 

@@ -5,15 +5,15 @@ too large for one suffix array, so strings that can be equal are brought to the
 
 * Every window of ``LENGTH`` bytes has an anchor, the smallest hash of the ``GRAM``-byte strings in it. Equal windows have
   equal anchors. Neighbouring windows with the same anchor are one run, and its bytes its context.
-* Anchors are counted over all documents, 6 bytes for each that a task has seen. Most occur in one document only; no
-  window of theirs can be anywhere else.
-* Runs of the other anchors go to their anchor's shard with their contexts. Where contexts are equal, those of later
-  documents are covered as a whole. Where an anchor has different contexts, the shard's contexts get a suffix array;
-  common prefixes of ``LENGTH`` bytes make groups of equal windows, and all but the smallest document's are covered.
-
-Equal contexts meet as one per task, so a passage that everybody quotes is no hot spot inside; at its ends, where
-contexts differ by what stands around it, an anchor with more than ``CROWDED`` occurrences is split into its windows,
-each dealt by its own hash. Documents that are whole copies of earlier ones are found by digest before all this.
+* Anchors are counted over all documents, 8 bytes for each that a block of documents has. Most occur in one document
+  only; no window of theirs can be anywhere else.
+* Runs of the other anchors go to their anchor's shard with their contexts. Where contexts are equal, byte for byte, those
+  of later documents are covered as a whole. Where an anchor has different contexts, the shard's contexts get a suffix
+  array; common prefixes of ``LENGTH`` bytes make groups of equal windows, and all but the smallest document's are covered.
+
+Equal contexts meet as one for each block, and shards fold them as they come, so a passage that everybody quotes is no
+hot spot inside; at its ends, where contexts differ by what stands around it, an anchor with more than ``CROWDED`` of
+them is split into its windows, each dealt by its own hash and then compared like any other context.
 """
 
 from __future__ import annotations
@@ -25,15 +25,12 @@ from pyspark.sql import functions as F
 
 from strandwork.llm import _spans
 from strandwork.llm._sample import byte_spans
-from strandwork.llm._spans import SPAN, by_shard, cut_out, exchanged, groups, joined_spans, keyed
-from strandwork.llm.exact_dedup import exact_groups
+from strandwork.llm._spans import SPAN, Texts, cut_out, dealt, groups, joined_spans
 from strandwork.llm.suffix_array import permuted_lcp, suffix_array
-from strandwork.session import broadcast_if_small, settled
 
 LENGTH, GRAM = 50, 20
 CROWDED = 2000
 BLOCK_BITS = 20
-FLUSH = 1 << 20
 
 RUN = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("key", "<i8"), ("start", "<u4"), ("windows", "<u2")])
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,84 +107,75 @@ def _blocks(texts: pa.Array):
             yield data[at : at + most], np.zeros(1, np.int64), np.array([row]), at
 
 
-def _packed_by_part(shard: np.ndarray, part: np.ndarray, record: np.ndarray) -> pa.RecordBatch:
-    """One row for each shard: for each part its number, how many records it has, and the records. Sorted by both."""
-    cuts, ends = groups(shard, part)
-    pieces = [np.array([p, b - a], "<u4").tobytes() + record[a:b].tobytes() for p, a, b in zip(part[cuts].tolist(), cuts, ends, strict=True)]
-    heads, tails = groups(shard[cuts])
-    bodies = [b"".join(pieces[a:b]) for a, b in zip(heads, tails, strict=True)]
-    shards = shard[cuts][heads]
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([0] * len(shards), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
+def _framed(block: int, records: np.ndarray) -> bytes:
+    """Records of one block with its number, so that the payloads of many blocks can be laid end to end."""
+    return np.array([block, len(records)], "<u4").tobytes() + records.tobytes()
 
 
-def _parts_of(body: bytes):
-    """Part and records, one part after another."""
+def _frames(body: bytes):
+    """Block and records, one after another."""
     at = 0
     while at < len(body):
-        part, n = np.frombuffer(body, "<u4", 2, at).tolist()
-        yield part, np.frombuffer(body, "<u8", n, at + 8)
+        block, n = np.frombuffer(body, "<u4", 2, at).tolist()
+        yield block, np.frombuffer(body, "<u8", n, at + 8)
         at += 8 + 8 * n
 
 
-def shared_anchors(docs: DataFrame, parts: int, crowded: int = CROWDED) -> DataFrame:
-    """``part, body``: for each part of the documents its anchors that occur in more than one document.
+def shared_anchors(texts: Texts, crowded: int = CROWDED) -> DataFrame:
+    """``block, payload``: for each block its anchors that occur in more than one document.
 
-    ``docs`` has ``part, key, text``. An anchor is 48 bits above a 16-bit count of documents that a task has seen with
-    it; what comes back has the lowest bit set where an anchor is crowded.
+    A record is an anchor's 48 bits above one that says whether the block has it in several documents and 15 for the
+    number of different contexts there. What comes back has the lowest bit set where an anchor is crowded: where it has
+    more than ``crowded`` contexts, each counted once a block.
     """
-
-    def tally(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush():
-            part, anchor, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((key, part, anchor))
-            part, anchor, key = part[order], anchor[order], key[order]
-            same = (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1])
-            distinct = np.concatenate([[True], ~(same & (key[1:] == key[:-1]))])
-            part, anchor = part[distinct], anchor[distinct]
-            heads, ends = groups(anchor, part)
-            docs_with = ends - heads
-            part, anchor = part[heads], anchor[heads]
-            record = anchor << np.uint64(16) | np.minimum(docs_with, (1 << 16) - 1).astype(np.uint64)
-            shard = (anchor % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((part, shard))
-            shard, part, record = shard[order], part[order], record[order]
-            return _packed_by_part(shard, part, record)
-
-        for batch in batches:
-            part, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for data, starts, rows, _ in _blocks(batch.column(2)):
-                start, _, anchor, _, text, _ = runs_of(data, starts)
-                held.append((part[rows[text]], anchor, key[rows[text]]))
-                size += len(start)
-            if size >= FLUSH:  # between documents only
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+    shards, most = texts.shards, (1 << 15) - 1
+
+    def tally(docs: pa.Table) -> pa.Table:
+        found = []
+        key = docs.column("key").to_numpy()
+        for data, starts, rows, _ in _blocks(docs.column("text").combine_chunks()):
+            _, _, anchor, context, text, _ = runs_of(data, starts)
+            found.append((anchor, context, key[rows[text]]))
+        anchor, context, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
+        order = np.lexsort((context, anchor))
+        anchor, context, key = anchor[order], context[order], key[order]
+        heads, ends = groups(anchor)
+        if not len(heads):
+            return _spans.packed(np.zeros(0, np.int64), anchor, _spans.RECORDS)
+        new = np.zeros(len(anchor), np.int64)
+        new[groups(anchor, context)[0]] = 1
+        several = np.minimum.reduceat(key, heads) < np.maximum.reduceat(key, heads)
+        contexts = np.minimum(np.add.reduceat(new, heads), most)
+        record = anchor[heads] << np.uint64(16) | several.astype(np.uint64) << np.uint64(15) | contexts.astype(np.uint64)
+        shard = (anchor[heads] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        shard, record = shard[order], record[order]
+        cuts, ends = groups(shard)
+        block = docs.column("block")[0].as_py()
+        return _spans.packed_bodies(shard[cuts], [_framed(block, record[a:b]) for a, b in zip(cuts, ends, strict=True)], _spans.RECORDS)
+
+    def answers(bodies: list[bytes]):
+        frames = [frame for body in bodies for frame in _frames(body)]
+        block = np.repeat(np.array([b for b, _ in frames], np.int32), [len(r) for _, r in frames])
+        record = np.concatenate([r for _, r in frames])
+        order = np.argsort(record, kind="stable")
+        record, block = record[order], block[order]
+        anchor = record >> np.uint64(16)
+        heads, ends = groups(anchor)
+        shared = (ends - heads > 1) | np.logical_or.reduceat((record >> np.uint64(15) & np.uint64(1)).astype(bool), heads)
+        contexts = np.add.reduceat((record & np.uint64(most)).astype(np.int64), heads)
+        answer = np.repeat(anchor[heads] << np.uint64(16) | (contexts > crowded).astype(np.uint64), ends - heads)
+        kept = np.repeat(shared, ends - heads)
+        answer, block = answer[kept], block[kept]
+        order = np.argsort(block, kind="stable")
+        answer, block = answer[order], block[order]
+        cuts, ends = groups(block)
+        yield pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int32()), pa.array([answer[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["block", "payload"])
 
     def shared(batches):
-        for _, kinds in by_shard(batches):
-            pieces = [piece for body in kinds[0] for piece in _parts_of(body)]
-            parts_of = np.repeat(np.array([p for p, _ in pieces], np.int32), [len(r) for _, r in pieces])
-            record = np.concatenate([r for _, r in pieces])
-            order = np.argsort(record, kind="stable")
-            record, parts_of = record[order], parts_of[order]
-            anchor, seen = record >> np.uint64(16), (record & np.uint64(0xFFFF)).astype(np.int64)
-            heads, ends = groups(anchor)
-            total = np.repeat(np.add.reduceat(seen, heads), ends - heads)
-            many = total > 1
-            answer = (anchor << np.uint64(16) | (total > crowded).astype(np.uint64))[many]
-            to = parts_of[many]
-            order = np.argsort(to, kind="stable")
-            answer, to = answer[order], to[order]
-            cuts, ends = groups(to)
-            bodies = [answer[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["part", "body"])
-
-    return exchanged(docs.select("part", "key", "text").mapInArrow(tally, _spans.PACKED), shared, "part int, body binary")
+        return _spans.shard_by_shard(batches, None, answers, 1 << 62)  # a record for each block that has an anchor: nothing to fold
+
+    return _spans.sharded(texts.each(tally, _spans.PACKED), texts).mapInArrow(shared, _spans.OF_BLOCK)
 
 
 def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -197,18 +185,37 @@ def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(total) + np.repeat(start - (ends - size), size)]
 
 
-def _packed_runs(shard: np.ndarray, runs: np.ndarray, contexts: np.ndarray) -> pa.RecordBatch:
-    """One row for each shard: number of runs, the runs, and their contexts."""
-    size = runs["windows"].astype(np.int64) + LENGTH - 1
-    place = np.cumsum(size) - size
+def _run_bytes(runs: np.ndarray, contexts: np.ndarray) -> bytes:
+    """Number of runs, the runs, and their contexts."""
+    return np.int64(len(runs)).tobytes() + runs.tobytes() + contexts.tobytes()
+
+
+def _runs_in(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and contexts of several payloads."""
+    found, contexts = [], []
+    for body in bodies:
+        n = int(np.frombuffer(body, "<i8", 1)[0])
+        found.append(np.frombuffer(body, RUN, n, 8))
+        contexts.append(np.frombuffer(body, np.uint8, offset=8 + n * RUN.itemsize))
+    return np.concatenate(found), np.concatenate(contexts)
+
+
+def _packed_runs(shard: np.ndarray, runs: np.ndarray, contexts: np.ndarray) -> pa.Table:
+    """One row for each shard."""
+    width = _width(runs)
+    place = np.cumsum(width) - width
     order = np.argsort(shard, kind="stable")
-    shard, runs, size = shard[order], runs[order], size[order]
-    contexts = _ragged(contexts, place[order], size)
-    place = np.cumsum(size) - size
+    shard, runs = shard[order], runs[order]
+    contexts = _ragged(contexts, place[order], width[order])
+    place = np.cumsum(width[order]) - width[order]
     cuts, ends = groups(shard)
     offsets = np.append(place, len(contexts))
-    bodies = [np.int64(b - a).tobytes() + runs[a:b].tobytes() + contexts[offsets[a] : offsets[b]].tobytes() for a, b in zip(cuts, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array([0] * len(cuts), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "kind", "payload"])
+    return _spans.packed_bodies(shard[cuts], [_run_bytes(runs[a:b], contexts[offsets[a] : offsets[b]]) for a, b in zip(cuts, ends, strict=True)], _spans.RECORDS)
+
+
+def _width(runs: np.ndarray) -> np.ndarray:
+    """Bytes of the contexts of runs."""
+    return runs["windows"].astype(np.int64) + LENGTH - 1
 
 
 def _covered(runs: np.ndarray) -> np.ndarray:
@@ -219,18 +226,53 @@ def _covered(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_context(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by context, document and place; where in it a context begins; and whether a run is of its first document."""
-    order = np.lexsort((runs["start"], runs["key"], runs["context"], runs["anchor"]))
-    r = runs[order]
-    heads, ends = groups(r["anchor"], r["context"])
+def _differ(contexts: np.ndarray, a: np.ndarray, b: np.ndarray, width: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Whether the bytes at ``a`` and at ``b`` are different."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), step):
+        n = width[at : at + step]
+        unlike = _ragged(contexts, a[at : at + step], n) != _ragged(contexts, b[at : at + step], n)
+        out[at : at + step] = np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+    return out
+
+
+def _by_context(runs: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by context, document and place; where in it a context begins; and whether a run is of its first document.
+
+    Runs have one context only if its bytes are the same: hashes bring them together, and every one is then compared with
+    the first of its group. Where a hash has several contexts, these are told apart by their bytes.
+    """
+    width = _width(runs)
+    place = np.cumsum(width) - width
+    which = np.zeros(len(runs), np.int64)
+    while True:
+        order = np.lexsort((runs["start"], runs["key"], which, runs["windows"], runs["context"], runs["anchor"]))
+        r = runs[order]
+        heads, ends = groups(r["anchor"], r["context"], r["windows"], which[order])
+        leader = order[np.repeat(heads, ends - heads)]
+        others = np.flatnonzero(leader != order)
+        unlike = others[_differ(contexts, place[order[others]], place[leader[others]], width[order[others]])]
+        if not len(unlike):
+            break
+        for a, b in zip(heads, ends, strict=True):
+            if a <= unlike[-1] and b > unlike[0]:
+                seen: dict[bytes, int] = {}
+                for i in order[a:b]:
+                    which[i] = seen.setdefault(contexts[place[i] : place[i] + width[i]].tobytes(), len(seen))
     first = np.repeat(r["key"][heads], ends - heads)
     return order, heads, r["key"] == first
 
 
+def _folded(runs: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of each context's first document with their contexts, and what the others cover."""
+    order, _, first = _by_context(runs, contexts)
+    mine, width = order[first], _width(runs)
+    return runs[mine], _ragged(contexts, (np.cumsum(width) - width)[mine], width[mine]), joined_spans(_covered(runs[order[~first]]))
+
+
 def _equal_windows(runs: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Spans covered by windows that also occur in a run of a smaller document; the runs have different contexts."""
-    size = runs["windows"].astype(np.int64) + LENGTH - 1
+    size = _width(runs)
     at = np.cumsum(size + 1) - size - 1
     code = np.zeros(int((size + 1).sum()), np.int64)
     raw = np.zeros(len(code), np.uint8)
@@ -267,139 +309,77 @@ def _by_anchor(chosen: np.ndarray, anchors: np.ndarray, width: np.ndarray, most:
         yield chosen[heads[a] : ends[b - 1]]
 
 
-def covered_spans(docs: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
-    """Packed spans that windows of smaller documents cover; ``docs`` has ``part, key, text``."""
-
-    def runs(batches):
-        now, fresh, known = None, [], np.zeros(0, np.uint64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush():
-            every, contexts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            width = every["windows"].astype(np.int64) + LENGTH - 1
-            place = np.cumsum(width) - width
-            order, _, first = _by_context(every)
-            mine = order[first]
-            kept = every[mine]
-            shard = (kept["anchor"] % np.uint64(parts)).astype(np.int32)
-            yield _packed_runs(shard, kept, _ragged(contexts, place[mine], width[mine]))
-            spans = joined_spans(_covered(every[order[~first]]))
-            yield _spans.packed((spans["key"] % parts).astype(np.int32), spans, 1)
-
-        for batch in batches:
-            part = batch.column(0).to_numpy()
-            kind = batch.column(1).to_numpy()
-            for a, b in zip(*groups(part, kind), strict=True):
-                if part[a] != now:
-                    if size:
-                        yield from flush()
-                    now, fresh, known, held, size = part[a], [], np.zeros(0, np.uint64), [], 0
-                body = batch.column(3).slice(a, b - a)
-                if kind[a] == 0:
-                    fresh += [np.frombuffer(x.as_py(), "<u8") for x in body]
-                    continue
-                if fresh:
-                    known, fresh = np.unique(np.concatenate([known, *fresh])), []
-                if not len(known):
-                    continue
-                names = known >> np.uint64(16)
-                key = batch.column(2).slice(a, b - a).to_numpy()
-                for data, starts, rows, offset in _blocks(body):
-                    start, count, anchor, context, text, window = runs_of(data, starts)
-                    at = np.minimum(np.searchsorted(names, anchor), len(names) - 1)
-                    hit = names[at] == anchor
-                    crowded = (known[at] & np.uint64(1)).astype(bool)
-                    for split in (False, True):
-                        on = np.flatnonzero(hit & (crowded == split))
-                        if not len(on):
-                            continue
-                        s, n, t = start[on], count[on], text[on]
-                        if split:  # windows one by one, each its own anchor
-                            s, t = np.repeat(s, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), np.repeat(t, n)
-                            n = np.ones(len(s), np.int64)
-                        out = np.empty(len(s), RUN)
-                        out["anchor"], out["context"] = (window[s], window[s]) if split else (anchor[on], context[on])
-                        out["key"], out["start"], out["windows"] = key[rows[t]], s - starts[t] + offset, n
-                        held.append((out, _ragged(data, s, n + LENGTH - 1)))
-                        size += len(out)
-                if size >= FLUSH // 4:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
-
-    def found_spans(batches):
-        for _, kinds in by_shard(batches):
-            spans = [np.frombuffer(b, SPAN) for b in kinds.get(1, [])]
-            if 0 in kinds:
-                found, bodies = [], []
-                for b in kinds[0]:
-                    n = int(np.frombuffer(b, "<i8", 1)[0])
-                    found.append(np.frombuffer(b, RUN, n, 8))
-                    bodies.append(np.frombuffer(b, np.uint8, offset=8 + n * RUN.itemsize))
-                every, contexts = np.concatenate(found), np.concatenate(bodies)
-                width = every["windows"].astype(np.int64) + LENGTH - 1
-                place = np.cumsum(width) - width
-                order, heads, first = _by_context(every)
-                spans.append(_covered(every[order[~first]]))
-                one = order[heads]  # a run of the first document for each context
-                anchors = every["anchor"][one]
-                same = anchors[1:] == anchors[:-1]
-                several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                places = np.add.reduceat(first.astype(np.int64), heads)
-                for chosen in _by_anchor(np.flatnonzero(several), anchors, width[one]):
-                    hits = _equal_windows(every[one[chosen]], _ragged(contexts, place[one[chosen]], width[one[chosen]]))
-                    # a first document can have its context in several places, the first ones of the context's runs
-                    context = chosen[hits["key"]]
-                    times = places[context]
-                    hits = np.repeat(hits, times)
-                    nth = np.arange(len(hits)) - np.repeat(np.cumsum(times) - times, times)
-                    there = every[order[np.repeat(heads[context], times) + nth]]
-                    hits["key"] = there["key"]
-                    hits["start"] += there["start"]
-                    hits["end"] += there["start"]
-                    spans.append(hits)
-            yield np.concatenate(spans)
+def covered_spans(texts: Texts, shared: DataFrame) -> DataFrame:
+    """Spans that windows of smaller documents cover, by block."""
+    shards, blocks = texts.shards, texts.blocks
+
+    def runs(docs: pa.Table, known: pa.Table) -> pa.Table:
+        names = np.sort(np.frombuffer(b"".join(known.column("payload").to_pylist()), "<u8"))
+        many = (names & np.uint64(1)).astype(bool)
+        names = names >> np.uint64(16)
+        held = [(np.zeros(0, RUN), np.zeros(0, np.uint8))]
+        key = docs.column("key").to_numpy()
+        for data, starts, rows, offset in _blocks(docs.column("text").combine_chunks()) if len(names) else []:
+            start, count, anchor, context, text, window = runs_of(data, starts)
+            at = np.minimum(np.searchsorted(names, anchor), len(names) - 1)
+            hit, split = names[at] == anchor, many[at]
+            for apart in (False, True):
+                on = np.flatnonzero(hit & (split == apart))
+                s, n, t = start[on], count[on], text[on]
+                out = np.empty(int(n.sum()) if apart else len(on), RUN)
+                if apart:  # windows one by one, each its own anchor
+                    s, t = np.repeat(s, n) + np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n), np.repeat(t, n)
+                    n = np.ones(len(s), np.int64)
+                out["anchor"], out["context"] = (window[s], window[s]) if apart else (anchor[on], context[on])
+                out["key"], out["start"], out["windows"] = key[rows[t]], s - starts[t] + offset, n
+                held.append((out, _ragged(data, s, n + LENGTH - 1)))
+        kept, contexts, spans = _folded(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        sent = _packed_runs((kept["anchor"] % np.uint64(shards)).astype(np.int32), kept, contexts)
+        return pa.concat_tables([sent, _spans.packed((spans["key"] % shards).astype(np.int32), spans, _spans.SPANS)])
+
+    def fold(bodies: list[bytes]) -> tuple[bytes, np.ndarray]:
+        kept, contexts, spans = _folded(*_runs_in(bodies))
+        return _run_bytes(kept, contexts), spans
+
+    def found(bodies: list[bytes]):
+        every, contexts = _runs_in(bodies)
+        width = _width(every)
+        place = np.cumsum(width) - width
+        order, heads, first = _by_context(every, contexts)
+        yield _covered(every[order[~first]])
+        one = order[heads]  # a run of the first document for each context
+        anchors = every["anchor"][one]
+        same = anchors[1:] == anchors[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        places = np.add.reduceat(first.astype(np.int64), heads)
+        for chosen in _by_anchor(np.flatnonzero(several), anchors, width[one]):
+            hits = _equal_windows(every[one[chosen]], _ragged(contexts, place[one[chosen]], width[one[chosen]]))
+            # a first document can have its context in several places, the first ones of the context's runs
+            context = chosen[hits["key"]]
+            times = places[context]
+            hits = np.repeat(hits, times)
+            nth = np.arange(len(hits)) - np.repeat(np.cumsum(times) - times, times)
+            there = every[order[np.repeat(heads[context], times) + nth]]
+            hits["key"] = there["key"]
+            hits["start"] += there["start"]
+            hits["end"] += there["start"]
+            yield hits
 
     def covered(batches):
-        return _spans.packed_spans(found_spans(batches), parts)
+        return _spans.spans_of_blocks(_spans.shard_by_shard(batches, fold, found), blocks)
 
-    none = F.lit(None)
-    rows = docs.select("part", F.lit(1).alias("kind"), "key", F.col("text").cast("binary").alias("body"))
-    rows = rows.union(shared.select("part", F.lit(0), none.cast("long"), "body"))
-    rows = rows.withColumn("key", F.coalesce("key", F.lit(0)))
-    sent = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(runs, _spans.PACKED)
-    return exchanged(sent, covered, _spans.PACKED)
+    return _spans.sharded(texts.each_with(shared, runs, _spans.PACKED), texts).mapInArrow(covered, _spans.OF_BLOCK)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True, crowded: int = CROWDED) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, the bytes ``kept``.
 
-    Null text counts as empty; texts of under ``LENGTH`` bytes lose nothing. Rows that repeat an id, or have none, are
-    taken in the order of their texts' hashes, null ids last. An empty table gives an empty result.
+    Null text counts as empty; texts of under ``LENGTH`` bytes lose nothing, and a long text is looked at in overlapping
+    pieces. Rows that repeat an id, or have none, are taken in the order of their texts' hashes, null ids last. An empty
+    table gives an empty result. Other columns are not read.
     """
-    rows = keyed(docs, doc_id, text)
-    whole = exact_groups(rows.select("key", "text"), "key", "text", as_is=True).where("not kept").select(F.col("doc_id").alias("copy"))
-    whole = broadcast_if_small(whole)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    single = rows.join(whole, F.col("key") == F.col("copy"), "left_anti").select(part.alias("part"), "key", "text")
-    shared = settled(shared_anchors(single, parts, crowded))
-    spans = covered_spans(single, shared, parts)
-
-    def whole_texts(batches):
-        for batch in batches:
-            full = np.empty(batch.num_rows, SPAN)
-            full["key"], full["start"], full["end"] = batch.column(0).to_numpy(), 0, batch.column(1).to_numpy()
-            yield full
-
-    def all_of_it(batches):
-        return _spans.packed_spans(whole_texts(batches), parts)
-
-    size = F.octet_length("text").cast("long")
-    copies = rows.join(whole, F.col("key") == F.col("copy"), "left_semi").where(size >= LENGTH).select("key", size.alias("size"))
-    return cut_out(rows, spans.union(copies.mapInArrow(all_of_it, _spans.PACKED)), 1, texts)
+    rows = dealt(docs, doc_id, text)
+    return cut_out(rows, covered_spans(rows, shared_anchors(rows, crowded)), 1, texts)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

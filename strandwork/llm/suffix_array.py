@@ -4,14 +4,17 @@ The steps are those of induced sorting: classify suffixes as smaller (S) or larg
 leftmost S suffixes (LMS) by the substrings between them, recursively where substrings repeat; then induce the order of
 all L and of all S suffixes from them in one linear pass each. A pass handles a whole bucket of equal first characters
 at a time: what a bucket holds puts its predecessors at the ends of their buckets, in waves where they fall in the same
-one. The recursion ranks each substring together with the ones that follow it, twice as many at every level, so that a
-level is one sort of whole arrays; buckets would be as many there as there are names.
+one. In the recursion characters are the names of substrings, of which there can be as many as there are characters;
+with so few in a bucket the same passes go one character at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: With fewer characters than this in a bucket on average, whole buckets at a time cost more than single characters.
+FEW_A_BUCKET = 100
+
 
 def _smaller_types(text: np.ndarray) -> np.ndarray:
     """True for S. The last character must be the single smallest."""
@@ -24,6 +27,8 @@ def _smaller_types(text: np.ndarray) -> np.ndarray:
 def _induced(text: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The suffix array that follows from the order of ``lms``."""
     n, k = len(text), len(counts)
+    if n < FEW_A_BUCKET * k:
+        return _induced_singly(text, small, lms, counts)
     ends = np.cumsum(counts)
     starts = ends - counts
     sa = np.full(n, -1, np.int64)
@@ -75,6 +80,32 @@ def _induced(text: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.nd
     return sa
 
 
+def _induced_singly(text: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """As ``_induced``, one character at a time."""
+    n, chars, is_small = len(text), text.tolist(), small.tolist()
+    ends = np.cumsum(counts)
+    sa = [-1] * n
+    tail = (ends - 1).tolist()
+    for i in lms[::-1].tolist():
+        c = chars[i]
+        sa[tail[c]] = i
+        tail[c] -= 1
+    head = (ends - counts).tolist()
+    for i in sa:  # grows while it is read
+        if i > 0 and not is_small[i - 1]:
+            c = chars[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = (ends - 1).tolist()
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and is_small[i - 1]:
+            c = chars[i - 1]
+            sa[tail[c]] = i - 1
+            tail[c] -= 1
+    return np.array(sa)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes of ``text`` (non-negative integers); a suffix sorts before the longer ones it begins."""
     values, codes = np.unique(text, return_inverse=True)
@@ -86,9 +117,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def _sorted(text: np.ndarray) -> np.ndarray:
     """As ``suffix_array``, of characters 0 to k - 1 of which 0 occurs once, at the end."""
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
     counts = np.bincount(text)
+    if len(counts) == n:  # all characters are different
+        return np.argsort(text)
     small = _smaller_types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     sa = _induced(text, small, lms, counts)
@@ -110,23 +141,8 @@ def _sorted(text: np.ndarray) -> np.ndarray:
     names = np.concatenate([[0], np.cumsum(~same)])
     name_at = np.empty(n, np.int64)
     name_at[ordered] = names
-    ordered = lms[_ordered(name_at[lms], 1)]
-    return _induced(text, small, ordered, counts)
-
-
-def _ordered(names: np.ndarray, span: int) -> np.ndarray:
-    """Order of the suffixes of a sequence, given ranks of their first ``span`` parts."""
-    most = int(names.max()) + 1
-    if most == len(names):
-        return np.argsort(names)
-    after = np.zeros(len(names), np.int64)
-    after[:-span] = names[span:] + 1
-    both = names * (most + 1) + after
-    order = np.argsort(both, kind="stable")
-    new = both[order][1:] != both[order][:-1]
-    longer = np.empty(len(names), np.int64)
-    longer[order] = np.concatenate([[0], np.cumsum(new)])
-    return _ordered(longer, 2 * span)
+    # the last LMS suffix is the end of the text, whose name is 0 and occurs once
+    return _induced(text, small, lms[_sorted(name_at[lms])], counts)
 
 
 def permuted_lcp(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

@@ -314,11 +314,61 @@ def test_substring_dedup(odd_docs, no_docs, crowded):
     assert substring_dedup.deduplicated(no_docs).collect() == []
 
 
+def test_joined_spans_of_many_keys():
+    """Past 2 ** 23 keys in one call, overlapping spans still become one."""
+    from strandwork.llm._spans import SPAN, joined_spans
+
+    n = (1 << 23) + 40
+    spans = np.zeros(2 * n, SPAN)
+    spans["key"] = np.repeat(np.arange(n), 2)
+    spans["start"], spans["end"] = np.tile([0, 5], n), np.tile([9, 7], n)
+    got = joined_spans(spans)
+    assert len(got) == n and (got["start"] == 0).all() and (got["end"] == 9).all()
+
+
+def test_blocks_of_keys(spark):
+    """Blocks computed from keys in a task are those that the texts are dealt by."""
+    from strandwork.llm._spans import block_of
+
+    keys = [0, 1, -1, 7, 1 << 40, -(1 << 62), (1 << 63) - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "key long").select("key", F.pmod(F.xxhash64("key"), F.lit(37)).alias("block"))
+    want = {r.key: r.block for r in df.collect()}
+    assert block_of(np.array(keys), 37).tolist() == [want[k] for k in keys]
+
+
+def test_shards_fold_as_they_come():
+    """What is held of a shard is folded, and nothing is lost or told twice."""
+    import pyarrow as pa
+
+    from strandwork.llm._spans import PACKED, RECORDS, shard_by_shard
+
+    rows = [(0, b"ab"), (0, b"bc"), (0, b"cd"), (2, b"x"), (2, b"x")]
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), pa.array([RECORDS] * 5), pa.array([b for _, b in rows])], [c.split()[0] for c in PACKED.split(", ")])
+    fold = lambda bodies: (bytes(sorted(set(b"".join(bodies)))), len(b"".join(bodies)))
+    got = list(shard_by_shard([batch], fold, lambda bodies: [bytes(sorted(set(b"".join(bodies))))], 3))
+    assert got == [4, b"abcd", b"x"]
+
+
+def test_contexts_are_compared_by_bytes():
+    """Contexts whose hashes are equal are told apart by their bytes."""
+    r = np.random.default_rng(3)
+    stock = [r.integers(0, 3, substring_dedup.LENGTH + 1).astype(np.uint8).tobytes() for _ in range(5)]
+    chosen = r.integers(0, 5, 60)
+    runs = np.zeros(60, substring_dedup.RUN)
+    runs["key"], runs["windows"] = r.integers(0, 9, 60), 2
+    runs["context"] = chosen % 2
+    order, heads, first = substring_dedup._by_context(runs, np.frombuffer(b"".join(stock[c] for c in chosen), np.uint8))
+    found = np.split(order, heads[1:])
+    assert sorted(len({chosen[i] for i in g}) for g in found) == [1] * len(set(chosen.tolist())) == [1] * len(found)
+    for g, f in zip(found, np.split(first, heads[1:]), strict=True):
+        assert f.tolist() == (runs["key"][g] == runs["key"][g].min()).tolist()
+
+
 def test_suffix_array():
     from strandwork.llm.suffix_array import permuted_lcp, suffix_array
 
     r = np.random.default_rng(0)
-    for n in (1, 2, 3, 7, 30, 120):
+    for n in (1, 2, 3, 7, 30, 120, 900):
         for k in (1, 2, 4, 26):
             for _ in range(10):
                 t = r.integers(0, k, n)
