@@ -1,13 +1,14 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Each document starts in one of ``radix ** rounds`` slots chosen by a hash of its id. Every slot sorts its digests into a
-run with one entry per digest (smallest id, number of copies). In round r a slot exchanges with the ``radix - 1`` slots
-that differ from it in digit r: an entry moves to the slot whose digit r is digit r of its digest. The receiver merges
-the sorted runs that meet there. After the last round all of a digest's entries have met in the slot that its digest
-names. A digest that a third of all documents share is one entry per slot from the first round on, so no slot is hot.
-
-On the way back, first the entries of the starting slots and then the documents of each slot meet the merged entries:
-a document joins on (starting slot, digest), which spreads the copies of a hot text over all slots.
+The documents of each partition give one sorted run with an entry per digest: smallest row and number of copies. Runs then
+meet in binomial rounds: in round r the slots i and i XOR 2**r exchange halves of their runs, each keeping the entries
+whose digest agrees with its own number in bit r, and merge what they have kept with what came. After the last round all
+entries of a digest have met in the slot that its bits name. A digest that a third of all documents share is one entry of
+each run from the start, so no slot is hot.
+
+Runs travel packed, a row each, and stay sorted, so that a merge is a merge: nothing is sorted again. On the way back,
+first the entries of the starting slots and then the documents of each slot meet the merged entries: a document joins on
+(starting slot, digest), which spreads the copies of a hot text over all slots.
 """
 
 from __future__ import annotations
@@ -17,10 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.session import broadcast_if_small, settled
+from strandwork.llm._rows import only_kept, raw_hash
+from strandwork.session import settled
 
 SPACES = r"[\x20\x09-\x0D]+"
-RADIX_BITS = 3
+#: An entry: the digest as four numbers, a second check of the text (length and an unrelated hash), the smallest row with
+#: it (id and hash of the text as it is) and the number of rows.
+ENTRY = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("d3", "<u8"), ("n_bytes", "<i8"), ("second", "<i8"), ("keep_id", "<i8"), ("keep_raw", "<i8"), ("group_size", "<i8")])
+EQUAL = ("d0", "d1", "d2", "d3", "n_bytes", "second")
+NO_ID = np.iinfo(np.int64).max
+RUN = "slot int, run binary"
 
 
 def normalised(text: Column) -> Column:
@@ -28,103 +35,147 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def digests(docs: DataFrame, doc_id: str, text: str, as_is: bool = False) -> DataFrame:
-    """``doc_id``, digest of the normalised text, and a second check of it (length and an unrelated hash)."""
-    body = F.coalesce(F.col(text), F.lit("")) if as_is else normalised(F.col(text))
-    norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("norm"))
-    return norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("second"))
-
-
-KEY = ("slot", "digest", "n_bytes", "second")
-
-
-def merge_sorted(batches):
-    """Merges a partition's entries, which arrive sorted by ``KEY``: adjacent equal ones become one, with the smallest
-    id and the sum of copies. Entries are equal only if digest, length and second hash all are. Carries the last entry
-    from batch to batch, so memory is one batch."""
-    carry = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
-        if not table.num_rows:
-            continue
-        table = table.combine_chunks()
-        new = np.zeros(table.num_rows, bool)
-        new[0] = True
-        for name in KEY:
-            col = table[name]
-            if name == "digest":
-                values = np.frombuffer(b"".join(col.to_pylist()), dtype="S32")
-            else:
-                values = col.to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        heads = np.flatnonzero(new)
-        ids = table["keep_id"].to_numpy(zero_copy_only=False)
-        ids = np.where(np.isnan(ids), np.iinfo(np.int64).max, ids).astype(np.int64) if ids.dtype.kind == "f" else ids
-        least, copies = np.minimum.reduceat(ids, heads), np.add.reduceat(table["group_size"].to_numpy(), heads)
-        merged = table.take(pa.array(heads)).set_column(table.schema.get_field_index("keep_id"), "keep_id", pa.array(least, pa.int64()))
-        merged = merged.set_column(table.schema.get_field_index("group_size"), "group_size", pa.array(copies, pa.int64()))
-        if merged.num_rows > 1:
-            yield from merged.slice(0, merged.num_rows - 1).to_batches()
-        carry = merged.slice(merged.num_rows - 1)
-    if carry is not None:
-        yield from carry.to_batches()
-
-
-def _digit(level: int) -> Column:
-    """Digit ``level`` of the slot that a digest names."""
-    head = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long")
-    return F.shiftright(head, 48 - RADIX_BITS * (level + 1)).bitwiseAND((1 << RADIX_BITS) - 1)
+def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``raw`` (hash of the text as it is), digest of the normalised text, and a second check of it."""
+    norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw_hash(F.col(text)).alias("raw"), normalised(F.col(text)).alias("norm"))
+    return norm.select("doc_id", "raw", F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("second"))
+
+
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    """One sorted run of several sorted ones. Entries that agree in digest, length and second hash become one, with the
+    smallest row and all copies."""
+    every = np.concatenate(runs) if len(runs) > 1 else runs[0]
+    order = np.argsort(every["d0"], kind="stable")  # finds the runs that are there and merges them
+    first = every["d0"][order]
+    unlike = np.logical_or.reduce([every[c][order][1:] != every[c][order][:-1] for c in EQUAL[1:]]) if len(every) > 1 else np.zeros(0, bool)
+    if (unlike & (first[1:] == first[:-1])).any():  # digests that only begin alike
+        order = np.lexsort([every[c] for c in reversed(EQUAL)])
+    every = every[order]
+    if not len(every):
+        return every
+    new = np.concatenate([[True], np.logical_or.reduce([every[c][1:] != every[c][:-1] for c in EQUAL])])
+    heads = np.flatnonzero(new)
+    ends = np.append(heads[1:], len(every))
+    out = every[heads].copy()
+    out["group_size"] = np.add.reduceat(every["group_size"], heads)
+    out["keep_id"] = np.minimum.reduceat(every["keep_id"], heads)
+    holds = every["keep_id"] == np.repeat(out["keep_id"], ends - heads)
+    out["keep_raw"] = np.minimum.reduceat(np.where(holds, every["keep_raw"], NO_ID), heads)
+    return out
+
+
+def _entries(batch: pa.RecordBatch) -> np.ndarray:
+    """A sorted run of the rows of one batch: ``doc_id, raw, digest, n_bytes, second``."""
+    out = np.empty(batch.num_rows, ENTRY)
+    out["d0"], out["d1"], out["d2"], out["d3"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, 4).T
+    out["n_bytes"], out["second"] = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+    out["keep_id"], out["keep_raw"], out["group_size"] = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy(), 1
+    return merged([out[np.argsort(out["d0"], kind="stable")]])
+
+
+def _rows_of(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([r.tobytes() for _, r in found], pa.binary())], ["slot", "run"])
+
+
+def local_runs(rows: DataFrame, fold: int = 1 << 20) -> DataFrame:
+    """``slot, run``: one sorted run for the rows of each slot in a partition."""
+
+    def run(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        sizes: dict[int, int] = {}
+        for batch in batches:
+            slots = batch.column(5).to_numpy()
+            for slot in np.unique(slots).tolist():
+                held.setdefault(slot, []).append(_entries(batch.filter(pa.array(slots == slot))))
+                sizes[slot] = sizes.get(slot, 0) + len(held[slot][-1])
+                if sizes[slot] > fold:
+                    held[slot] = [merged(held[slot])]
+                    sizes[slot] = len(held[slot][0]) // 2
+        if held:
+            yield _rows_of([(slot, merged(runs)) for slot, runs in held.items()])
+
+    return rows.select("doc_id", "raw", "digest", "n_bytes", "second", "slot").mapInArrow(run, RUN)
 
 
 def tree_merge(runs: DataFrame, rounds: int) -> DataFrame:
-    """Merges ``slot, digest, n_bytes, second, keep_id, group_size`` over all slots in ``rounds`` exchanges."""
-    n = (1 << RADIX_BITS) ** rounds
-    merged = runs
-    for level in [None, *range(rounds)]:
-        if level is not None:
-            width = RADIX_BITS * level
-            own = F.shiftright("slot", width).bitwiseAND((1 << RADIX_BITS) - 1)
-            moved = (F.col("slot") + F.shiftleft(_digit(level) - own, width)).cast("int")
-            merged = merged.withColumn("slot", moved)
-        merged = merged.repartition(n, "slot").sortWithinPartitions(*KEY).mapInArrow(merge_sorted, runs.schema)
-    return merged
-
-
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_is: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``; ``as_is`` compares without normalising.
-
-    Null text counts as empty; of rows that repeat the smallest id of a group, all are kept; null ids sort last and
-    are kept only where a group has no other. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rounds, slots = 1, 1 << RADIX_BITS
-    while slots < int(spark.conf.get("spark.sql.shuffle.partitions")):
-        rounds, slots = rounds + 1, slots << RADIX_BITS
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-    rows = settled(digests(docs, doc_id, text, as_is).withColumn("slot", slot))
-    last = F.lit(np.iinfo(np.int64).max)
-    runs = rows.select(*KEY, F.coalesce("doc_id", last).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    runs = runs.groupBy(*KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    runs = settled(runs)
-    groups = tree_merge(runs, rounds).where("group_size > 1").drop("slot")
-    text_key = list(KEY[1:])
-    back = runs.select(*KEY).join(groups, text_key)
-    found = rows.join(back, list(KEY), "left")
-    keep = F.nullif(F.coalesce("keep_id", "doc_id"), last)
+    """Merges the runs of ``2 ** rounds`` slots: ``slot, run``, with the entries of a digest in the slot it names."""
+
+    def met(level: int | None):
+        """Merges the runs that have met in a slot, and sends away the half that belongs to its partner of ``level``."""
+
+        def run(batches):
+            held: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for slot, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.setdefault(slot, []).append(np.frombuffer(body, ENTRY))
+            for slot, some in held.items():
+                one = merged(some)
+                if level is None:
+                    yield _rows_of([(slot, one)])
+                    continue
+                mine = (one["d0"] >> np.uint64(level) & np.uint64(1)) == (slot >> level & 1)
+                yield _rows_of([(slot, one[mine]), (slot ^ 1 << level, one[~mine])])
+
+        return run
+
+    for level in [*range(rounds), None]:
+        runs = runs.repartitionById(1 << rounds, F.col("slot")).mapInArrow(met(level), RUN)
+    return runs
+
+
+def _unpacked(runs: DataFrame, least: int) -> DataFrame:
+    """The entries of runs as rows, those of ``least`` or more copies."""
+
+    def run(batches):
+        for batch in batches:
+            for slot, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                every = np.frombuffer(body, ENTRY)
+                every = every[every["group_size"] >= least]
+                digest = np.stack([every[d] for d in EQUAL[:4]], axis=1).tobytes()
+                columns = [pa.array(np.full(len(every), slot, np.int32)), pa.array([digest[i : i + 32] for i in range(0, len(digest), 32)], pa.binary())]
+                names = ["n_bytes", "second", "keep_id", "keep_raw", "group_size"]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(every[n]) for n in names], ["slot", "digest", *names])
+
+    return runs.mapInArrow(run, "slot int, digest binary, n_bytes long, second long, keep_id long, keep_raw long, group_size long")
+
+
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``exact_groups``, with ``raw``, the hash of the text as it is."""
+    rounds = (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    slot = F.pmod(F.spark_partition_id(), F.lit(1 << rounds)).cast("int")
+    rows = settled(digests(docs, doc_id, text).withColumn("slot", slot))
+    runs = settled(local_runs(rows))
+    key = ["digest", "n_bytes", "second"]
+    groups = _unpacked(tree_merge(runs, rounds), 2).drop("slot")
+    back = _unpacked(runs, 1).select("slot", *key).join(groups, key).distinct()
+    found = rows.join(back, ["slot", *key], "left")
+    keep = F.nullif(F.coalesce("keep_id", "doc_id"), F.lit(NO_ID))
     return found.select(
         "doc_id",
+        "raw",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (F.col("keep_id").isNull() | (F.col("doc_id").eqNullSafe(keep) & (F.col("raw") == F.col("keep_raw")))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    Null text counts as empty, and a text of any length is one digest. Null ids sort last and are kept only where a group
+    has no other. Where several rows of a group have its smallest id, that with the smallest hash of the text as it is is
+    kept, and rows that repeat both alike. An empty table gives an empty result; other columns are not read.
+    """
+    return judged(docs, doc_id, text).drop("raw")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no smaller id has; all columns stay."""
-    dropped = exact_groups(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    dropped = broadcast_if_small(dropped)
-    return docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` that ``exact_groups`` keeps, and of rows that repeat id and text one; all columns stay.
+
+    A row goes only by what its own text is: one that repeats an id has a fate of its own, and copies without id go.
+    """
+    return only_kept(docs, settled(judged(docs, doc_id, text)), doc_id, text)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
