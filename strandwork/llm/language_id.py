@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._sample import byte_spans, fold_of, labelled_sample
+from strandwork.llm._rows import spare
+from strandwork.llm._sample import byte_spans, collected, drawn, excerpt, fold_of
 
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
+OVERLAP = max(SIZES) - 1
 BUCKET_BITS = 14
 BLOCK = 1 << 19
 
@@ -34,10 +36,15 @@ def _letters() -> np.ndarray:
     return table
 
 
-def subwords(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams within words of the texts laid end to end in ``data``, and the span each is in."""
+def subwords(data: np.ndarray, starts: np.ndarray, before: bool = False, after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams within words of the texts laid end to end in ``data``, and the span each is in.
+
+    With ``before`` or ``after``, ``data`` is a piece of one text that goes on there. A piece repeats the last ``OVERLAP``
+    bytes of the one before; n-grams that lie in them are that one's.
+    """
     code = _letters()[data]
-    code = np.insert(code, np.append(starts, len(code)), 32)  # no n-gram crosses texts
+    edges = np.append(starts, len(code))  # no n-gram crosses texts
+    code = np.insert(code, edges[int(before) : len(edges) - int(after)], 32)
     first = starts + np.arange(len(starts))
     owner = np.zeros(len(code), np.int32)
     owner[first[1:]] = 1
@@ -53,6 +60,8 @@ def subwords(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
             inner = inner[:-1]
         if n in SIZES:
             ok = ~inner & ~(space[: len(mixed)] & space[n - 1 :])
+            if before:
+                ok[: OVERLAP + 1 - n] = False
             hashed = (mixed[ok] * np.uint32(0x9E3779B1) + np.uint32(n)) * np.uint32(0x85EBCA6B)
             buckets.append((hashed >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
             owners.append(owner[: len(mixed)][ok])
@@ -75,8 +84,8 @@ class LanguageModel:
     def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated probabilities of each text, and the number of its n-grams."""
         sums, counts = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
-        for data, starts, rows in byte_spans(texts, BLOCK):
-            bucket, owner = subwords(data, starts)
+        for data, starts, rows, before, after in byte_spans(texts, BLOCK, OVERLAP):
+            bucket, owner = subwords(data, starts, before, after)
             counts[rows] += np.bincount(owner, minlength=len(rows))
             for k in range(len(self.labels)):
                 sums[rows, k] += np.bincount(owner, weights=self.weights[bucket, k], minlength=len(rows))
@@ -141,20 +150,30 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 
 
 TRAIN_FOLDS, HELD_OUT_FOLD = 4, 2
-PER_LANGUAGE, MAX_LANGUAGES, MAX_TEXT_BYTES = 800, 64, 1 << 15
+PER_LANGUAGE, EXCERPT = 800, 1 << 12
 
 
 def trained_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fits on about ``PER_LANGUAGE`` labelled documents of each of the ``MAX_LANGUAGES`` most frequent languages."""
+    """Fits on about ``PER_LANGUAGE`` labelled documents of each language, fewer of each where there are very many.
+
+    Of texts of over ``EXCERPT`` characters a part of that length is learned from. Rows with null text or language are
+    not learned from; an empty table, or one without languages, gives a model that knows none.
+    """
     rows = docs.where(fold_of(F.col(doc_id), TRAIN_FOLDS) != HELD_OUT_FOLD)
-    rows = rows.select(F.col(doc_id).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return fit(labelled_sample(rows, "lang", PER_LANGUAGE, MAX_LANGUAGES, MAX_TEXT_BYTES))
+    rows = rows.select(F.col(doc_id).cast("long").alias("key"), excerpt(F.col(text), F.col(doc_id), EXCERPT).alias("text"), F.col(lang).alias("lang"))
+    return fit(collected(drawn(rows, "key", "lang", PER_LANGUAGE, EXCERPT), "key", "text", "lang"))
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred, score, rejected`` (clashing columns are replaced)."""
-    found = docs.withColumn("_id", predicted(model, F.col(text)))
-    return found.withColumns({c: F.col(f"_id.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_id")
+    """All columns of ``docs`` with ``lang_pred, score, rejected`` (clashing columns are replaced).
+
+    Each row is judged by its whole text alone: equal texts get equal answers, repeated rows and ids stay. Null texts and
+    texts without a letter are ``und``. Of equally likely languages the first by name is predicted. An empty table gives
+    an empty result.
+    """
+    found = f"{spare(docs)}found"
+    added = {c: F.col(f"{found}.{c}") for c in ("lang_pred", "score", "rejected")}
+    return docs.withColumn(found, predicted(model, F.col(text))).withColumns(added).drop(found)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A text's bytes are embedded and cut into overlapping chunks of ``BLOCKS`` blocks of ``STEP`` bytes, one chunk starting at
 every block, so that the chunks cover the whole text. Learned filters run over each chunk; the largest response of each
 filter anywhere in the text (max pooling) goes through one hidden layer to a probability. Scoring takes texts in blocks
-of bounded size, and a long text in several, keeping only its running maxima.
+of bounded size, and a long text in several that overlap, so that no chunk is left out, keeping only running maxima.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._sample import byte_spans, fold_of, labelled_sample
+from strandwork.llm._sample import byte_spans, collected, drawn, excerpt, fold_of
 
 STEP, BLOCKS = 8, 2
 DIM, FILTERS, HIDDEN = 8, 32, 16
@@ -66,7 +66,7 @@ class Network:
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         pooled = np.full((len(texts), FILTERS), -np.inf, np.float32)
-        for data, starts, rows in byte_spans(texts, BLOCK):
+        for data, starts, rows, *_ in byte_spans(texts, BLOCK, (BLOCKS - 1) * STEP):
             pooled[rows] = np.maximum(pooled[rows], self.responses(data, starts)[0])
         empty = np.isinf(pooled[:, 0])
         pooled[empty] = 0
@@ -144,20 +144,30 @@ def scored(net: Network, text: Column) -> Column:
 
 
 FOLDS, HELD_OUT_FOLD = 3, 1
-PER_LABEL, MAX_TEXT_BYTES = 1500, 1 << 15
+PER_LABEL, EXCERPT = 1500, 1 << 13
 
 
 def trained_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Network:
-    """Fits on about ``PER_LABEL`` documents of either label, chosen by hash among those not held out."""
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(quality).alias("label")).where(F.col("label").isin(0, 1))
+    """Fits on about ``PER_LABEL`` documents of either label, chosen by hash among those not held out.
+
+    Keys are drawn from the labels, and the few thousand that are drawn go to the documents. Of texts of over ``EXCERPT``
+    characters a part of that length is learned from. Labels that are null, or of ids that are null or unknown, count for
+    nothing; where one id has several labels or texts, all are taken. Without documents or labels every score is 0.5.
+    """
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(quality).alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull())
     known = known.where(fold_of(F.col("_id"), FOLDS) != HELD_OUT_FOLD)
     share = known.agg(F.avg("label")).first()[0]
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(known, F.col("key") == F.col("_id"))
-    return fit(labelled_sample(rows, "label", PER_LABEL, 2, MAX_TEXT_BYTES), share)
+    some = drawn(known, "_id", "label", PER_LABEL, EXCERPT)
+    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), F.col("key") == F.col("_id"))
+    return fit(collected(rows.withColumn("text", excerpt(F.col("text"), F.col("key"), EXCERPT)), "key", "text", "label"), share)
 
 
 def with_quality(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5); clashing columns are replaced."""
+    """All columns of ``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5); clashing columns are replaced.
+
+    Each row is scored by its whole text alone: equal texts have equal scores, repeated rows and ids stay, null and empty
+    texts all have the score of no bytes. An empty table gives an empty result.
+    """
     found = docs.withColumn("score", scored(net, F.col(text)))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -99,7 +99,7 @@ def _blocks(texts: pa.Array):
     sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()], np.int64)
     long = np.flatnonzero(sizes > most)
     short = pa.compute.if_else(pa.array(sizes <= most), texts, pa.scalar(b"", pa.binary())) if len(long) else texts
-    for data, starts, rows in byte_spans(short, most):
+    for data, starts, rows, *_ in byte_spans(short, most):
         yield data, starts, rows, 0
     for row in long.tolist():
         data = np.frombuffer(texts[row].as_py(), np.uint8)
