@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwork.llm._rows import spare
 from strandwork.session import broadcast_if_small, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,26 +101,37 @@ def mix_plan(sized: DataFrame, weights, source: str = "source", max_epochs: floa
     return plan.join(cut, F.col(source).eqNullSafe(F.col("_s")), "left").select(F.col(source).alias("_source"), "source_size", "target", "repeats", "last")
 
 
+ADDED = ("size", "source_size", "target", "copies")
+
+
 def with_copies(docs: DataFrame, weights, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
     """All columns of ``docs`` with ``size, source_size, target, copies``: how often the mix takes each row.
 
-    Null text has size 0; a null source is a source of its own; rows of equal id and source are taken alike; an empty
-    table gives an empty result. Columns of ``docs`` with the added names are replaced.
+    Null text has size 0, and a text of any length is counted whole; a null source is a source of its own; rows of equal
+    id and source are taken alike; an empty table gives an empty result. Columns of ``docs`` with the added names, in any
+    case, are replaced; all others stay as they are.
     """
-    base = docs.drop("size", "source_size", "target", "copies")
-    keyed = base.withColumn("size", n_words(F.col(text))).withColumn("mix_hash", seeded_hash(seed, F.col(doc_id))).withColumn("mix_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    sized = settled(keyed.select(F.col(source).alias("_source_of"), "size", "mix_hash", "mix_id"))
-    plan = broadcast_if_small(mix_plan(sized, weights, "_source_of", max_epochs))  # a row for each source
-    first = F.col("last").isNotNull() & (F.struct("mix_hash", "mix_id") <= F.col("last"))
-    copies = (F.col("repeats") + F.when(first, 1).otherwise(0)).cast("long")
-    joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("copies", copies)
-    return joined.select(*base.columns, "size", "source_size", "target", "copies")
+    base = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    p = spare(base)
+    own = F.struct(n_words(F.col(text)).alias("size"), seeded_hash(seed, F.col(doc_id)).alias("mix_hash"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("mix_id"))
+    keyed = base.withColumn(f"{p}own", own)
+    sized = settled(keyed.select(F.col(source).alias("_source_of"), f"{p}own.*"))
+    plan = mix_plan(sized, weights, "_source_of", max_epochs)
+    plan = broadcast_if_small(plan.select(*[F.col(c).alias(f"{p}{c}") for c in plan.columns]))  # a row for each source
+    row, last = F.col(f"{p}own"), F.col(f"{p}last")
+    first = last.isNotNull() & (F.struct(row["mix_hash"].alias("mix_hash"), row["mix_id"].alias("mix_id")) <= last)
+    copies = (F.col(f"{p}repeats") + F.when(first, 1).otherwise(0)).cast("long")
+    joined = keyed.join(plan, F.col(source).eqNullSafe(F.col(f"{p}_source")), "left")
+    return joined.select(*base.columns, row["size"].alias("size"), F.col(f"{p}source_size").alias("source_size"), F.col(f"{p}target").alias("target"), copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as its source's plan takes it."""
-    plan = with_copies(docs, weights, **options)
-    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, each as often as its source's plan takes it; all columns stay as they are."""
+    p = spare(docs)
+    kept = docs.withColumns({f"{p}row": F.struct(*docs.columns)}) if any(c.lower() in ADDED for c in docs.columns) else docs
+    plan = with_copies(kept, weights, **options)
+    taken = plan.withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*docs.columns) if kept is docs else taken.select(f"{p}row.*")
 
 
 WEIGHT_CYCLE = (5.0, 2.0, 1.0)

@@ -67,7 +67,11 @@ PIECES = T.StructType(
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, limit: int = LIMIT, flush_tokens: int = 1 << 20) -> DataFrame:
-    """Pieces with their ids as packed little-endian unsigned 32-bit integers; null text is empty, and so only ``end_id``."""
+    """Pieces with their ids as packed little-endian unsigned 32-bit integers.
+
+    Null and empty texts are ``end_id`` alone; a text of any length is encoded whole, in one task. Rows that repeat an id
+    or a text are cut each for itself; an empty table gives an empty result; other columns are not read.
+    """
     if limit & (limit - 1) or limit < 1:
         raise ValueError("limit must be a power of two")
 

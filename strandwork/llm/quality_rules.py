@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.llm._rows import spare
 from strandwork.session import settled
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,37 +22,34 @@ SYMBOLS = "#*$%&|<>"
 
 
 def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long); null text counts as empty.
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (long); null text counts as empty.
 
     Repeated three-word windows are found by their 64-bit hashes within the document: hashes with their positions are
     sorted, equal neighbours mark the repeated windows, and the positions, sorted again, give the words they cover.
     Documents whose hashes are all distinct skip that.
     """
+    p = spare(docs)
+    w, h, s, eq, at, lines = (f"{p}{x}" for x in ("w", "h", "s", "eq", "at", "lines"))
     t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("_w", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    n = F.size("_w")
-    step = step.withColumn("n_words", n.cast("long"))
-    at = [F.slice("_w", k + 1, F.greatest(n - 2, F.lit(0))) for k in range(3)]
-    pairs = F.zip_with(at[0], at[1], lambda a, b: F.xxhash64(a, b))
-    step = step.withColumn("_h", F.zip_with(pairs, at[2], lambda h, c: F.xxhash64(h, c)))
-    step = step.drop("_w")
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    step = step.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    step = step.drop("_h")
-    rest = F.slice("_s", 2, F.size("_s"))
-    same = F.zip_with("_s", rest, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))  # last: no neighbour
-    step = step.withColumn("_eq", same)
-    back = F.slice(F.concat(F.array(F.lit(False)), F.col("_eq")), 1, F.size("_eq"))
-    either = F.zip_with("_eq", back, lambda a, b: a | b)
-    starts = F.zip_with("_s", either, lambda s, e: F.when(e, s["i"]))
-    step = step.withColumn("_at", F.sort_array(F.filter(starts, lambda i: i.isNotNull()))).drop("_s", "_eq")
-    gaps = F.zip_with("_at", F.slice("_at", 2, F.size("_at")), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    n = F.size(w)
+    thirds = [F.slice(w, k + 1, F.greatest(n - 2, F.lit(0))) for k in range(3)]
+    pairs = F.zip_with(thirds[0], thirds[1], lambda a, b: F.xxhash64(a, b))
+    step = docs.withColumn(w, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    step = step.withColumn("n_words", n.cast("long")).withColumn(h, F.zip_with(pairs, thirds[2], lambda a, c: F.xxhash64(a, c))).drop(w)
+    repeats = F.size(F.array_distinct(h)) < F.size(h)
+    step = step.withColumn(s, F.when(repeats, F.sort_array(F.transform(h, lambda a, i: F.struct(a.alias("h"), i.alias("i")))))).drop(h)
+    same = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))  # last: no neighbour
+    step = step.withColumn(eq, same)
+    back = F.slice(F.concat(F.array(F.lit(False)), F.col(eq)), 1, F.size(eq))
+    starts = F.zip_with(s, F.zip_with(eq, back, lambda a, b: a | b), lambda a, e: F.when(e, a["i"]))
+    step = step.withColumn(at, F.sort_array(F.filter(starts, lambda i: i.isNotNull()))).drop(s, eq)
+    gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda total, g: total + g)
-    step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(at)
     step = step.withColumn("word_chars", (F.length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long"))
     step = step.withColumn("n_symbols", F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"))
-    step = step.withColumn("_l", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
-    return step.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).withColumn("n_lines", F.size("_l").cast("long")).drop("_l")
+    step = step.withColumn(lines, F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
+    return step.withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")).withColumn("n_lines", F.size(lines).cast("long")).drop(lines)
 
 
 @dataclass(frozen=True)
@@ -128,8 +126,9 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
     """Adds the base counts, one ``vote_<rule>`` each, ``posterior`` and ``kept``.
 
     ``base_failed`` (under 50 words, or over half of the words in repeated three-word windows) drops a document
-    outright; all others are kept when the posterior reaches ``threshold``. Null and empty texts fail the base. An
-    empty table gives an empty result. Columns that clash with added ones are replaced.
+    outright; all others are kept when the posterior reaches ``threshold``. Null and empty texts fail the base, texts of
+    any length are counted whole, rows of equal texts are judged alike and repeated ids stay. An empty table gives an
+    empty result. All columns but the text stay; those that clash with added ones are replaced.
     """
     rules = default_rules() if rules is None else rules
     counted = with_base_counts(docs, text).drop(text)

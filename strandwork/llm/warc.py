@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.llm._rows import spare
 from strandwork.session import broadcast_if_small, settled, shared_dir
 
 PIECE = 1 << 20
@@ -227,28 +228,35 @@ def read_records(index: DataFrame, folder: str, slice_bytes: int = 1 << 23, payl
     return spread.select("archive", "offset", "length").mapInArrow(run, READ + ", payload binary" * payloads)
 
 
-def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0, slots: int = 64) -> DataFrame:
+def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Adds ``payload`` (UTF-8, null is empty), ``revisit`` and ``refers_to`` to ``pages``.
 
     Of equal payloads of ``min_bytes`` or more the one with the largest id is the response, and the others revisit it;
     rows that repeat the largest id are all responses, and so are payloads whose pages have no id. Equal payloads meet
-    as one entry per slot of ids, so a payload that a third of all pages share loads no single task.
+    as one entry per slot of ids, so a payload that a third of all pages share loads no single task. An empty table gives
+    an empty result. Columns with the added names are replaced; all others stay.
     """
+    p = spare(pages)
+    slots = max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     slot = F.pmod(F.xxhash64(F.col(page_id)), F.lit(slots))
-    keys = ("_slot", "_digest", "_size")
-    keyed = pages.withColumn("payload", body).withColumn("_digest", F.sha1("payload")).withColumn("_size", F.octet_length("payload")).withColumn("_slot", slot)
-    runs = settled(keyed.groupBy(*keys).agg(F.max(page_id).alias("_last"), F.count("*").alias("_n")))
-    groups = runs.groupBy(*keys[1:]).agg(F.max("_last").alias("_keep"), F.sum("_n").alias("_copies")).where((F.col("_copies") > 1) & (F.col("_size") >= min_bytes))
+    keys = [f"{p}{k}" for k in ("slot", "digest", "size")]
+    digest, size = F.sha1("payload"), F.octet_length("payload")
+    keyed = pages.withColumn("payload", body).withColumns(dict(zip(keys, (slot, digest, size), strict=True)))
+    runs = settled(keyed.groupBy(*keys).agg(F.max(page_id).alias("last"), F.count("*").alias("n")))
+    groups = runs.groupBy(*keys[1:]).agg(F.max("last").alias(f"{p}keep"), F.sum("n").alias(f"{p}copies")).where((F.col(f"{p}copies") > 1) & (F.col(keys[2]) >= min_bytes))
     back = runs.select(*keys).join(groups, list(keys[1:]))
-    found = keyed.join(broadcast_if_small(back), list(keys), "left")
-    revisit = F.col("_keep").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_keep"))
-    return found.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("_keep"))).drop(*keys, "_keep", "_copies")
+    found = keyed.join(broadcast_if_small(back), keys, "left")
+    keep = F.col(f"{p}keep")
+    revisit = keep.isNotNull() & ~F.col(page_id).eqNullSafe(keep)
+    return found.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, keep)).drop(*keys, f"{p}keep", f"{p}copies")
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Writes ``pages`` (``page_id, url, html``) as monolithic archives under ``folder``, normalises and indexes them,
-    and gives the records read back through the index. An empty table gives an empty result."""
+    and gives the records read back through the index. Null html is an empty payload, null ids are written as such, equal
+    rows are records of their own, and a payload of any length is written and inflated in pieces but held whole when it
+    is read back. An empty table gives an empty result; other columns are not written."""
     spark = pages.sparkSession
     raw = settled(write_monolithic(with_revisits(pages), f"{folder}/raw"))
     archives = raw.count()
