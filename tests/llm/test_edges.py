@@ -41,7 +41,42 @@ def test_exact_groups(odd_docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).collect() == []
     kept = exact_dedup.deduplicated(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert Counter(i for i, _ in texts(kept))[13] == 0
+    by_text = {}
+    for i, t in texts(odd_docs):
+        by_text.setdefault(norm(t), []).append((i is None, i))
+    assert sorted(map(repr, texts(kept.drop("x")))) == sorted(repr((min(ids)[1], t)) for n, ids in by_text.items() for t in {t for i, t in texts(odd_docs) if norm(t) == n and i == min(ids)[1]})
+
+
+def test_dedup_of_repeated_ids(spark, no_docs):
+    """A row that repeats an id goes only by its own text; copies without id go; of whole repeats one stays."""
+    rows = [(1, "aaa bbb"), (5, "aaa bbb"), (5, "only here"), (None, "aaa  bbb"), (7, "twice"), (7, "twice"), (None, "x"), (None, "x"), (9, "q  r"), (9, "q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_dropped", F.lit(1)).withColumn("_x_id", F.lit(2))
+    got = texts(exact_dedup.deduplicated(df))
+    assert Counter((i, " ".join(t.split())) for i, t in got) == Counter([(1, "aaa bbb"), (5, "only here"), (7, "twice"), (None, "x"), (9, "q r")])
+    near = simhash.deduplicated(df)
+    assert near.columns == df.columns
+    assert Counter((i, " ".join(t.split())) for i, t in texts(near)) == Counter([(1, "aaa bbb"), (5, "only here"), (7, "twice"), (None, "x"), (9, "q r")])
+    assert exact_dedup.deduplicated(no_docs).collect() == [] and simhash.deduplicated(no_docs).collect() == []
+
+
+def test_runs_merge():
+    """Sorted runs become one, with the smallest row and all copies; digests that only begin alike stay apart."""
+    r = np.random.default_rng(1)
+
+    def run(n):
+        out = np.zeros(n, exact_dedup.ENTRY)
+        out["d0"], out["d1"] = r.integers(0, 5, n), r.integers(0, 3, n)
+        out["keep_id"], out["keep_raw"], out["group_size"] = r.integers(0, 9, n), r.integers(0, 9, n), 1
+        return out
+
+    every = [run(n) for n in (1, 40, 7, 0)]
+    got = exact_dedup.merged([exact_dedup.merged([e]) for e in every])
+    want = {}
+    for e in np.concatenate(every).tolist():
+        row, n = want.get(e[:2], ((99, 99), 0))
+        want[e[:2]] = (min(row, e[6:8]), n + 1)
+    assert {e[:2]: (e[6:8], e[8]) for e in got.tolist()} == want and len(got) == len(want)
+    assert (np.diff(got["d0"].astype(np.int64)) >= 0).all()
 
 
 def test_mixing(odd_docs, no_docs):
@@ -227,14 +262,86 @@ def test_network_gradients():
 
 
 def test_long_texts_in_blocks():
-    """A text longer than a block scores as it does in one piece."""
+    """A text longer than a block scores as it does in one piece, also with a passage on the cut."""
     import pyarrow as pa
 
     rng = np.random.default_rng(4)
     net = quality_model.Network.fresh(rng)
-    body = "".join(map(chr, rng.integers(97, 123, 3 * quality_model.BLOCK // 2)))
-    whole = net.combined(net.responses(np.frombuffer(body.encode(), np.uint8), np.zeros(1, np.int64))[0])[0]
-    assert net.logits(pa.array([None, body, "x"]))[1] == pytest.approx(whole[0], abs=0.05)
+    n = quality_model.BLOCK
+    body = rng.integers(97, 123, 2 * n + 500).astype(np.uint8)
+    wide = quality_model.STEP * quality_model.BLOCKS
+    for cut in (n - 8, n, 2 * n - 16, 2 * n - 8):
+        trial = rng.integers(0, 128, (400, wide)).astype(np.uint8)
+        strength = np.concatenate([net.responses(t, np.zeros(1, np.int64))[0] for t in trial]).max(axis=1)
+        body[cut - 8 : cut + 8] = trial[strength.argmax()]
+    text = body.tobytes().decode()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    whole = net.combined(net.responses(raw, np.zeros(1, np.int64))[0])[0]
+    assert net.logits(pa.array([None, text, "x"]))[1] == pytest.approx(whole[0], abs=1e-5)
+
+
+def slow_logit(net, data):
+    """The network by its definition, chunk by chunk."""
+    pad = max(-(-len(data) // quality_model.STEP), quality_model.BLOCKS) * quality_model.STEP
+    code = [*data, *[quality_model.PAD] * (pad - len(data))]
+    wide = quality_model.STEP * quality_model.BLOCKS
+    best = np.full(quality_model.FILTERS, -np.inf)
+    for at in range(0, pad - wide + 1, quality_model.STEP):
+        chunk = net.emb[code[at : at + wide]].reshape(quality_model.BLOCKS, -1).astype(float)
+        parts = net.filters.reshape(-1, quality_model.BLOCKS, quality_model.FILTERS).astype(float)
+        best = np.maximum(best, sum(chunk[j] @ parts[:, j] for j in range(quality_model.BLOCKS)))
+    deep = np.tanh(np.maximum(best + net.bias, 0) @ net.hidden + net.hidden_bias)
+    return float(deep @ net.out + net.out_bias[0])
+
+
+def test_scores_by_definition():
+    """Scores of the network and of the language model against loops over chunks and n-grams."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    net = quality_model.Network.fresh(rng)
+    texts = ["", "a", "sixteen bytes..!", "é" * 33, "The quick brown fox jumps over the lazy dog. " * 9]
+    got = net.logits(pa.array(texts))
+    assert [slow_logit(net, t.encode()) for t in texts[1:]] == pytest.approx(got[1:].tolist(), abs=1e-4)
+
+    model = language_id.LanguageModel(("x", "y", "z"), rng.normal(0, 1, (1 << language_id.BUCKET_BITS, 3)).astype(np.float32), rng.normal(0, 1, 3), 1.3, 0.0)
+
+    def probabilities(text):
+        buckets = []
+        for word in re.findall(rb"[a-z\x80-\xff]+", text.encode().lower()):
+            code = [32, *word, 32]
+            for n in language_id.SIZES:
+                for i in range(len(code) - n + 1):
+                    if code[i] == code[i + n - 1] == 32:
+                        continue
+                    h = code[i]
+                    for c in code[i + 1 : i + n]:
+                        h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                    h = ((h * 0x9E3779B1 + n) & 0xFFFFFFFF) * 0x85EBCA6B & 0xFFFFFFFF
+                    buckets.append(h >> 32 - language_id.BUCKET_BITS)
+        z = (sum(model.weights[b].astype(float) for b in buckets) / max(1, len(buckets)) + model.bias) / model.temperature
+        return np.exp(z) / np.exp(z).sum()
+
+    p, _ = model.probabilities(pa.array(texts))
+    for row, text in zip(p, texts, strict=True):
+        assert row.tolist() == pytest.approx(probabilities(text).tolist(), abs=1e-6)
+
+
+def test_language_of_long_texts():
+    """A text in pieces gives the n-grams of the whole text, also where a cut is within a word or letters never end."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    model = language_id.LanguageModel(("x", "y"), rng.normal(0, 1, (1 << language_id.BUCKET_BITS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    words = ["ab", "cde", "fghijk", "é", "l" * 40]
+    texts = [" ".join(rng.choice(words, 200_000)), "".join(map(chr, rng.integers(0x4E00, 0x9000, 400_000)))]
+    p, counts = model.probabilities(pa.array(texts))
+    for text, row, n in zip(texts, p, counts, strict=True):
+        bucket, _ = language_id.subwords(np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64))
+        assert len(text.encode()) > language_id.BLOCK
+        assert n == len(bucket)
+        z = model.weights[bucket].sum(axis=0, dtype=float) / n
+        assert row.tolist() == pytest.approx((np.exp(z) / np.exp(z).sum()).tolist(), abs=1e-9)
 
 
 def ordered_texts(df):
