@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions import dates as dt
+from strandwork.functions import fuzzy
 from strandwork.functions import text as tx
+from strandwork.operators.changes import merged
 from strandwork.operators.endpoints import shown_handle
 from strandwork.plans.base import query
 from strandwork.sources.graph_tables import AS_OF
@@ -32,16 +34,24 @@ def serp(t) -> DataFrame:
     )
 
 
-def verified_by_search(results: DataFrame, most: int = 4) -> DataFrame:
+def match_score(page: Column, name: Column) -> Column:
+    """How alike two names are, 0 to 100: the better of the names as they are and without marks and filler words."""
+    bare = lambda c: F.array_join(tx.strip_generic(tx.tokens(tx.folded(c))), " ")
+    return F.greatest(fuzzy.similarity(F.lower(page), F.lower(name), "token_sort"), fuzzy.similarity(bare(page), bare(name), "token_sort"))
+
+
+def verified_by_search(results: DataFrame, most: int = 4, threshold: float = 90.0) -> DataFrame:
     """``name_key, slug, confidence, outcome`` from search results.
 
-    Results whose title is the name are matches. One slug among them wins: with confidence 1 if the context speaks for
-    it, 0.75 if not. Of several slugs one wins only if more context words speak for it than for every other.
+    Results whose title scores ``threshold`` or more against the name are matches. One slug among them wins: with its score
+    as confidence if the context speaks for it, 0.75 if not. Of several slugs one wins only if more context words speak
+    for it than for every other.
     """
-    hit = results.where((F.col("pos") < most) & (tx.name_key(F.col("title")) == F.col("name_key")))
+    near = results.where(F.col("pos") < most).withColumn("score", match_score(F.col("title"), F.col("name_key")))
+    hit = near.where(F.col("score") >= threshold)
     words = tx.context_hits(F.concat_ws(" ", "title", "snippet"), F.split(F.lower("sector"), " "), F.split("name_key", "#"))
-    slugs = hit.select("name_key", tx.slug_from_url(F.col("link")).alias("slug"), words.alias("hits"), "pos").where("slug is not null")
-    best = slugs.groupBy("name_key", "slug").agg(F.max("hits").alias("hits"), F.min("pos").alias("pos"))
+    slugs = hit.select("name_key", tx.slug_from_url(F.col("link")).alias("slug"), words.alias("hits"), "pos", "score").where("slug is not null")
+    best = slugs.groupBy("name_key", "slug").agg(F.max("hits").alias("hits"), F.min("pos").alias("pos"), F.max("score").alias("score"))
     by_name = Window.partitionBy("name_key")
     ranked = best.select(
         "*",
@@ -52,21 +62,25 @@ def verified_by_search(results: DataFrame, most: int = 4) -> DataFrame:
     ranked = ranked.withColumn("ties", F.count_if(F.col("hits") == F.col("most")).over(by_name)).where("place = 1")
     single = F.col("n") == 1
     won = single | ((F.col("most") >= 1) & (F.col("ties") == 1))
-    found = ranked.select("name_key", F.when(won, F.col("slug")).alias("slug"), F.when(won, F.when(F.col("hits") >= 1, 1.0).otherwise(0.75)).otherwise(0.0).alias("confidence"), F.when(won, F.when(F.col("hits") >= 1, "verified").otherwise("industry unconfirmed")).otherwise("ambiguous").alias("outcome"))
+    found = ranked.select("name_key", F.when(won, F.col("slug")).alias("slug"), F.when(won, F.when(F.col("hits") >= 1, F.col("score") / 100).otherwise(0.75)).otherwise(0.0).alias("confidence"), F.when(won, F.when(F.col("hits") >= 1, "verified").otherwise("industry unconfirmed")).otherwise("ambiguous").alias("outcome"))
     every = results.select("name_key").distinct().join(found, "name_key", "left")
     return every.select("name_key", "slug", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("outcome", F.lit("no match")).alias("outcome"))
 
 
-@query("p7_search_verification", f"""
-WITH {SERP_SQL.strip()},
+VERIFIED_SQL = f"""
+{SERP_SQL.strip()},
 h AS (SELECT name_key, regexp_extract(link, '/company/([^/?#]+)', 1) AS slug, CASE WHEN snippet LIKE '%makers' THEN 1 ELSE 0 END AS hits, pos FROM serp WHERE lower(title) = name_key),
 b AS (SELECT name_key, slug, max(hits) AS hits, min(pos) AS pos FROM h GROUP BY 1, 2),
 r AS (SELECT *, count(*) OVER w AS n, max(hits) OVER w AS most, row_number() OVER (PARTITION BY name_key ORDER BY hits DESC, pos) AS place FROM b WINDOW w AS (PARTITION BY name_key)),
 q AS (SELECT *, count(*) FILTER (WHERE hits = most) OVER (PARTITION BY name_key) AS ties FROM r),
-x AS (SELECT name_key, slug, hits, n = 1 OR (most >= 1 AND ties = 1) AS won FROM q WHERE place = 1)
-SELECT s.name_key, CASE WHEN won THEN slug END AS slug, CASE WHEN won THEN CASE WHEN hits >= 1 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END ELSE 0.0::DOUBLE END AS confidence,
+x AS (SELECT name_key, slug, hits, n = 1 OR (most >= 1 AND ties = 1) AS won FROM q WHERE place = 1),
+verified AS (SELECT s.name_key, CASE WHEN won THEN slug END AS slug, CASE WHEN won THEN CASE WHEN hits >= 1 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END ELSE 0.0::DOUBLE END AS confidence,
   CASE WHEN x.name_key IS NULL THEN 'no match' WHEN NOT won THEN 'ambiguous' WHEN hits >= 1 THEN 'verified' ELSE 'industry unconfirmed' END AS outcome
-FROM (SELECT DISTINCT name_key FROM serp) s LEFT JOIN x USING (name_key)""", base=False)
+FROM (SELECT DISTINCT name_key FROM serp) s LEFT JOIN x USING (name_key))
+"""
+
+
+@query("p7_search_verification", f"WITH {VERIFIED_SQL.strip()} SELECT * FROM verified", base=False)
 def p7(t):
     return verified_by_search(serp(t))
 
@@ -98,11 +112,23 @@ def p9(t):
     return tried.withColumn("ended", ended).where("not ended").groupBy("user_id").agg(F.count("*").alias("probes"), F.max("code").alias("last_code"))
 
 
-@query("p10_channel_fallbacks", """
-SELECT name_key, coalesce(CASE WHEN source = 'linkedin_verified' THEN handle END, CASE WHEN source = 'human' THEN handle END, concat('@', replace(name_key, '#', ''))) AS handle FROM handles""")
+@query("p10_channel_fallbacks", f"""
+WITH {VERIFIED_SQL.strip()},
+direct AS (SELECT lower(c_name) AS name_key, concat('@', lower(replace(c_name, '#', ''))) AS handle FROM customer WHERE c_acctbal > 8000),
+names AS (SELECT lower(c_name) AS name_key FROM customer)
+SELECT n.name_key, coalesce(h.handle, d.handle, '@' || v.slug) AS handle,
+  CASE WHEN h.handle IS NOT NULL THEN 'human' WHEN d.handle IS NOT NULL THEN 'direct' WHEN v.slug IS NOT NULL THEN 'search' ELSE coalesce(v.outcome, 'nothing found') END AS path
+FROM names n LEFT JOIN handles h ON h.name_key = n.name_key AND h.source = 'human' LEFT JOIN direct d ON d.name_key = n.name_key LEFT JOIN verified v ON v.name_key = n.name_key""")
 def p10(t):
-    direct, human = [F.when(F.col("source") == s, F.col("handle")) for s in ("linkedin_verified", "human")]
-    return t.handles.select("name_key", F.coalesce(direct, human, F.concat(F.lit("@"), F.replace("name_key", F.lit("#"), F.lit("")))).alias("handle"))
+    """What a human has set, else a page that was probed directly, else what a search verifies, else why there is none."""
+    c = t.raw("customer")
+    names = c.select(F.lower("c_name").alias("name_key"))
+    human = t.handles.where("source = 'human'").select("name_key", F.col("handle").alias("human"))
+    direct = c.where("c_acctbal > 8000").select(F.lower("c_name").alias("name_key"), F.concat(F.lit("@"), F.lower(F.replace("c_name", F.lit("#"), F.lit("")))).alias("direct"))
+    found = verified_by_search(serp(t)).select("name_key", F.concat(F.lit("@"), "slug").alias("search"), "outcome")
+    rows = names.join(human, "name_key", "left").join(direct, "name_key", "left").join(found, "name_key", "left")
+    path = F.coalesce(*[F.when(F.col(p).isNotNull(), p) for p in ("human", "direct", "search")], F.col("outcome"), F.lit("nothing found"))
+    return rows.select("name_key", F.coalesce("human", "direct", "search").alias("handle"), path.alias("path"))
 
 
 PROVIDER_SQL = """
@@ -194,16 +220,15 @@ def p17(t):
 
 
 @query("p18_manual_handles", """
-SELECT name_key, CASE WHEN name_key LIKE '%5' THEN '@manual' WHEN name_key LIKE '%6' THEN NULL ELSE handle END AS handle, CASE WHEN name_key LIKE '%5' THEN 1.0 WHEN name_key LIKE '%6' THEN 0.0 ELSE confidence END AS confidence,
-  CASE WHEN name_key LIKE '%5' OR name_key LIKE '%6' THEN 'human' ELSE source END AS source FROM handles""")
+WITH said AS (SELECT lower(c_name) AS name_key, 'linkedin' AS channel, CASE WHEN c_acctbal >= 9000 THEN '@' || lower(c_mktsegment) || CAST(c_custkey AS VARCHAR) END AS handle FROM customer WHERE c_acctbal >= 9000 OR c_acctbal < -500)
+SELECT name_key, channel, CASE WHEN s.name_key IS NULL THEN h.handle ELSE s.handle END AS handle, CASE WHEN s.name_key IS NULL THEN h.confidence WHEN s.handle IS NULL THEN 0.0 ELSE 1.0 END AS confidence,
+  CASE WHEN s.name_key IS NULL THEN h.source ELSE 'human' END AS source FROM handles h FULL JOIN said s USING (name_key, channel)""")
 def p18(t):
-    given, taken = F.col("name_key").like("%5"), F.col("name_key").like("%6")
-    return t.handles.select(
-        "name_key",
-        F.when(given, "@manual").when(taken, F.lit(None)).otherwise(F.col("handle")).alias("handle"),
-        F.when(given, 1.0).when(taken, 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(given | taken, "human").otherwise(F.col("source")).alias("source"),
-    )
+    """A person's word goes over what the cache has, new names included: a handle is certain, and so is that there is none."""
+    c = t.raw("customer").where("c_acctbal >= 9000 or c_acctbal < -500")
+    given = F.when(F.col("c_acctbal") >= 9000, F.concat(F.lit("@"), F.lower("c_mktsegment"), F.col("c_custkey").cast("string")))
+    said = c.select(F.lower("c_name").alias("name_key"), F.lit("linkedin").alias("channel"), given.alias("handle"), F.when(given.isNull(), 0.0).otherwise(1.0).alias("confidence"), F.lit("human").alias("source"))
+    return merged(t.handles.select("name_key", "channel", "handle", "confidence", "source"), said, ["name_key", "channel"])
 
 
 @query("p20_social_selection", """
@@ -217,28 +242,55 @@ def p20(t):
 
 
 @query("p2_enrichment_paths", """
-SELECT path, count(*) AS n FROM (SELECT CASE WHEN page_id % 3 <> 0 AND length(html) > 1500 THEN 'url_fetch' WHEN page_id % 2 = 0 THEN 'grounding' ELSE 'none' END AS path FROM pages) GROUP BY path""", base=False)
+WITH f AS (SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN user_id END AS page_id, value FROM events), p AS (SELECT page_id, length(html) > 1500 AS enough FROM pages),
+m(event_type, grounding) AS (VALUES ('click', 'always'), ('view', 'missing'), ('purchase', 'never'))
+SELECT coalesce(m.grounding, 'missing') AS mode, CASE WHEN f.page_id IS NOT NULL AND enough THEN 'url_fetch' WHEN coalesce(m.grounding, 'missing') = 'always' OR (coalesce(m.grounding, 'missing') = 'missing' AND f.page_id IS NULL) THEN 'grounding' ELSE 'none' END AS path, count(*) AS n
+FROM f LEFT JOIN p ON p.page_id = f.page_id LEFT JOIN m ON m.event_type = f.event_type GROUP BY 1, 2""", base=False)
 def p2(t):
-    """The source's own page if there is enough of it, else a search if that is allowed, else nothing."""
-    readable = (F.col("page_id") % 3 != 0) & (F.length("html") > 1500)
-    path = F.when(readable, "url_fetch").when(F.col("page_id") % 2 == 0, "grounding").otherwise("none")
-    return t.raw("pages").groupBy(path.alias("path")).agg(F.count("*").alias("n"))
+    """The source's own page if it is there with enough on it, else a search: always, where a finding names no source, or never."""
+    found = t.raw("events").select("event_type", F.when(F.col("event_type") != "view", F.col("user_id")).alias("page_id"))
+    pages = t.raw("pages").select("page_id", (F.length("html") > 1500).alias("enough"))
+    modes = t.spark.createDataFrame([("click", "always"), ("view", "missing"), ("purchase", "never")], "event_type string, grounding string")
+    rows = found.join(pages, "page_id", "left").join(F.broadcast(modes), "event_type", "left").withColumn("mode", F.coalesce("grounding", F.lit("missing")))
+    searched = (F.col("mode") == "always") | ((F.col("mode") == "missing") & F.col("page_id").isNull())
+    path = F.when(F.col("page_id").isNotNull() & F.col("enough"), "url_fetch").when(searched, "grounding").otherwise("none")
+    return rows.groupBy("mode", path.alias("path")).agg(F.count("*").alias("n"))
+
 
+PROVIDERS = ["brave", "serper", "cse"]
 
-@query("p32_configured_provider", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'brave' END, CASE WHEN c_custkey % 3 = 0 THEN 'serper' END, CASE WHEN c_custkey % 2 = 0 THEN 'cse' END, 'none') AS provider FROM customer", base=False)
+
+@query("p32_configured_provider", """
+WITH env AS (SELECT c_nationkey AS place, CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'brave' WHEN c_mktsegment = 'MACHINERY' THEN 'serper' ELSE 'cse' END AS name, CASE WHEN c_acctbal > 9000 THEN 'key' ELSE '' END AS value FROM customer),
+o(name, place_in_order) AS (VALUES ('brave', 1), ('serper', 2), ('cse', 3))
+SELECT n_nationkey AS place, coalesce(arg_min(o.name, place_in_order), 'none') AS provider FROM nation LEFT JOIN (SELECT DISTINCT place, name FROM env WHERE value <> '') e ON e.place = n_nationkey LEFT JOIN o ON o.name = e.name GROUP BY 1""", base=False)
 def p32(t):
-    k = F.col("c_custkey")
-    order = [F.when(k % n == 0, name) for n, name in ((5, "brave"), (3, "serper"), (2, "cse"))]
-    return t.raw("customer").select("c_custkey", F.coalesce(*order, F.lit("none")).alias("provider"))
+    """The first provider for which a place's environment has a key that is not empty; registered budgets play no part."""
+    segment = F.col("c_mktsegment")
+    name = F.when(segment.isin("BUILDING", "FURNITURE"), "brave").when(segment == "MACHINERY", "serper").otherwise("cse")
+    env = t.raw("customer").select(F.col("c_nationkey").alias("place"), name.alias("name"), F.when(F.col("c_acctbal") > 9000, "key").otherwise("").alias("value"))
+    first = env.where("value <> ''").groupBy("place").agg(F.min(F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("name"))).alias("first"))
+    every = t.raw("nation").select(F.col("n_nationkey").alias("place")).join(first, "place", "left")
+    return every.select("place", F.coalesce(F.get(F.array(*map(F.lit, PROVIDERS)), (F.col("first") - 1).cast("int")), F.lit("none")).alias("provider"))
 
 
 @query("p23_render_queue", """
-SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'missing' WHEN page_id % 3 = 0 THEN 'wrong_size' ELSE 'done' END AS state FROM pages""", base=False)
+WITH cards AS (SELECT entry_id, ts, catalyst_id FROM catalysts), pictures AS (SELECT o_orderkey AS catalyst_id, CASE WHEN o_orderstatus = 'F' THEN 1200 ELSE 600 END AS width FROM orders WHERE o_totalprice >= 60000)
+SELECT entry_id, CASE WHEN p.width IS NULL THEN 'missing' WHEN p.width <> 1200 THEN 'wrong_size' ELSE 'done' END AS state,
+  row_number() OVER (PARTITION BY CASE WHEN p.width IS NULL THEN 'missing' WHEN p.width <> 1200 THEN 'wrong_size' ELSE 'done' END, ts ORDER BY entry_id DESC, catalyst_id) AS place
+FROM cards LEFT JOIN pictures p USING (catalyst_id)""")
 def p23(t):
-    """Pictures to make: those that are missing or have another size than cards should have."""
-    width = F.when(F.col("page_id") % 4 == 0, F.lit(None)).when(F.col("page_id") % 3 == 0, 600).otherwise(1200)
-    state = F.when(width.isNull(), "missing").when(width != 1200, "wrong_size").otherwise("done")
-    return t.raw("pages").select("page_id", state.alias("state"))
+    """Pictures to make for cards, a day's in one go: those that are missing, or whose header has another size than cards
+    should have."""
+    wide, narrow = ("89504E470D0A1A0A0000000D49484452" + f"{w:08X}{630:08X}" for w in (1200, 600))
+    orders = t.raw("orders").where("o_totalprice >= 60000")
+    picture = F.unhex(F.when(F.col("o_orderstatus") == "F", wide).otherwise(narrow))
+    pictures = orders.select(F.col("o_orderkey").alias("catalyst_id"), picture.alias("content"))
+    rows = t.catalysts.select("catalyst_id", "entry_id", "ts").join(pictures, "catalyst_id", "left")
+    width, height = tx.png_size(F.col("content"), 0), tx.png_size(F.col("content"), 1)
+    state = F.when(F.col("content").isNull(), "missing").when((width != 1200) | (height != 630), "wrong_size").otherwise("done")
+    queue = Window.partitionBy("state", "ts").orderBy(F.desc("entry_id"), "catalyst_id")
+    return rows.withColumn("state", state).select("entry_id", "state", F.row_number().over(queue).cast("long").alias("place"))
 
 
 @query("p21_prompt_diff", """

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandwork.functions import fuzzy
+from strandwork.functions.extract import stated_edges
 from strandwork.functions.numbers import edge_confidence
 from strandwork.operators import log_corrector as lc
-from strandwork.operators.endpoints import drop_reason, visible
+from strandwork.operators.endpoints import drop_reason, visible, with_names
 from strandwork.operators.layout import layout
-from strandwork.operators.resolver import exact, resolved
+from strandwork.operators.resolver import exact, learned, resolved, unresolved
 from strandwork.plans.base import query
 from strandwork.plans.filters import EXTRACTED_SQL, extracted
 from strandwork.schema import REL_TYPES, SECTORS
-from strandwork.sources.graph_tables import nth
+from strandwork.session import shared_dir
+from strandwork.sources import documents
+from strandwork.sources.graph_tables import AS_OF, CUSTOMER_OFFSET, nth
 from strandwork.streaming import ingest
+from strandwork.streaming.store import Store
 
 
 @query("p3_postprocessed_edges", f"""
@@ -48,6 +54,20 @@ def tickers(t):
     return t.entities.where("ticker is not null").select(F.col("ticker").alias("alias"), "entity_id")
 
 
+#: Texts say names as they are, in another case, with a letter twice, or say some that are like no other.
+MENTIONS_SQL = """
+m AS (SELECT entity_id, name, CASE entity_id % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN concat(name[1], name) ELSE concat(substr(md5(name), 1, 12), ' ', substr(md5(name), 13, 12)) END AS resolved, concat('the ', lower(name)) AS mention FROM entities),
+judged AS (SELECT mention, resolved, CASE WHEN entity_id % 4 = 3 THEN NULL ELSE entity_id END AS entity_id, CASE entity_id % 4 WHEN 2 THEN 'similar' WHEN 3 THEN 'new' ELSE 'resolved' END AS how FROM m)
+"""
+
+
+def said(t):
+    k, name = F.col("entity_id") % 4, F.col("name")
+    strange = F.concat(F.substring(F.md5(name), 1, 12), F.lit(" "), F.substring(F.md5(name), 13, 12))
+    form = F.when(k == 0, name).when(k == 1, F.upper(name)).when(k == 2, F.concat(F.substring(name, 1, 1), name)).otherwise(strange)
+    return t.entities.select(F.concat(F.lit("the "), F.lower(name)).alias("mention"), form.alias("resolved"))
+
+
 @query("p1_exact_tier", """
 WITH m AS (SELECT CASE WHEN entity_id % 3 = 0 THEN upper(name) WHEN entity_id % 3 = 1 THEN coalesce(ticker, 'nobody') ELSE concat(name, 'x') END AS resolved, name AS mention FROM entities),
 k AS (SELECT lower(name) AS k, entity_id, 0 AS p FROM entities UNION ALL SELECT lower(ticker), entity_id, 1 FROM entities WHERE ticker IS NOT NULL),
@@ -65,6 +85,26 @@ def p1(t):
     return resolved(mentions(t), t.entities.select("entity_id", "name"), tickers(t))
 
 
+@query("p1_aliases", f"""
+WITH {MENTIONS_SQL.strip()}
+SELECT DISTINCT alias, entity_id FROM (
+  SELECT mention AS alias, entity_id FROM judged WHERE how = 'resolved' AND lower(mention) <> lower(resolved)
+  UNION ALL SELECT unnest(CASE WHEN mention = resolved THEN [resolved] ELSE [resolved, mention] END), entity_id FROM judged WHERE how = 'similar')
+WHERE lower(alias) NOT IN (SELECT lower(ticker) FROM entities WHERE ticker IS NOT NULL)""")
+def p1_aliases(t):
+    """Names that resolution has learned, of mentions that are like one name by far: exact, in capitals, with a letter twice."""
+    found = resolved(said(t), t.entities.select("entity_id", "name"), tickers(t))
+    return learned(found, tickers(t))
+
+
+@query("p1_unresolved", f"""
+WITH {MENTIONS_SQL.strip()}
+SELECT mention, resolved AS suggested_name FROM judged WHERE how = 'new'""")
+def p1_unresolved(t):
+    """Mentions that stand for entities nobody knows, for review."""
+    return unresolved(resolved(said(t), t.entities.select("entity_id", "name"), tickers(t)))
+
+
 @query("u1_similar_names")
 def u1(t):
     pairs = t.entities.select("name", F.concat(F.lit("The "), F.lower("name"), F.lit(" Group")).alias("other"))
@@ -81,60 +121,87 @@ def m9(t):
     return layout(nodes, ends.where(visible(F.col("status"), False)).select("sector", F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b")), "sector")
 
 
-# Takeaways as the log has them, and as they should be.
+#: Takeaways for the test of each step: as the log has them, as they should be, and the steps that change them.
 TAKEAWAYS = [
     ("Direct: up | Indirect: down", "Direct: up. Indirect: down", "pipe"),
     ("Direct: demand grows. Sentiment: Bullish.", "Bullish. Direct: demand grows.", "explicit"),
     ("Orders recover. very bullish 🟢", "Very Bullish. Orders recover.", "trailing"),
     ("Highly positive. Margins widen.", "Very Bullish. Margins widen.", "opening"),
     ("Mixed (Bullish on parts). Wait.", "Neutral. Mixed (Bullish on parts). Wait.", "opening"),
+    ("Volatile / actionable, for now", "Neutral. Volatile / actionable, for now", "opening"),
+    ("Positive  sentiment for parts", "Bullish. Positive  sentiment for parts", "opening"),
     ("Macro Bearish. Rates rise.", "Bearish. Rates rise.", "opening"),
     ("Bullish. Strongly bullish on supply.", "Bullish. Very Bullish on supply.", "strength"),
     ("Nothing to say", "Nothing to say", ""),
-    ("Neutral. Flat quarter..  Next.", "Neutral. Flat quarter.  Next.", "pipe"),
+    ("Constructive policy helps", "Constructive policy helps", ""),
+    ("Neutral. Flat quarter..  Next.", "Neutral. Flat quarter.  Next.", ""),
     ("", "", ""),
 ]
 
+#: Takeaways are made of an opening, a body and an end. Openings: words, the label they stand for, whether they stay.
+OPENINGS = [
+    ("", None, True), ("Highly positive. ", "Very Bullish", False), ("Negative sentiment. ", "Bearish", False), ("Constructive on ", "Bullish", True),
+    ("Mixed, ", "Neutral", True), ("Macro Bearish. ", "Bearish", False), ("Neutral. ", "Neutral", False),
+]
+ENDS = [(".", None, ""), (". Strongly bullish.", "Very Bullish", "trailing"), (". Sentiment: Bearish.", "Bearish", "explicit")]
 
-def _case(values: list[str]) -> str:
-    return "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
+def _pick(values: list, place: str) -> str:
+    return f"([{', '.join('NULL' if v is None else chr(39) + str(v) + chr(39) for v in values)}])[CAST({place} AS INT) + 1]"
 
-@query("c18_corrected_takeaways", f"""
-SELECT event_id, {_case([b for _, b, _ in TAKEAWAYS])} AS takeaways, {_case([c for *_, c in TAKEAWAYS])} AS changed,
-  event_id % 10 IN (0, 7) AS residual FROM events""", base=False)
+
+TAKEAWAYS_SQL = f"""
+parts AS (SELECT *, event_id % 7 AS o, (event_id // 7) % 3 AS z, (event_id // 21) % 2 AS bar, concat(event_type, ' volumes reach ', CAST(event_id AS VARCHAR)) AS body FROM events),
+said AS (SELECT *, {_pick([w for w, *_ in OPENINGS], 'o')} AS opening, {_pick([la for _, la, _ in OPENINGS], 'o')} AS opens, {_pick(['y' if k else 'n' for *_, k in OPENINGS], 'o')} = 'y' AS stays, {_pick([la for _, la, _ in ENDS], 'z')} AS ends,
+  concat(body, '. Direct: flows') AS core FROM parts),
+corrected AS (SELECT *, CASE WHEN o = 6 AND z = 1 THEN concat('Neutral. ', core, '. Very Bullish.') WHEN o = 6 THEN concat('Neutral. ', core, '.')
+    WHEN ends IS NOT NULL THEN concat(ends, '. ', opening, core, '.') WHEN opens IS NULL THEN concat(core, '.') ELSE concat(opens, '. ', CASE WHEN stays THEN opening ELSE '' END, core, '.') END AS takeaways,
+  concat_ws('+', CASE WHEN bar = 1 THEN 'pipe' END, CASE WHEN z = 2 THEN 'explicit' END, CASE WHEN z = 1 AND o <> 6 THEN 'trailing' END, CASE WHEN z = 0 AND o NOT IN (0, 6) THEN 'opening' END, CASE WHEN z = 1 AND o = 6 THEN 'strength' END) AS changed,
+  o = 0 AND z = 0 AS residual FROM said)
+"""
+
+
+def takeaways(t):
+    """The takeaways of a log: every opening with every end, with bars or stops between sections, about each event."""
+    e = F.col("event_id")
+    opening, end = nth([w for w, *_ in OPENINGS], (e % 7).cast("int")), nth([w for w, *_ in ENDS], (F.floor(e / 7) % 3).cast("int"))
+    body = F.concat("event_type", F.lit(" volumes reach "), e.cast("string"))
+    stop = F.when(F.floor(e / 21) % 2 == 1, " | Direct: flows").otherwise(". Direct: flows")
+    return F.concat(opening, body, stop, end)
+
+
+@query("c18_corrected_takeaways", f"WITH {TAKEAWAYS_SQL.strip()} SELECT event_id, takeaways, changed, residual FROM corrected", base=False)
 def c18(t):
     """C18 to C24: separators, labels in front, other words for strength, and what is left without a label."""
-    log = t.raw("events").select("event_id", nth([a for a, *_ in TAKEAWAYS], (F.col("event_id") % 10).cast("int")).alias("takeaways"))
-    done = lc.corrected_takeaways(log, "takeaways")
+    done = lc.corrected_takeaways(t.raw("events").select("event_id", takeaways(t).alias("takeaways")), "takeaways")
     left = (lc.strip(F.col("takeaways")) != "") & ~lc.opens_with_label(F.col("takeaways"))
     return done.select("event_id", "takeaways", F.array_join("changed", "+").alias("changed"), left.alias("residual"))
 
 
 @query("p19_corrected_log", f"""
-WITH r AS (SELECT event_id, event_id % 7 AS k, CASE WHEN event_id % 45 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS d, {_case([b for _, b, _ in TAKEAWAYS])} AS takeaways FROM events),
+WITH {TAKEAWAYS_SQL.strip()},
+r AS (SELECT event_id, event_id % 7 AS k, CASE WHEN event_id % 45 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS d, takeaways, residual FROM corrected),
 n AS (SELECT *, row_number() OVER (PARTITION BY k, d ORDER BY event_id) AS n FROM r)
 SELECT event_id, CASE WHEN k <> 6 AND d IS NOT NULL THEN concat((['ROB', 'CRY', 'AIS', 'SPD', 'PWE', 'STM'])[CAST(k AS INT) + 1], '-', strftime(d, '%m%d%y'), '-', CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END) END AS entry_id,
-  CASE WHEN k = 6 THEN 'unknown category' WHEN d IS NULL THEN 'unreadable date' END AS rejected, takeaways FROM n""", base=False)
+  CASE WHEN k = 6 THEN 'unknown category' WHEN d IS NULL THEN 'unreadable date' END AS rejected, takeaways, residual FROM n""", base=False)
 def p19(t):
     e = F.col("event_id")
     category = nth([*SECTORS, "Weather"], (e % 7).cast("int"))
     raw = F.when(e % 45 == 0, "next spring").when(e % 2 == 0, F.date_format("ts", "MMMM d, yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
-    log = t.raw("events").select("event_id", e.alias("pos"), F.lit(None).cast("string").alias("entry_id"), raw.alias("timestamp"), category.alias("category"), nth([a for a, *_ in TAKEAWAYS], (e % 10).cast("int")).alias("sentiment_takeaways"))
-    return lc.corrected_log(log).select("event_id", "entry_id", "rejected", F.col("sentiment_takeaways").alias("takeaways"))
+    log = t.raw("events").select("event_id", e.alias("pos"), F.lit(None).cast("string").alias("entry_id"), raw.alias("timestamp"), category.alias("category"), takeaways(t).alias("sentiment_takeaways"))
+    return lc.corrected_log(log).select("event_id", "entry_id", "rejected", F.col("sentiment_takeaways").alias("takeaways"), "residual")
 
 
 @query("r1_stream_cursors", """
 SELECT event_type, max(CAST(ts AS DATE)) AS last_day, arg_max(event_id, epoch(date_trunc('day', ts)) * 10000000 + event_id) AS last_id FROM events GROUP BY event_type""", base=False)
 def r1(t):
     """R1, R2 and R4: a bounded run over the log, each event once, and its cursors."""
-    return ingest.ingested(t.spark, t.folder, maxFilesPerTrigger=1)[1].read()
+    return ingest.ingested(t.spark, t.folder, maxFilesPerTrigger=1).read("cursors")
 
 
 @query("r2_stream_log", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type", base=False)
 def r2(t):
-    log, _ = ingest.ingested(t.spark, t.folder)
-    return log.read().groupBy("event_type").agg(F.count("*").alias("n"))
+    return ingest.ingested(t.spark, t.folder).read("log").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("r3_late_rows", """
@@ -160,3 +227,114 @@ def r9(t):
     """The log read twice at once gives each event once."""
     twice = ingest.events(t.spark, t.folder).union(ingest.events(t.spark, t.folder))
     return ingest.collected(ingest.without_repeats(twice)).agg(F.count("*").alias("n"))
+
+
+@query("r10_stream_lifecycle", """
+SELECT least(entity_a_id, entity_b_id) AS lo, greatest(entity_a_id, entity_b_id) AS hi, max(ship_date) AS last_seen, count(*) AS n_edges,
+  CASE WHEN count(*) > 1 THEN 'followed' WHEN max(ship_date) < DATE '2001-08-01' - 90 THEN 'stale' ELSE 'new' END AS state FROM relationships GROUP BY 1, 2""")
+def r10(t):
+    """Pairs as their edges arrive: lines are a stream, joined with the orders that say whose they are."""
+    lines = t.spark.readStream.schema(t.raw("lineitem").schema).parquet(f"{t.folder}/lineitem.parque[t]")
+    orders = t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + CUSTOMER_OFFSET).alias("b"))
+    edges = lines.select("l_orderkey", F.col("l_suppkey").cast("long").alias("a"), F.col("l_shipdate").cast("date").alias("ship_date")).join(orders, "l_orderkey")
+    pairs = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "ship_date")
+    return ingest.pair_states(ingest.lifecycle(pairs), AS_OF)
+
+
+@query("k8_completion_events", "SELECT event_type, count(DISTINCT event_id) AS written FROM events GROUP BY event_type", base=False)
+def k8_events(t):
+    """What is announced once batches are written: each kind with the rows that were new, kinds without any left out. Two
+    listeners are told; that one of them fails does not stop the run."""
+    told = Store(t.spark, {"done": "event_type string, written bigint"})
+
+    def done(rows):
+        told.change(len(told.commits()), lambda change: change.append("done", rows))
+        raise OSError("the second listener is away")
+
+    ingest.ingested(t.spark, t.folder, done=done, maxFilesPerTrigger=1)
+    return told.read("done").groupBy("event_type").agg(F.sum("written").alias("written"))
+
+
+@query("k9_transactions", """
+WITH c AS (SELECT catalyst_id, sector FROM catalysts WHERE sector IN ('BUILDING', 'FURNITURE')), r AS (SELECT entity_a_id, entity_b_id FROM relationships JOIN c USING (catalyst_id))
+SELECT 'catalysts' AS written, count(*) AS n FROM c UNION ALL SELECT 'edges', count(*) FROM r
+UNION ALL SELECT 'entities', count(DISTINCT entity_id) FROM entities WHERE entity_id IN (SELECT entity_a_id FROM r UNION SELECT entity_b_id FROM r)""")
+def k9(t):
+    """Events, their edges and their entities are written together, a sector a step; a step that fails leaves nothing."""
+    store = Store(t.spark, {"catalysts": "catalyst_id bigint, sector string", "edges": "catalyst_id bigint, entity_a_id bigint, entity_b_id bigint", "entities": "entity_id bigint, name string"})
+
+    def write(sector, fails):
+        cards = t.catalysts.where(F.col("sector") == sector).select("catalyst_id", "sector")
+        edges = t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id").join(cards.select("catalyst_id"), "catalyst_id")
+        ends = edges.select(F.explode(F.array("entity_a_id", "entity_b_id")).alias("entity_id"))
+        known = t.entities.select("entity_id", "name").join(ends, "entity_id", "left_semi").join(store.read("entities").select("entity_id"), "entity_id", "left_anti")
+
+        def work(change):
+            change.append("catalysts", cards)
+            change.append("edges", edges)
+            if fails:
+                raise ValueError(f"{sector}: the entities cannot be written")
+            change.append("entities", known)
+
+        return work
+
+    for step, (sector, fails) in enumerate([("BUILDING", False), ("MACHINERY", True), ("FURNITURE", False)]):
+        try:
+            store.change(step, write(sector, fails))
+        except ValueError:
+            continue
+    counts = [store.read(name).select(F.lit(name).alias("written")).groupBy("written").agg(F.count("*").alias("n")) for name in store.schemas]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("u6_stated_edges", """
+SELECT r.catalyst_id, a.name AS entity_a, r.rel_type, b.name AS entity_b, CASE WHEN r.evidence_type = 'speculative' THEN 'speculative' ELSE 'direct' END AS evidence_type, count(*) AS n
+FROM relationships r JOIN entities a ON a.entity_id = r.entity_a_id JOIN entities b ON b.entity_id = r.entity_b_id GROUP BY 1, 2, 3, 4, 5""")
+def u6(t):
+    """Findings written from edges, a text for each event, and read back by the rule-based extractor."""
+    named = with_names(t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id", "rel_type", "evidence_type"), t.entities)
+    hedge = F.when(F.col("evidence_type") == "speculative", "may ").otherwise("")
+    sentence = F.concat("from_name", F.lit(" "), hedge, F.replace("rel_type", F.lit("_"), F.lit(" ")), F.lit(" "), "to_name", F.lit(". It was said today."))
+    findings = named.groupBy("catalyst_id").agg(F.array_join(F.collect_list(sentence), " ").alias("finding"))
+    edges = findings.select("catalyst_id", F.explode(stated_edges(F.col("finding"))).alias("e"))
+    return edges.select("catalyst_id", "e.*").groupBy("catalyst_id", "entity_a", "rel_type", "entity_b", "evidence_type").agg(F.count("*").alias("n"))
+
+
+FINDINGS_SQL = "SELECT entry_id, CAST(ts AS VARCHAR) AS timestamp, sector AS category, headline AS finding, sentiment_takeaways FROM catalysts"
+
+
+def findings(t):
+    return t.catalysts.select("entry_id", F.col("ts").cast("string").alias("timestamp"), F.col("sector").alias("category"), F.col("headline").alias("finding"), "sentiment_takeaways")
+
+
+def own_place(t, name):
+    return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s4_findings_array", f"{FINDINGS_SQL} ORDER BY ts DESC, entry_id DESC LIMIT 500")
+def s4(t):
+    """The newest 500 findings as one JSON array, written and read again."""
+    place = own_place(t, "array")
+    documents.write_json_array(findings(t).orderBy(F.desc("timestamp"), F.desc("entry_id")).limit(500), place)
+    return documents.read_findings(t.spark, place).select("entry_id", "timestamp", "category", "finding", "sentiment_takeaways")
+
+
+@query("s5_all_findings", FINDINGS_SQL)
+def s5(t):
+    """A whole collection as JSON lines, written and read again without a filter."""
+    place = own_place(t, "lines")
+    documents.write_json_lines(findings(t), place)
+    return documents.read_findings(t.spark, place, lines=True).select("entry_id", "timestamp", "category", "finding", "sentiment_takeaways")
+
+
+@query("k6_run_dump", """
+SELECT entry_id, CASE WHEN significance_score < 0.05 THEN 'no edges were found' END AS error, CASE WHEN significance_score >= 0.05 THEN n END AS n_edges
+FROM catalysts LEFT JOIN (SELECT catalyst_id, count(*) AS n FROM relationships GROUP BY 1) USING (catalyst_id)""")
+def k6(t):
+    """One record for each entry of a run, those that failed with their error, as JSON lines."""
+    n = t.relationships.groupBy("catalyst_id").agg(F.count("*").alias("n"))
+    failed = F.col("significance_score") < 0.05
+    records = t.catalysts.join(n, "catalyst_id", "left").select("entry_id", F.when(failed, "no edges were found").alias("error"), F.when(~failed, F.col("n")).alias("n_edges"))
+    place = own_place(t, "dump")
+    documents.write_json_lines(records, place)
+    return t.spark.read.schema("entry_id string, error string, n_edges bigint").json(place)

@@ -19,6 +19,12 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """All rows as one pretty array of documents: for what fits in one, as the newest entries of a log do."""
+    whole = rows.agg(F.to_json(F.collect_list(F.struct("*")), {"pretty": "true"}).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_payload(payload: DataFrame, path: str) -> None:
     """A document of one row as JSON text."""
     payload.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)

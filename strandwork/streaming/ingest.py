@@ -1,19 +1,21 @@
 """Incremental ingest of a log of events as a stream: cursors, no row twice, bounded runs.
 
-Each query runs to the end of what is there and stops; its checkpoint lies in the shared folder, so that the next run
-goes on from it. Tables that a batch changes are written as a new version beside the old one.
+Each query runs to the end of what is there and stops; its checkpoint lies beside its tables in the shared folder, so that
+the next run goes on from both. A batch is one step of a store (``streaming.store``): all of it is seen or nothing.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.operators.changes import inserted_if_absent, merged
-from strandwork.session import shared_dir
+from strandwork.operators.changes import merged
+from strandwork.session import settled, shared_dir
+from strandwork.streaming.store import Change, Store
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -23,36 +25,6 @@ def events(spark: SparkSession, folder: str, **options) -> DataFrame:
     return spark.readStream.schema(EVENTS).options(**options).parquet(f"{folder}/events.parque[t]")
 
 
-class VersionedTable:
-    """A table whose versions are folders; readers use the last one that is whole.
-
-    A batch that is run again after a failure overwrites its own version, so its rows come in once.
-    """
-
-    def __init__(self, spark: SparkSession, schema: str, root: str | None = None):
-        self.spark, self.schema = spark, schema
-        self.root = root or f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-        self.version: int | None = None
-
-    def read(self, before: int | None = None) -> DataFrame:
-        version = self.version if before is None else self.versions.get(before)
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.root}/v{version}")
-
-    @property
-    def versions(self) -> dict[int, int | None]:
-        if not hasattr(self, "_before"):
-            self._before: dict[int, int | None] = {}
-        return self._before
-
-    def change(self, batch: int, step: Callable[[DataFrame], DataFrame]) -> None:
-        """Writes the version that ``step`` makes of the one before ``batch``."""
-        self.versions.setdefault(batch, self.version)
-        step(self.read(batch)).write.mode("overwrite").parquet(f"{self.root}/v{batch}")
-        self.version = batch
-
-
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Hands what is new to ``step`` batch by batch, until there is nothing more."""
     spark = stream.sparkSession
@@ -61,20 +33,37 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def ingested(spark: SparkSession, folder: str, **options) -> tuple[VersionedTable, VersionedTable]:
-    """Log and cursors: each event once by its id, and the last (day, id) of each kind."""
-    log = VersionedTable(spark, "event_id bigint, day date, event_type string")
-    cursors = VersionedTable(spark, "event_type string, last_day date, last_id bigint")
+LOG = {"log": "event_id bigint, day date, event_type string", "cursors": "event_type string, last_day date, last_id bigint"}
+
+
+def ingested(spark: SparkSession, folder: str, root: str | None = None, done: Callable[[DataFrame], None] | None = None, **options) -> Store:
+    """Log and cursors: each event once by its id, and the last (day, id) of each kind.
+
+    A batch adds its new rows to the log as a part of its own; of what is there it reads ids only. With ``root`` a run goes
+    on where the last one with it stopped. ``done`` is told ``event_type, written`` of each batch that has written some; if
+    it fails, the run goes on.
+    """
+    store = Store(spark, LOG, root)
 
     def step(batch: DataFrame, n: int) -> None:
         rows = batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type")
-        log.change(n, lambda old: inserted_if_absent(old, rows, ["event_id"]))
+        fresh = settled(rows.dropDuplicates(["event_id"]).join(store.read("log").select("event_id"), "event_id", "left_anti"))
         top = rows.groupBy("event_type").agg(F.max(F.struct("day", "event_id")).alias("c"))
         new = top.select("event_type", F.col("c.day").alias("last_day"), F.col("c.event_id").alias("last_id"))
-        cursors.change(n, lambda old: merged(old, further(old, new), ["event_type"]))
+        old = store.read("cursors")
 
-    run_batches(events(spark, folder, **options), step)
-    return log, cursors
+        def work(change: Change) -> None:
+            change.append("log", fresh)
+            change.replace("cursors", merged(old, further(old, new), ["event_type"]))
+
+        if store.change(n, work) and done is not None:
+            try:
+                done(fresh.groupBy("event_type").agg(F.count("*").alias("written")).where("written > 0"))
+            except Exception:
+                logging.getLogger(__name__).exception("batch %s is written, but was not announced", n)
+
+    run_batches(events(spark, folder, **options), step, f"{store.root}/stream")
+    return store
 
 
 def further(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,6 +73,28 @@ def further(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(was, "event_type", "left").where(ahead).drop("_was")
 
 
+PAIRS = {"seen": "lo bigint, hi bigint, last_seen date, n_edges bigint"}
+
+
+def lifecycle(edges: DataFrame, root: str | None = None) -> Store:
+    """Takes edges (``lo, hi, ship_date``, a stream) as they arrive: each batch adds what it has seen of each pair."""
+    store = Store(edges.sparkSession, PAIRS, root)
+
+    def step(batch: DataFrame, n: int) -> None:
+        seen = batch.groupBy("lo", "hi").agg(F.max("ship_date").alias("last_seen"), F.count("*").alias("n_edges"))
+        store.change(n, lambda change: change.append("seen", seen))
+
+    run_batches(edges, step, f"{store.root}/stream")
+    return store
+
+
+def pair_states(store: Store, as_of, stale_days: int = 90) -> DataFrame:
+    """``lo, hi, last_seen, n_edges, state``: followed where a later edge has come, stale where none has for long."""
+    pairs = store.read("seen").groupBy("lo", "hi").agg(F.max("last_seen").alias("last_seen"), F.sum("n_edges").alias("n_edges"))
+    state = F.when(F.col("n_edges") > 1, "followed").when(F.col("last_seen") < F.date_sub(F.lit(as_of), stale_days), "stale").otherwise("new")
+    return pairs.withColumn("state", state)
+
+
 def without_repeats(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Rows whose id has not come within the watermark."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from strandwork.functions import dates as dt
 from strandwork.functions import fuzzy
+from strandwork.functions.extract import stated_edges
 from strandwork.functions import numbers as nm
 from strandwork.functions import text as tx
 from strandwork.operators import log_corrector as lc
 from strandwork.operators.changes import inserted_if_absent, latest, merged
 from strandwork.operators.components import connected_components
-from strandwork.plans.handles import verified_by_search
+from strandwork.operators.resolver import learned, resolved, unresolved
+from strandwork.plans.handles import match_score, verified_by_search
 from strandwork.plans.pipelines import TAKEAWAYS
 from strandwork.sources import documents
 
@@ -111,6 +113,35 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int")).collect() == []
 
 
+def test_match_scores(spark):
+    """Suffixes, filler words and marks do not tell names apart; other words do."""
+    pairs = [("Figure", "Figure AI", True), ("Schaeffler Group", "Schaeffler Group", True), ("Zenobe Energy", "Zenobē", True), ("Humanoid Global Holdings", "Humanoid", False), ("Figure Skating Club", "Figure AI", False)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string").coalesce(1)
+    got = [r.s >= 90 for r in df.select(match_score(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [like for *_, like in pairs]
+
+
+def test_stated_edges(spark):
+    said = ["Acme Robotics acquires Figure AI. It may not.", "Nvidia may invests in Bolt#12 soon, and Bolt#12 supplies Nvidia.", "nothing here", "", None]
+    got = values(spark, said, stated_edges(F.col("x")))
+    assert [tuple(e) for e in got[0]] == [("Acme Robotics", "acquires", "Figure AI", "direct")]
+    assert [tuple(e) for e in got[1]] == [("Nvidia", "invests_in", "Bolt#12", "speculative"), ("Bolt#12", "supplies", "Nvidia", "direct")]
+    assert got[2:] == [[], [], []]
+
+
+def test_learned_aliases(spark):
+    """What resolution teaches is found exactly by the next run."""
+    entities = spark.createDataFrame([(1, "Nvidia"), (2, "Figure AI")], "entity_id long, name string")
+    aliases = spark.createDataFrame([("FIG", 2)], "alias string, entity_id long")
+    mentions = spark.createDataFrame([("the chip maker", "Nvidia"), ("Nvdia", "Nvdia"), ("fig", "Figure Inc."), ("X", "Quite Unlike")], "mention string, resolved string")
+    first = resolved(mentions, entities, aliases)
+    new = learned(first, aliases)
+    assert {tuple(r) for r in new.collect()} == {("the chip maker", 1), ("Nvdia", 1)}
+    assert {tuple(r) for r in unresolved(first).collect()} == {("X", "Quite Unlike")}
+    again = resolved(mentions, entities, aliases.unionByName(new))
+    assert {(r.mention, r.tier) for r in again.collect()} == {("the chip maker", 1), ("Nvdia", 1), ("fig", 1), ("X", 3)}
+
+
 def test_search_verification(spark):
     def results(*rows):
         return spark.createDataFrame([("acme#1", i, "Acme#1", f"https://l/company/{slug}", text, "robotics") for i, (slug, text) in enumerate(rows)], "name_key string, pos int, title string, link string, snippet string, sector string")
@@ -153,10 +184,56 @@ def test_stream_equals_batch(spark, tmp_path):
     for n, part in enumerate(sorted((tmp_path / "in").rglob("*.parquet"))):
         if part.is_file():
             part.rename(flat / f"{n}.parquet")
-    log, cursors = ingest.ingested(spark, str(tmp_path / "flat"), maxFilesPerTrigger=1)
-    assert sorted(r.event_id for r in log.read().collect()) == list(range(60))
-    assert {r.event_type: r.last_day.day for r in cursors.read().collect()} == {"view": 9, "click": 7}
-    before = sorted(map(tuple, log.read().collect()))
-    again = spark.createDataFrame([r for r in before if r[0] >= 40], log.schema)
-    log.change(log.version, lambda old: inserted_if_absent(old, again, ["event_id"]))
-    assert sorted(map(tuple, log.read().collect())) == before
+    root, told = f"file://{tmp_path}/store", []
+    ingest.ingested(spark, str(tmp_path / "flat"), root, lambda rows: told.append({r.event_type: r.written for r in rows.collect()}), maxFilesPerTrigger=1)
+    store = ingest.Store(spark, ingest.LOG, root)  # as another driver sees it
+    assert sorted(r.event_id for r in store.read("log").collect()) == list(range(60))
+    assert {r.event_type: r.last_day.day for r in store.read("cursors").collect()} == {"view": 9, "click": 7}
+    assert len(told) == 3 and sum(sum(x.values()) for x in told) == 60
+    before = sorted(map(tuple, store.read("log").collect()))
+    again = spark.createDataFrame([r for r in before if r[0] >= 40], ingest.LOG["log"])
+    assert not store.change(max(store.commits()), lambda change: change.append("log", again))
+    assert sorted(map(tuple, store.read("log").collect())) == before
+
+    more = [(i, datetime.datetime(2024, 2, 1), 1, "view", 1.0, "{}") for i in range(55, 64)]
+    spark.createDataFrame(more, schema).coalesce(1).write.parquet(str(tmp_path / "in/more"))
+    next((tmp_path / "in" / "more").glob("*.parquet")).rename(flat / "9.parquet")
+
+    def fails(rows):
+        raise OSError("nobody listens")
+
+    ingest.ingested(spark, str(tmp_path / "flat"), root, fails)
+    assert sorted(r.event_id for r in store.read("log").collect()) == list(range(64)) and len(store.commits()) == 4
+    assert {r.event_type: r.last_day.month for r in store.read("cursors").collect()} == {"view": 2, "click": 1}
+
+
+def test_store(spark, tmp_path):
+    """Three tables change together or not at all; a second writer is refused; a step is done once."""
+    from strandwork.streaming.store import Busy, Store
+
+    schemas = {"a": "x int", "b": "y string", "c": "z int"}
+    store = Store(spark, schemas, f"file://{tmp_path}/s")
+    one, two = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("q",)], "y string")
+
+    def work(change):
+        change.append("a", one)
+        change.append("b", two)
+        change.append("c", one.toDF("z"))
+
+    def broken(change):
+        change.append("a", one)
+        change.replace("b", two.limit(0))
+        raise ValueError("c cannot be made")
+
+    counts = lambda: [Store(spark, schemas, store.root).read(n).count() for n in "abc"]
+    assert counts() == [0, 0, 0] and store.change(0, work) and counts() == [1, 1, 1]
+    with pytest.raises(ValueError, match="cannot"):
+        store.change(1, broken)
+    assert counts() == [1, 1, 1] and not store.change(0, work) and store.change(1, work) and counts() == [2, 2, 2]
+    assert store.change(2, lambda change: change.replace("a", one)) and counts() == [1, 2, 2]
+    with store.locked(), pytest.raises(Busy):
+        Store(spark, schemas, store.root).change(3, work)
+    with store.locked():
+        with store.locked(stale_after=-1.0):
+            pass
+    assert counts() == [1, 2, 2]
