@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions import text as tx
-from strandwork.operators.endpoints import shown_handle, visible, with_endpoints, with_names, within_days
+from strandwork.operators.endpoints import shown_handle, visible, with_endpoints, within_days
 from strandwork.plans.aggregates import BUCKET_SQL, bucket
 from strandwork.plans.base import query
 from strandwork.sources.graph_tables import AS_OF, GraphTables
@@ -19,31 +19,35 @@ def card_events(t: GraphTables, sector: str, limit: int) -> DataFrame:
     return t.catalysts.where(F.col("sector") == sector).orderBy(F.desc("ts"), F.desc("entry_id")).limit(limit)
 
 
-def card_edges(t: GraphTables, events: DataFrame, show_invalidated: bool = False) -> DataFrame:
-    edges = t.relationships.where(visible(F.col("status"), show_invalidated))
-    return with_names(edges.join(events.select("catalyst_id"), "catalyst_id"), t.entities)
-
-
 def cards(t: GraphTables, sector: str = "BUILDING", limit: int = 200) -> DataFrame:
     """One nested card for each event: entities with handles, edges by confidence, texts to share.
 
-    What would be three lookups per card is one grouped join for each kind of child.
+    What would be three lookups per card is one pass over the edges: each meets its two ends, and one aggregate makes both
+    lists of a card. Edges without one of their ends or that are not visible are in no list, but their ends are entities.
     """
     events = card_events(t, sector, limit)
-    edges = card_edges(t, events)
-    rank = F.struct(-F.col("confidence"), *[F.col(c) for c in EDGE_ORDER])
-    edge = F.struct(F.col("from_name").alias("from"), F.col("rel_type").alias("rel"), F.col("to_name").alias("to"), "confidence", "evidence_type", "status")
-    lists = edges.groupBy("catalyst_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("o"), edge.alias("e")))).alias("l"))
-    lists = lists.select("catalyst_id", F.transform("l", lambda x: x["e"]).alias("relationships"))
-
     wide = t.handles.groupBy("name_key").agg(F.max(F.when(F.col("channel") == "linkedin", shown_handle(F.col("handle"), F.col("confidence")))).alias("linkedin_handle"))
-    ends = with_endpoints(t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id").join(events.select("catalyst_id"), "catalyst_id"))
-    people = ends.select("catalyst_id", "entity_id").distinct().join(t.entities, "entity_id").withColumn("name_key", tx.name_key(F.col("name"))).join(wide, "name_key", "left")
-    entities = people.groupBy("catalyst_id").agg(F.array_sort(F.collect_list(F.struct("name", "ticker", "type", "linkedin_handle"))).alias("entities"))
+    known = t.entities.withColumn("name_key", tx.name_key(F.col("name"))).join(wide, "name_key", "left")
+    who = known.select("entity_id", F.struct("name", "ticker", "type", "linkedin_handle", "entity_id").alias("who"))
+    edges = t.relationships.join(events.select("catalyst_id"), "catalyst_id")
+    for end, to in (("entity_a_id", "a"), ("entity_b_id", "b")):
+        edges = edges.join(who.toDF(end, to), end, "left")
+    rank = F.struct(-F.col("confidence"), *[F.col(c) for c in EDGE_ORDER])
+    edge = F.struct(F.col("a.name").alias("from"), F.col("rel_type").alias("rel"), F.col("b.name").alias("to"), "confidence", "evidence_type", "status")
+    shown = visible(F.col("status")) & F.col("a").isNotNull() & F.col("b").isNotNull()
+    lists = edges.groupBy("catalyst_id").agg(
+        F.array_sort(F.collect_list(F.when(shown, F.struct(rank.alias("o"), edge.alias("e"))))).alias("l"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("a", "b")))))).alias("n"),
+    )
+    lists = lists.select(
+        "catalyst_id",
+        F.transform("l", lambda x: x["e"]).alias("relationships"),
+        F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["ticker"].alias("ticker"), x["type"].alias("type"), x["linkedin_handle"].alias("linkedin_handle"))).alias("entities"),
+    )
 
     top = F.get("relationships", F.lit(0))
     tickers = F.filter(F.transform("entities", lambda e: e["ticker"]), lambda x: x.isNotNull())
-    joined = events.join(lists, "catalyst_id", "left").join(entities, "catalyst_id", "left")
+    joined = events.join(lists, "catalyst_id", "left")
     return joined.select(
         F.col("entry_id").alias("card_id"),
         F.when(top.isNull(), "catalyst").otherwise(bucket(top["rel"])).alias("card_type"),
@@ -118,8 +122,8 @@ def p6(t):
     ends = window.select(F.explode("relationships").alias("r")).select(F.explode(F.array("r.from", "r.to")).alias("name"), "r.confidence")
     heat = ends.groupBy("name").agg(F.sum("confidence").alias("heat"), F.count("*").alias("edge_count"))
     nodes = names.join(heat, "name", "left").select("name", F.coalesce("heat", F.lit(0.0)).alias("heat"), F.coalesce("edge_count", F.lit(0).cast("long")).alias("edge_count"))
-    top = nodes.agg(F.max("heat")).first()[0] or 1.0
-    return nodes.select("name", "edge_count", F.round(F.col("heat") / F.lit(top), 3).alias("heat"))
+    top = F.max("heat").over(Window.partitionBy(F.lit(1)))  # over the nodes of so many cards as are drawn, not over a table
+    return nodes.select("name", "edge_count", F.round(F.col("heat") / F.when(top > 0, top).otherwise(1.0), 3).alias("heat"))
 
 
 @query("p6_graph_edges", f"""
@@ -165,8 +169,11 @@ def payload(t: GraphTables, sector: str = "BUILDING", limit: int = 200) -> DataF
     return made.agg(F.lit(1).alias("schema_version"), F.lit(sector).alias("sector"), F.to_json(F.array_sort(F.collect_list(F.struct("card_id", "headline", "card_type", "relationships")))).alias("cards"))
 
 
-@query("k1_payload", "SELECT 1 AS schema_version, 'BUILDING' AS sector, count(*) AS n_cards FROM (SELECT * FROM catalysts WHERE sector = 'BUILDING' LIMIT 200)")
+@query("k1_payload", f"""
+WITH {CARDS_SQL.strip()}
+SELECT 1 AS schema_version, 'BUILDING' AS sector, string_agg(concat(ev.entry_id, '=', headline, '=', (SELECT count(*) FROM ed WHERE ed.catalyst_id = ev.catalyst_id)), ';' ORDER BY ev.entry_id) AS cards FROM ev""")
 def k1(t):
-    """The document has at most ``limit`` cards, whatever the table holds."""
-    n = F.size(F.from_json("cards", "array<struct<card_id: string>>")).cast("long")
-    return payload(t).select("schema_version", "sector", n.alias("n_cards"))
+    """The document, read back: its cards with their headlines and numbers of edges."""
+    read = F.from_json("cards", "array<struct<card_id: string, headline: string, relationships: array<struct<rel: string>>>>")
+    line = F.transform(read, lambda c: F.concat_ws("=", c["card_id"], c["headline"], F.size(c["relationships"]).cast("string")))
+    return payload(t).select("schema_version", "sector", F.array_join(line, ";").alias("cards"))

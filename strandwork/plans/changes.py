@@ -13,20 +13,11 @@ def x1(t):
     return t.handles.select("name_key").subtract(t.entities.where("type = 'government'").select(F.lower("name")))
 
 
-@query("x2_name_sets", """
+@query("x2_name_sets", "x2_name_sets_all", """
 SELECT catalyst_id, array_to_string(list_sort(list_distinct(list(n))), ',') AS names FROM (
-SELECT catalyst_id, unnest([entity_a_id, entity_b_id]) AS n FROM relationships WHERE catalyst_id % 25 = 0) GROUP BY catalyst_id""")
+SELECT catalyst_id, unnest([entity_a_id, entity_b_id]) AS n FROM relationships) GROUP BY catalyst_id""")
 def x2(t):
-    return name_sets(t.relationships.where("catalyst_id % 25 = 0"))
-
-
-@query("x2_name_sets_all")
-def x2_all(t):
-    return name_sets(t.relationships)
-
-
-def name_sets(relationships):
-    ends = relationships.select("catalyst_id", F.explode(F.array("entity_a_id", "entity_b_id")).alias("n"))
+    ends = t.relationships.select("catalyst_id", F.explode(F.array("entity_a_id", "entity_b_id")).alias("n"))
     return ends.groupBy("catalyst_id").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("names"))
 
 

@@ -237,32 +237,35 @@ def f21(t):
     return t.catalysts.where("sector = 'BUILDING'").select("entry_id", F.col("entry_id").rlike(r"^[A-Za-z0-9-]{1,64}$").alias("valid"))
 
 
-@query("f22_transient_errors", """
-WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'HTTP 429 Too Many Requests' WHEN 1 THEN 'HTTP 404 Not Found' WHEN 2 THEN 'ReadTimeout: timed out'
-  WHEN 3 THEN 'ValueError: bad json' WHEN 4 THEN 'HTTP 503 unavailable' ELSE 'HTTP 408' END AS error FROM events)
-SELECT error, count(*) AS n, bool_or(event_id % 6 IN (0, 2, 4, 5)) AS transient FROM e GROUP BY error""", base=False)
-def f22(t):
-    texts = ["HTTP 429 Too Many Requests", "HTTP 404 Not Found", "ReadTimeout: timed out", "ValueError: bad json", "HTTP 503 unavailable", "HTTP 408"]
-    error = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 6 + 1).cast("int"))
-    found = t.raw("events").select("event_id", error.alias("error"))
-    return found.groupBy("error").agg(F.count("*").alias("n"), F.bool_or(tx.is_transient(F.col("error"))).alias("transient"))
+ERROR_SQL = """
+e AS (SELECT event_id, CASE event_type WHEN 'view' THEN concat('HTTP ', CAST(400 + event_id % 130 AS VARCHAR)) WHEN 'click' THEN concat('ReadTimeout: timed out after ', CAST(event_id % 60 AS VARCHAR), ' s')
+  WHEN 'purchase' THEN concat('ValueError: bad json at ', CAST(event_id AS VARCHAR)) ELSE concat('Rate limit of key ', CAST(user_id AS VARCHAR), ' exceeded') END AS error,
+  CASE event_type WHEN 'view' THEN 400 + event_id % 130 END AS code, event_type FROM events)
+"""
 
 
-@query("f23_preview_text", """
-SELECT catalyst_id, CASE WHEN catalyst_id % 5 = 0 THEN 'redirect' WHEN catalyst_id % 3 = 0 THEN 'A signal from the graph' ELSE headline END AS title
-FROM catalysts WHERE sector = 'FURNITURE'""")
+@query("f22_transient_errors", f"""
+WITH {ERROR_SQL.strip()}
+SELECT event_id, error, CASE WHEN code IS NOT NULL THEN code IN (408, 409, 425, 429) OR code >= 500 ELSE event_type <> 'purchase' END AS transient FROM e""", base=False)
+def f22(t):
+    """Which of all errors of a log are worth another attempt: by status, type and message."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    status = F.concat(F.lit("HTTP "), (400 + e % 130).cast("string"))
+    error = F.when(kind == "view", status).when(kind == "click", F.concat(F.lit("ReadTimeout: timed out after "), (e % 60).cast("string"), F.lit(" s")))
+    error = error.when(kind == "purchase", F.concat(F.lit("ValueError: bad json at "), e.cast("string"))).otherwise(F.concat(F.lit("Rate limit of key "), F.col("user_id").cast("string"), F.lit(" exceeded")))
+    return t.raw("events").select("event_id", error.alias("error")).withColumn("transient", tx.is_transient(F.col("error")))
+
+
+@query("f23_preview_text", "f23_preview_text_all", """
+WITH cards AS (SELECT catalyst_id, headline, trim(substring(string_split(sentiment_takeaways, chr(10))[1], 8)) AS subtitle FROM catalysts JOIN (SELECT DISTINCT catalyst_id FROM relationships WHERE confidence >= 0.6) USING (catalyst_id)),
+pictures AS (SELECT o_orderkey AS catalyst_id FROM orders WHERE o_totalprice >= 100000)
+SELECT o_orderkey AS catalyst_id, coalesce(c.headline, CASE WHEN p.catalyst_id IS NOT NULL THEN 'A signal from the graph' END, 'redirect') AS title, coalesce(c.subtitle, '') AS subtitle
+FROM orders LEFT JOIN cards c ON c.catalyst_id = o_orderkey LEFT JOIN pictures p ON p.catalyst_id = o_orderkey""")
 def f23(t):
-    return previews(t.catalysts.where("sector = 'FURNITURE'"))
-
-
-@query("f23_preview_text_all")
-def f23_all(t):
-    return previews(t.catalysts)
-
-
-def previews(catalysts):
-    """A preview from the card; from the picture alone if there is no card; else a redirect."""
-    k = F.col("catalyst_id")
-    rows = catalysts.select(k, F.when((k % 3 != 0) & (k % 5 != 0), F.col("headline")).alias("card"), (k % 5 != 0).alias("picture"))
-    title = F.coalesce("card", F.when(F.col("picture"), "A signal from the graph"), F.lit("redirect"))
-    return rows.select("catalyst_id", title.alias("title"))
+    """A preview of every event that a link can name: from its card; from its picture alone if it has no card; else a redirect."""
+    sure = t.relationships.where("confidence >= 0.6").select("catalyst_id")
+    cards = t.catalysts.join(sure, "catalyst_id", "left_semi").select("catalyst_id", "headline", tx.short_subtitle(F.col("sentiment_takeaways")).alias("subtitle"))
+    orders = t.raw("orders").select(F.col("o_orderkey").alias("catalyst_id"), "o_totalprice")
+    pictures = orders.where("o_totalprice >= 100000").select("catalyst_id", F.lit("A signal from the graph").alias("picture"))
+    rows = orders.select("catalyst_id").join(cards, "catalyst_id", "left").join(pictures, "catalyst_id", "left")
+    return rows.select("catalyst_id", F.coalesce("headline", "picture", F.lit("redirect")).alias("title"), F.coalesce("subtitle", F.lit("")).alias("subtitle"))

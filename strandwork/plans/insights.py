@@ -90,36 +90,71 @@ def p26(t):
     return e.select("catalyst_id", "l_linenumber", "l_partkey", F.when(stale, "stale").otherwise(F.col("status")).alias("status"), F.round(new, 6).alias("confidence"))
 
 
-def same_events(t, window: str = "1=1", least_shared: int = 2, overlap: float = 0.7):
-    """Pairs of events that share entities on one day and most words of their headlines.
+def event_classes(t):
+    """``catalyst_id, event``: events of one day with the same entities and words are one class, named by its smallest; and
+    ``event, ts, ids, words`` of each class, its entities from the rarest to the most frequent."""
+    ends = t.relationships.select("catalyst_id", F.explode(F.array("entity_a_id", "entity_b_id")).alias("entity_id")).distinct()
+    ends = ends.join(ends.groupBy("entity_id").agg(F.count("*").alias("n")), "entity_id")
+    sets = ends.groupBy("catalyst_id").agg(F.array_sort(F.collect_list(F.struct("n", "entity_id"))).alias("ids"))
+    words = F.array_sort(tx.context_terms(F.regexp_replace("headline", "order [0-9]+", "order")))
+    events = t.catalysts.select("catalyst_id", "ts", words.alias("words")).join(sets, "catalyst_id").withColumn("ids", F.transform("ids", lambda x: x["entity_id"]))
+    found = events.groupBy("ts", "ids", "words").agg(F.min("catalyst_id").alias("event"))
+    return events.join(found, ["ts", "ids", "words"]).select("catalyst_id", "event"), found
+
+
+def same_events(classes, least_shared: int = 2, overlap: float = 0.7):
+    """Pairs of classes that share entities on one day and most of their words.
 
-    Pairs meet in an index of (day, entity, entity) so that an entity of every event makes no pairs of all events.
+    Classes meet in an index of (day, entity) that leaves out the ``least_shared - 1`` most frequent entities of each: two
+    that share enough share one that is left. So an entity of every event makes no pairs of all events, and a class has no
+    more entries than entities. Candidates are verified by their sets.
     """
-    ends = t.relationships.select("catalyst_id", F.explode(F.array("entity_a_id", "entity_b_id")).alias("entity_id")).distinct()
-    events = t.catalysts.where(window).select("catalyst_id", "ts", "subject", tx.context_terms(F.regexp_replace("headline", "order [0-9]+", "order")).alias("words"))
-    per = ends.join(events, "catalyst_id").groupBy("catalyst_id").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"), F.first("ts").alias("ts"), F.first("words").alias("words"))
-    two = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("x"), b.alias("y")))))
-    index = per.select("catalyst_id", "ts", "words", F.explode(two).alias("p"))
+    index = classes.withColumn("entity_id", F.explode(F.slice("ids", 1, F.greatest(F.size("ids") - (least_shared - 1), F.lit(0)))))
     left, right = index.alias("l"), index.alias("r")
-    found = left.join(right, (F.col("l.ts") == F.col("r.ts")) & (F.col("l.p") == F.col("r.p")) & (F.col("l.catalyst_id") < F.col("r.catalyst_id")))
-    both = F.size(F.array_intersect("l.words", "r.words"))
-    found = found.where(both >= overlap * F.least(F.size("l.words"), F.size("r.words")))
-    return found.select(F.col("l.catalyst_id").alias("a"), F.col("r.catalyst_id").alias("b")).distinct()
+    found = left.join(right, (F.col("l.ts") == F.col("r.ts")) & (F.col("l.entity_id") == F.col("r.entity_id")) & (F.col("l.event") < F.col("r.event")))
+    shared, both = F.size(F.array_intersect("l.ids", "r.ids")), F.size(F.array_intersect("l.words", "r.words"))
+    found = found.where((shared >= least_shared) & (both >= overlap * F.least(F.size("l.words"), F.size("r.words"))))
+    return found.select(F.col("l.event").alias("a"), F.col("r.event").alias("b")).distinct()
+
+
+WORDS_SQL = r"""
+n AS (SELECT entity_id, count(*) AS n FROM (SELECT DISTINCT catalyst_id, unnest([entity_a_id, entity_b_id]) AS entity_id FROM relationships) GROUP BY 1),
+s AS (SELECT catalyst_id, list(entity_id ORDER BY n, entity_id) AS ids FROM (SELECT DISTINCT catalyst_id, unnest([entity_a_id, entity_b_id]) AS entity_id FROM relationships) JOIN n USING (entity_id) GROUP BY 1),
+w AS (SELECT catalyst_id, ts, ids, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(regexp_replace(headline, 'order [0-9]+', 'order')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 3))) AS words
+  FROM catalysts JOIN s USING (catalyst_id)),
+cls AS (SELECT ts, ids, words, min(catalyst_id) AS event FROM w GROUP BY 1, 2, 3)
+"""
+PAIRS_SQL = f"""
+{WORDS_SQL.strip()},
+pairs AS (SELECT a.event AS a, b.event AS b FROM cls a JOIN cls b ON a.ts = b.ts AND a.event < b.event
+  WHERE len(list_intersect(a.ids, b.ids)) >= 2 AND len(list_intersect(a.words, b.words)) >= 0.7 * least(len(a.words), len(b.words)))
+"""
+
+
+@query("p27_duplicate_events", f"WITH {PAIRS_SQL.strip()} SELECT a, b FROM pairs")
+def p27(t):
+    return same_events(event_classes(t)[1])
 
 
-@query("p27_duplicate_events", """
-WITH x AS (SELECT DISTINCT r.catalyst_id, unnest([entity_a_id, entity_b_id]) AS id FROM relationships r),
-p AS (SELECT a.catalyst_id AS a, b.catalyst_id AS b FROM x a JOIN catalysts ca ON ca.catalyst_id = a.catalyst_id JOIN catalysts cb ON cb.ts = ca.ts AND cb.catalyst_id > ca.catalyst_id AND cb.subject = ca.subject
-  JOIN x b ON b.catalyst_id = cb.catalyst_id AND b.id = a.id GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT a, b FROM p""")
-def p27(t):
-    return same_events(t)
+@query("p27_event_classes", f"WITH {WORDS_SQL.strip()} SELECT catalyst_id, event FROM w JOIN cls USING (ts, ids, words)")
+def p27_classes(t):
+    """The class of every event, which the pairs are between."""
+    return event_classes(t)[0]
 
 
-@query("p27_event_groups")
+@query("p27_event_groups", f"""
+WITH RECURSIVE {PAIRS_SQL.strip()},
+ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a AS event, a AS root FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.event),
+roots AS (SELECT event, min(root) AS root FROM reach GROUP BY 1),
+every AS (SELECT coalesce(r.root, w2.event) AS event, w2.catalyst_id FROM (SELECT catalyst_id, event FROM w JOIN cls USING (ts, ids, words)) w2 LEFT JOIN roots r ON r.event = w2.event)
+SELECT event, count(*) AS copies FROM every GROUP BY 1 HAVING count(*) > 1""")
 def p27_groups(t):
-    """Groups of duplicate events, named by their smallest member."""
-    return connected_components(same_events(t)).groupBy(F.col("root").alias("event")).agg(F.count("*").alias("copies"))
+    """Groups of duplicate events, copies and all that pairs of classes reach, named by their smallest member."""
+    members, classes = event_classes(t)
+    roots = connected_components(same_events(classes))
+    grouped = members.join(roots, F.col("event") == F.col("node"), "left").select(F.coalesce("root", "event").alias("event"))
+    return grouped.groupBy("event").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 @query("p28_upstream_dedup", """
@@ -139,23 +174,14 @@ def p29(t):
     return rows.groupBy(F.col("entity_a_id").alias("entity_id")).agg(F.round(F.sum(F.col("w") * F.col("confidence")), 4).alias("score"))
 
 
-@query("p30_track_record", """
-WITH s AS (SELECT c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT a.o_orderkey, (SELECT b.o_totalprice FROM s b WHERE b.c_custkey = a.c_custkey AND b.d <= a.d + 90 AND b.d >= a.d ORDER BY b.d DESC, b.o_orderkey DESC LIMIT 1) AS price_90d FROM s a WHERE a.o_orderkey % 5 = 0""", base=False)
+@query("p30_track_record", "p30_track_record_all", f"""
+WITH s AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 10000000000 + o_orderkey AS k, o_totalprice FROM orders)
+SELECT o_orderkey, {", ".join(f"arg_max(o_totalprice, k) OVER (PARTITION BY o_custkey ORDER BY d RANGE BETWEEN CURRENT ROW AND INTERVAL {n} DAY FOLLOWING) AS price_{n}d" for n in (30, 60, 90))} FROM s""", base=False)
 def p30(t):
-    return outcomes(t, 90).where("o_orderkey % 5 = 0")
-
-
-@query("p30_track_record_all", base=False)
-def p30_all(t):
-    return outcomes(t, 30, 60, 90)
-
-
-def outcomes(t, *days):
     """The last price known so many days after an event, from the event on: an as-of join as one window over each customer."""
     s = t.raw("orders").select("o_custkey", "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("d"), "o_totalprice")
     w = Window.partitionBy("o_custkey").orderBy("d")
-    last = [F.max(F.struct("d", "o_orderkey", "o_totalprice")).over(w.rangeBetween(0, n))["o_totalprice"].alias(f"price_{n}d") for n in days]
+    last = [F.max(F.struct("d", "o_orderkey", "o_totalprice")).over(w.rangeBetween(0, n))["o_totalprice"].alias(f"price_{n}d") for n in (30, 60, 90)]
     return s.select("o_orderkey", *last)
 
 

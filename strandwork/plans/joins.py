@@ -139,24 +139,13 @@ def j13(t):
     return named.select("entity_id", "partner", place.alias("place")).where("place <= 30").withColumn("place", F.col("place").cast("long"))
 
 
-@query("j14_entity_headlines", """
-WITH h AS (SELECT DISTINCT e.entity_id, c.headline FROM relationships r JOIN entities e ON e.entity_id IN (r.entity_a_id, r.entity_b_id) JOIN catalysts c USING (catalyst_id) WHERE e.entity_id < 10000000),
+@query("j14_entity_headlines", "j14_entity_headlines_all", """
+WITH h AS (SELECT DISTINCT e.entity_id, c.headline FROM relationships r JOIN entities e ON e.entity_id IN (r.entity_a_id, r.entity_b_id) JOIN catalysts c USING (catalyst_id)),
 n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY headline) AS place FROM h) SELECT entity_id, headline FROM n WHERE place <= 20""")
 def j14(t):
-    return headlines(t, endpoints(t).where("entity_id < 10000000"))
-
-
-@query("j14_entity_headlines_all")
-def j14_all(t):
-    return headlines(t, endpoints(t).join(t.entities.select("entity_id"), "entity_id", "left_semi"))
-
-
-def endpoints(t):
-    return with_endpoints(t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id"))
-
-
-def headlines(t, ends):
-    ends = ends.select("entity_id", "catalyst_id").distinct()
+    """Up to 20 headlines of every entity, by name."""
+    known = with_endpoints(t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id")).join(t.entities.select("entity_id"), "entity_id", "left_semi")
+    ends = known.select("entity_id", "catalyst_id").distinct()
     lines = ends.join(t.catalysts.select("catalyst_id", "headline"), "catalyst_id").select("entity_id", "headline").distinct()
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy("headline"))
     return lines.withColumn("place", place).where("place <= 20").drop("place")

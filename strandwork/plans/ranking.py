@@ -26,21 +26,12 @@ def o3(t):
     return t.raw("events").select("event_id", F.col("ts").cast("date").alias("day")).orderBy(F.desc("day"), "event_id").limit(300)
 
 
-@query("o4_edges_by_confidence", """
+@query("o4_edges_by_confidence", "o4_edges_by_confidence_all", """
 SELECT catalyst_id, rel_type, entity_a_id, row_number() OVER (PARTITION BY catalyst_id ORDER BY confidence DESC, rel_type, entity_a_id, entity_b_id, l_partkey, l_linenumber) AS place
-FROM relationships WHERE catalyst_id % 4 = 1""")
+FROM relationships""")
 def o4(t):
-    return placed_edges(t.relationships.where("catalyst_id % 4 = 1"))
-
-
-@query("o4_edges_by_confidence_all")
-def o4_all(t):
-    return placed_edges(t.relationships)
-
-
-def placed_edges(relationships):
     order = Window.partitionBy("catalyst_id").orderBy(F.desc("confidence"), "rel_type", "entity_a_id", "entity_b_id", "l_partkey", "l_linenumber")
-    return relationships.select("catalyst_id", "rel_type", "entity_a_id", F.row_number().over(order).cast("long").alias("place"))
+    return t.relationships.select("catalyst_id", "rel_type", "entity_a_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("o5_due_entities", """
@@ -135,48 +126,28 @@ def batches(heat, size: int = 15):
     return placed.select("entity_id", F.floor((F.col("_before") + F.col("_n")) / size).alias("batch"))
 
 
-@query("w4_paint_batches", """
+@query("w4_paint_batches", "w4_paint_all", """
 WITH e AS (SELECT entity_a_id AS id, confidence FROM relationships UNION ALL SELECT entity_b_id, confidence FROM relationships),
 h AS (SELECT id, count(*) AS n, round(sum(confidence), 6) AS heat FROM e GROUP BY id),
-b AS (SELECT id, CAST(floor((row_number() OVER (ORDER BY n DESC, heat DESC, id) - 1) / 15) AS BIGINT) AS batch FROM h WHERE id < 10000000),
-SELECT greatest(x.batch, coalesce(y.batch, 0)) AS edge_batch, count(*) AS n_edges FROM relationships r JOIN b x ON x.id = r.entity_a_id LEFT JOIN b y ON y.id = r.entity_b_id GROUP BY 1""".replace("10000000),\nSELECT", "10000000)\nSELECT"))
+b AS (SELECT id, CAST(floor((row_number() OVER (ORDER BY n DESC, heat DESC, id) - 1) / 15) AS BIGINT) AS batch FROM h)
+SELECT greatest(x.batch, y.batch) AS edge_batch, count(*) AS n_edges FROM relationships r JOIN b x ON x.id = r.entity_a_id JOIN b y ON y.id = r.entity_b_id GROUP BY 1""")
 def w4(t):
-    """Nodes are painted fifteen at a time by degree and heat; an edge comes with the later of its ends.
-
-    This is the part that its SQL has, suppliers only; ``w4_paint_all`` is the whole painting order.
-    """
-    batch = batches(heats(t.relationships).where("entity_id < 10000000"))
-    edges = t.relationships.select("entity_a_id", "entity_b_id").join(batch.toDF("entity_a_id", "a"), "entity_a_id").join(batch.toDF("entity_b_id", "b"), "entity_b_id", "left")
-    return edges.groupBy(F.greatest("a", F.coalesce("b", F.lit(0).cast("long"))).alias("edge_batch")).agg(F.count("*").alias("n_edges"))
-
-
-@query("w4_paint_all")
-def w4_all(t):
-    """The batch of every edge, with suppliers and customers in one painting order: the later of both ends."""
+    """Nodes are painted fifteen at a time by degree and heat; an edge comes with the later of its ends."""
     batch = batches(heats(t.relationships))
     edges = t.relationships.select("entity_a_id", "entity_b_id").join(batch.toDF("entity_a_id", "a"), "entity_a_id").join(batch.toDF("entity_b_id", "b"), "entity_b_id")
     return edges.groupBy(F.greatest("a", "b").alias("edge_batch")).agg(F.count("*").alias("n_edges"))
 
 
-@query("w7_related_names", """
+@query("w7_related_names", "w7_related_names_all", """
 WITH r AS (SELECT catalyst_id, a.name AS x, b.name AS y, row_number() OVER (PARTITION BY catalyst_id ORDER BY confidence DESC, a.name, rel_type, l_partkey, l_linenumber) AS place
-  FROM relationships JOIN entities a ON a.entity_id = entity_a_id JOIN entities b ON b.entity_id = entity_b_id WHERE catalyst_id % 3 = 0),
+  FROM relationships JOIN entities a ON a.entity_id = entity_a_id JOIN entities b ON b.entity_id = entity_b_id),
 top AS (SELECT catalyst_id, x, y FROM r WHERE place = 1),
 n AS (SELECT r.catalyst_id, unnest([r.x, r.y]) AS name, place FROM r WHERE place > 1),
 f AS (SELECT n.catalyst_id, name, min(place) AS place FROM n JOIN top USING (catalyst_id) WHERE name <> top.x AND name <> top.y GROUP BY 1, 2)
 SELECT catalyst_id, name, place FROM f QUALIFY row_number() OVER (PARTITION BY catalyst_id ORDER BY place, name) <= 4""")
 def w7(t):
-    return related_names(t.relationships.where("catalyst_id % 3 = 0"), t.entities)
-
-
-@query("w7_related_names_all")
-def w7_all(t):
-    return related_names(t.relationships, t.entities)
-
-
-def related_names(relationships, entities):
     """Up to four other names on an event's edges, in the order of the edges."""
-    edges = with_names(relationships, entities)
+    edges = with_names(t.relationships, t.entities)
     w = Window.partitionBy("catalyst_id").orderBy(F.desc("confidence"), "from_name", "rel_type", "l_partkey", "l_linenumber")
     whole = Window.partitionBy("catalyst_id").orderBy("place")
     ranked = edges.withColumn("place", F.row_number().over(w))

@@ -20,16 +20,20 @@ def c1(t):
     return t.entities.select("name", tx.name_key(F.col("name")).alias("name_key"))
 
 
-@query("c2_tokens", r"""
+PLAIN_SQL = r"plain AS (SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS text FROM documents)"
+
+
+@query("c2_tokens", rf"""
+WITH {PLAIN_SQL}
 SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''), ' ') AS words
-FROM documents WHERE lang = 'en'""", base=False)
+FROM plain""", base=False)
 def c2(t):
-    return t.raw("documents").where("lang = 'en'").select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("words"))
+    return t.raw("documents").select("doc_id", F.array_join(tx.tokens(tx.folded(F.col("text"))), " ").alias("words"))
 
 
-@query("u2_folded_text", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents WHERE lang IN ('fr', 'es')", base=False)
+@query("u2_folded_text", f"WITH {PLAIN_SQL} SELECT doc_id, md5(text) AS folded FROM plain", base=False)
 def u2(t):
-    return t.raw("documents").where("lang in ('fr', 'es')").select("doc_id", F.md5(tx.folded(F.col("text"))).alias("folded"))
+    return t.raw("documents").select("doc_id", F.md5(tx.folded(F.col("text"))).alias("folded"))
 
 
 @query("c4_slugs", """
@@ -52,13 +56,14 @@ def c5(t):
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.CONTEXT_STOPWORDS)
 
 
-@query("c7_context_terms", f"""
-WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM documents WHERE lang = 'en')
+@query("c7_context_terms", rf"""
+WITH {PLAIN_SQL},
+w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM plain)
 SELECT doc_id, count(*) AS n_terms, count(*) FILTER (WHERE w IN ('tion', 'thing', 'erst', 'onthe', 'inthe', 'heat')) AS hits FROM w WHERE length(w) >= 3 AND w NOT IN ({STOP_SQL}) GROUP BY doc_id""", base=False)
 def c7(t):
     """C7 and C8: context words, and how many a text has of them."""
     context = F.array(*map(F.lit, ["tion", "thing", "erst", "onthe", "inthe", "heat"]))
-    docs = t.raw("documents").where("lang = 'en'")
+    docs = t.raw("documents").select("doc_id", tx.folded(F.col("text")).alias("text"))
     terms = docs.select("doc_id", F.size(tx.context_terms(F.col("text"))).cast("long").alias("n_terms"), tx.context_hits(F.col("text"), context, F.array(F.lit("ofthe"))).cast("long").alias("hits"))
     return terms.where("n_terms > 0")
 
@@ -125,21 +130,12 @@ def c17(t):
     return t.raw("events").select("event_id", F.concat(code, F.lit("-"), F.date_format("ts", "MMddyy"), F.lit("-"), F.format_string("%03d", "event_id")).alias("entry_id"))
 
 
-@query("c25_prompt_lines", """
+@query("c25_prompt_lines", "c25_prompt_lines_all", """
 SELECT catalyst_id, array_to_string(list_transform(list_sort(list(rel_type))[1:8], lambda r, i: concat('[', CAST(i AS VARCHAR), '] ', r)), chr(10)) AS cites FROM
-(SELECT DISTINCT catalyst_id, rel_type FROM relationships WHERE catalyst_id % 5 = 0) GROUP BY catalyst_id""")
+(SELECT DISTINCT catalyst_id, rel_type FROM relationships) GROUP BY catalyst_id""")
 def c25(t):
-    return prompt_lines(t.relationships.where("catalyst_id % 5 = 0"))
-
-
-@query("c25_prompt_lines_all")
-def c25_all(t):
-    return prompt_lines(t.relationships)
-
-
-def prompt_lines(relationships):
     """The first eight sources, numbered from 1."""
-    rels = relationships.select("catalyst_id", "rel_type").distinct().groupBy("catalyst_id").agg(F.slice(F.array_sort(F.collect_list("rel_type")), 1, 8).alias("r"))
+    rels = t.relationships.select("catalyst_id", "rel_type").distinct().groupBy("catalyst_id").agg(F.slice(F.array_sort(F.collect_list("rel_type")), 1, 8).alias("r"))
     lines = F.transform("r", lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), r))
     return rels.select("catalyst_id", F.array_join(lines, "\n").alias("cites"))
 

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "stran
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("STRANDWORK_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
