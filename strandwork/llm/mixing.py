@@ -15,7 +15,8 @@ from strandwork.llm._rows import spare
 from strandwork.session import broadcast_if_small, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BITS = 12
+#: Slices of the hash: so many that one has about ``ROWS_A_SLICE`` rows, within bounds.
+SLICE_BITS, MOST_SLICE_BITS, ROWS_A_SLICE = 12, 22, 20_000
 HASH_BITS = 60
 
 
@@ -68,7 +69,8 @@ def mix_plan(sized: DataFrame, weights, source: str = "source", max_epochs: floa
     with a ``weight`` column. The words wanted beyond whole repetitions are filled in order of the hash: whole slices
     of the hash by their sums, then documents inside the one slice where the sum is reached, to the nearest document.
     """
-    part = F.shiftright("mix_hash", HASH_BITS - SLICE_BITS)
+    bits = min(MOST_SLICE_BITS, max(SLICE_BITS, (sized.count() // ROWS_A_SLICE).bit_length()))
+    part = F.shiftright("mix_hash", HASH_BITS - bits)
     slices = settled(sized.groupBy(source, part.alias("part")).agg(F.sum("size").alias("words")))
     totals = weights(slices.groupBy(source).agg(F.sum("words").alias("source_size")))
     plan = water_fill(settled(totals), max_epochs)
@@ -96,7 +98,7 @@ def mix_plan(sized: DataFrame, weights, source: str = "source", max_epochs: floa
         .agg(F.max(F.struct("mix_hash", "mix_id")).alias("last"))
     )
     cut = ends.select("_s", "_part").join(last.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left")
-    start = F.struct(F.shiftleft("_part", HASH_BITS - SLICE_BITS).alias("mix_hash"), F.lit("").alias("mix_id"))
+    start = F.struct(F.shiftleft("_part", HASH_BITS - bits).alias("mix_hash"), F.lit("").alias("mix_id"))
     cut = cut.select("_s", F.coalesce("last", start).alias("last"))
     return plan.join(cut, F.col(source).eqNullSafe(F.col("_s")), "left").select(F.col(source).alias("_source"), "source_size", "target", "repeats", "last")
 

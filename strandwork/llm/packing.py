@@ -24,6 +24,7 @@ from strandwork.session import settled
 
 LIMIT = 2048
 END_ID = 1
+SLOTS_A_GROUP = 4096
 
 
 @lru_cache(maxsize=4)
@@ -101,14 +102,16 @@ def in_sequences(cut: DataFrame, per_slot: int = 100_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``: every piece is a sequence, numbered from 0 by length and place in its bucket.
 
     A bucket is numbered in slots of about ``per_slot`` pieces, dealt by a hash of document and start; slot offsets
-    come from one small count per slot.
+    come from one count per slot, added up in groups and then over the groups, of which there are few.
     """
     cut = settled(cut)
     slots = max(1, cut.count() // per_slot)
     cut = cut.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slots)))
-    counts = cut.groupBy("length", "_slot").count()
-    before = F.sum("count").over(Window.orderBy("length", "_slot")) - F.col("count")
-    places = counts.select("length", "_slot", before.alias("_before"))
+    counts = settled(cut.groupBy("length", "_slot").count().withColumn("_group", F.floor(F.col("_slot") / SLOTS_A_GROUP)))
+    inside = F.sum("count").over(Window.partitionBy("length", "_group").orderBy("_slot")) - F.col("count")
+    totals = counts.groupBy("length", "_group").agg(F.sum("count").alias("_all"))
+    earlier = totals.select("length", "_group", (F.sum("_all").over(Window.orderBy("length", "_group")) - F.col("_all")).alias("_earlier"))
+    places = counts.withColumn("_inside", inside).join(earlier, ["length", "_group"]).select("length", "_slot", (F.col("_earlier") + F.col("_inside")).alias("_before"))
     rest = [c for c in cut.columns if c not in ("length", "_slot", "doc_id", "start")]
     order = Window.partitionBy("length", "_slot").orderBy("doc_id", "start", *rest)
     numbered = cut.withColumn("_n", F.row_number().over(order) - 1)
