@@ -35,7 +35,7 @@ def odd_docs(spark):
     df = spark.createDataFrame([(*x, None if x[1] is None else len(x[1])) for x in rows], DOCS)
     from pyspark.sql import functions as F
 
-    clash = ["size", "slot", "fp", "key", "score", "kept", "count", "digest", "spans", "part", "length", "start", "label", "root", "node", "copies", "target"]
+    clash = ["size", "slot", "fp", "key", "score", "kept", "count", "digest", "spans", "part", "length", "start", "label", "root", "node", "copies", "target", "last", "repeats", "mix_hash", "mix_id", "_source", "_own", "_dropped", "_id", "_l", "_slot", "_digest", "_size", "_x_own", "_X_row", "raw", "run", "block", "revisit"]
     return df.select("*", *[F.lit(f"clash {c}").alias(c) for c in clash]).cache()
 
 
