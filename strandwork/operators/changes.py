@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,11 @@ def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
-def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The last row of each key in the given order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The row of each key that is last by the columns ``order``: an aggregate, which combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}") for c in rows.columns])
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -107,12 +107,12 @@ def a13(t):
     """How many rows reach each stage, and what is lost on the way."""
     counts = t.catalysts.agg(F.count("*").alias("ingested"), F.count_if(F.col("significance_score") >= 0.3).alias("exported"), F.count_if(F.col("significance_score") >= 0.6).alias("published"))
     upstream = t.raw("orders").agg(F.count("*").alias("upstream"))
-    stages = ["upstream", "ingested", "exported", "published"]
-    rows = None
-    for step, stage in enumerate(stages, 1):
-        one = (upstream if step == 1 else counts).select(F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.col(stage).alias("n"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.withColumn("gap", F.lag("n").over(Window.orderBy("step")) - F.col("n"))
+    key = F.lit(1).alias("key")
+    both = upstream.select(key, "*").join(counts.select(key, "*"), "key")
+    stages = [F.struct(F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.col(stage).alias("n")) for step, stage in enumerate(["upstream", "ingested", "exported", "published"], 1)]
+    rows = both.select(F.array(*stages).alias("s")).select(F.posexplode("s").alias("at", "r"), "s")
+    before = F.get("s", F.col("at") - 1)["n"]
+    return rows.select("r.*", (before - F.col("r.n")).alias("gap"))
 
 
 @query("a14_parallel_edges", """

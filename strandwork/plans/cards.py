@@ -177,3 +177,20 @@ def k1(t):
     read = F.from_json("cards", "array<struct<card_id: string, headline: string, relationships: array<struct<rel: string>>>>")
     line = F.transform(read, lambda c: F.concat_ws("=", c["card_id"], c["headline"], F.size(c["relationships"]).cast("string")))
     return payload(t).select("schema_version", "sector", F.array_join(line, ";").alias("cards"))
+
+
+@query("f20_payload_guards", """
+SELECT sector, CASE sector WHEN 'AUTOMOBILE' THEN 'unreadable' WHEN 'HOUSEHOLD' THEN 'wrong version' WHEN 'MACHINERY' THEN 'empty' ELSE 'ok' END AS state, CASE WHEN sector IN ('BUILDING', 'FURNITURE') THEN least(count(*), 50) END AS n_cards FROM catalysts GROUP BY sector""")
+def f20(t):
+    """What a reader of payloads checks before it shows one: that it can be read, has the version it knows, and has cards.
+    Of the payloads of all sectors, one is cut off, one is of another version and one has no cards."""
+    place = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("ts"), F.desc("entry_id")))
+    newest = t.catalysts.select("sector", "entry_id", place.alias("place")).where("place <= 50")
+    ids = F.when(F.col("sector") != "MACHINERY", F.struct(F.col("entry_id").alias("card_id")))
+    version = F.when(F.col("sector") == "HOUSEHOLD", 2).otherwise(1)
+    made = newest.groupBy("sector").agg(F.collect_list(ids).alias("cards")).select("sector", F.to_json(F.struct(version.alias("schema_version"), "cards")).alias("body"))
+    sent = made.withColumn("body", F.when(F.col("sector") == "AUTOMOBILE", F.expr("left(body, length(body) - 5)")).otherwise(F.col("body")))
+    read = F.from_json("body", "struct<schema_version: int, cards: array<struct<card_id: string>>>")
+    rows = sent.select("sector", F.when(F.try_parse_json("body").isNotNull(), read).alias("p"))
+    state = F.when(F.col("p").isNull(), "unreadable").when(F.col("p.schema_version") != 1, "wrong version").when(F.coalesce(F.size("p.cards"), F.lit(0)) == 0, "empty").otherwise("ok")
+    return rows.select("sector", state.alias("state"), F.when(state == "ok", F.size("p.cards").cast("long")).alias("n_cards"))

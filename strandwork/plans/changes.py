@@ -57,7 +57,7 @@ def x5(t):
 SELECT user_id, event_type AS source, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""", base=False)
 def x6(t):
     rows = t.raw("events").select("user_id", F.col("event_type").alias("source"), "ts", "event_id", "value")
-    return latest(rows, ["user_id", "source"], F.desc("ts"), F.desc("event_id")).select("user_id", "source", "value")
+    return latest(rows, ["user_id", "source"], "ts", "event_id").select("user_id", "source", "value")
 
 
 @query("x7_cascading_delete", """

@@ -21,7 +21,7 @@ from strandwork.session import shared_dir
 from strandwork.sources import documents
 from strandwork.sources.graph_tables import AS_OF, CUSTOMER_OFFSET, nth
 from strandwork.streaming import ingest
-from strandwork.streaming.store import Store
+from strandwork.streaming.store import Busy, Store
 
 
 @query("p3_postprocessed_edges", f"""
@@ -338,3 +338,31 @@ def k6(t):
     place = own_place(t, "dump")
     documents.write_json_lines(records, place)
     return t.spark.read.schema("entry_id string, error string, n_edges bigint").json(place)
+
+
+@query("r6_single_writer", """
+SELECT run, outcome, n FROM (SELECT 'first' AS run, 'written' AS outcome, count(*) AS n FROM events WHERE event_type = 'view' UNION ALL SELECT 'meanwhile', 'refused', 0 UNION ALL SELECT 'after', 'written', count(*) FROM events WHERE event_type = 'click')""", base=False)
+def r6(t):
+    """A run that starts while another writes is refused and leaves nothing; one that comes after it is not."""
+    schemas, outcomes = {"log": "run string, event_id bigint"}, {}
+    store = Store(t.spark, schemas)
+
+    def attempt(run, step, kind, during=None):
+        rows = t.raw("events").where(F.col("event_type") == kind).select(F.lit(run).alias("run"), "event_id")
+
+        def work(change):
+            change.append("log", rows)
+            if during is not None:
+                during()
+
+        try:
+            Store(t.spark, schemas, store.root).change(step, work)
+            outcomes[run] = "written"
+        except Busy:
+            outcomes[run] = "refused"
+
+    attempt("first", 0, "view", lambda: attempt("meanwhile", 1, "purchase"))
+    attempt("after", 2, "click")
+    told = t.spark.createDataFrame(list(outcomes.items()), "run string, outcome string")
+    counts = store.read("log").groupBy("run").agg(F.count("*").alias("n"))
+    return told.join(counts, "run", "left").select("run", "outcome", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -235,6 +235,32 @@ def n3(t):
     return t.relationships.groupBy(F.when(down, "speculative").otherwise(F.col("evidence_type")).alias("evidence_type")).agg(F.count("*").alias("n"))
 
 
+@query("n4_unknown_fields", """
+SELECT catalyst_id, l_linenumber, array_to_string(list_filter([CASE WHEN l_linenumber > 3 THEN concat('note=line ', CAST(l_linenumber AS VARCHAR)) END, CASE WHEN l_partkey % 2 = 0 THEN concat('part=', CAST(l_partkey AS VARCHAR)) END], lambda x: x IS NOT NULL), ';') AS extra FROM relationships""")
+def n4(t):
+    """Fields of an edge that the schema does not know are carried along as they are."""
+    note = F.when(F.col("l_linenumber") > 3, F.concat(F.lit("line "), F.col("l_linenumber").cast("string")))
+    body = F.to_json(F.struct("rel_type", "confidence", note.alias("note"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("part")))
+    extra = F.map_filter(F.from_json(body, "map<string, string>"), lambda k, v: ~k.isin("rel_type", "confidence"))
+    pairs = F.transform(F.array_sort(F.map_entries(extra)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return t.relationships.select("catalyst_id", "l_linenumber", F.array_join(pairs, ";").alias("extra"))
+
+
+@query("n9_required_records", """
+SELECT s_suppkey, kind, value, action FROM (SELECT s_suppkey, s_name, s_nationkey FROM supplier), LATERAL (VALUES ('A', concat('10.0.', CAST(s_nationkey AS VARCHAR), '.1'), 'ADD'), ('TXT', concat('owner=', s_name), CASE WHEN s_suppkey % 2 = 0 THEN 'NONE' ELSE 'ADD' END)) r(kind, value, action)
+WHERE action <> 'NONE'""", base=False)
+def n9(t):
+    """Records that a domain still needs, of nested answers: wanted sets, each with its records."""
+    records = "array<struct<type: string, rdata: string, requiredAction: string>>"
+    action = F.when(F.col("s_suppkey") % 2 == 0, "NONE").otherwise("ADD")
+    a = F.struct(F.lit("A").alias("type"), F.concat(F.lit("10.0."), F.col("s_nationkey").cast("string"), F.lit(".1")).alias("rdata"), F.lit("ADD").alias("requiredAction"))
+    txt = F.struct(F.lit("TXT").alias("type"), F.concat(F.lit("owner="), "s_name").alias("rdata"), action.alias("requiredAction"))
+    answer = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(a).alias("records")), F.struct(F.array(txt).alias("records"))).alias("desired")).alias("requiredDnsUpdates")))
+    read = F.from_json(answer, f"struct<requiredDnsUpdates: struct<desired: array<struct<records: {records}>>>>")
+    flat = t.raw("supplier").select("s_suppkey", F.inline(F.flatten(read["requiredDnsUpdates"]["desired"]["records"])))
+    return flat.where("requiredAction <> 'NONE'").select("s_suppkey", F.col("type").alias("kind"), F.col("rdata").alias("value"), F.col("requiredAction").alias("action"))
+
+
 @query("n6_cards_to_edges", f"""
 WITH {EXTRACTED_SQL.strip()}
 SELECT entity_a, count(*) AS n FROM extracted GROUP BY entity_a""")

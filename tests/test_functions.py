@@ -103,7 +103,7 @@ def test_changes(spark):
     assert {tuple(r) for r in once.collect()} == want
     assert {tuple(r) for r in merged(once, new, ["k"], keep_old=["ticker"], fixed=["name"]).collect()} == want
     assert inserted_if_absent(old, new, ["k"]).count() == 3
-    assert {tuple(r) for r in latest(old.unionByName(new), ["k"], F.desc("name")).collect()} == {(1, "a", None), (2, "b", "T"), (3, "c", "N")}
+    assert {tuple(r) for r in latest(old.unionByName(new), ["k"], "name").collect()} == {(1, "a", None), (2, "b", "T"), (3, "c", "N")}
 
 
 def test_components(spark):
