@@ -66,14 +66,17 @@ class Rule:
 
 def default_rules() -> list[Rule]:
     """Defects come in families, each with rules that see it from several sides, so that a document with one kind of
-    defect is not outvoted: a rule for a defect abstains where it sees none. One rule vouches for ordinary prose."""
+    defect is not outvoted: a rule for a defect abstains where it sees none. One rule vouches for ordinary prose, and
+    for none that has any of the defects."""
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     mean, symbols = F.col("word_chars") / words, F.col("n_symbols") / words
     dup, repeat = F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words
     never = F.lit(False)
     return [
         Rule("mean_word", never, ~mean.between(2.0, 14.0)),
-        Rule("prose", (symbols <= 0.02) & (dup <= 0.10) & (repeat <= 0.15), never),
+        Rule("far_mean_word", never, ~mean.between(1.5, 20.0)),
+        Rule("unbroken", never, F.col("word_chars") > 25 * words),
+        Rule("prose", mean.between(2.0, 14.0) & (symbols <= 0.02) & (dup <= 0.10) & (repeat <= 0.15), never),
         Rule("symbols_per_word", never, symbols > 0.10),
         Rule("symbol_share", never, F.col("n_symbols") > 0.02 * F.col("word_chars")),
         Rule("symbols_per_line", never, F.col("n_symbols") > 3 * lines),
@@ -161,23 +164,24 @@ b AS (
   FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [
-    CASE WHEN NOT word_chars / words BETWEEN 2.0 AND 14.0 THEN 0 END,
-    CASE WHEN n_symbols / words <= 0.02 AND n_dup_lines / lines <= 0.10 AND n_repeat_words / words <= 0.15 THEN 1 END,
+    CASE WHEN NOT word_chars / words BETWEEN 2.0 AND 14.0 THEN 0 END, CASE WHEN NOT word_chars / words BETWEEN 1.5 AND 20.0 THEN 0 END,
+    CASE WHEN word_chars > 25 * words THEN 0 END,
+    CASE WHEN word_chars / words BETWEEN 2.0 AND 14.0 AND n_symbols / words <= 0.02 AND n_dup_lines / lines <= 0.10 AND n_repeat_words / words <= 0.15 THEN 1 END,
     CASE WHEN n_symbols / words > 0.10 THEN 0 END, CASE WHEN n_symbols > 0.02 * word_chars THEN 0 END, CASE WHEN n_symbols > 3 * lines THEN 0 END,
     CASE WHEN n_dup_lines / lines > 0.30 THEN 0 END, CASE WHEN n_repeat_words / words > 0.40 THEN 0 END,
     CASE WHEN n_dup_lines / lines > 0.20 AND n_repeat_words / words > 0.20 THEN 0 END] AS votes FROM b),
 p AS (SELECT list({'v': votes, 'n': n} ORDER BY votes) AS ps, CAST(sum(n) AS DOUBLE) AS total FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes)),
 em AS (
-  SELECT 0 AS step, 0.8::DOUBLE AS prior, list_transform(range(8), lambda j: 0.8::DOUBLE) AS acc
+  SELECT 0 AS step, 0.8::DOUBLE AS prior, list_transform(range(10), lambda j: 0.8::DOUBLE) AS acc
   UNION ALL
   SELECT step + 1, least(0.95, greatest(0.05, list_sum(list_transform(range(1, len(ps) + 1), lambda k: ps[k].n * good[k])) / total)),
-         list_transform(range(1, 9), lambda j: least(0.98, greatest(0.55,
+         list_transform(range(1, 11), lambda j: least(0.98, greatest(0.55,
            (0.8 * 0.01 * total + list_sum(list_transform(range(1, len(ps) + 1), lambda k: CASE ps[k].v[j] WHEN 1 THEN ps[k].n * good[k] WHEN 0 THEN ps[k].n * (1 - good[k]) ELSE 0 END)))
            / (0.01 * total + list_sum(list_transform(range(1, len(ps) + 1), lambda k: CASE WHEN ps[k].v[j] IS NULL THEN 0 ELSE ps[k].n END))))))
-  FROM (SELECT step, ps, total, list_transform(ps, lambda q: 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j:
+  FROM (SELECT step, ps, total, list_transform(ps, lambda q: 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 11), lambda j:
           CASE q.v[j] WHEN 1 THEN ln(acc[j] / (1 - acc[j])) WHEN 0 THEN -ln(acc[j] / (1 - acc[j])) ELSE 0 END)))))) AS good FROM em, p WHERE step < 50)),
 m AS (SELECT prior, acc FROM em WHERE step = 50)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND s >= 0.5 AS kept, round(s, 6) AS posterior
-FROM (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j:
+FROM (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 11), lambda j:
         CASE votes[j] WHEN 1 THEN ln(acc[j] / (1 - acc[j])) WHEN 0 THEN -ln(acc[j] / (1 - acc[j])) ELSE 0 END))))) AS s FROM v, m)
 """

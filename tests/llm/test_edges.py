@@ -121,6 +121,18 @@ def test_quality_rules(odd_docs, no_docs):
     assert quality_rules.judged(no_docs).collect() == []
 
 
+def test_one_defect_is_enough(spark):
+    """Of a corpus of prose, texts whose only defect is one of word length, symbols or repeated lines go."""
+    r = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    prose = [" ".join(word(int(r.integers(2, 9))) for _ in range(120)) for _ in range(300)]
+    junk = [" ".join(word(40) for _ in range(60)) for _ in range(3)]
+    junk += [" ".join(word(5) + "#$" for _ in range(80)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
+    kept = {x.doc_id: x.kept for x in quality_rules.judged(df).select("doc_id", "kept").collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 306))
+
+
 def test_label_model():
     names = ["a", "b", "c"]
     patterns = [((1, 1, None), 800), ((0, 0, 1), 100), ((0, 1, 1), 20), ((None, None, None), 5)]
@@ -511,7 +523,7 @@ def test_windows_across_blocks():
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://a/x y\r\n", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "é" * 200_000), (7, "http://e", "alone"), (7, "http://e", "alone"), (None, "http://f", "no id")]
+    rows = [(1, "http://a/x y\r\n", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "é" * 2_500_000), (7, "http://e", "alone"), (7, "http://e", "alone"), (None, "http://f", "no id")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = [tuple(r) for r in warc.round_trip(pages, str(tmp_path / "w")).collect()]
     want = []
