@@ -1,9 +1,9 @@
 """Byte spans of documents: unique keys to name documents by, blocks of texts, shards of records, and cutting spans out.
 
-Texts are exchanged once. Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash of their keys, and what is
-found out about a block comes back to it by its number: a plan that looks at the texts several times has one exchange of
-them, which Spark runs once and reads again. Records that must meet go to shards; how many blocks and shards there are
-follows from the bytes of the texts, so that a task's memory does not grow with the corpus.
+Texts are exchanged once. Documents are dealt to blocks by a hash of their keys, a block is a partition, and what is found
+out about a block comes back to it by its number: a plan that looks at the texts several times has one exchange of them,
+which Spark runs once and reads again. Records that must meet go to shards; how many blocks and shards there are follows
+from the bytes of the texts, so that a task's memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from strandwork.session import settled
 
 SPAN = np.dtype([("key", "<i8"), ("start", "<u4"), ("end", "<u4")])
-BLOCK_BYTES, SHARD_BYTES, TASK_BYTES = 1 << 22, 1 << 23, 1 << 26
+BLOCK_BYTES, SHARD_BYTES = 1 << 25, 1 << 23
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -44,16 +44,15 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Texts:
-    """``rows`` (``block, key, doc_id, text``) dealt by block, and the numbers of tasks, blocks and shards for them."""
+    """``rows`` (``block, key, doc_id, text``) dealt by block, and the numbers of blocks and shards for them."""
 
     rows: DataFrame
-    tasks: int
     blocks: int
     shards: int
 
     def by_block(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``block``) dealt as the texts are."""
-        return rows.repartition(self.tasks, "block")
+        return rows.repartitionById(self.blocks, F.col("block"))
 
     def each(self, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
         """``run`` on the texts of every block."""
@@ -77,10 +76,10 @@ def dealt(docs: DataFrame, doc_id: str, text: str) -> Texts:
     rows = keyed(docs, doc_id, text)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(least, total // TASK_BYTES)
-    blocks = max(4 * tasks, total // BLOCK_BYTES)
+    blocks = max(least, total // BLOCK_BYTES)
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
-    return Texts(rows.select(block, "key", "doc_id", "text").repartition(tasks, "block"), tasks, blocks, max(4 * tasks, total // SHARD_BYTES))
+    dealt_rows = rows.select(block, "key", "doc_id", "text").repartitionById(blocks, F.col("block"))
+    return Texts(dealt_rows, blocks, max(2 * blocks, total // SHARD_BYTES))
 
 
 def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +130,7 @@ def packed_bodies(shards: np.ndarray, bodies: list[bytes], kind: int) -> pa.Tabl
 
 def sharded(rows: DataFrame, texts: Texts) -> DataFrame:
     """Brings each shard's rows together in a partition, sorted by shard."""
-    return rows.repartition(texts.tasks, "shard").sortWithinPartitions("shard")
+    return rows.repartitionById(texts.blocks, F.pmod("shard", F.lit(texts.blocks))).sortWithinPartitions("shard")
 
 
 def shard_by_shard(batches: Iterable[pa.RecordBatch], fold: Callable, finish: Callable, most: int = 1 << 25) -> Iterator:
