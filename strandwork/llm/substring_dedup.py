@@ -13,11 +13,14 @@ too large for one suffix array, so strings that can be equal are brought to the
 
 Equal contexts meet as one for each block, and shards fold them as they come, so a passage that everybody quotes is no
 hot spot inside; at its ends, where contexts differ by what stands around it, an anchor with more than ``CROWDED`` of
-them is split into its windows, each dealt by its own hash and then compared like any other context.
+them is split into its windows, each dealt by its own hash and then compared like any other context. Documents that are
+whole copies of earlier ones are found by their SHA-256 before all this, one digest for each block that has it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,22 +110,85 @@ def _blocks(texts: pa.Array):
             yield data[at : at + most], np.zeros(1, np.int64), np.array([row]), at
 
 
-def _framed(block: int, records: np.ndarray) -> bytes:
-    """Records of one block with its number, so that the payloads of many blocks can be laid end to end."""
-    return np.array([block, len(records)], "<u4").tobytes() + records.tobytes()
+def _framed(shard: np.ndarray, records: np.ndarray, block: int) -> pa.Table:
+    """Records of one block for their shards, each payload with the block's number and how many it has."""
+    order = np.argsort(shard, kind="stable")
+    shard, records = shard[order], records[order]
+    cuts, ends = groups(shard)
+    bodies = [np.array([block, b - a], "<u4").tobytes() + records[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+    return _spans.packed_bodies(shard[cuts], bodies, _spans.RECORDS)
+
+
+def _unframed(bodies: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Records of the payloads of a shard, and the block of each."""
+    heads = [np.frombuffer(b, "<u4", 2).tolist() for b in bodies]
+    return np.concatenate([np.frombuffer(b, kind, n, 8) for b, (_, n) in zip(bodies, heads, strict=True)]), np.repeat(np.array([b for b, _ in heads], np.int32), [n for _, n in heads])
+
+
+def _answers(records: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    """Records as rows of ``OF_BLOCK``, one for each block."""
+    order = np.argsort(block, kind="stable")
+    records, block = records[order], block[order]
+    cuts, ends = groups(block)
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int32()), pa.array([records[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["block", "payload"])
+
+
+#: A digest and the smallest document with it, of those that a block knows.
+FIRST = np.dtype([("digest", "S32"), ("key", "<i8")])
+
+
+def _firsts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The first document of each digest in a block, and the digest of each document; of texts under ``LENGTH`` bytes, which
+    lose nothing, none."""
+    # a byte in front, as trailing zeros fall off what numpy takes for a string
+    raw = [b"" if len(t) < LENGTH else b"=" + hashlib.sha256(t).digest()[:30] + b"." for t in docs.column("text").cast(pa.binary()).to_pylist()]
+    digests, key = np.array(raw, "S32"), docs.column("key").to_numpy()
+    order = np.lexsort((key, digests))
+    heads, _ = groups(digests[order])
+    out = np.empty(len(heads), FIRST)
+    out["digest"], out["key"] = digests[order[heads]], key[order[heads]]
+    return out[out["digest"] != b""], digests
+
+
+def first_documents(texts: Texts) -> DataFrame:
+    """``block, payload``: for each block the digests it has in common with others, and the smallest document with each."""
+    shards = texts.shards
+
+    def digested(docs: pa.Table) -> pa.Table:
+        first, _ = _firsts(docs)
+        shard = np.frombuffer(first["digest"].astype("S5").tobytes(), np.uint8).reshape(-1, 5)[:, 1:].copy().view("<u4").ravel() % shards
+        return _framed(shard.astype(np.int64), first, docs.column("block")[0].as_py())
+
+    def answers(bodies: list[bytes]):
+        first, block = _unframed(bodies, FIRST)
+        order = np.lexsort((first["key"], first["digest"]))
+        first, block = first[order], block[order]
+        heads, ends = groups(first["digest"])
+        several = np.repeat(ends - heads > 1, ends - heads)
+        first["key"] = np.repeat(first["key"][heads], ends - heads)
+        yield _answers(first[several], block[several])
+
+    def shared(batches):
+        return _spans.shard_by_shard(batches, None, answers, 1 << 62)  # a record for each block that has a digest
+
+    return _spans.sharded(texts.each(digested, _spans.PACKED), texts).mapInArrow(shared, _spans.OF_BLOCK)
 
 
-def _frames(body: bytes):
-    """Block and records, one after another."""
-    at = 0
-    while at < len(body):
-        block, n = np.frombuffer(body, "<u4", 2, at).tolist()
-        yield block, np.frombuffer(body, "<u8", n, at + 8)
-        at += 8 + 8 * n
+def _whole_copies(docs: pa.Table, known: list[bytes]) -> np.ndarray:
+    """Which documents of a block are whole copies of smaller ones, there or elsewhere."""
+    first, digests = _firsts(docs)
+    elsewhere = np.frombuffer(b"".join(known), FIRST)
+    every = np.concatenate([first, elsewhere])
+    every = every[np.lexsort((every["key"], every["digest"]))]
+    every = every[groups(every["digest"])[0]]
+    if not len(every):
+        return np.zeros(len(digests), bool)
+    at = np.minimum(np.searchsorted(every["digest"], digests), len(every) - 1)
+    return (every["digest"][at] == digests) & (docs.column("key").to_numpy() > every["key"][at])
 
 
-def shared_anchors(texts: Texts, crowded: int = CROWDED) -> DataFrame:
-    """``block, payload``: for each block its anchors that occur in more than one document.
+def shared_anchors(texts: Texts, firsts: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """``block, payload``: for each block its anchors that occur in more than one document, whole copies left aside.
 
     A record is an anchor's 48 bits above one that says whether the block has it in several documents and 15 for the
     number of different contexts there. What comes back has the lowest bit set where an anchor is crowded: where it has
@@ -130,8 +196,9 @@ def shared_anchors(texts: Texts, crowded: int = CROWDED) -> DataFrame:
     """
     shards, most = texts.shards, (1 << 15) - 1
 
-    def tally(docs: pa.Table) -> pa.Table:
-        found = []
+    def tally(docs: pa.Table, known: pa.Table) -> pa.Table:
+        found, block = [], docs.column("block")[0].as_py()
+        docs = docs.filter(pa.array(~_whole_copies(docs, known.column("payload").to_pylist())))
         key = docs.column("key").to_numpy()
         for data, starts, rows, _ in _blocks(docs.column("text").combine_chunks()):
             _, _, anchor, context, text, _ = runs_of(data, starts)
@@ -141,23 +208,16 @@ def shared_anchors(texts: Texts, crowded: int = CROWDED) -> DataFrame:
         anchor, context, key = anchor[order], context[order], key[order]
         heads, ends = groups(anchor)
         if not len(heads):
-            return _spans.packed(np.zeros(0, np.int64), anchor, _spans.RECORDS)
+            return _framed(np.zeros(0, np.int64), anchor, block)
         new = np.zeros(len(anchor), np.int64)
         new[groups(anchor, context)[0]] = 1
         several = np.minimum.reduceat(key, heads) < np.maximum.reduceat(key, heads)
         contexts = np.minimum(np.add.reduceat(new, heads), most)
         record = anchor[heads] << np.uint64(16) | several.astype(np.uint64) << np.uint64(15) | contexts.astype(np.uint64)
-        shard = (anchor[heads] % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        shard, record = shard[order], record[order]
-        cuts, ends = groups(shard)
-        block = docs.column("block")[0].as_py()
-        return _spans.packed_bodies(shard[cuts], [_framed(block, record[a:b]) for a, b in zip(cuts, ends, strict=True)], _spans.RECORDS)
+        return _framed((anchor[heads] % np.uint64(shards)).astype(np.int64), record, block)
 
     def answers(bodies: list[bytes]):
-        frames = [frame for body in bodies for frame in _frames(body)]
-        block = np.repeat(np.array([b for b, _ in frames], np.int32), [len(r) for _, r in frames])
-        record = np.concatenate([r for _, r in frames])
+        record, block = _unframed(bodies, np.dtype("<u8"))
         order = np.argsort(record, kind="stable")
         record, block = record[order], block[order]
         anchor = record >> np.uint64(16)
@@ -166,16 +226,12 @@ def shared_anchors(texts: Texts, crowded: int = CROWDED) -> DataFrame:
         contexts = np.add.reduceat((record & np.uint64(most)).astype(np.int64), heads)
         answer = np.repeat(anchor[heads] << np.uint64(16) | (contexts > crowded).astype(np.uint64), ends - heads)
         kept = np.repeat(shared, ends - heads)
-        answer, block = answer[kept], block[kept]
-        order = np.argsort(block, kind="stable")
-        answer, block = answer[order], block[order]
-        cuts, ends = groups(block)
-        yield pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int32()), pa.array([answer[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["block", "payload"])
+        yield _answers(answer[kept], block[kept])
 
     def shared(batches):
         return _spans.shard_by_shard(batches, None, answers, 1 << 62)  # a record for each block that has an anchor: nothing to fold
 
-    return _spans.sharded(texts.each(tally, _spans.PACKED), texts).mapInArrow(shared, _spans.OF_BLOCK)
+    return _spans.sharded(texts.each_with(firsts, tally, _spans.PACKED), texts).mapInArrow(shared, _spans.OF_BLOCK)
 
 
 def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -309,12 +365,20 @@ def _by_anchor(chosen: np.ndarray, anchors: np.ndarray, width: np.ndarray, most:
         yield chosen[heads[a] : ends[b - 1]]
 
 
-def covered_spans(texts: Texts, shared: DataFrame) -> DataFrame:
-    """Spans that windows of smaller documents cover, by block."""
+def covered_spans(texts: Texts, firsts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Spans that windows of smaller documents cover, by block; of whole copies, all of it."""
     shards, blocks = texts.shards, texts.blocks
 
     def runs(docs: pa.Table, known: pa.Table) -> pa.Table:
-        names = np.sort(np.frombuffer(b"".join(known.column("payload").to_pylist()), "<u8"))
+        told: tuple[list[bytes], list[bytes]] = ([], [])
+        for which, body in zip(known.column("which").to_pylist(), known.column("payload").to_pylist(), strict=True):
+            told[which].append(body)
+        copies = _whole_copies(docs, told[0])
+        whole = np.empty(int(copies.sum()), SPAN)
+        whole["key"], whole["start"] = docs.column("key").to_numpy()[copies], 0
+        whole["end"] = pa.compute.binary_length(docs.column("text").filter(pa.array(copies)).cast(pa.binary())).to_numpy()
+        docs = docs.filter(pa.array(~copies))
+        names = np.sort(np.frombuffer(b"".join(told[1]), "<u8"))
         many = (names & np.uint64(1)).astype(bool)
         names = names >> np.uint64(16)
         held = [(np.zeros(0, RUN), np.zeros(0, np.uint8))]
@@ -334,6 +398,7 @@ def covered_spans(texts: Texts, shared: DataFrame) -> DataFrame:
                 out["key"], out["start"], out["windows"] = key[rows[t]], s - starts[t] + offset, n
                 held.append((out, _ragged(data, s, n + LENGTH - 1)))
         kept, contexts, spans = _folded(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        spans = np.concatenate([spans, whole])
         sent = _packed_runs((kept["anchor"] % np.uint64(shards)).astype(np.int32), kept, contexts)
         return pa.concat_tables([sent, _spans.packed((spans["key"] % shards).astype(np.int32), spans, _spans.SPANS)])
 
@@ -368,7 +433,8 @@ def covered_spans(texts: Texts, shared: DataFrame) -> DataFrame:
     def covered(batches):
         return _spans.spans_of_blocks(_spans.shard_by_shard(batches, fold, found), blocks)
 
-    return _spans.sharded(texts.each_with(shared, runs, _spans.PACKED), texts).mapInArrow(covered, _spans.OF_BLOCK)
+    known = firsts.withColumn("which", F.lit(0)).unionByName(shared.withColumn("which", F.lit(1)))
+    return _spans.sharded(texts.each_with(known, runs, _spans.PACKED), texts).mapInArrow(covered, _spans.OF_BLOCK)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True, crowded: int = CROWDED) -> DataFrame:
@@ -379,7 +445,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     table gives an empty result. Other columns are not read.
     """
     rows = dealt(docs, doc_id, text)
-    return cut_out(rows, covered_spans(rows, shared_anchors(rows, crowded)), 1, texts)
+    firsts = first_documents(rows)
+    return cut_out(rows, covered_spans(rows, firsts, shared_anchors(rows, firsts, crowded)), 1, texts)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
