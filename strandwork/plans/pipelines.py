@@ -80,8 +80,12 @@ def p1_exact(t):
     return exact(rows, t.entities.select("entity_id", "name"), tickers(t)).select("resolved", "mention", "entity_id")
 
 
-@query("p1_resolver")
+@query("p1_resolver", """
+WITH m AS (SELECT entity_id, name, entity_id % 6 AS k, CASE entity_id % 6 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN coalesce(ticker, name) WHEN 3 THEN regexp_replace(name, '([a-z])#', '\\1\\1#') WHEN 4 THEN concat(name, ' Holdings') ELSE concat('Newcomer ', CAST(entity_id % 40 AS VARCHAR)) END AS said FROM entities)
+SELECT said AS mention, said AS resolved, CASE WHEN k < 3 THEN 1 WHEN k < 5 THEN 2 ELSE 3 END AS tier, CASE WHEN k < 5 THEN entity_id END AS entity_id,
+  CASE WHEN k < 5 THEN name ELSE min(CASE WHEN k = 5 THEN said END) OVER () END AS matched_name, CASE WHEN k < 3 THEN 'resolved' WHEN k < 5 THEN 'similar' ELSE 'new' END AS matched_by FROM m""")
 def p1(t):
+    """A misspelt or longer name is nearest to its own entity; newcomers, which differ in a digit or two, are one."""
     return resolved(mentions(t), t.entities.select("entity_id", "name"), tickers(t))
 
 
@@ -105,8 +109,12 @@ def p1_unresolved(t):
     return unresolved(resolved(said(t), t.entities.select("entity_id", "name"), tickers(t)))
 
 
-@query("u1_similar_names")
+@query("u1_similar_names", """
+WITH n AS (SELECT name, length(name) AS n FROM entities)
+SELECT name, concat('The ', lower(name), ' Group') AS other, round(200.0::DOUBLE * (n - 1) / (2 * n + 10), 4) AS ratio, round(200.0::DOUBLE * n / (2 * n + 10), 4) AS token_sort, 100.0::DOUBLE AS token_set,
+  CASE WHEN 2 * (n + 10) >= 3 * n AND n + 10 < 8 * n THEN 90.0::DOUBLE END AS weighted FROM n""")
 def u1(t):
+    """A name within a longer one, ten letters more: all but its capital is common, and all of its words are."""
     pairs = t.entities.select("name", F.concat(F.lit("The "), F.lower("name"), F.lit(" Group")).alias("other"))
     return pairs.select("name", "other", *[fuzzy.similarity(F.col("name"), F.col("other"), s).alias(s) for s in fuzzy.SCORERS])
 
