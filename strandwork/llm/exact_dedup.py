@@ -28,6 +28,8 @@ ENTRY = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("d3", "<u8"), ("
 EQUAL = ("d0", "d1", "d2", "d3", "n_bytes", "second")
 NO_ID = np.iinfo(np.int64).max
 RUN = "slot int, run binary"
+#: A slot's run is held whole by a task.
+ENTRIES_A_SLOT = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -141,9 +143,10 @@ def _unpacked(runs: DataFrame, least: int) -> DataFrame:
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``exact_groups``, with ``raw``, the hash of the text as it is."""
-    rounds = (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    slot = F.pmod(F.spark_partition_id(), F.lit(1 << rounds)).cast("int")
-    rows = settled(digests(docs, doc_id, text).withColumn("slot", slot))
+    parts = settled(digests(docs, doc_id, text).withColumn("slot", F.spark_partition_id()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = (max(least, parts.count() // ENTRIES_A_SLOT) - 1).bit_length()
+    rows = parts.withColumn("slot", F.pmod("slot", F.lit(1 << rounds)).cast("int"))
     runs = settled(local_runs(rows))
     key = ["digest", "n_bytes", "second"]
     groups = _unpacked(tree_merge(runs, rounds), 2).drop("slot")
