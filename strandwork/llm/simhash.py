@@ -146,20 +146,39 @@ def _edges(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _links(batches):
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges from each end to the smallest that it reaches: they join what the edges ``a, b`` join, in fewer and shorter steps."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = label != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+
+def _links(batches, most: int = 1 << 18):
     """Edges of the lists of a partition, which arrive sorted by list; carries the last list from batch to batch."""
     ids, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in chain(batches, [None]):
         if batch is not None:
             ids = np.concatenate([ids, batch.column(0).to_numpy()])
             fps = np.concatenate([fps, batch.column(1).to_numpy()])
-        if not len(ids):
-            continue
-        cut = len(ids) if batch is None else int(np.searchsorted(ids, ids[-1]))
+        cut = len(ids) if batch is None or not len(ids) else int(np.searchsorted(ids, ids[-1]))
         if cut:
-            a, b = _edges(ids[:cut], fps[:cut])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held.append(_edges(ids[:cut], fps[:cut]))
+            size += len(held[-1][0])
         ids, fps = ids[cut:], fps[cut:]
+        if size > most or batch is None and held:
+            yield _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [], 0
 
 
 def links(fps: DataFrame) -> DataFrame:
