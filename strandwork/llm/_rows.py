@@ -16,6 +16,15 @@ def spare(df: DataFrame) -> str:
     return prefix
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session set to hand ``rows`` rows at a time to Python where it has Spark's default of 10,000: rows
+    here have texts, and a batch of them is held several times over on its way."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def raw_hash(text: Column) -> Column:
     """With the id it tells rows apart; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -99,11 +99,12 @@ def local_runs(rows: DataFrame, fold: int = 1 << 20) -> DataFrame:
     return rows.select("doc_id", "raw", "digest", "n_bytes", "second", "slot").mapInArrow(run, RUN)
 
 
-def tree_merge(runs: DataFrame, rounds: int) -> DataFrame:
-    """Merges the runs of ``2 ** rounds`` slots: ``slot, run``, with the entries of a digest in the slot it names."""
+def tree_merge(runs: DataFrame, rounds: int, least: int) -> DataFrame:
+    """Merges the runs of ``2 ** rounds`` slots: the entries of ``least`` or more copies as rows of ``ENTRIES``."""
 
     def met(level: int | None):
-        """Merges the runs that have met in a slot, and sends away the half that belongs to its partner of ``level``."""
+        """Merges the runs that have met in a slot, and sends away the half that belongs to its partner of ``level``; after
+        the last level, gives rows."""
 
         def run(batches):
             held: dict[int, list[np.ndarray]] = {}
@@ -113,7 +114,7 @@ def tree_merge(runs: DataFrame, rounds: int) -> DataFrame:
             for slot, some in held.items():
                 one = merged(some)
                 if level is None:
-                    yield _rows_of([(slot, one)])
+                    yield _as_rows(slot, one, least)
                     continue
                 mine = (one["d0"] >> np.uint64(level) & np.uint64(1)) == (slot >> level & 1)
                 yield _rows_of([(slot, one[mine]), (slot ^ 1 << level, one[~mine])])
@@ -121,24 +122,26 @@ def tree_merge(runs: DataFrame, rounds: int) -> DataFrame:
         return run
 
     for level in [*range(rounds), None]:
-        runs = runs.repartitionById(1 << rounds, F.col("slot")).mapInArrow(met(level), RUN)
+        runs = runs.repartitionById(1 << rounds, F.col("slot")).mapInArrow(met(level), ENTRIES if level is None else RUN)
     return runs
 
 
-def _unpacked(runs: DataFrame, least: int) -> DataFrame:
-    """The entries of runs as rows, those of ``least`` or more copies."""
+ENTRIES = "slot int, digest binary, n_bytes long, second long, keep_id long, keep_raw long, group_size long"
+
+
+def _as_rows(slot: int, run: np.ndarray, least: int) -> pa.RecordBatch:
+    """The entries of a run that have ``least`` or more copies, as rows of ``ENTRIES``."""
+    some = run[run["group_size"] >= least]
+    digest = np.stack([some[d] for d in EQUAL[:4]], axis=1).tobytes()
+    columns = [pa.array(np.full(len(some), slot, np.int32)), pa.array([digest[i : i + 32] for i in range(0, len(digest), 32)], pa.binary())]
+    names = ["n_bytes", "second", "keep_id", "keep_raw", "group_size"]
+    return pa.RecordBatch.from_arrays(columns + [pa.array(some[n]) for n in names], ["slot", "digest", *names])
 
-    def run(batches):
-        for batch in batches:
-            for slot, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                every = np.frombuffer(body, ENTRY)
-                every = every[every["group_size"] >= least]
-                digest = np.stack([every[d] for d in EQUAL[:4]], axis=1).tobytes()
-                columns = [pa.array(np.full(len(every), slot, np.int32)), pa.array([digest[i : i + 32] for i in range(0, len(digest), 32)], pa.binary())]
-                names = ["n_bytes", "second", "keep_id", "keep_raw", "group_size"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(every[n]) for n in names], ["slot", "digest", *names])
 
-    return runs.mapInArrow(run, "slot int, digest binary, n_bytes long, second long, keep_id long, keep_raw long, group_size long")
+def _unpacked(batches):
+    for batch in batches:
+        for slot, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield _as_rows(slot, np.frombuffer(body, ENTRY), 1)
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,8 +152,8 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = parts.withColumn("slot", F.pmod("slot", F.lit(1 << rounds)).cast("int"))
     runs = settled(local_runs(rows))
     key = ["digest", "n_bytes", "second"]
-    groups = _unpacked(tree_merge(runs, rounds), 2).drop("slot")
-    back = _unpacked(runs, 1).select("slot", *key).join(groups, key).distinct()
+    groups = tree_merge(runs, rounds, 2).drop("slot")
+    back = runs.mapInArrow(_unpacked, ENTRIES).select("slot", *key).join(groups, key).distinct()
     found = rows.join(back, ["slot", *key], "left")
     keep = F.nullif(F.coalesce("keep_id", "doc_id"), F.lit(NO_ID))
     return found.select(

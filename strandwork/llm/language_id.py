@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._rows import spare
+from strandwork.llm._rows import in_small_batches, spare
 from strandwork.llm._sample import byte_spans, collected, drawn, excerpt, fold_of
 
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
 OVERLAP = max(SIZES) - 1
 BUCKET_BITS = 14
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -173,7 +173,7 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     """
     found = f"{spare(docs)}found"
     added = {c: F.col(f"{found}.{c}") for c in ("lang_pred", "score", "rejected")}
-    return docs.withColumn(found, predicted(model, F.col(text))).withColumns(added).drop(found)
+    return in_small_batches(docs).withColumn(found, predicted(model, F.col(text))).withColumns(added).drop(found)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ is given, ``tiktoken`` makes the same ids several times faster (texts with a spe
 from __future__ import annotations
 
 import base64
+import json
 from array import array
 from functools import lru_cache
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwork.llm._rows import in_small_batches
 from strandwork.session import settled
 
 LIMIT = 2048
@@ -29,22 +31,28 @@ SLOTS_A_GROUP = 4096
 
 @lru_cache(maxsize=4)
 def encoder(tokenizer: str, ranks: str | None, pattern: str | None):
-    """A function from text to a sequence of ids; built once in each Python worker."""
-    from tokenizers import Tokenizer
+    """A function from text to a sequence of ids; built once in each Python worker, the vocabulary of ``tokenizers`` only
+    where a text needs it."""
+
+    @lru_cache(maxsize=1)
+    def exact():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(tokenizer)
 
-    exact = Tokenizer.from_file(tokenizer)
     if ranks is None:
-        return lambda text: exact.encode(text, add_special_tokens=False).ids
+        return lambda text: exact().encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(tokenizer) as body:
+        special = [t["content"] for t in json.load(body)["added_tokens"]]
 
     def encode(text: str):
         if any(s in text for s in special):
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -95,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
                     cols, held = [[], [], [], [], []], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], PIECES.names)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
+    return in_small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
 
 
 def in_sequences(cut: DataFrame, per_slot: int = 100_000) -> DataFrame:

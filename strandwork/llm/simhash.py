@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._rows import least_row, only_kept, raw_hash
+from strandwork.llm._rows import in_small_batches, least_row, only_kept, raw_hash
 from strandwork.operators.components import connected_components
 from strandwork.session import settled
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             fps = np.array([fingerprint(t.as_py() or b"", width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "raw", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw_hash(F.col(text)), F.col(text).cast("string")).mapInArrow(run, "doc_id long, raw long, fp long")
+    return in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), raw_hash(F.col(text)), F.col(text).cast("string")).mapInArrow(run, "doc_id long, raw long, fp long")
 
 
 PARTS = list(combinations(range(4), 2))

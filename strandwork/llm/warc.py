@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._rows import spare
+from strandwork.llm._rows import in_small_batches, spare
 from strandwork.session import broadcast_if_small, settled, shared_dir
 
 PIECE = 1 << 20
@@ -143,7 +143,7 @@ def write_monolithic(records: DataFrame, folder: str, level: int = 6, roll_bytes
         if out is not None:
             yield close()
 
-    rows = records.select(F.col("page_id").cast("long"), "url", "payload", F.col("refers_to").cast("long"), "revisit")
+    rows = in_small_batches(records).select(F.col("page_id").cast("long"), "url", "payload", F.col("refers_to").cast("long"), "revisit")
     return rows.mapInArrow(run, "archive string, records long")
 
 
