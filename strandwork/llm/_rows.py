@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,12 @@ def spare(df: DataFrame) -> str:
     return prefix
 
 
-def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with the session set to hand ``rows`` rows at a time to Python where it has Spark's default of 10,000: rows
-    here have texts, and a batch of them is held several times over on its way."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+def in_slices(batches: Iterable, rows: int = 1000) -> Iterator:
+    """``rows`` rows at a time of Arrow batches or arrays: rows here have texts, of which what is made of a whole batch would
+    be held several times over. The session's own size of batches stays as it is."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def raw_hash(text: Column) -> Column:

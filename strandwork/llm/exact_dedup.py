@@ -23,10 +23,10 @@ from strandwork.session import settled
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: An entry: the digest as four numbers, a second check of the text (length and an unrelated hash), the smallest row with
-#: it (id and hash of the text as it is) and the number of rows.
-ENTRY = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("d3", "<u8"), ("n_bytes", "<i8"), ("second", "<i8"), ("keep_id", "<i8"), ("keep_raw", "<i8"), ("group_size", "<i8")])
+#: it (whether it has no id, id and hash of the text as it is) and the number of rows.
+ENTRY = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("d3", "<u8"), ("n_bytes", "<i8"), ("second", "<i8"), ("no_id", "u1"), ("keep_id", "<i8"), ("keep_raw", "<i8"), ("group_size", "<i8")])
 EQUAL = ("d0", "d1", "d2", "d3", "n_bytes", "second")
-NO_ID = np.iinfo(np.int64).max
+MOST = np.iinfo(np.int64).max
 RUN = "slot int, run binary"
 #: A slot's run is held whole by a task.
 ENTRIES_A_SLOT = 1 << 20
@@ -60,9 +60,11 @@ def merged(runs: list[np.ndarray]) -> np.ndarray:
     ends = np.append(heads[1:], len(every))
     out = every[heads].copy()
     out["group_size"] = np.add.reduceat(every["group_size"], heads)
-    out["keep_id"] = np.minimum.reduceat(every["keep_id"], heads)
-    holds = every["keep_id"] == np.repeat(out["keep_id"], ends - heads)
-    out["keep_raw"] = np.minimum.reduceat(np.where(holds, every["keep_raw"], NO_ID), heads)
+    # The smallest row: one with an id before one without, then by id, then by the hash; places that are out of it count most.
+    in_it = np.ones(len(every), bool)
+    for c in ("no_id", "keep_id", "keep_raw"):
+        out[c] = np.minimum.reduceat(np.where(in_it, every[c], MOST), heads)
+        in_it &= every[c] == np.repeat(out[c], ends - heads)
     return out
 
 
@@ -71,7 +73,8 @@ def _entries(batch: pa.RecordBatch) -> np.ndarray:
     out = np.empty(batch.num_rows, ENTRY)
     out["d0"], out["d1"], out["d2"], out["d3"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, 4).T
     out["n_bytes"], out["second"] = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-    out["keep_id"], out["keep_raw"], out["group_size"] = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy(), 1
+    out["no_id"] = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+    out["keep_id"], out["keep_raw"], out["group_size"] = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy(), 1
     return merged([out[np.argsort(out["d0"], kind="stable")]])
 
 
@@ -135,7 +138,8 @@ def _as_rows(slot: int, run: np.ndarray, least: int) -> pa.RecordBatch:
     digest = np.stack([some[d] for d in EQUAL[:4]], axis=1).tobytes()
     columns = [pa.array(np.full(len(some), slot, np.int32)), pa.array([digest[i : i + 32] for i in range(0, len(digest), 32)], pa.binary())]
     names = ["n_bytes", "second", "keep_id", "keep_raw", "group_size"]
-    return pa.RecordBatch.from_arrays(columns + [pa.array(some[n]) for n in names], ["slot", "digest", *names])
+    kept = [pa.array(np.ascontiguousarray(some[n]), mask=some["no_id"].astype(bool) if n == "keep_id" else None) for n in names]
+    return pa.RecordBatch.from_arrays(columns + kept, ["slot", "digest", *names])
 
 
 def _unpacked(batches):
@@ -155,13 +159,14 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     groups = tree_merge(runs, rounds, 2).drop("slot")
     back = runs.mapInArrow(_unpacked, ENTRIES).select("slot", *key).join(groups, key).distinct()
     found = rows.join(back, ["slot", *key], "left")
-    keep = F.nullif(F.coalesce("keep_id", "doc_id"), F.lit(NO_ID))
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
         "raw",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (F.col("keep_id").isNull() | (F.col("doc_id").eqNullSafe(keep) & (F.col("raw") == F.col("keep_raw")))).alias("kept"),
+        (alone | (F.col("doc_id").eqNullSafe(keep) & (F.col("raw") == F.col("keep_raw")))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

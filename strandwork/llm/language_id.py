@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._rows import in_small_batches, spare
+from strandwork.llm._rows import in_slices, spare
 from strandwork.llm._sample import byte_spans, collected, drawn, excerpt, fold_of
 
 UNDETERMINED = "und"
@@ -136,6 +136,9 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([judged(some) for some in in_slices([texts])] or [judged(texts)])
+
+    def judged(texts: pa.Array) -> pa.Array:
         letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
         if not model.labels:
             best, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
@@ -173,7 +176,7 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     """
     found = f"{spare(docs)}found"
     added = {c: F.col(f"{found}.{c}") for c in ("lang_pred", "score", "rejected")}
-    return in_small_batches(docs).withColumn(found, predicted(model, F.col(text))).withColumns(added).drop(found)
+    return docs.withColumn(found, predicted(model, F.col(text))).withColumns(added).drop(found)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

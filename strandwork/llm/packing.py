@@ -5,13 +5,15 @@ Pieces of equal length go to one bucket; each is a sequence of its own, so no se
 padding. Sequences are numbered bucket by bucket.
 
 Token ids are those of the ``tokenizers`` library for the given vocabulary; where a rank file of the same vocabulary
-is given, ``tiktoken`` makes the same ids several times faster (texts with a special token's string go the first way).
+is given, ``tiktoken`` makes the same ids several times faster. Texts with a special token's string, or with very long
+runs of or without white space, go the first way.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm._rows import in_small_batches
+from strandwork.llm._rows import in_slices
 from strandwork.session import settled
 
 LIMIT = 2048
@@ -29,6 +31,14 @@ END_ID = 1
 SLOTS_A_GROUP = 4096
 
 
+def unbroken(text: str, most: int = 1 << 14) -> bool:
+    """Whether ``text`` has ``most`` or more characters in a row that are all white space, or none of which is: a piece that
+    the faster library may not get through."""
+    if len(text) < most:
+        return False
+    return re.search(rf"\s{{{most}}}", text) is not None or max(map(len, text.split()), default=0) >= most
+
+
 @lru_cache(maxsize=4)
 def encoder(tokenizer: str, ranks: str | None, pattern: str | None):
     """A function from text to a sequence of ids; built once in each Python worker, the vocabulary of ``tokenizers`` only
@@ -51,7 +61,7 @@ def encoder(tokenizer: str, ranks: str | None, pattern: str | None):
         special = [t["content"] for t in json.load(body)["added_tokens"]]
 
     def encode(text: str):
-        if any(s in text for s in special):
+        if any(s in text for s in special) or unbroken(text):
             return exact().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -88,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
         encode = encoder(tokenizer, ranks, pattern)
         cols: list[list] = [[], [], [], [], []]
         held = 0
-        for batch in batches:
+        for batch in in_slices(batches):
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = array("I", encode(body.as_py() or ""))
                 ids.append(end_id)
@@ -103,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
                     cols, held = [[], [], [], [], []], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], PIECES.names)
 
-    return in_small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
 
 
 def in_sequences(cut: DataFrame, per_slot: int = 100_000) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._rows import in_small_batches
+from strandwork.llm._rows import in_slices
 from strandwork.llm._sample import byte_spans, collected, drawn, excerpt, fold_of
 
 STEP, BLOCKS = 8, 2
@@ -139,7 +139,8 @@ def scored(net: Network, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(1 / (1 + np.exp(-net.logits(texts).astype(np.float64))))
+        logits = np.concatenate([np.zeros(0), *(net.logits(some) for some in in_slices([texts]))])
+        return pa.array(1 / (1 + np.exp(-logits.astype(np.float64))))
 
     return run(text)
 
@@ -169,7 +170,7 @@ def with_quality(docs: DataFrame, net: Network, text: str = "text") -> DataFrame
     Each row is scored by its whole text alone: equal texts have equal scores, repeated rows and ids stay, null and empty
     texts all have the score of no bytes. An empty table gives an empty result.
     """
-    found = in_small_batches(docs).withColumn("score", scored(net, F.col(text)))
+    found = docs.withColumn("score", scored(net, F.col(text)))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -59,6 +59,37 @@ def test_dedup_of_repeated_ids(spark, no_docs):
     assert exact_dedup.deduplicated(no_docs).collect() == [] and simhash.deduplicated(no_docs).collect() == []
 
 
+def test_largest_id(spark):
+    """The largest number is an id like any other, and smaller than none."""
+    most = 2**63 - 1
+    df = spark.createDataFrame([(most, "same"), (most, "same"), (None, "same"), (None, "b"), (None, "b"), (most - 1, "c"), (most, "c")], "doc_id long, text string")
+    got = Counter(rows_of(exact_dedup.exact_groups(df), "doc_id", "keep_id", "group_size", "kept"))
+    assert got == {(most, most, 3, True): 2, (None, most, 3, False): 1, (None, None, 2, True): 2, (most - 1, most - 1, 2, True): 1, (most, most - 1, 2, False): 1}
+    assert Counter(texts(exact_dedup.deduplicated(df))) == {(most, "same"): 1, (None, "b"): 1, (most - 1, "c"): 1}
+
+
+def test_sessions_stay(spark, odd_docs):
+    """No operator changes what the session is set to."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    packing.packed_digests(odd_docs, *packing.public_vocabulary()).count()
+    quality_model.with_quality(odd_docs, quality_model.fit([])).count()
+    assert spark.conf.get(key) == before
+
+
+def test_ids_of_unbroken_texts(spark):
+    """Very long runs of one kind give the ids of the vocabulary's own library."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(packing.public_vocabulary()[0])
+    said = [" " * 1_000_000 + "x", "a" * 5_000_000, "\n" * 5_000_000, "ab " * 100_000 + "\t" * 20_000 + "end", "7" * 16_384, "word" + " " * 16_383 + "word"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(3)
+    pieces = packing.pieces(df, *packing.public_vocabulary()).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(said):
+        ids = np.frombuffer(b"".join(r.token_ids for r in pieces if r.doc_id == i), "<u4")
+        assert ids.tolist() == [*exact.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_runs_merge():
     """Sorted runs become one, with the smallest row and all copies; digests that only begin alike stay apart."""
     r = np.random.default_rng(1)
@@ -74,8 +105,8 @@ def test_runs_merge():
     want = {}
     for e in np.concatenate(every).tolist():
         row, n = want.get(e[:2], ((99, 99), 0))
-        want[e[:2]] = (min(row, e[6:8]), n + 1)
-    assert {e[:2]: (e[6:8], e[8]) for e in got.tolist()} == want and len(got) == len(want)
+        want[e[:2]] = (min(row, e[7:9]), n + 1)
+    assert {e[:2]: (e[7:9], e[9]) for e in got.tolist()} == want and len(got) == len(want)
     assert (np.diff(got["d0"].astype(np.int64)) >= 0).all()
 
 
