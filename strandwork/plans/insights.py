@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandwork.functions import text as tx
 from strandwork.functions.numbers import clamped
 from strandwork.operators.components import connected_components
+from strandwork.operators.cosine_join import upstream_dropped
 from strandwork.plans.base import query
 from strandwork.sources.graph_tables import AS_OF
 
@@ -164,6 +165,44 @@ def p28(t):
     return t.raw("pages").groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
+def reported(t):
+    """Documents as findings: their first words are the title, every fifth has no address and some share one; capitalised
+    words are names."""
+    text, d = F.coalesce("text", F.lit("")), F.col("doc_id")
+    bare = F.regexp_replace(text, "[.,;:!?]", "")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.regexp_extract_all(F.translate(bare, capitals, capitals.lower()), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    names = F.filter(F.regexp_extract_all(bare, F.lit(r"([^\x20\x09-\x0D]+)"), 1), lambda w: w.rlike("^[A-Z][a-z]{4,}$"))
+    url = F.when(d % 5 != 0, F.concat(F.lit("https://news.example/"), (d - F.when(d % 41 == 3, 1).otherwise(0)).cast("string")))
+    return t.raw("documents").select(d.alias("finding_id"), F.substring(text, 1, 60).alias("title"), url.alias("url"), words.alias("words"), names.alias("entities"))
+
+
+def _alike_sql(name: str, column: str, weight: str, least: int) -> str:
+    """CTEs that give the smallest earlier finding alike by the terms of ``column``, from all pairs that share one."""
+    return f"""
+{name}_t AS (SELECT finding_id, term, count(*) AS n FROM (SELECT finding_id, unnest({column}) AS term FROM f) GROUP BY 1, 2),
+{name}_d AS (SELECT term, count(*) AS df FROM {name}_t GROUP BY 1),
+{name}_r AS (SELECT finding_id, term, {weight} AS w FROM {name}_t JOIN {name}_d USING (term), (SELECT count(DISTINCT finding_id) AS rows FROM {name}_t)),
+{name}_v AS (SELECT finding_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY finding_id)) AS w FROM {name}_r),
+{name}_p AS (SELECT a.finding_id AS a, b.finding_id AS b, round(sum(a.w * b.w), 6) AS score FROM {name}_v a JOIN {name}_v b ON a.term = b.term AND a.finding_id < b.finding_id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.8 AND count(*) >= {least}),
+{name} AS (SELECT b AS finding_id, min(a) AS matched_id, arg_min(score, a) AS score FROM {name}_p GROUP BY b)"""
+
+
+@query("p28_upstream_dropped", rf"""
+WITH f AS (SELECT doc_id AS finding_id, substring(text, 1, 60) AS title, CASE WHEN doc_id % 5 <> 0 THEN concat('https://news.example/', CAST(doc_id - CASE WHEN doc_id % 41 = 3 THEN 1 ELSE 0 END AS VARCHAR)) END AS url,
+  regexp_extract_all(translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words, list_distinct(list_filter(regexp_extract_all(bare, '[^\x20\x09-\x0D]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{4,}}'))) AS entities
+  FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[.,;:!?]', '', 'g') AS bare FROM documents) x),
+u AS (SELECT finding_id, first AS matched_id FROM f JOIN (SELECT url, min(finding_id) AS first FROM f WHERE url IS NOT NULL GROUP BY url) USING (url) WHERE first < finding_id),
+{_alike_sql("words", "words", "n * (ln((1.0 + rows) / (1.0 + df)) + 1)", 1).strip()},
+{_alike_sql("names", "entities", "1.0::DOUBLE", 2).strip()}
+SELECT f.finding_id, title, coalesce(u.matched_id, words.matched_id, names.matched_id) AS matched_id, CASE WHEN u.matched_id IS NOT NULL THEN 'url_match' WHEN words.matched_id IS NOT NULL THEN 'tfidf_match' ELSE 'entity_overlap' END AS reason,
+  CASE WHEN u.matched_id IS NULL THEN words.score END AS tfidf, CASE WHEN u.matched_id IS NULL AND words.matched_id IS NULL THEN names.score END AS entity
+FROM f LEFT JOIN u USING (finding_id) LEFT JOIN words USING (finding_id) LEFT JOIN names USING (finding_id) WHERE coalesce(u.matched_id, words.matched_id, names.matched_id) IS NOT NULL""", base=False)
+def p28_dropped(t):
+    """All three layers, over documents as findings: what is dropped, and as whose copy."""
+    return upstream_dropped(reported(t))
+
+
 @query("p29_sentiment_scores", """
 WITH s AS (SELECT catalyst_id, CASE sentiment_label WHEN 'Very Bullish' THEN 2 WHEN 'Bullish' THEN 1 WHEN 'Neutral' THEN 0 WHEN 'Bearish' THEN -1 ELSE -2 END AS w FROM catalysts)
 SELECT entity_a_id AS entity_id, round(sum(w * confidence), 4) AS score FROM relationships JOIN s USING (catalyst_id) GROUP BY entity_a_id""")
