@@ -135,7 +135,26 @@ def unpacked_numbers(body: bytes, *kinds: str) -> list[np.ndarray]:
     return found
 
 
-QUESTION = ("<u8", "<u8", "<u4", "<f8")
+QUESTION = ("<u8", "<u4", "<u8", "<u4", "<u4", "<f8", "<u4")
+
+
+def question(context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray) -> bytes:
+    """Equal contexts, which stand together, as one with how many there are; words and probabilities as places in lists of
+    the different ones."""
+    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
+    words, w = np.unique(word, return_inverse=True)
+    values, v = np.unique(lower, return_inverse=True)
+    runs = np.diff(np.append(heads, len(context)))
+    return packed_numbers(context[heads], runs.astype("<u4"), np.diff(words, prepend=np.uint64(0)), w.astype("<u4"), count.astype("<u4"), values, v.astype("<u4"))
+
+
+def asked_in(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words, counts and probabilities of a ``question``."""
+    context, runs, words, w, count, values, v = unpacked_numbers(body, *QUESTION)
+    return np.repeat(context, runs), np.cumsum(words, dtype=np.uint64)[w], count, values[v]
+
+
+#: Counts, numbers of n-grams (of the last order none), and of contexts: words in all, n-grams of each count, probabilities.
 ANSWER = ("<u8", "<u8", "<u8", "<u8", "<f8", "<u8")
 K = MOST_DISCOUNTED
 
@@ -208,7 +227,7 @@ class Asked:
         bodies = []
         for s in range(self.shards):
             at = self.order[self.cuts[s] : self.cuts[s + 1]]
-            bodies.append(packed_numbers(self.context[at], self.word[at], self.count[at].astype("<u4"), self.lower[at]))
+            bodies.append(question(self.context[at], self.word[at], self.count[at], self.lower[at]))
         return pa.table({"shard": pa.array(np.arange(self.shards), pa.int32()), "block": pa.array([block] * self.shards, pa.int32()), "payload": pa.array(bodies, pa.binary())})
 
     def told(self, answers: dict[int, bytes]) -> Told:
@@ -217,7 +236,7 @@ class Asked:
         for s, body in sorted(answers.items()):
             at = self.order[self.cuts[s] : self.cuts[s + 1]]
             n, name, total, of_count, below, here = unpacked_numbers(body, *ANSWER)
-            counts[at], grams[at] = n, name
+            counts[at], grams[at] = n, name if len(name) else UNSEEN
             having += here.astype(np.int64)
             if len(at):
                 which = self.which[at][np.concatenate([[True], self.context[at][1:] != self.context[at][:-1]])]
@@ -227,9 +246,10 @@ class Asked:
         return Told(counts[: self.n], grams[: self.n], contexts, lower, having)
 
 
-def answers_of(bodies: list[tuple[int, bytes]], shard: int, shards: int) -> tuple[list[tuple[int, bytes]], tuple]:
-    """A shard's answers to the blocks' questions, and its part of the table: contexts, words, their numbers and counts."""
-    asked = [unpacked_numbers(body, *QUESTION) for _, body in bodies]
+def answers_of(bodies: list[tuple[int, bytes]], shard: int, shards: int, last: bool = False) -> tuple[list[tuple[int, bytes]], tuple]:
+    """A shard's answers to the blocks' questions, and its part of the table: contexts, words, their numbers and counts.
+    In the last order nobody needs the numbers."""
+    asked = [asked_in(body) for _, body in bodies]
     context, word, count, lower = (np.concatenate([a[i] for a in asked]) for i in range(4))
     order = np.lexsort((word, context))
     c, w = context[order], word[order]
@@ -258,7 +278,7 @@ def answers_of(bodies: list[tuple[int, bytes]], shard: int, shards: int) -> tupl
         here, ctx = back[at : at + len(one[0])], which[at : at + len(one[0])]
         at += len(one[0])
         distinct = ctx[np.concatenate([[True], ctx[1:] != ctx[:-1]])[: len(ctx)]]
-        body = (total[here], number[here], of_all[distinct], of_count[distinct].reshape(-1), below[distinct], having)
+        body = (total[here], number[here[:0] if last else here], of_all[distinct], of_count[distinct].reshape(-1), below[distinct], having)
         out.append((block, packed_numbers(*(x.astype(k) for x, k in zip(body, ANSWER, strict=True)))))
     return out, (c[heads][seen], w[heads][seen], number[seen], total[seen])
 
@@ -394,11 +414,11 @@ class Rounds:
         return self.texts.each(first, QUESTIONS) if k == 1 else self.texts.each_with(self.told, later, QUESTIONS)
 
     def _answering(self, k: int):
-        shards = self.shards
+        shards, last = self.shards, k == self.order
 
         def run(batches):
             for shard, bodies in _shard_by_shard(batches):
-                for block, body in answers_of(bodies, shard, shards)[0]:
+                for block, body in answers_of(bodies, shard, shards, last)[0]:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([k], pa.int32()), pa.array([shard], pa.int32()), pa.array([body], pa.binary())], ["block", "level", "shard", "payload"])
 
         return run
@@ -466,7 +486,8 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _KEPT = "CASE WHEN lost > 0 THEN 1 ELSE n / (n + 1) END AS f, CASE WHEN lost > 0 THEN lost ELSE 1 / (n + 1) END AS rest"
 #: An end is an empty word, a beginning a space.
 ORACLE_SQL = rf"""
-WITH x AS (SELECT doc_id, {CRC32_SQL.format('CAST(doc_id AS VARCHAR)')} % {FOLDS} = {HELD_OUT} AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^ 	-]+'), '') AS words FROM documents),
+WITH x AS (SELECT doc_id, {CRC32_SQL.format('CAST(doc_id AS VARCHAR)')} % {FOLDS} = {HELD_OUT} AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^ 	-
+]+'), '') AS words FROM documents),
 t AS (SELECT doc_id, held_out, unnest(words) AS w, unnest(list_concat([' '], words[:-2])) AS h FROM x),
 c1 AS (SELECT w, CAST(count(*) AS DOUBLE) AS c FROM t WHERE NOT held_out GROUP BY w), {_discount_sql("1")},
 k1 AS (SELECT n, v, {_KEPT} FROM (SELECT sum(c) AS n, count(*) AS v, sum(c * (1 - coalesce(d, 1))) / sum(c) AS lost FROM c1 LEFT JOIN d1 USING (c)) y),
