@@ -1,14 +1,18 @@
-"""The most similar name, and groups of similar names, of all pairs of names: nothing is left uncompared.
+"""The most similar name, and groups of similar names, with the result of scoring all pairs of names.
 
-Names are dealt to blocks and every block meets every other. In a pair of blocks one name is bounded against all names of
-the other at once (shared letters, then common subsequences, in numpy), and only pairs whose bound reaches the threshold
-and the best so far are scored. Bounds never fall below scores, so the result is that of scoring all pairs. A task is a
-pair of blocks whatever the names are, and gives no more rows than its blocks have names.
+Names meet in lists of an index that has every pair that can reach the threshold in one list at least (``keys_of``). Where
+so many names share a key that its list would be dealt out pair by pair, its names are dealt to blocks instead, and these
+blocks meet once, whatever the number of such keys. In a list or a pair of blocks one name is bounded against all the
+others at once (shared letters, then common subsequences, in numpy), and only pairs whose bound reaches the threshold and
+the best so far are scored. Bounds never fall below scores. A task has a bounded number of pairs, and gives no more rows
+than names come to it.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,10 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.fuzzy import SCORERS, words
+from strandwork.session import settled
 
 BLOCK = 1000
 LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 CODES = {c: i + 1 for i, c in enumerate(LETTERS)}
+#: What a list of the index may come to in pairs, about what a task compares of them, and up to how many in all the names
+#: meet in blocks at once, which is then sooner done.
+LIST_PAIRS, TASK_PAIRS, FEW_PAIRS = 1 << 22, 1 << 22, 1 << 25
+#: The weighted score's discounts: of the word forms, and of parts of a longer name. Above the threshold that they give
+#: together, two names whose lengths differ by half can only be alike if one is a part of the other.
+WORD_SHARE, PART_SHARE = 0.95, 0.9
+INDEXED_ABOVE = 100 * WORD_SHARE * PART_SHARE
 #: Scores are rounded to four places.
 SLACK = 1e-3
 
@@ -108,66 +120,177 @@ class Block:
         return round(self.score(name, self.names[i]), 4)
 
 
-def _dealt(names: DataFrame, name: str, out: str) -> tuple[DataFrame, int]:
-    n = -(-max(names.count(), 1) // BLOCK)
-    return names.withColumn(out, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), n
+def edits(n: int, share: float) -> int:
+    """By how many bigrams, at most, a name of ``n`` letters can differ from one that it has ``share`` in common with: two
+    for each letter that it alone has, one for each that the other one has."""
+    most, loss = 0, 1 - share + SLACK / 100
+    for mine in range(n + 1):
+        others = math.floor((loss * 2 * n - (1 + loss) * mine) / (1 - loss))
+        if others >= 0:
+            most = max(most, 2 * mine + others)
+    return most
 
 
-def _every(n: int, at: str):
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(at)
+def bigrams(text: str) -> list[tuple[str, int]]:
+    """Two letters and how often they have come before, for each place."""
+    seen: Counter = Counter()
+    out = []
+    for g in map("".join, zip(text, text[1:], strict=False)):
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return out
+
+
+def keys_of(name: str, threshold: float, grams: dict[str, int], common: dict[str, int]) -> dict[str, tuple[set[str], set[str]]]:
+    """Keys under which ``name`` looks for others and those under which others find it, by the way in which two names can
+    reach the weighted score ``threshold``. ``grams`` and ``common`` say how frequent bigrams and frequent words are.
+
+    * Alike letter by letter, or word by word: then most bigrams of both, words being apart by spaces and in any order, are
+      the same, and of the rarest of each, one more than can differ, one is in both.
+    * Most of one name's letters are in words that the other has, too: then it has one of a few words of which the others
+      come to less.
+    * One is (but for a letter, if long) a part of a longer one: then that has one of a few of its bigrams.
+    """
+    w = words(name)
+    plain, share, word_share, part_share = " ".join(w), threshold / 100, threshold / 100 / WORD_SHARE, threshold / 100 / PART_SHARE
+    if not w:
+        return {}
+    rare = lambda g: (grams.get(g[0], 0), g)
+    found: dict[str, tuple[set[str], set[str]]] = {}
+    for kind, text, least in (("p", plain, share), ("d", " ".join(dict.fromkeys(w)), word_share)):
+        if least <= 1:
+            first = {f"{g}{i}" for g, i in sorted(bigrams(f" {text} "), key=rare)[: edits(len(text), least) + 1]}
+            found[kind] = (first, first)
+    if word_share <= 1:
+        distinct = sorted(dict.fromkeys(w), key=lambda x: (common.get(x, 0), -len(x), x))
+        left, probe = sum(map(len, distinct)) + len(distinct) - 1, set()
+        needed = left * word_share / (2 - word_share) - SLACK
+        for x in distinct:
+            if left < needed:
+                break
+            probe.add(x)
+            left -= len(x) + 1
+        found["t"] = (probe, set(distinct))
+    if part_share <= 1:
+        inner = sorted(bigrams(plain), key=rare)[: edits(len(plain), part_share) + 1] if len(plain) > 1 else []
+        found["f"] = ({g for g, _ in inner} or {plain[0]}, {*map("".join, zip(plain, plain[1:], strict=False)), *(plain if len(plain) < 9 else set(plain))})
+    return found
+
+
+def _frequencies(*sides: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """How many times each bigram is in names, and in how many names each frequent word is. There are no more than 40 x 40
+    bigrams of letters, and no more frequent words than five hundred times what a name has of them."""
+    every = sides[0].toDF("name")
+    for side in sides[1:]:
+        every = every.unionByName(side.toDF("name"))
+    text = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
+    split = every.select(F.split(text, " ").alias("w"), text.alias("t"))
+    n = max(split.count() // 500, 100)
+    pairs = split.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(2)))).alias("g"))
+    frequent = split.select(F.explode(F.array_distinct("w")).alias("x")).groupBy("x").count().where(F.col("count") > n)
+    return dict(map(tuple, pairs.groupBy("g").count().collect())), dict(map(tuple, frequent.collect()))
+
+
+def _posted(names: DataFrame, threshold: float, grams: dict[str, int], common: dict[str, int], left: bool) -> DataFrame:
+    """``key, name`` of each list that a name is in; on the left it looks where the right is found, and the other way round."""
+
+    def run(parts: Iterator[pd.DataFrame]):
+        for part in parts:
+            out = [(f"{kind}{way}{key}", name) for name in part["name"] for kind, sides in keys_of(name, threshold, grams, common).items() for way in ("=" if kind in "pd" else "<>") for key in sides[(way == ">") == left if way != "=" else 0]]
+            yield pd.DataFrame(out, columns=["key", "name"])
+
+    return names.toDF("name").mapInPandas(run, "key string, name string")
+
+
+def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str, half: bool) -> DataFrame:
+    """``run`` on every pair of blocks of ``name`` and ``found``; with ``half``, where both are the same names, each once."""
+    n, m = (-(-max(x.count(), 1) // BLOCK) for x in (left, right))
+    dealt = lambda x, n, out: x.withColumn(out, F.pmod(F.xxhash64(x.columns[0]), F.lit(n)).cast("int"))
+    every = lambda n, at: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(at)
+    a, b = dealt(left, n, "_i").select("*", every(m, "_j")), dealt(right, m, "_j").select("*", every(n, "_i"))
+    if half:
+        a, b = a.where("_i <= _j"), b.where("_i <= _j")
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(lambda x, y: run([(x["name"].tolist(), y["found"].tolist())]), schema)
+
+
+def _compared(left: DataFrame, right: DataFrame, threshold: float, scorer: str, run: Callable, schema: str, half: bool = False) -> DataFrame:
+    """``run`` on lists of names (of ``left``, column ``name``) and of others (of ``right``, column ``found``) in which each
+    pair that can reach the threshold meets."""
+    if scorer != "weighted" or threshold <= INDEXED_ABOVE or left.count() * right.count() <= FEW_PAIRS:
+        return _blocks(left, right, run, schema, half)
+    grams, common = _frequencies(left, right)
+    a = _posted(left, threshold, grams, common, True)
+    b = _posted(right, threshold, grams, common, False).withColumnRenamed("name", "found")
+    a, b = settled(a), settled(b)
+    sizes = settled(a.groupBy("key").agg(F.count("*").alias("n")).join(b.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("pairs", F.col("n") * F.col("m")))
+    lists, dense = sizes.where(F.col("pairs") <= LIST_PAIRS), sizes.where(F.col("pairs") > LIST_PAIRS).select("key")
+    slots = max(1, (lists.agg(F.sum("pairs")).first()[0] or 0) // TASK_PAIRS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slot = lists.select("key", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int").alias("slot"))
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        others = y.groupby("key")["found"].agg(list) if len(y) else {}
+        return run((names, others[key]) for key, names in (x.groupby("key")["name"].agg(list) if len(x) else pd.Series(dtype=object)).items())
+
+    x, y = (side.join(slot, "key").select(F.col("slot").alias(at), "key", side.columns[1]) for side, at in ((a, "here"), (b, "there")))
+    found = x.groupBy("here").cogroup(y.groupBy("there")).applyInPandas(met, schema)
+    crowd = [settled(x.join(dense, "key", "left_semi").select(x.columns[1]).distinct()) for x in (a, b)]
+    if crowd[0].isEmpty() or crowd[1].isEmpty():
+        return found
+    if half:  # names look for and are found under other keys, but both meet both
+        every = settled(crowd[0].toDF("name").unionByName(crowd[1].toDF("name")).distinct())
+        crowd = [every, every.toDF("found")]
+    return found.unionByName(_blocks(crowd[0], crowd[1], run, schema, half))
 
 
 def nearest(names: DataFrame, known: DataFrame, threshold: float, scorer: str = "weighted") -> DataFrame:
     """``name, found, score``: for each of the distinct ``names`` (one column) the most similar of the distinct ``known``,
     the smallest of several, where it has ``threshold`` or more."""
-    left, n = _dealt(names.toDF("name").dropna(), "name", "_i")
-    right, m = _dealt(known.toDF("found").dropna(), "found", "_j")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        block = Block(b["found"].tolist(), scorer)
-        for name in a["name"] if len(b) else []:
-            best = (-threshold, "")
-            for i, top in zip(*block.bounded(name, threshold), strict=True):
-                if top < -best[0]:
-                    break
-                score = block.scored(name, i)
-                if score >= threshold and (not best[1] or (-score, block.names[i]) < best):
-                    best = (-score, block.names[i])
-            if best[1]:
-                found.append((name, best[1], -best[0]))
-        return pd.DataFrame(found, columns=["name", "found", "score"])
-
-    met = left.select("*", _every(m, "_j")).groupBy("_i", "_j").cogroup(right.select("*", _every(n, "_i")).groupBy("_i", "_j"))
-    best = met.applyInPandas(run, "name string, found string, score double")
+
+    def run(lists) -> pd.DataFrame:
+        best: dict[str, tuple[float, str]] = {}
+        for some, others in lists:
+            block = Block(others, scorer)
+            for name in some:
+                now = best.get(name, (-threshold, ""))
+                for i, top in zip(*block.bounded(name, threshold), strict=True):
+                    if top < -now[0]:
+                        break
+                    score = block.scored(name, i)
+                    if score >= threshold and (not now[1] or (-score, block.names[i]) < now):
+                        now = (-score, block.names[i])
+                if now[1]:
+                    best[name] = now
+        return pd.DataFrame([(n, f, -s) for n, (s, f) in best.items()], columns=["name", "found", "score"])
+
+    met = _compared(names.toDF("name").dropna(), known.toDF("found").dropna(), threshold, scorer, run, "name string, found string, score double")
     # Of equal scores the smallest name, so not max_by alone.
-    return best.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "found")).alias("b")).select("name", "b.found", (-F.col("b.s")).alias("score"))
+    return met.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "found")).alias("b")).select("name", "b.found", (-F.col("b.s")).alias("score"))
 
 
 def links(names: DataFrame, threshold: float, scorer: str = "weighted") -> DataFrame:
     """``a, b``: similar pairs of the distinct ``names`` (one column) that join the same names as all similar pairs do.
 
-    Each pair of blocks gives a forest, so that many names that are alike give a row each.
+    Each task gives a forest, so that many names that are alike give a row each.
     """
-    left, n = _dealt(names.toDF("name").dropna(), "name", "_i")
-    right = left.select(F.col("name").alias("found"), F.col("_i").alias("_j"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if not len(a) or not len(b):
-            return pd.DataFrame(found, columns=["a", "b"])
-        block = Block(b["found"].tolist(), scorer)
-        place = {x: i for i, x in enumerate(dict.fromkeys([*block.names, *a["name"]]))}
-        tree = np.arange(len(place))
-        for name in a["name"]:
-            at = place[name]
-            rows, _ = block.bounded(name, threshold)
-            for i in rows[tree[rows] != tree[at]]:
-                if tree[i] != tree[at] and block.scored(name, i) >= threshold:
-                    tree[tree == tree[i]] = tree[at]
-                    found.append((name, block.names[i]))
+
+    def run(lists) -> pd.DataFrame:
+        found, root = [], {}
+
+        def top(x: str) -> str:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for some, others in lists:
+            block = Block(others, scorer)
+            for name in some:
+                for i in block.bounded(name, threshold)[0].tolist():
+                    here, there = top(name), top(block.names[i])
+                    if here != there and block.scored(name, i) >= threshold:
+                        root[there] = here
+                        found.append((name, block.names[i]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    # A pair of blocks meets once.
-    lower = left.select("*", _every(n, "_j")).where("_i <= _j").groupBy("_i", "_j")
-    return lower.cogroup(right.select("*", _every(n, "_i")).where("_i <= _j").groupBy("_i", "_j")).applyInPandas(run, "a string, b string")
+    left = settled(names.toDF("name").dropna())
+    return _compared(left, left.toDF("found"), threshold, scorer, run, "a string, b string", True)

@@ -13,7 +13,7 @@ import pytest
 from strandwork.functions import fuzzy
 from strandwork.operators.layout import layout, placed
 from strandwork.operators.resolver import resolved
-from strandwork.operators.similar import Block
+from strandwork.operators.similar import Block, keys_of
 from strandwork.plans import ranking
 from strandwork.plans.registry import QUERIES
 
@@ -32,10 +32,38 @@ def test_bounds_hold():
                 assert score < threshold or most[i] >= round(score, 4)
 
 
-@pytest.mark.parametrize("scorer", ["weighted", "token_set"])
-def test_resolver_compares_all_pairs(spark, monkeypatch, scorer):
-    """Typos in the first letters, and more than 200 names with one word, over several blocks."""
+def misspelt(rng, name):
+    letters = list(name)
+    for _ in range(rng.randint(0, 4)):
+        k = rng.randrange(len(letters) + 1)
+        letters[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "0", " ", "xy"])
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("threshold", [86.0, 88.0, 93.0, 97.0])
+def test_index_has_every_similar_pair(threshold):
+    """Names that reach the threshold share a key, whatever is said of how frequent bigrams and words are."""
+    rng = random.Random(threshold)
+    stock = ["acme", "robotics", "inc", "nvidia", "a", "b", "the", "the", "supplier", "000001", "x" * 30, "international business machines", "ab"]
+    names = [" ".join(rng.choices(stock, k=rng.randint(1, 5))) for _ in range(25)]
+    names = sorted({*names, *(misspelt(rng, n) for n in names for _ in range(2)), *(n[: rng.randint(1, len(n))] for n in names), "", "#"})
+    grams = {g: rng.randrange(50) for n in names for g in map("".join, zip(n, n[1:], strict=False))}
+    keys = {n: keys_of(n, threshold, grams, {"the": 90, "acme": 30}) for n in names}
+    found = 0
+    for a in names:
+        for b in names:
+            if round(fuzzy.weighted_ratio(a, b), 4) >= threshold:
+                found += 1
+                assert any(keys[a][k][0] & keys[b][k][1] or keys[a][k][1] & keys[b][k][0] for k in keys[a]), (a, b)
+    assert found > 80
+
+
+@pytest.mark.parametrize(("scorer", "list_pairs"), [("weighted", 1 << 22), ("weighted", 500), ("token_set", 0)])
+def test_resolver_compares_all_pairs(spark, monkeypatch, scorer, list_pairs):
+    """Typos in the first letters, and more than 200 names with one word, over several blocks and lists."""
     monkeypatch.setattr("strandwork.operators.similar.BLOCK", 90)
+    monkeypatch.setattr("strandwork.operators.similar.LIST_PAIRS", list_pairs)
+    monkeypatch.setattr("strandwork.operators.similar.FEW_PAIRS", 0)
     entities = [(i, f"Supplier#{i:09d}") for i in range(1, 231)] + [(900, "Nvidia"), (901, "Boston Dynamics"), (902, "Nvidia")]
     said = ["Nvdia", "Supplier#00000001", "Suppplier#000000007", "Bsoton Dynamics", "Figrue AI", "Figure AI", "iFgure AI", "Unlike All", "nvidia"]
     rows = resolved(spark.createDataFrame([(m, m) for m in said], "mention string, resolved string"), spark.createDataFrame(entities, "entity_id long, name string"), spark.createDataFrame([], "alias string, entity_id long"), scorer=scorer).collect()
