@@ -20,7 +20,8 @@ from strandwork.schema import REL_TYPES, SECTORS
 from strandwork.session import shared_dir
 from strandwork.sources import documents
 from strandwork.sources.graph_tables import AS_OF, CUSTOMER_OFFSET, nth
-from strandwork.streaming import ingest
+from strandwork.streaming import attempts, edges, ingest
+from strandwork.streaming.audit import Audit
 from strandwork.streaming.store import Busy, Store
 
 
@@ -33,8 +34,8 @@ d AS (SELECT *, CASE WHEN rel_type = 'sues' THEN 'unknown_rel_type' WHEN NOT (li
 SELECT coalesce(drop_reason, 'kept') AS outcome, ev AS evidence_type, drop_reason IS NULL AND (ev = 'speculative' OR conf < 0.60) AS flagged, count(*) AS n FROM d GROUP BY 1, 2, 3""")
 def p3(t):
     """Significance gate, downgrade of unsourced inferences, confidence, drop reasons and flags, in this order."""
-    edges = extracted(t).join(t.catalysts.select("catalyst_id", "significance_score"), "catalyst_id")
-    gated = edges.where((F.col("significance_score") >= 0.5) | (F.col("evidence_type") == "direct"))
+    found = extracted(t).join(t.catalysts.select("catalyst_id", "significance_score"), "catalyst_id")
+    gated = found.where((F.col("significance_score") >= 0.5) | (F.col("evidence_type") == "direct"))
     refs = F.when(F.col("l_partkey") % 6 == 1, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
     ev = F.when((F.col("evidence_type") == "inferred") & (F.size(refs) == 0), "speculative").otherwise(F.col("evidence_type"))
     scored = gated.withColumn("evidence_type", ev).withColumn("confidence", edge_confidence(F.col("mechanism_strength"), F.col("impact_magnitude")))
@@ -237,6 +238,20 @@ def r9(t):
     return ingest.collected(ingest.without_repeats(twice)).agg(F.count("*").alias("n"))
 
 
+@query("r9_cooldown", """
+WITH RECURSIVE a AS (SELECT user_id AS name, ts, event_type = 'purchase' AS verdict FROM events),
+g AS (SELECT name, min(ts) AS ts, arg_min(verdict, ts) AS verdict FROM a GROUP BY name
+  UNION ALL SELECT a.name, min(a.ts), arg_min(a.verdict, a.ts) FROM g JOIN a ON a.name = g.name AND NOT g.verdict AND a.ts >= g.ts + INTERVAL 14 DAY GROUP BY a.name, g.ts),
+w AS (SELECT a.name, a.ts, a.verdict, g.ts AS granted, g.verdict AS settled FROM a ASOF JOIN g ON g.name = a.name AND g.ts <= a.ts)
+SELECT name, ts, CASE WHEN ts = granted AND verdict THEN 'verdict' WHEN ts = granted THEN 'refused' WHEN settled THEN 'settled' ELSE 'cooling' END AS outcome FROM w
+UNION ALL SELECT name, ts + INTERVAL 14 DAY, 'due' FROM g WHERE NOT verdict AND ts + INTERVAL 14 DAY <= (SELECT max(ts) FROM a)""", base=False)
+def r9_cooldown(t):
+    """Events as attempts of their users, purchases as verdicts: a refused name waits for 14 days, and is told when it is due."""
+    own = attempts.stateful_session(t.spark)
+    tries = ingest.events(own, t.folder).select(F.col("user_id").alias("name"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("verdict"))
+    return attempts.decided(tries, reader=t.spark).withColumnRenamed("at", "ts")
+
+
 @query("r10_stream_lifecycle", """
 SELECT least(entity_a_id, entity_b_id) AS lo, greatest(entity_a_id, entity_b_id) AS hi, max(ship_date) AS last_seen, count(*) AS n_edges,
   CASE WHEN count(*) > 1 THEN 'followed' WHEN max(ship_date) < DATE '2001-08-01' - 90 THEN 'stale' ELSE 'new' END AS state FROM relationships GROUP BY 1, 2""")
@@ -249,6 +264,69 @@ def r10(t):
     return ingest.pair_states(ingest.lifecycle(pairs), AS_OF)
 
 
+@query("r10_edge_changes", """
+WITH e AS (SELECT least(entity_a_id, entity_b_id) AS lo, greatest(entity_a_id, entity_b_id) AS hi, ship_date, confidence, status, catalyst_id, l_linenumber, l_partkey FROM relationships),
+n AS (SELECT *, max(ship_date) OVER (PARTITION BY lo, hi) AS last_seen FROM e)
+SELECT catalyst_id, l_linenumber, l_partkey, CASE WHEN status = 'active' AND ship_date < DATE '2001-08-01' - 90 AND last_seen = ship_date THEN 'stale' ELSE status END AS status,
+       round(CASE WHEN last_seen > ship_date THEN least(1.0, confidence + 0.15) WHEN status = 'invalidated' THEN greatest(0.0, confidence - 0.30) ELSE confidence END, 6) AS confidence FROM n""")
+def r10_changes(t):
+    """Edges as a stream, each arrival changing those that it follows and time those that nothing does: what they come to."""
+    own = attempts.stateful_session(t.spark)
+    return edges.final(t.relationships, edges.changed(edges.arriving(own, t.folder), AS_OF, reader=t.spark))
+
+
+#: What a search says in each pass, by the customer of the name: refused for good or for now, silent, or a verdict.
+SEARCH_SQL = """
+s AS (SELECT h.*, CAST(substr(name_key, length(name_key) - 8) AS BIGINT) AS c FROM handles h),
+due AS (SELECT *, CASE WHEN c % 5 = 0 THEN 'refused' WHEN c % 7 = 1 THEN 'kept' END AS first, c % 10 = 0 AS never FROM s WHERE source NOT IN ('human', 'blocked') AND confidence <= 0.9),
+v AS (SELECT name_key, channel, first, never, CASE WHEN c % 3 = 0 THEN NULL WHEN c % 3 = 1 THEN handle ELSE concat('@new', CAST(c AS VARCHAR)) END AS new_handle FROM due)
+"""
+
+
+def searched(claims, nth):
+    """A search whose answers follow from the name: every fifth is refused in the first pass, every tenth in all."""
+    c = F.substring("name_key", -9, 9).cast("long")
+    refused = (c % 10 == 0) | ((c % 5 == 0) & F.lit(nth == 0))
+    silent = c % 7 == 1
+    blocked = refused | silent
+    handle = F.when(~blocked, F.when(c % 3 == 1, F.col("handle")).when(c % 3 == 2, F.concat(F.lit("@new"), c.cast("string"))))
+    source = F.when(blocked, "blocked").when(handle.isNull(), "abstain").otherwise("linkedin_serp_verified")
+    comment = F.when(refused, "quota").when(silent, "no evidence: search is empty").otherwise("title and name agree")
+    return claims.select("*", handle.alias("new_handle"), F.when(handle.isNull(), 0.0).otherwise(0.95).alias("new_confidence"), source.alias("new_source"), comment.alias("comment"))
+
+
+@query("r8_resumed_audit", f"""
+WITH {SEARCH_SQL.strip()},
+o AS (SELECT *, CASE WHEN first = 'refused' AND never THEN NULL WHEN first = 'refused' THEN 1 ELSE 0 END AS audited_in, CASE WHEN c7 THEN 'kept' WHEN new_handle IS NOT DISTINCT FROM old THEN 'confirmed' WHEN new_handle IS NULL THEN 'abstained' ELSE 'changed' END AS outcome
+  FROM (SELECT v.*, s.handle AS old, s.c % 7 = 1 AS c7 FROM v JOIN s USING (name_key, channel)) x)
+SELECT s.name_key, s.channel, CASE WHEN audited_in IS NULL OR outcome = 'kept' THEN handle ELSE new_handle END AS handle,
+  CASE WHEN audited_in IS NULL OR outcome = 'kept' THEN confidence WHEN new_handle IS NULL THEN 0.0 ELSE 0.95 END AS confidence,
+  CASE WHEN audited_in IS NULL OR outcome = 'kept' THEN source WHEN new_handle IS NULL THEN 'abstain' ELSE 'linkedin_serp_verified' END AS source, audited_in, CASE WHEN audited_in IS NOT NULL THEN outcome END AS outcome
+FROM s LEFT JOIN o USING (name_key, channel)""")
+def r8_audit(t):
+    """An audit that is killed after two steps, begun again elsewhere, and followed by a second pass over what was refused."""
+    audit = Audit(t.spark)
+    audit.begin(t.handles, 0.9, max(1, t.handles.count() // 5))
+
+    class Killed(Exception):
+        pass
+
+    def killed(claims, nth):
+        if audit.store.commits().keys() >= {1, 2}:
+            raise Killed
+        return searched(claims, nth)
+
+    try:
+        audit.run(killed)
+    except Killed:
+        pass
+    again = Audit(t.spark, audit.root)
+    again.begin(t.handles, 0.9, 1)  # it has begun: nothing is claimed anew
+    for nth in (0, 1):
+        again.run(searched, nth)
+    return again.handles(t.handles)
+
+
 @query("k8_completion_events", "SELECT event_type, count(DISTINCT event_id) AS written FROM events GROUP BY event_type", base=False)
 def k8_events(t):
     """What is announced once batches are written: each kind with the rows that were new, kinds without any left out. Two
