@@ -225,6 +225,22 @@ def r3(t):
     return rows.join(there, "event_id", "left_anti").agg(F.count_if("new").alias("strict_cursor"), F.count("*").alias("with_late_rows"))
 
 
+@query("r3_late_arrivals", """
+WITH e AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, ts < TIMESTAMP '2024-01-20' AND event_id % 10 <> 3 AS first FROM events),
+c AS (SELECT event_type, max(day) AS last_day, arg_max(event_id, epoch(day) * 10000000 + event_id) AS last_id FROM e WHERE first GROUP BY event_type),
+m AS (SELECT 'all' AS mode, event_type, day FROM e UNION ALL SELECT 'strict', event_type, day FROM e JOIN c USING (event_type) WHERE first OR day > last_day OR (day = last_day AND event_id > last_id))
+SELECT mode, event_type, day, count(*) AS n FROM m GROUP BY 1, 2, 3""", base=False)
+def r3_arrivals(t):
+    """A log that arrives in two parts, the second with rows behind the cursors of the first, in both modes of ingest."""
+    first = (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_id") % 10 != 3)
+    place, rows = own_place(t, "arrivals"), t.raw("events")
+    roots = {mode: f"{place}/{mode}" for mode in ("all", "strict")}
+    for part in (first, ~first):
+        rows.where(part).write.mode("append").parquet(f"{place}/events.parquet")
+        logs = [ingest.ingested(t.spark, place, root, strict_cursor=mode == "strict").read("log").select(F.lit(mode).alias("mode"), "event_type", "day") for mode, root in roots.items()]
+    return logs[0].unionByName(logs[1]).groupBy("mode", "event_type", "day").agg(F.count("*").alias("n"))
+
+
 @query("r8_stream_weeks", """
 SELECT CAST(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2""", base=False)
 def r8(t):

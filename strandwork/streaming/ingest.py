@@ -21,7 +21,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def events(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table as a stream of files, be it one file or a folder that more come to."""
     return spark.readStream.schema(EVENTS).options(**options).parquet(f"{folder}/events.parque[t]")
 
 
@@ -36,29 +36,42 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
 LOG = {"log": "event_id bigint, day date, event_type string", "cursors": "event_type string, last_day date, last_id bigint"}
 
 
-def ingested(spark: SparkSession, folder: str, root: str | None = None, done: Callable[[DataFrame], None] | None = None, **options) -> Store:
+def ingested(spark: SparkSession, folder: str, root: str | None = None, done: Callable[[DataFrame], None] | None = None, strict_cursor: bool = False, **options) -> Store:
     """Log and cursors: each event once by its id, and the last (day, id) of each kind.
 
-    A batch adds its new rows to the log as a part of its own; of what is there it reads ids only. With ``root`` a run goes
-    on where the last one with it stopped. ``done`` is told ``event_type, written`` of each batch that has written some; if
-    it fails, the run goes on.
+    A batch adds its new rows to the log as a part of its own, a folder a day; of what is there it reads the ids of the days
+    that it has itself, so that its work follows the batch and not the log. Rows that come behind the cursor of their kind,
+    late ones or such that failed before, are taken if their id is not there; with ``strict_cursor`` they are not, as with a
+    source that is asked for what comes after the cursor. With ``root`` a run goes on where the last one with it stopped.
+
+    ``done`` is told ``event_type, written`` of each batch that has written some; if it fails, the run goes on, and if the
+    driver dies between the commit and the announcement, that is not made up for.
     """
     store = Store(spark, LOG, root)
 
     def step(batch: DataFrame, n: int) -> None:
-        rows = batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type")
-        fresh = settled(rows.dropDuplicates(["event_id"]).join(store.read("log").select("event_id"), "event_id", "left_anti"))
-        top = rows.groupBy("event_type").agg(F.max(F.struct("day", "event_id")).alias("c"))
-        new = top.select("event_type", F.col("c.day").alias("last_day"), F.col("c.event_id").alias("last_id"))
-        old = store.read("cursors")
+        told = []
 
         def work(change: Change) -> None:
-            change.append("log", fresh)
+            old = store.read("cursors")
+            rows = batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type").dropDuplicates(["event_id"])
+            if strict_cursor:
+                was = old.select("event_type", F.struct("last_day", "last_id").alias("_was"))
+                ahead = F.col("_was").isNull() | (F.struct("day", "event_id") > F.col("_was"))
+                rows = rows.join(F.broadcast(was), "event_type", "left").where(ahead).drop("_was")
+            rows = settled(rows)
+            days = [r[0] for r in rows.select("day").distinct().collect()]
+            there = store.read("log").where(F.col("day").isin(days)).select("event_id")
+            fresh = settled(rows.join(there, "event_id", "left_anti"))
+            top = rows.groupBy("event_type").agg(F.max(F.struct("day", "event_id")).alias("c"))
+            new = top.select("event_type", F.col("c.day").alias("last_day"), F.col("c.event_id").alias("last_id"))
+            change.append("log", fresh.select("event_id", "day", "event_type"), by="day")
             change.replace("cursors", merged(old, further(old, new), ["event_type"]))
+            told.append(fresh)
 
         if store.change(n, work) and done is not None:
             try:
-                done(fresh.groupBy("event_type").agg(F.count("*").alias("written")).where("written > 0"))
+                done(told[0].groupBy("event_type").agg(F.count("*").alias("written")).where("written > 0"))
             except Exception:
                 logging.getLogger(__name__).exception("batch %s is written, but was not announced", n)
 
