@@ -9,6 +9,7 @@ from strandwork.functions import text as tx
 from strandwork.functions.numbers import clamped
 from strandwork.operators.components import connected_components
 from strandwork.operators.cosine_join import upstream_dropped
+from strandwork.operators.same_event import event_key, reported_again
 from strandwork.plans.base import query
 from strandwork.sources.graph_tables import AS_OF
 
@@ -158,6 +159,35 @@ def p27_groups(t):
     return grouped.groupBy("event").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def told_events(t):
+    """Events with entities, the words of their headlines, and a key of primary entity, type and a rounded amount."""
+    ends = t.relationships.select("catalyst_id", F.explode(F.array("entity_a_id", "entity_b_id")).alias("e"))
+    edges = t.relationships.groupBy("catalyst_id").agg(F.min("rel_type").alias("type"))
+    sets = ends.groupBy("catalyst_id").agg(F.collect_set("e").alias("ids"))
+    thousands = F.round(F.col("o_totalprice") / 50000).cast("int") * 50
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" for $"), thousands.cast("string"), F.lit("K"))).otherwise(F.concat(F.lit(" for $"), F.format_number(thousands * 1000, 0)))
+    prices = t.raw("orders").select(F.col("o_orderkey").alias("catalyst_id"), said.alias("said"))
+    words = tx.context_terms(F.regexp_replace("headline", "order [0-9]+", "order"))
+    rows = t.catalysts.select("catalyst_id", "ts", "headline", words.alias("words")).join(prices, "catalyst_id").join(edges, "catalyst_id").join(sets, "catalyst_id").join(p31(t), "catalyst_id")
+    return rows.select(F.col("catalyst_id").alias("event_id"), F.unix_date("ts").alias("day"), "ids", "words", event_key(F.col("entity_a_id"), F.col("type"), F.concat("headline", "said")).alias("key"))
+
+
+@query("p27_reported_again", """
+WITH d AS (SELECT catalyst_id, entity_a_id FROM (SELECT catalyst_id, entity_a_id, sum(confidence * impact_magnitude) AS w FROM relationships GROUP BY 1, 2) x
+  QUALIFY row_number() OVER (PARTITION BY catalyst_id ORDER BY round(w, 6) DESC, entity_a_id) = 1),
+n AS (SELECT DISTINCT catalyst_id, unnest([entity_a_id, entity_b_id]) AS e FROM relationships),
+y AS (SELECT catalyst_id, min(rel_type) AS type FROM relationships GROUP BY 1),
+v AS (SELECT catalyst_id, ts, subject, concat(entity_a_id, ':', type, ':', CAST(round(o_totalprice / 50000) AS INT)) AS key FROM catalysts JOIN orders ON o_orderkey = catalyst_id JOIN y USING (catalyst_id) JOIN d USING (catalyst_id)),
+m AS (SELECT a.catalyst_id AS event_id, b.catalyst_id AS earlier FROM n a JOIN n b ON a.e = b.e AND a.catalyst_id <> b.catalyst_id JOIN v x ON x.catalyst_id = a.catalyst_id JOIN v z ON z.catalyst_id = b.catalyst_id
+  WHERE x.subject = z.subject AND x.ts - z.ts BETWEEN 0 AND 45 AND (z.ts < x.ts OR b.catalyst_id < a.catalyst_id) GROUP BY 1, 2 HAVING count(*) >= 2),
+l AS (SELECT event_id, arg_max(earlier, date_diff('day', DATE '1970-01-01', ts) * 100000000 + earlier) AS earlier FROM m JOIN v ON v.catalyst_id = earlier GROUP BY event_id)
+SELECT event_id, earlier, CASE WHEN a.key = b.key THEN 'supersedes' ELSE 'follows_from' END AS link FROM l JOIN v a ON a.catalyst_id = event_id JOIN v b ON b.catalyst_id = earlier""")
+def p27_again(t):
+    """Events that one of the 45 days before has reported, by shared entities and words; headlines name their customer, so
+    most of their words are the same only where that is."""
+    return reported_again(told_events(t))
+
+
 @query("p28_upstream_dedup", """
 SELECT url, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY url""", base=False)
 def p28(t):
