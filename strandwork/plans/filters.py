@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandwork.functions import text as tx
+from strandwork.functions.html import parsed
 from strandwork.operators.endpoints import all_of, drop_reason, shown_handle, visible, with_names, within_days
 from strandwork.plans.base import query
 from strandwork.schema import REL_TYPES
@@ -58,6 +59,17 @@ def s8(t):
     return parts.select("page_id", error.alias("error"), "title", F.substring("body", 1, 20000).alias("text"))
 
 
+@query("u4_main_text", r"""
+SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'no url' WHEN body = '' THEN 'empty_extract' END AS error, title, body AS text
+FROM (SELECT page_id, html, nullif(trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')), '') AS title,
+  trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages)""", base=False)
+def u4(t):
+    """Main text and title of all pages by the parser of tags; blocks are a line each, here joined."""
+    pages = t.raw("pages").select("page_id", "html", parsed(F.col("html")).alias("p"))
+    error = F.when(F.col("html").isNull() | (F.col("html") == ""), "no url").when(F.col("p.text") == "", "empty_extract")
+    return pages.select("page_id", error.alias("error"), "p.title", F.replace("p.text", F.lit("\n"), F.lit(" ")).alias("text"))
+
+
 @query("s9_listed_keys", r"""
 SELECT DISTINCT regexp_extract(url, '^https?://[^/]+/([^?#]+)', 1) AS key FROM pages WHERE regexp_matches(url, '^https?://[^/]+/[^?#]*[0-9]')""", base=False)
 def s9(t):
