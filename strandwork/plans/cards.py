@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from strandwork.functions import text as tx
 from strandwork.operators.endpoints import shown_handle, visible, with_endpoints, within_days
 from strandwork.plans.aggregates import BUCKET_SQL, bucket
 from strandwork.plans.base import query
+from strandwork.session import settled, shared_dir
+from strandwork.sources import files
 from strandwork.sources.graph_tables import AS_OF, GraphTables
 
 EDGE_ORDER = ["rel_type", "entity_a_id", "l_partkey", "l_linenumber", "ship_date"]
@@ -179,6 +184,29 @@ def k1(t):
     return payload(t).select("schema_version", "sector", F.array_join(line, ";").alias("cards"))
 
 
+@query("k1_versioned_payload", f"""
+WITH {CARDS_SQL.strip()}
+SELECT 'v00000002' AS version, 50 AS after_failure, ev.entry_id AS card_id, headline, (SELECT string_agg(concat(from_name, '|', rel_type, '|', to_name, '|', evidence_type, '|', status), ';' ORDER BY place) FROM ed WHERE ed.catalyst_id = ev.catalyst_id) AS edges FROM ev""")
+def k1_versioned(t):
+    """A document of cards with their edges, a first version, a write that fails in one of its tasks, and a second version:
+    what readers see after the failure, and the whole last version."""
+    place = f"{shared_dir(t.spark).rstrip('/')}/payload-{uuid.uuid4().hex}"
+    files.register(t.spark)
+    made = settled(cards(t).select(F.to_json(F.struct("card_id", "headline", "card_type", "relationships")).alias("value"), F.row_number().over(Window.orderBy(F.desc("date"), F.desc("card_id"))).alias("nth")))
+    write = lambda rows: rows.select("value").write.format("versioned_document").mode("append").save(place)
+    read = lambda: t.spark.read.format("versioned_document").option("path", place).load()
+    write(made.where("nth <= 50"))
+    try:
+        write(made.withColumn("value", F.when(F.col("nth") == 120, F.raise_error(F.lit("the disk is full"))).otherwise(F.col("value"))))
+    except PySparkException:
+        after = read().count()
+    write(made)
+    card = F.from_json("value", "struct<card_id: string, headline: string, relationships: array<struct<`from`: string, rel: string, `to`: string, evidence_type: string, status: string>>>")
+    line = F.transform("c.relationships", lambda r: F.concat_ws("|", r["from"], r["rel"], r["to"], r["evidence_type"], r["status"]))
+    whole = read().select(card.alias("c"))
+    return whole.select(F.lit(files.versions(place)[-1]).alias("version"), F.lit(after).alias("after_failure"), "c.card_id", "c.headline", F.nullif(F.array_join(line, ";"), F.lit("")).alias("edges"))
+
+
 @query("f20_payload_guards", """
 SELECT sector, CASE sector WHEN 'AUTOMOBILE' THEN 'unreadable' WHEN 'HOUSEHOLD' THEN 'wrong version' WHEN 'MACHINERY' THEN 'empty' ELSE 'ok' END AS state, CASE WHEN sector IN ('BUILDING', 'FURNITURE') THEN least(count(*), 50) END AS n_cards FROM catalysts GROUP BY sector""")
 def f20(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandwork.functions import text as tx
@@ -9,6 +11,8 @@ from strandwork.functions.html import parsed
 from strandwork.operators.endpoints import all_of, drop_reason, shown_handle, visible, with_names, within_days
 from strandwork.plans.base import query
 from strandwork.schema import REL_TYPES
+from strandwork.session import shared_dir
+from strandwork.sources import files
 from strandwork.sources.graph_tables import AS_OF
 
 
@@ -91,6 +95,39 @@ def s11(t):
     return files.select("p_partkey", tx.png_size(F.col("content"), 0).alias("width"), tx.png_size(F.col("content"), 1).alias("height"))
 
 
+#: An image's header: width and height follow from the key, and the name follows the header.
+IMAGES_SQL = """
+i AS (SELECT concat('n', s_nationkey, '/', s_suppkey, '.png') AS key, s_suppkey % 4000 + 1 AS width, s_nationkey * 7 + 3 AS height,
+  unhex(concat('89504E470D0A1A0A0000000D49484452', printf('%08X', s_suppkey % 4000 + 1), printf('%08X', s_nationkey * 7 + 3), '0802000000', hex(encode(s_name)))) AS body FROM supplier)
+"""
+
+
+def images(t, name):
+    """An image file for each supplier, in folders by nation, written to the shared folder; gives the folder."""
+    place = f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    word = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    key = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_suppkey").cast("string"), F.lit(".png"))
+    content = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), word(F.col("s_suppkey") % 4000 + 1), word(F.col("s_nationkey") * 7 + 3), F.unhex(F.lit("0802000000")), F.col("s_name").cast("binary"))
+    files.write_files(t.raw("supplier").select(key.alias("key"), content.alias("content")), place)
+    return place
+
+
+@query("s10_listed_hashes", f"WITH {IMAGES_SQL.strip()} SELECT key, CAST(octet_length(body) AS BIGINT) AS size, md5(body) AS md5 FROM i", base=False)
+def s10_listed(t):
+    """Files of a folder and its folders, listed in pages and hashed where they are read."""
+    place = images(t, "images")
+    files.register(t.spark)
+    return t.spark.read.format("paged_listing").option("path", place).option("page_size", 3).option("suffix", ".png").load().select("key", "size", "md5")
+
+
+@query("s11_measured_images", f"WITH {IMAGES_SQL.strip()} SELECT key, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM i", base=False)
+def s11_measured(t):
+    """Width and height from the headers of image files."""
+    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(images(t, "measured"))
+    content = F.substring("content", 1, 24)
+    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("key"), tx.png_size(content, 0).alias("width"), tx.png_size(content, 1).alias("height"))
+
+
 @query("s13_search_results", """
 SELECT CASE c_custkey % 4 WHEN 0 THEN 'brave' WHEN 1 THEN 'serper' WHEN 2 THEN 'searchapi' ELSE 'cse' END AS provider,
        c_custkey, c_name AS title, concat('https://x.com/', lower(c_mktsegment)) AS link, c_mktsegment AS snippet FROM customer""", base=False)
