@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 # Word lists and markers that results depend on.
 GENERIC_TOKENS = "inc corp corporation co ltd llc gmbh ag plc sa se nv ab oyj kk ai technologies technology labs holdings group energy".split()
 CONTEXT_STOPWORDS = "the a an and or of for with to in on at as by from its their new is are has have will was were this that".split()
-TRANSIENT = r"(?i)timeout|timed out|connection|unavailable|too many requests|rate limit|temporar|HTTP (408|409|425|429|5[0-9][0-9])"
+TRANSIENT_WORDS = ["timeout", "timed out", "connection", "unavailable", "too many requests", "rate limit", "temporar"]
+TRANSIENT_CODES = ["408", "409", "425", "429", "5[0-9][0-9]"]
 # End of fixed values.
 
+TRANSIENT = rf"(?i){'|'.join(TRANSIENT_WORDS)}|HTTP ({'|'.join(TRANSIENT_CODES)})"
+
 ELLIPSIS = "…"
 
 

@@ -24,11 +24,11 @@ CARD_BUCKETS = {
     "hires_from": "talent", "spins_out_from": "talent",
     "built_on": "technical",
 }
-# End of fixed values.
-
-FINDING = T.StructType([T.StructField(n, T.StringType()) for n in ("entry_id", "timestamp", "category", "finding", "sentiment_takeaways", "guidance_play", "price_levels", "source_url")])
-
+FINDING_FIELDS = "entry_id timestamp category finding sentiment_takeaways guidance_play price_levels source_url".split()
 EXTRACTION = """struct<reasoning: string, significance_score: double, headline: string, sentiment_label: string,
 entities: array<struct<mention: string, resolved: string, ticker: string, type: string>>,
 relationships: array<struct<entity_a: string, rel_type: string, entity_b: string, evidence_type: string, mechanism: string,
 mechanism_strength: double, impact_magnitude: double, source_refs: array<int>>>, research_sources: array<string>>"""
+# End of fixed values.
+
+FINDING = T.StructType([T.StructField(n, T.StringType()) for n in FINDING_FIELDS])
