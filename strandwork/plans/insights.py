@@ -11,6 +11,7 @@ from strandwork.operators.components import connected_components
 from strandwork.operators.cosine_join import upstream_dropped
 from strandwork.operators.same_event import event_key, reported_again
 from strandwork.plans.base import query
+from strandwork.schema import CARD_BUCKETS
 from strandwork.sources.graph_tables import AS_OF
 
 
@@ -77,6 +78,36 @@ def p25(t):
     return counts.select(F.lit("velocity").alias("kind"), F.col("rel_type").alias("subject"), "score")
 
 
+#: How many of each kind are told.
+TOLD = 10
+
+
+@query("p25_graph_insights", f"""
+WITH d AS (SELECT sector, rel_type, entity_a_id, entity_b_id, ts FROM relationships JOIN catalysts USING (catalyst_id)),
+k AS (SELECT entity_b_id, count(DISTINCT entity_a_id) FILTER (WHERE ts > DATE '2001-08-01' - 300) AS cur, count(DISTINCT entity_a_id) FILTER (WHERE ts <= DATE '2001-08-01' - 300) AS prev FROM d WHERE ts > DATE '2001-08-01' - 600 GROUP BY 1),
+v AS (SELECT sector, rel_type, count(*) FILTER (WHERE ts > DATE '2001-08-01' - 30) AS cur, count(*) FILTER (WHERE ts <= DATE '2001-08-01' - 30) / 3.0 AS base FROM d WHERE ts > DATE '2001-08-01' - 120 GROUP BY 1, 2),
+b AS (SELECT least(entity_a_id, entity_b_id) AS lo, greatest(entity_a_id, entity_b_id) AS hi, count(*) FILTER (WHERE ts > DATE '2001-08-01' - 180) AS cur, count(*) FILTER (WHERE ts <= DATE '2001-08-01' - 180) AS before FROM d GROUP BY 1, 2),
+u AS (SELECT 'chokepoint' AS kind, name AS subject, round(cur / greatest(prev, 1), 4) AS score, concat(name, ': ', cur, ' sources, ', prev, ' before') AS headline FROM k JOIN entities ON entity_id = entity_b_id WHERE cur >= 3
+  UNION ALL SELECT 'velocity', concat(sector, '/', rel_type), round((cur - base) / base, 4), concat(rel_type, ' in ', sector, ': ', cur, ' in 30 days') FROM v WHERE base > 0 AND cur > base
+  UNION ALL SELECT 'cluster_break', concat(x.name, ' + ', y.name), CAST(greatest(cur, before) AS DOUBLE), CASE WHEN before = 0 THEN 'new pair' ELSE 'pair has stopped' END FROM b JOIN entities x ON x.entity_id = lo JOIN entities y ON y.entity_id = hi WHERE (cur > 0 AND before = 0) OR (cur = 0 AND before >= 8))
+SELECT * FROM (SELECT kind, subject, score, headline, row_number() OVER (PARTITION BY kind ORDER BY score DESC, subject) AS place FROM u) z WHERE place <= {TOLD}""")
+def p25_all(t):
+    """What the graph is told to show, the strongest of each kind: chokepoints by growth, relations that speed up, and pairs
+    that have formed or stopped."""
+    named = t.entities.select("entity_id", "name")
+    e = dated_edges(t, "entity_a_id", "entity_b_id").where(F.col("ts") > days_ago(600)).select("entity_b_id", "entity_a_id", (F.col("ts") > days_ago(300)).alias("now")).distinct()
+    c = e.groupBy("entity_b_id").agg(F.count_if("now").alias("cur"), F.count_if(~F.col("now")).alias("prev")).where("cur >= 3").join(named.withColumnRenamed("entity_id", "entity_b_id"), "entity_b_id")
+    growth = F.round(F.col("cur") / F.greatest("prev", F.lit(1)), 4)
+    chokepoints = c.select(F.lit("chokepoint").alias("kind"), F.col("name").alias("subject"), growth.alias("score"), F.concat("name", F.lit(": "), F.col("cur").cast("string"), F.lit(" sources, "), F.col("prev").cast("string"), F.lit(" before")).alias("headline"))
+    v = w8(t).where("direction = 'up' and change is not null")
+    velocity = v.select(F.lit("velocity").alias("kind"), F.concat("sector", F.lit("/"), "rel_type").alias("subject"), F.col("change").alias("score"), F.concat("rel_type", F.lit(" in "), "sector", F.lit(": "), F.col("current_30d").cast("string"), F.lit(" in 30 days")).alias("headline"))
+    b = w10(t).join(named.toDF("lo", "lo_name"), "lo").join(named.toDF("hi", "hi_name"), "hi")
+    pairs = b.select(F.lit("cluster_break").alias("kind"), F.concat("lo_name", F.lit(" + "), "hi_name").alias("subject"), F.greatest("cur", "before").cast("double").alias("score"), F.when(F.col("kind") == "new", "new pair").otherwise("pair has stopped").alias("headline"))
+    told = [kind.orderBy(F.desc("score"), "subject").limit(TOLD) for kind in (chokepoints, velocity, pairs)]
+    every = told[0].unionByName(told[1]).unionByName(told[2])
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "subject")))
+
+
 @query("p26_lifecycle", """
 WITH e AS (SELECT least(entity_a_id, entity_b_id) AS lo, greatest(entity_a_id, entity_b_id) AS hi, ship_date, confidence, status, catalyst_id, l_linenumber, l_partkey FROM relationships),
 n AS (SELECT *, max(ship_date) OVER (PARTITION BY lo, hi) AS last_seen FROM e)
@@ -243,6 +274,35 @@ def p29(t):
     return rows.groupBy(F.col("entity_a_id").alias("entity_id")).agg(F.round(F.sum(F.col("w") * F.col("confidence")), 4).alias("score"))
 
 
+#: What a relation says of its two ends: alike, or one against the other; the rest says nothing.
+COLLABORATIVE = [r for r, b in CARD_BUCKETS.items() if b in ("partnership", "deal", "technical")]
+ADVERSARIAL = [r for r, b in CARD_BUCKETS.items() if b in ("competitive", "regulatory")]
+
+
+@query("p29_entity_sentiment", f"""
+WITH s AS (SELECT catalyst_id, catalyst_id % 2 = 0 AS named, CASE WHEN catalyst_id % 7 = 0 THEN NULL ELSE CASE sentiment_label WHEN 'Very Bullish' THEN 2 WHEN 'Bullish' THEN 1 WHEN 'Neutral' THEN 0 WHEN 'Bearish' THEN -1 ELSE -2 END END AS w FROM catalysts),
+e AS (SELECT r.entity_a_id, r.entity_b_id, confidence, confidence * coalesce(w, 0) AS c, named, CASE WHEN rel_type IN ({', '.join(repr(r) for r in COLLABORATIVE)}) THEN 1 WHEN rel_type IN ({', '.join(repr(r) for r in ADVERSARIAL)}) THEN -1 ELSE 0 END AS polarity FROM relationships r JOIN s USING (catalyst_id)),
+x AS (SELECT entity_a_id AS entity_id, confidence, CASE WHEN named THEN 0 ELSE c * 0.5 * abs(polarity) END AS sentiment FROM e UNION ALL SELECT entity_b_id, confidence, CASE WHEN named THEN c ELSE c * 0.5 * polarity END FROM e)
+SELECT entity_id, round(sum(confidence), 4) AS heat, round(sum(sentiment), 4) AS sentiment, round(sum(confidence + sentiment), 4) AS score FROM x GROUP BY entity_id""")
+def p29_both_ends(t):
+    """Heat of an entity's edges and the sentiment that falls to it. Where a finding names whose sentiment it is (here those
+    with an even number do, their customer), it is that one's; otherwise a collaborative relation gives each end half, an
+    adversarial one takes from the end that it is against, and others give none. A finding without sentiment is heat alone."""
+    label, even = F.col("sentiment_label"), F.col("catalyst_id") % 2 == 0
+    w = F.when(label == "Very Bullish", 2).when(label == "Bullish", 1).when(label == "Neutral", 0).when(label == "Bearish", -1).otherwise(-2)
+    said = t.catalysts.select("catalyst_id", even.alias("named"), F.when(F.col("catalyst_id") % 7 != 0, w).alias("w"))
+    polarity = F.when(F.col("rel_type").isin(COLLABORATIVE), 1).when(F.col("rel_type").isin(ADVERSARIAL), -1).otherwise(0)
+    edges = t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id", "confidence", polarity.alias("polarity")).join(said, "catalyst_id")
+    c = F.col("confidence") * F.coalesce("w", F.lit(0))
+    ends = F.array(
+        F.struct(F.col("entity_a_id").alias("entity_id"), F.when(F.col("named"), 0.0).otherwise(c * 0.5 * F.abs("polarity")).alias("sentiment")),
+        F.struct(F.col("entity_b_id").alias("entity_id"), F.when(F.col("named"), c).otherwise(c * 0.5 * F.col("polarity")).alias("sentiment")),
+    )
+    each = edges.select("confidence", F.explode(ends).alias("x")).select("confidence", "x.*")
+    sums = [F.round(F.sum(v), 4).alias(n) for n, v in (("heat", F.col("confidence")), ("sentiment", F.col("sentiment")), ("score", F.col("confidence") + F.col("sentiment")))]
+    return each.groupBy("entity_id").agg(*sums)
+
+
 @query("p30_track_record", "p30_track_record_all", f"""
 WITH s AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 10000000000 + o_orderkey AS k, o_totalprice FROM orders)
 SELECT o_orderkey, {", ".join(f"arg_max(o_totalprice, k) OVER (PARTITION BY o_custkey ORDER BY d RANGE BETWEEN CURRENT ROW AND INTERVAL {n} DAY FOLLOWING) AS price_{n}d" for n in (30, 60, 90))} FROM s""", base=False)

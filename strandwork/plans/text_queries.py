@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandwork.functions.redact import redacted
 from strandwork.functions import dates as dt
 from strandwork.functions import numbers as nm
 from strandwork.functions import text as tx
@@ -304,3 +305,15 @@ def n10(t):
 def n11(t):
     secret = ["c_acctbal", "c_nationkey", "c_mktsegment"]
     return t.raw("customer").drop(*secret)
+
+
+@query("n11_nested_secrets", """
+SELECT c_custkey, concat('{"uid":"', c_name, '","profile":{"nation":', c_nationkey, ',"phones":[{"number":"', c_custkey, '-1"},{"number":"', c_custkey, '-2"}]},"claims":{"sector":"', c_mktsegment, '"}}') AS body FROM customer""", base=False)
+def n11_nested(t):
+    """User documents with secrets at the top, in structs of lists and among the keys of a map, as they may be shown."""
+    key = F.col("c_custkey").cast("string")
+    phone = lambda n: F.struct(F.concat(key, F.lit(n)).alias("number"), F.md5(key).alias("salt"))
+    profile = F.struct(F.col("c_nationkey").alias("nation"), F.array(phone("-1"), phone("-2")).alias("phones"), F.md5(key).alias("passwordHash"))
+    claims = F.create_map(F.lit("sector"), "c_mktsegment", F.lit("Salt"), F.md5(key))
+    docs = t.raw("customer").select("c_custkey", F.struct(F.col("c_name").alias("uid"), F.md5(key).alias("passwordHash"), F.md5(key).alias("salt"), profile.alias("profile"), claims.alias("claims")).alias("doc"))
+    return redacted(docs, ["passwordHash", "salt"]).select("c_custkey", F.to_json("doc").alias("body"))
