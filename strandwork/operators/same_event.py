@@ -51,14 +51,14 @@ def classes_of(events: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
     return settled(members), settled(found)
 
 
-def alike(classes: DataFrame, least_shared: int, overlap: float) -> DataFrame:
-    """``a, b``: classes of the same or neighbouring buckets that share enough entities and words, each way and with itself."""
+def alike(classes: DataFrame, least_shared: int, overlap: float, buckets: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
+    """``a, b``: classes of buckets that far apart (the same or neighbouring ones) that share enough entities and words, each way and with itself."""
     entity = F.explode(F.slice("ids", 1, F.greatest(F.size("ids") - (least_shared - 1), F.lit(0)))).alias("entity")
     rarest = F.size("words") - F.ceil(F.lit(overlap) * F.size("words") - 1e-9).cast("int") + 1
     kept = ["class", "ids", "words"]
     each = classes.select(*kept, "bucket", entity)
     found_by = each.select(*kept, "bucket", "entity", F.explode("words").alias("word")).alias("r")
-    looks_for = each.select(*kept, F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("bucket"), "entity", F.explode(F.slice("words", F.lit(1), rarest)).alias("word")).alias("l")
+    looks_for = each.select(*kept, F.explode(F.array(*[F.col("bucket") + k for k in buckets])).alias("bucket"), "entity", F.explode(F.slice("words", F.lit(1), rarest)).alias("word")).alias("l")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("bucket", "entity", "word")]
     both = F.size(F.array_intersect("l.words", "r.words")) >= overlap * F.least(F.size("l.words"), F.size("r.words")) - 1e-9
     enough = F.size(F.array_intersect("l.ids", "r.ids")) >= least_shared

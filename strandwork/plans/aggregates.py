@@ -69,11 +69,11 @@ WITH e AS (SELECT entity_a_id AS id, confidence FROM relationships UNION ALL SEL
 h AS (SELECT id, sum(confidence) AS heat FROM e GROUP BY id), m AS (SELECT max(heat) AS top FROM h)
 SELECT id AS entity_id, round(heat / CASE WHEN top = 0 THEN 1.0 ELSE top END, 3) AS heat FROM h, m""")
 def a8(t):
-    """Heat relative to the hottest node; the maximum is one number, taken first."""
+    """Heat relative to the hottest node; the maximum is a scalar subquery over the same aggregate."""
     ends = with_endpoints(t.relationships.select("entity_a_id", "entity_b_id", "confidence"), once=False)
     heat = ends.groupBy("entity_id").agg(F.sum("confidence").alias("heat"))
-    top = heat.agg(F.max("heat")).first()[0] or 1.0
-    return heat.select("entity_id", F.round(F.col("heat") / F.lit(top), 3).alias("heat"))
+    top = F.nullif(heat.agg(F.max("heat")).scalar(), F.lit(0.0))
+    return heat.select("entity_id", F.round(F.col("heat") / F.coalesce(top, F.lit(1.0)), 3).alias("heat"))
 
 
 @query("a9_card_type", f"""
@@ -127,7 +127,7 @@ WITH e AS (SELECT entity_a_id AS id FROM relationships UNION ALL SELECT entity_b
 SELECT id AS entity_id, round(18 + 30 * (n / top), 4) AS size FROM c, m""")
 def a15(t):
     counts = with_endpoints(t.relationships.select("entity_a_id", "entity_b_id"), once=False).groupBy("entity_id").agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n")).first()[0] or 1
+    top = counts.agg(F.max("n")).scalar()
     return counts.select("entity_id", F.round(18 + 30 * (F.col("n") / top), 4).alias("size"))
 
 

@@ -40,6 +40,25 @@ def match_score(page: Column, name: Column) -> Column:
     return F.greatest(fuzzy.similarity(F.lower(page), F.lower(name), "token_sort"), fuzzy.similarity(bare(page), bare(name), "token_sort"))
 
 
+def title_scores(results: DataFrame, threshold: float) -> DataFrame:
+    """``results`` with ``score``, how alike title and name are (``match_score``); null where it is below ``threshold``.
+
+    Most titles are the name or nothing like it, which expressions say: names with a common subsequence of so many letters
+    differ in few edits. Only what is left, and what is not plain ASCII, is scored.
+    """
+    page, name = F.lower("title"), F.lower("name_key")
+    ordered = lambda words: F.array_join(F.array_sort(words), " ")
+    plain = lambda c: F.filter(F.split(F.regexp_replace(c, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    few = lambda a, b: F.levenshtein(a, b) <= (1 - threshold / 100) * (F.length(a) + F.length(b)) + 1e-6
+    near = few(ordered(plain(page)), ordered(plain(name))) | few(*[ordered(tx.strip_generic(tx.tokens(F.col(c)))) for c in ("title", "name_key")])
+    ascii_ = F.concat("title", "name_key").rlike(r"^[\x00-\x7f]*$")
+    how = F.when(page == name, "same").when(~ascii_ | near, "near").otherwise("far")
+    told = results.withColumn("how", how)
+    scores = {"same": F.lit(100.0), "near": match_score(F.col("title"), F.col("name_key")), "far": F.lit(None).cast("double")}
+    parts = [told.where(F.col("how") == k).withColumn("score", score).drop("how") for k, score in scores.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def verified_by_search(results: DataFrame, most: int = 4, threshold: float = 90.0) -> DataFrame:
     """``name_key, slug, confidence, outcome`` from search results.
 
@@ -47,24 +66,24 @@ def verified_by_search(results: DataFrame, most: int = 4, threshold: float = 90.
     as confidence if the context speaks for it, 0.75 if not. Of several slugs one wins only if more context words speak
     for it than for every other.
     """
-    near = results.where(F.col("pos") < most).withColumn("score", match_score(F.col("title"), F.col("name_key")))
-    hit = near.where(F.col("score") >= threshold)
+    scored = title_scores(results.where(F.col("pos") < most), threshold)
     words = tx.context_hits(F.concat_ws(" ", "title", "snippet"), F.split(F.lower("sector"), " "), F.split("name_key", "#"))
-    slugs = hit.select("name_key", tx.slug_from_url(F.col("link")).alias("slug"), words.alias("hits"), "pos", "score").where("slug is not null")
+    slugs = scored.select("name_key", F.when(F.col("score") >= threshold, tx.slug_from_url(F.col("link"))).alias("slug"), words.alias("hits"), "pos", "score")
+    slugs = slugs.unionByName(results.where(F.col("pos") >= most).select("name_key"), allowMissingColumns=True)
     best = slugs.groupBy("name_key", "slug").agg(F.max("hits").alias("hits"), F.min("pos").alias("pos"), F.max("score").alias("score"))
-    by_name = Window.partitionBy("name_key")
-    ranked = best.select(
-        "*",
-        F.count("*").over(by_name).alias("n"),
-        F.max("hits").over(by_name).alias("most"),
-        F.row_number().over(by_name.orderBy(F.desc("hits"), "pos")).alias("place"),
+    # Names without a match have one row here, whose slug is null and comes last in every order.
+    none, hits = F.col("slug").isNull(), F.col("hits")
+    one = best.groupBy("name_key").agg(
+        F.count("slug").alias("n"),
+        F.min_by(F.struct("slug", "hits", "score"), F.struct(none, -hits, F.col("pos"))).alias("b"),
+        F.min_by("slug", F.struct(none, -hits, F.col("slug"))).alias("low"),
+        F.max_by("slug", F.struct(~none, hits, F.col("slug"))).alias("high"),
     )
-    ranked = ranked.withColumn("ties", F.count_if(F.col("hits") == F.col("most")).over(by_name)).where("place = 1")
-    single = F.col("n") == 1
-    won = single | ((F.col("most") >= 1) & (F.col("ties") == 1))
-    found = ranked.select("name_key", F.when(won, F.col("slug")).alias("slug"), F.when(won, F.when(F.col("hits") >= 1, F.col("score") / 100).otherwise(0.75)).otherwise(0.0).alias("confidence"), F.when(won, F.when(F.col("hits") >= 1, "verified").otherwise("industry unconfirmed")).otherwise("ambiguous").alias("outcome"))
-    every = results.select("name_key").distinct().join(found, "name_key", "left")
-    return every.select("name_key", "slug", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("outcome", F.lit("no match")).alias("outcome"))
+    spoken_for = F.col("b.hits") >= 1
+    won = (F.col("n") == 1) | ((F.col("n") > 1) & spoken_for & (F.col("low") == F.col("high")))
+    outcome = F.when(F.col("n") == 0, "no match").when(~won, "ambiguous").when(spoken_for, "verified").otherwise("industry unconfirmed")
+    confidence = F.when(won & spoken_for, F.col("b.score") / 100).when(won, 0.75).otherwise(0.0)
+    return one.select("name_key", F.when(won, F.col("b.slug")).alias("slug"), confidence.alias("confidence"), outcome.alias("outcome"))
 
 
 VERIFIED_SQL = f"""

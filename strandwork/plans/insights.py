@@ -9,7 +9,7 @@ from strandwork.functions import text as tx
 from strandwork.functions.numbers import clamped
 from strandwork.operators.components import connected_components
 from strandwork.operators.cosine_join import upstream_dropped
-from strandwork.operators.same_event import event_key, reported_again
+from strandwork.operators.same_event import alike, by_rarity, event_key, reported_again
 from strandwork.plans.base import query
 from strandwork.schema import CARD_BUCKETS
 from strandwork.sources.graph_tables import AS_OF
@@ -136,18 +136,12 @@ def event_classes(t):
 
 
 def same_events(classes, least_shared: int = 2, overlap: float = 0.7):
-    """Pairs of classes that share entities on one day and most of their words.
-
-    Classes meet in an index of (day, entity) that leaves out the ``least_shared - 1`` most frequent entities of each: two
-    that share enough share one that is left. So an entity of every event makes no pairs of all events, and a class has no
-    more entries than entities. Candidates are verified by their sets.
-    """
-    index = classes.withColumn("entity_id", F.explode(F.slice("ids", 1, F.greatest(F.size("ids") - (least_shared - 1), F.lit(0)))))
-    left, right = index.alias("l"), index.alias("r")
-    found = left.join(right, (F.col("l.ts") == F.col("r.ts")) & (F.col("l.entity_id") == F.col("r.entity_id")) & (F.col("l.event") < F.col("r.event")))
-    shared, both = F.size(F.array_intersect("l.ids", "r.ids")), F.size(F.array_intersect("l.words", "r.words"))
-    found = found.where((shared >= least_shared) & (both >= overlap * F.least(F.size("l.words"), F.size("r.words"))))
-    return found.select(F.col("l.event").alias("a"), F.col("r.event").alias("b")).distinct()
+    """Pairs of classes that share entities on one day and most of their words, by the index of ``operators.same_event``:
+    a class has entries for its entities but the most frequent, each with its words, so that neither an entity of every
+    event nor a word of every headline makes pairs of all events."""
+    rare = by_rarity(classes, "event", "words")
+    days = classes.select(F.col("event").alias("class"), F.unix_date("ts").alias("bucket"), "ids").join(rare.withColumnRenamed("event", "class"), "class")
+    return alike(days, least_shared, overlap, (0,)).where("a < b")
 
 
 WORDS_SQL = r"""

@@ -76,12 +76,10 @@ def j7(t):
 WITH anchor AS (SELECT ts AS ats, entry_id AS aid FROM catalysts WHERE sector = 'BUILDING' ORDER BY ts DESC, entry_id DESC LIMIT 1 OFFSET 20)
 SELECT entry_id, ts FROM catalysts, anchor WHERE sector = 'BUILDING' AND (ts > ats OR (ts = ats AND entry_id >= aid))""")
 def j8(t):
-    """Rows from an anchor on; the anchor is one row, so its key is a literal of the second plan."""
+    """Rows from an anchor on; the anchor is one row, a scalar subquery, and without it there are none."""
     rows = t.catalysts.where("sector = 'BUILDING'").select("entry_id", "ts")
-    anchor = rows.orderBy(F.desc("ts"), F.desc("entry_id")).offset(20).limit(1).first()
-    if anchor is None:
-        return rows.limit(0)
-    return rows.where(F.struct("ts", "entry_id") >= F.struct(F.lit(anchor.ts), F.lit(anchor.entry_id)))
+    anchor = rows.orderBy(F.desc("ts"), F.desc("entry_id")).offset(20).limit(1).select(F.struct("ts", "entry_id").alias("a")).scalar()
+    return rows.where(F.struct("ts", "entry_id") >= anchor)
 
 
 @query("j9_top_confidence", """

@@ -178,3 +178,21 @@ def test_whole_tables(spark):
                 if e in name and c in headline:
                     told.setdefault(e, set()).add(headline[c])
     assert sorted(got("j14_entity_headlines_all")) == sorted((e, h) for e, found in told.items() for h in sorted(found)[:20])
+
+
+def test_titles_that_may_match_are_scored(spark):
+    """What expressions rule out has no score that counts, and what they take for the same has the highest."""
+    from pyspark.sql import functions as F
+
+    from strandwork.plans.handles import match_score, title_scores
+
+    rng = random.Random(6)
+    stock = ["Acme Robotics Inc", "Société Générale SA", "Boston Dynamics", "AI2 & Co", "Neura Robotics GmbH", "x", "", "Beyond Ltd Holdings"]
+    names = [n for n in stock for _ in range(3)]
+    rows = [(misspelt(rng, n) if rng.random() < 0.6 else " ".join(rng.sample(n.split(), len(n.split()))), n, k) for n in names for k in range(4)]
+    rows += [(a, b, 0) for a in stock for b in stock] + [(None, "x", 0), ("ACME robotics inc", "acme robotics INC", 1)]
+    df = spark.createDataFrame(rows, "title string, name_key string, pos int")
+    for threshold in (75.0, 90.0):
+        want = Counter((r.title, r.name_key, r.s) for r in df.select("title", "name_key", match_score(F.col("title"), F.col("name_key")).alias("s")).collect() if r.s is not None and r.s >= threshold)
+        got = Counter((r.title, r.name_key, r.score) for r in title_scores(df, threshold).collect() if r.score is not None and r.score >= threshold)
+        assert got == want and len(want) > 10
