@@ -12,6 +12,7 @@ from strandwork.operators.cosine_join import upstream_dropped
 from strandwork.operators.same_event import alike, by_rarity, event_key, reported_again
 from strandwork.plans.base import query
 from strandwork.schema import CARD_BUCKETS
+from strandwork.session import settled
 from strandwork.sources.graph_tables import AS_OF
 
 
@@ -139,6 +140,7 @@ def same_events(classes, least_shared: int = 2, overlap: float = 0.7):
     """Pairs of classes that share entities on one day and most of their words, by the index of ``operators.same_event``:
     a class has entries for its entities but the most frequent, each with its words, so that neither an entity of every
     event nor a word of every headline makes pairs of all events."""
+    classes = settled(classes)
     rare = by_rarity(classes, "event", "words")
     days = classes.select(F.col("event").alias("class"), F.unix_date("ts").alias("bucket"), "ids").join(rare.withColumnRenamed("event", "class"), "class")
     return alike(days, least_shared, overlap, (0,)).where("a < b")

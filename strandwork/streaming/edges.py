@@ -22,7 +22,7 @@ from strandwork.sources.graph_tables import GraphTables
 #: With its pair and day these tell an edge from others.
 EDGE = ["catalyst_id", "l_linenumber", "l_partkey"]
 CHANGES = "lo long, hi long, day long, catalyst_id long, l_linenumber long, l_partkey long, change string, status string, confidence double"
-HELD = "catalyst_id long, l_linenumber long, l_partkey long, status string, confidence double, stale boolean"
+PAIR = "day long, held array<struct<catalyst_id: long, l_linenumber: long, l_partkey: long, status: string, confidence: double, stale: boolean>>"
 DAY_MS = 86_400_000
 #: Of several changes of an edge the last is the one that comes first here.
 LAST = {"followed": 0, "stale": 1, "invalidated": 2}
@@ -36,8 +36,15 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.day = handle.getValueState("day", "day long")
-        self.held = handle.getListState("held", HELD)
+        self.pair = handle.getValueState("pair", PAIR)
+
+    def _state(self) -> tuple[int | None, list[tuple]]:
+        found = self.pair.get()
+        return (None, []) if found is None else (found[0], [tuple(e) for e in found[1]])
+
+    @staticmethod
+    def _waits(held: list[tuple]) -> bool:
+        return any(e[3] == "active" and not e[5] for e in held)
 
     def _told(self, key, day: int, edge: tuple, change: str, status: str, confidence: float) -> Row:
         return Row(lo=key[0], hi=key[1], day=day, catalyst_id=edge[0], l_linenumber=edge[1], l_partkey=edge[2], change=change, status=status, confidence=confidence)
@@ -49,8 +56,8 @@ class Lifecycle(StatefulProcessor):
         return (day + self.stale_days) * DAY_MS  # time stands a day back
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        was = self.day.get()[0] if self.day.exists() else None
-        day, held = was, [tuple(e) for e in self.held.get()] if was is not None else []
+        was, held = self._state()
+        day, waits = was, self._waits(held)
         for r in sorted(rows, key=lambda r: r["day"]):
             edge = (r["catalyst_id"], r["l_linenumber"], r["l_partkey"], r["status"], r["confidence"], False)
             if day is not None and r["day"] < day:
@@ -63,19 +70,19 @@ class Lifecycle(StatefulProcessor):
             if edge[3] == "invalidated":
                 yield self._told(key, r["day"], edge, "invalidated", edge[3], max(0.0, edge[4] - self.penalty))
             held.append(edge)
-        if day != was:
-            if was is not None:
-                self.handle.deleteTimer(self._expiry(was))
-            self.day.update((day,))
+        self.pair.update((day, held))
+        # Only a day with an edge that may go stale has a timer.
+        if waits and day != was:
+            self.handle.deleteTimer(self._expiry(was))
+        if self._waits(held) and not (waits and day == was):
             self.handle.registerTimer(self._expiry(day))
-        self.held.put(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        day, held = self.day.get()[0], [tuple(e) for e in self.held.get()]
+        day, held = self._state()
         for e in held:
             if e[3] == "active" and not e[5]:
                 yield self._told(key, day, e, "stale", "stale", e[4])
-        self.held.put([(*e[:5], e[5] or e[3] == "active") for e in held])
+        self.pair.update((day, [(*e[:5], e[5] or e[3] == "active") for e in held]))
 
     def close(self) -> None:
         pass
