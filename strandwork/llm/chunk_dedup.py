@@ -114,4 +114,5 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
 
 def op4_chunk_dedup(spark, sf_dir: str) -> DataFrame:
+    """What all ``documents`` lose to chunks of smaller ones, see ``deduplicated``."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), texts=False)

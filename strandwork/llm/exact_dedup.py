@@ -190,6 +190,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Which of equal ``documents`` stays, for all of them, see ``exact_groups``."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -180,6 +180,7 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of all whole ``documents``; held-out ones are never learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = trained_on(docs)
     held_out = fold_of(F.col("doc_id"), TRAIN_FOLDS) == HELD_OUT_FOLD

@@ -144,6 +144,7 @@ def cycle_weights(sources: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of each of all ``documents``, see ``with_copies``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mix = with_copies(docs, cycle_weights)
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -157,5 +157,6 @@ def public_vocabulary() -> tuple[str, str, str]:
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` in power-of-two pieces of ids, a sequence each, see ``pieces``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return packed_digests(docs, *public_vocabulary())

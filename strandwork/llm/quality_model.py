@@ -175,6 +175,7 @@ def with_quality(docs: DataFrame, net: Network, text: str = "text") -> DataFrame
 
 
 def op1_quality_model(spark, sf_dir: str) -> DataFrame:
+    """Scores all whole ``documents`` for quality; labels of held-out documents are never learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = trained_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = fold_of(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD

@@ -145,6 +145,7 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the rules for all ``documents``, see ``judged``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 

@@ -221,5 +221,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all ``documents``, see ``near_groups``."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -450,6 +450,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """What all ``documents`` lose to passages of smaller ones, see ``deduplicated``."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), texts=False)
 
 

@@ -267,6 +267,7 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """All ``pages`` written to archives and read back, see ``round_trip``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return round_trip(pages, f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
 
