@@ -402,11 +402,33 @@ def cut_result(i, data, spans):
     return i, len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()
 
 
+def plain_ends(data):
+    """Ends of chunks byte by byte: a hash that forgets after 32 bytes, a cut where its top bits are zero or the chunk is
+    as long as it may be, none in a chunk that is too short."""
+    table = [int(x) for x in chunk_dedup.gear()]
+    ends, last, h = [], 0, 0
+    for i, b in enumerate(data, 1):
+        h = ((h << 1) + table[b]) % (1 << 32)
+        size = i - last
+        if size == chunk_dedup.MAX_CHUNK or (size >= chunk_dedup.MIN_CHUNK and h >> (32 - chunk_dedup.MASK_BITS) == 0):
+            ends.append(i)
+            last = i
+    return ends + [len(data)] * (last < len(data))
+
+
+def test_chunk_ends():
+    rng = np.random.default_rng(2)
+    table = chunk_dedup.gear()
+    for n in (1, 5, 15, 16, 17, 255, 256, 257, 600, 5000, 40_000):
+        for data in (rng.integers(0, 256, n).astype(np.uint8), rng.integers(97, 100, n).astype(np.uint8), np.full(n, 97, np.uint8)):
+            assert chunk_dedup.chunk_ends(data, table) == plain_ends(data.tolist())
+
+
 def chunk_brute(docs):
-    seen, out, table = set(), [], chunk_dedup.gear()
+    seen, out = set(), []
     for i, data in docs:
         spans, start = [], 0
-        for end in chunk_dedup.chunk_ends(np.frombuffer(data, np.uint8), table) if data else []:
+        for end in plain_ends(data):
             if data[start:end] in seen:
                 if spans and spans[-1][1] == start:
                     spans[-1][1] = end
