@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -52,11 +53,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests), it is the context's checkpoint folder or else one under the warehouse.
+    Where the session sets none, it is the context's checkpoint folder, and for a local master (tests) else one under the
+    warehouse; a cluster without one is an error, as executors do not share a machine's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
+    if not found and own.isEmpty() and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
     if not found:
         found = own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if own.isEmpty():
