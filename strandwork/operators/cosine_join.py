@@ -20,11 +20,13 @@ PLACES, SLACK = 6, 1e-6
 def bags(rows: DataFrame, key: str, terms: str) -> tuple[DataFrame, DataFrame]:
     """``key, row``: for each key the smallest with equal ``terms`` (an array; order does not count), and ``row, term, n``,
     how often each of these has each term. Rows without terms are in neither."""
-    named = rows.select(F.col(key), F.array_sort(terms).alias("terms")).where(F.size("terms") > 0)
-    named = named.withColumn("bag", F.sha2(F.to_json("terms"), 256))
+    some = rows.select(F.col(key), F.col(terms).alias("terms")).where(F.size("terms") > 0)
+    # Terms are told apart by their lengths.
+    said = F.array_join(F.transform(F.sort_array("terms"), lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
+    named = settled(some.select(key, F.sha2(said, 256).alias("bag")))
     least = named.groupBy("bag").agg(F.min(key).alias("row"))
-    members = settled(named.select(key, "bag").join(least, "bag").select(key, "row"))
-    firsts = named.join(members.where(F.col(key) == F.col("row")).select(key), key, "left_semi")
+    members = settled(named.join(least, "bag").select(key, "row"))
+    firsts = some.join(members.where(F.col(key) == F.col("row")).select(key), key, "left_semi")
     return members, firsts.select(F.col(key).alias("row"), F.explode("terms").alias("term")).groupBy("row", "term").agg(F.count("*").alias("n"))
 
 
@@ -38,17 +40,17 @@ def weighted(members: DataFrame, counts: DataFrame, rows: int, inverse: bool) ->
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row"))))
 
 
-def index(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``row, term, w, upto, rests``: the terms of each vector up to the first bucket of ``df`` (by powers of two) behind
-    which its length is less than ``threshold``, and its lengths behind each bucket up to that one."""
+def index(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``row, term, w``: the terms of each vector up to the first bucket of ``df`` (by powers of two) behind which its length
+    is less than ``threshold``; and ``row, upto, rests``, that bucket and the lengths behind each one up to it."""
     bucket = F.floor(F.log2("df")).cast("int")
     held = vectors.groupBy("row", bucket.alias("bucket")).agg(F.sum(F.col("w") * F.col("w")).alias("square"))
     squares = held.groupBy("row").agg(F.collect_list(F.struct("bucket", "square")).alias("squares"))
     behind = lambda k: F.sqrt(F.aggregate(F.filter("squares", lambda x: x["bucket"] > k), F.lit(0.0), lambda s, x: s + x["square"]))
     all_rests = squares.select("row", F.transform(F.sequence(F.lit(0), F.array_max(F.transform("squares", lambda x: x["bucket"]))), behind).alias("rests"))
     upto = F.array_position(F.transform("rests", lambda x: x < threshold - SLACK), True).cast("int") - 1
-    cuts = all_rests.select("row", upto.alias("upto"), F.slice("rests", 1, upto + 1).alias("rests"))
-    return vectors.withColumn("bucket", bucket).join(cuts, "row").where("bucket <= upto").select("row", "term", "w", "upto", "rests")
+    cuts = settled(all_rests.select("row", upto.alias("upto"), F.slice("rests", 1, upto + 1).alias("rests")))
+    return vectors.withColumn("bucket", bucket).join(cuts.select("row", "upto"), "row").where("bucket <= upto").select("row", "term", "w"), cuts
 
 
 def pairs(vectors: DataFrame, threshold: float, least_shared: int = 1) -> DataFrame:
@@ -59,10 +61,12 @@ def pairs(vectors: DataFrame, threshold: float, least_shared: int = 1) -> DataFr
     product of their lengths bounds the rest. Only pairs that can reach the threshold are compared in full.
     """
     vectors = settled(vectors)
-    first = index(vectors, threshold)
+    first, cuts = index(vectors, threshold)
     left, right = first.alias("l"), first.alias("r")
     met = left.join(right, (F.col("l.term") == F.col("r.term")) & (F.col("l.row") < F.col("r.row")))
-    shared = met.groupBy(F.col("l.row").alias("a"), F.col("r.row").alias("b")).agg(F.sum(F.col("l.w") * F.col("r.w")).alias("known"), *[F.first(f"{s}.{c}").alias(f"{c}_{s}") for s in "lr" for c in ("upto", "rests")])
+    shared = met.groupBy(F.col("l.row").alias("a"), F.col("r.row").alias("b")).agg(F.sum(F.col("l.w") * F.col("r.w")).alias("known"))
+    for side, name in zip("lr", "ab", strict=True):
+        shared = shared.join(cuts.select(F.col("row").alias(name), F.col("upto").alias(f"upto_{side}"), F.col("rests").alias(f"rests_{side}")), name)
     both = F.least("upto_l", "upto_r") + 1
     near = shared.where(F.col("known") + F.element_at("rests_l", both) * F.element_at("rests_r", both) >= threshold - SLACK).select("a", "b")
     whole = near.join(vectors.select(F.col("row").alias("a"), "term", F.col("w").alias("wa")), "a").join(vectors.select(F.col("row").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
