@@ -26,6 +26,10 @@ HOLDERS = "article body div main section".split()
 SCOPE = "table ul ol dl td th article section div body".split()
 # End of fixed values.
 
+#: Words in the class or id of a block that say that it is not what the page is about.
+BESIDE = "ad ads advert advertisement banner breadcrumb comments cookie menu newsletter popup promo related share sidebar sponsor sponsored".split()
+#: Elements that say that they are.
+MAIN, MORE = ("article", "main"), 3.0
 #: Of the text of a block, what the element that holds it gets, and the one that holds that.
 SHARES = (1.0, 0.5)
 MOST_LINKS = 0.5
@@ -46,22 +50,27 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int]] = []
+        self.open: list[tuple[str, int, bool]] = []
+        self.named: set[int] = set()
         self.n, self.blocks, self.title, self.in_title = 0, [], [], False
         self.skipped = self.links = 0
         self.now: Block | None = None
 
-    def _push(self, tag: str) -> None:
+    def _push(self, tag: str, attrs) -> None:
         self.n += 1
-        self.open.append((tag, self.n))
-        self.skipped += tag in NO_TEXT or tag in ASIDE
+        names = re.split("[^a-z0-9]+", " ".join(v for k, v in attrs if k in ("class", "id") and v).lower())
+        beside = tag in BLOCKS and tag not in ("html", "body", *MAIN) and any(n in BESIDE for n in names)
+        self.open.append((tag, self.n, tag in NO_TEXT or tag in ASIDE or beside))
+        self.skipped += self.open[-1][2]
+        if tag in MAIN:
+            self.named.add(self.n)
         self.links += tag == "a"
         if tag in BLOCKS:
             self.now = None
 
     def _pop_to(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
-            self.skipped -= tag in NO_TEXT or tag in ASIDE
+        for tag, _, skips in self.open[at:]:
+            self.skipped -= skips
             self.links -= tag == "a"
             if tag in BLOCKS:
                 self.now = None
@@ -89,7 +98,7 @@ class Page(HTMLParser):
             if self.now is not None:
                 self.now.pieces.append(" ")
             return
-        self._push(tag)
+        self._push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes nothing that is not void
@@ -108,7 +117,7 @@ class Page(HTMLParser):
         if self.now is None:
             if not data.strip():
                 return
-            self.now = Block(tuple(i for tag, i in self.open if tag in HOLDERS))
+            self.now = Block(tuple(i for tag, i, _ in self.open if tag in HOLDERS))
             self.blocks.append(self.now)
         self.now.pieces.append(data)
         if self.links:
@@ -130,7 +139,8 @@ def main_text(html: str | None) -> tuple[str | None, str]:
             continue
         kept.append((block.path, text))
         for holder, share in zip(reversed(block.path or (0,)), SHARES, strict=False):
-            scores[holder] = scores.get(holder, 0.0) + share * (size - block.linked)
+            more = MORE if holder in page.named else 1.0
+            scores[holder] = scores.get(holder, 0.0) + share * more * (size - block.linked)
     best = max(scores, key=lambda k: (scores[k], -k), default=0)
     title = " ".join("".join(page.title).split())
     return title or None, "\n".join(text for path, text in kept if best in path or not path and best == 0)

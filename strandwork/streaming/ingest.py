@@ -33,14 +33,16 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-LOG = {"log": "event_id bigint, day date, event_type string", "cursors": "event_type string, last_day date, last_id bigint"}
+#: How many ids have a folder of the log.
+BLOCK = 1 << 16
+LOG = {"log": "event_id bigint, day date, event_type string, block bigint", "cursors": "event_type string, last_day date, last_id bigint"}
 
 
 def ingested(spark: SparkSession, folder: str, root: str | None = None, done: Callable[[DataFrame], None] | None = None, strict_cursor: bool = False, **options) -> Store:
     """Log and cursors: each event once by its id, and the last (day, id) of each kind.
 
-    A batch adds its new rows to the log as a part of its own, a folder a day; of what is there it reads the ids of the days
-    that it has itself, so that its work follows the batch and not the log. Rows that come behind the cursor of their kind,
+    A batch adds its new rows to the log as a part of its own, a folder for each block of ids; of what is there it reads the
+    blocks that it has itself, so that its work follows the batch and not the log, whatever day an id comes with. Rows that come behind the cursor of their kind,
     late ones or such that failed before, are taken if their id is not there; with ``strict_cursor`` they are not, as with a
     source that is asked for what comes after the cursor. With ``root`` a run goes on where the last one with it stopped.
 
@@ -54,18 +56,18 @@ def ingested(spark: SparkSession, folder: str, root: str | None = None, done: Ca
 
         def work(change: Change) -> None:
             old = store.read("cursors")
-            rows = batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type").dropDuplicates(["event_id"])
+            rows = batch.select("event_id", F.col("ts").cast("date").alias("day"), "event_type", F.floor(F.col("event_id") / BLOCK).alias("block")).dropDuplicates(["event_id"])
             if strict_cursor:
                 was = old.select("event_type", F.struct("last_day", "last_id").alias("_was"))
                 ahead = F.col("_was").isNull() | (F.struct("day", "event_id") > F.col("_was"))
                 rows = rows.join(F.broadcast(was), "event_type", "left").where(ahead).drop("_was")
             rows = settled(rows)
-            days = [r[0] for r in rows.select("day").distinct().collect()]
-            there = store.read("log").where(F.col("day").isin(days)).select("event_id")
+            blocks = [r[0] for r in rows.select("block").distinct().collect()]
+            there = store.read("log").where(F.col("block").isin(blocks)).select("event_id")
             fresh = settled(rows.join(there, "event_id", "left_anti"))
             top = rows.groupBy("event_type").agg(F.max(F.struct("day", "event_id")).alias("c"))
             new = top.select("event_type", F.col("c.day").alias("last_day"), F.col("c.event_id").alias("last_id"))
-            change.append("log", fresh.select("event_id", "day", "event_type"), by="day")
+            change.append("log", fresh.select("event_id", "day", "event_type", "block"), by="block")
             change.replace("cursors", merged(old, further(old, new), ["event_type"]))
             told.append(fresh)
 

@@ -17,6 +17,7 @@ PAGES = {
     "broken": (f"<body><div><b><p>{LONG}</b></i></span></table><p><em>{LONG}<br>end</div></div></p>", (None, [LONG, f"{LONG} end"])),
     "links": (f"<body><ul>{'<li><a href=z>a link to another page of the site</a>' * 30}</ul><main><p>{LONG}</p><p>{LONG} <a href=q>source</a></p></main><footer>{LONG}</footer>", (None, [LONG, LONG + " source"])),
     "aside": (f"<body><nav><p>{LONG * 4}</p></nav><section><h2>Head</h2><p>{LONG}</p></section><aside><p>{LONG * 4}</p></aside>", (None, ["Head", LONG])),
+    "advert": (f"<body><div class='page-ad top'><p>{LONG * 4}</p></div><div id=Related-items>{LONG * 2}</div><article><p>Short text.</p></article><div class='adage'>Other words here</div>", (None, ["Short text."])),
     "comment": (f"<!-- <p>{LONG}</p> --><body><!--[if x]><p>no</p><![endif]--><div><p>{LONG}</p></div><!-- open <p>never", (None, [LONG])),
     "lists": (f"<body><article><ul><li>{LONG}<li>{LONG}<ul><li>inner</ul></ul><table><tr><td>{LONG}<td>cell<tr><td>x</table></article>", (None, [LONG, LONG, "inner", LONG, "cell", "x"])),
     "bare": ("only words, <b>no</b> page", (None, ["only words, no page"])),

@@ -44,13 +44,13 @@ def test_all_pairs(spark, days, least, overlap):
 def test_headlines(spark):
     """Formulaic headlines of different companies stay apart; the same round, said otherwise, does not."""
     rows = [
-        (1, 0, [1, 2], "AI2 Robotics Secures $735 Million, Intensifying Humanoid Robot Competition"),
-        (2, 3, [3, 4], "Apptronik Secures $520 Million Mega-Round, Intensifying Humanoid Robot Competition"),
-        (3, 6, [5, 6], "Neura Robotics Secures €1 Billion Funding, Intensifying Humanoid Robot Competition"),
-        (4, 9, [7, 8], "Generalist AI Secures $400 Million Funding, Intensifying Physical AI"),
-        (5, 44, [7, 8, 9], "Generalist AI Secures $400M Funding to Advance Physical AI"),
-        (6, 60, [7, 8], "Generalist AI Funding Secures Physical AI $1.5bn"),
-        (7, 400, [7, 8], "Generalist AI Secures $400 Million Funding, Intensifying Physical AI"),
+        (1, 0, [1, 2], "Alder Robotics Secures $735 Million, Intensifying Humanoid Robot Competition"),
+        (2, 3, [3, 4], "Birch Dynamics Secures $520 Million Mega-Round, Intensifying Humanoid Robot Competition"),
+        (3, 6, [5, 6], "Cedar Machines Secures €1 Billion Funding, Intensifying Humanoid Robot Competition"),
+        (4, 9, [7, 8], "Dogwood AI Secures $400 Million Funding, Intensifying Physical AI"),
+        (5, 44, [7, 8, 9], "Dogwood AI Secures $400M Funding to Advance Physical AI"),
+        (6, 60, [7, 8], "Dogwood AI Funding Secures Physical AI $1.5bn"),
+        (7, 400, [7, 8], "Dogwood AI Secures $400 Million Funding, Intensifying Physical AI"),
     ]
     df = spark.createDataFrame(rows, "event_id long, day int, ids array<long>, headline string")
     words = F.split(F.lower(F.regexp_replace("headline", "[^A-Za-z ]+", "")), " +")

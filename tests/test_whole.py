@@ -187,7 +187,7 @@ def test_titles_that_may_match_are_scored(spark):
     from strandwork.plans.handles import match_score, title_scores
 
     rng = random.Random(6)
-    stock = ["Acme Robotics Inc", "Société Générale SA", "Boston Dynamics", "AI2 & Co", "Neura Robotics GmbH", "x", "", "Beyond Ltd Holdings"]
+    stock = ["Acme Robotics Inc", "Société Générale SA", "Boston Dynamics", "Elm2 & Co", "Cedar Robotics GmbH", "x", "", "Fir Ltd Holdings"]
     names = [n for n in stock for _ in range(3)]
     rows = [(misspelt(rng, n) if rng.random() < 0.6 else " ".join(rng.sample(n.split(), len(n.split()))), n, k) for n in names for k in range(4)]
     rows += [(a, b, 0) for a in stock for b in stock] + [(None, "x", 0), ("ACME robotics inc", "acme robotics INC", 1)]
