@@ -17,7 +17,7 @@ from strandwork.operators.resolver import exact, learned, resolved, unresolved
 from strandwork.plans.base import query
 from strandwork.plans.filters import EXTRACTED_SQL, extracted
 from strandwork.schema import REL_TYPES, SECTORS
-from strandwork.session import shared_dir
+from strandwork.session import shared_dir, spread
 from strandwork.sources import documents
 from strandwork.sources.graph_tables import AS_OF, CUSTOMER_OFFSET, nth
 from strandwork.streaming import attempts, edges, ingest
@@ -117,7 +117,7 @@ SELECT name, concat('The ', lower(name), ' Group') AS other, round(200.0::DOUBLE
 def u1(t):
     """A name within a longer one, ten letters more: all but its capital is common, and all of its words are."""
     pairs = t.entities.select("name", F.concat(F.lit("The "), F.lower("name"), F.lit(" Group")).alias("other"))
-    return pairs.select("name", "other", *[fuzzy.similarity(F.col("name"), F.col("other"), s).alias(s) for s in fuzzy.SCORERS])
+    return spread(pairs).select("name", "other", *[fuzzy.similarity(F.col("name"), F.col("other"), s).alias(s) for s in fuzzy.SCORERS])
 
 
 @query("m9_layout")

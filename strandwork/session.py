@@ -74,6 +74,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over all cores, a few tasks each, by its columns ``by`` if there are any: for rows that are little to
+    read and much work. Spark makes tasks by bytes, and would leave a small file to one."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = 1 << 25) -> DataFrame:
     """``df`` settled, and marked for broadcast if its rows have no more than ``most_bytes``.
 

@@ -238,3 +238,25 @@ def test_store(spark, tmp_path):
         with store.locked():
             pass
     assert counts() == [1, 2, 2]
+
+
+def test_scores_use_all_cores(spark):
+    """Names are few bytes, and their scores much work: a small file is not left to a task or two."""
+    from pyspark.sql import DataFrame
+
+    from strandwork.plans.registry import QUERIES
+
+    df: DataFrame = QUERIES["u1_similar_names"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_parts_of_names():
+    """The best window, by its definition."""
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(draw.choices("abc ", k=draw.randint(0, 9))) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        windows = {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))}
+        assert fuzzy.partial_ratio(a, b) == (max(fuzzy.ratio(a, w) for w in windows) if a else 100.0 if not b else 0.0)
