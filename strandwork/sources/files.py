@@ -19,8 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from strandwork.session import spread
+
 PIECE = 1 << 20
 PAGE = 1000
+#: Names that one task reads, where pages are smaller.
+NAMES = 250
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -29,12 +33,10 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Page(InputPartition):
-    """The names of a folder behind ``after``, ``size`` of them."""
+class Pages(InputPartition):
+    """Pages as ``folder, after, names``: the names of a folder that come behind ``after``."""
 
-    folder: str
-    after: str
-    size: int
+    pages: list[tuple[str, str, list[str]]]
 
 
 class ListingReader(DataSourceReader):
@@ -48,33 +50,43 @@ class ListingReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/"), allow_not_found=True))
         return sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(self.suffix) and not f.base_name.startswith((".", "_")))
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         store, root = opened(self.path)
         below = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         folders = ["", *sorted(f.path[len(root.rstrip("/")) + 1 :] for f in below if f.type == fs.FileType.Directory)]
-        pages = []
+        found, held = [Pages([])], 0
         for folder in folders:
             names = self._names(folder)
-            pages += [Page(folder, names[at - 1] if at else "", self.size) for at in range(0, len(names), self.size)]
-        return pages or [Page("", "", 0)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
+            for at in range(0, len(names), self.size):
+                page = names[at : at + self.size]
+                if held and held + len(page) > NAMES:
+                    found.append(Pages([]))
+                    held = 0
+                found[-1].pages.append((folder, names[at - 1] if at else "", page))
+                held += len(page)
+        return found
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
         store, root = opened(self.path)
-        names = [n for n in self._names(partition.folder) if n > partition.after][: partition.size]
-        for name in names:
-            key, digest, size = f"{partition.folder}/{name}".lstrip("/"), hashlib.md5(usedforsecurity=False), 0
-            with store.open_input_stream(f"{root}/{key}", compression=None) as body:
-                while piece := body.read(PIECE):
-                    digest.update(piece)
-                    size += len(piece)
-            yield key, size, digest.hexdigest(), f"{partition.folder}>{partition.after}"
+        for folder, after, names in partition.pages:
+            for name in names:
+                key, digest, size = f"{folder}/{name}".lstrip("/"), hashlib.md5(usedforsecurity=False), 0
+                try:
+                    body = store.open_input_stream(f"{root}/{key}", compression=None)
+                except FileNotFoundError:  # it has gone since
+                    continue
+                with body:
+                    while piece := body.read(PIECE):
+                        digest.update(piece)
+                        size += len(piece)
+                yield key, size, digest.hexdigest(), f"{folder}>{after}"
 
 
 class Listing(DataSource):
-    """``key, size, md5, token`` of the files under ``path``, recursively; ``page_size`` names of a folder are a partition.
+    """``key, size, md5, token`` of the files under ``path``, recursively, in pages of ``page_size`` names of a folder.
 
-    A page is named by its folder and the last name before it, its token: whoever reads it again lists the same names, if
-    none has come or gone. ``suffix`` keeps names that end so; hidden ones are not listed; a file of any size is hashed in
+    A page is named by its folder and the last name before it, its token. A folder is listed once, whatever the number of
+    its pages, and a task reads as many small pages as come to ``NAMES`` names. ``suffix`` keeps names that end so; hidden ones are not listed; a file of any size is hashed in
     pieces.
     """
 
@@ -187,7 +199,8 @@ def register(spark: SparkSession) -> None:
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
-    """Writes ``rows`` (``key, content``) as a file each under ``folder``, whole or not at all; gives how many."""
+    """Writes ``rows`` (``key, content``) as a file each under ``folder``, whole or not at all; gives how many. A file is work
+    whatever its bytes are, so rows are dealt over all cores."""
 
     def run(batches):
         store, root = opened(folder)
@@ -203,4 +216,4 @@ def write_files(rows: DataFrame, folder: str) -> int:
                 store.move(draft, at)
             yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], ["n"])
 
-    return sum(r.n for r in rows.select("key", "content").mapInArrow(run, "n long").collect())
+    return sum(r.n for r in spread(rows.select("key", "content"), "key").mapInArrow(run, "n long").collect())

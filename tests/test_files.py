@@ -54,3 +54,19 @@ def test_versions(spark, tmp_path):
     write(large)
     write(lines(0))
     assert read() == [] and read(version=2) == ["y" * files.PIECE] * 3 and len(read(version=1)) == 5
+
+
+def test_small_pages(tmp_path, monkeypatch):
+    """Folders are listed once, be their pages one or many, and small pages share a task."""
+    for k in range(900):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}" / f"{k:04d}.png").write_bytes(b"x" * (k % 5))
+    reader = files.ListingReader({"path": str(tmp_path), "page_size": "2"})
+    listed, names = [], reader._names
+    monkeypatch.setattr(reader, "_names", lambda folder: listed.append(folder) or names(folder))
+    parts = reader.partitions()
+    rows = [row for part in parts for row in reader.read(part)]
+    assert len({r[0] for r in rows}) == len(rows) == 900 and len({r[3] for r in rows}) == 450
+    assert listed == ["", "d0", "d1", "d2"] and 4 <= len(parts) <= 8
+    (tmp_path / "d0" / "0000.png").unlink()
+    assert len([row for part in parts for row in reader.read(part)]) == 899
