@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def folded(text: Column) -> Column:
-    """Text without diacritics and other marks: compatibility decomposition, ASCII only."""
+#: Of so many texts at a time there are copies in Python.
+FOLDED_ROWS = 256
+
 
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+def fold(texts: pa.Array) -> pa.Array:
+    """``texts`` decomposed, without what is not ASCII."""
+    plain = lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
+    parts = (texts.slice(at, FOLDED_ROWS).to_pylist() for at in range(0, len(texts), FOLDED_ROWS))
+    return pa.concat_arrays([pa.array(map(plain, part), pa.string()) for part in parts] or [pa.array([], pa.string())])
 
-    return fold(text)
+
+def folded(text: Column) -> Column:
+    """Text without diacritics and other marks: compatibility decomposition, ASCII only. Texts that are ASCII stay where
+    they are; the others go through Python as Arrow, a few at a time."""
+    return F.coalesce(F.arrow_udf(fold, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip_generic(words: Column) -> Column:

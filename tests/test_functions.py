@@ -260,3 +260,17 @@ def test_parts_of_names():
         a, b = sorted((a, b), key=len)
         windows = {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))}
         assert fuzzy.partial_ratio(a, b) == (max(fuzzy.ratio(a, w) for w in windows) if a else 100.0 if not b else 0.0)
+
+
+def test_folded_a_few_at_a_time(spark):
+    """Texts cross to Python only if they have something to fold, and few are taken at a time; results are those of all."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    every = ["".join(map(chr, range(k, k + 512))) for k in (*range(0, 0xD800, 512), *range(0xE000, 0x20000, 512))]
+    said = ["plain", "Ça é", None, "", "ﬁ Ⅷ ½", "漢字", "\x7f\x80", "e\u0301"] * (tx.FOLDED_ROWS // 3) + every + [c for c in "".join(every[:3])]
+    want = [None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode() for v in said]
+    assert tx.fold(pa.array(said)).to_pylist() == want and tx.fold(pa.array([], pa.string())).to_pylist() == []
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, v string").orderBy("i")
+    assert [r.v for r in rows.select(tx.folded(F.col("v")).alias("v")).collect()] == want
