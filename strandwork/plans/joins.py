@@ -131,8 +131,8 @@ SELECT entity_id, partner, place FROM n WHERE place <= 30""")
 def j13(t):
     """Up to 30 partners of every entity, by name."""
     edges = t.relationships.select("entity_a_id", "entity_b_id")
-    pairs = edges.toDF("entity_id", "partner_id").union(edges.select("entity_b_id", "entity_a_id")).distinct()
-    named = pairs.join(t.entities.select(F.col("entity_id").alias("partner_id"), F.col("name").alias("partner")), "partner_id")
+    pairs = t.dealt(edges.toDF("entity_id", "partner_id").union(edges.select("entity_b_id", "entity_a_id")), "partner_id").distinct()
+    named = t.dealt(pairs.join(t.entities.select(F.col("entity_id").alias("partner_id"), F.col("name").alias("partner")), "partner_id"), "entity_id")
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy("partner"))
     return named.select("entity_id", "partner", place.alias("place")).where("place <= 30").withColumn("place", F.col("place").cast("long"))
 
@@ -143,8 +143,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY headline) AS
 def j14(t):
     """Up to 20 headlines of every entity, by name."""
     known = with_endpoints(t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id")).join(t.entities.select("entity_id"), "entity_id", "left_semi")
-    ends = known.select("entity_id", "catalyst_id").distinct()
-    lines = ends.join(t.catalysts.select("catalyst_id", "headline"), "catalyst_id").select("entity_id", "headline").distinct()
+    ends = t.dealt(known.select("entity_id", "catalyst_id"), "catalyst_id").distinct()
+    lines = t.dealt(ends.join(t.catalysts.select("catalyst_id", "headline"), "catalyst_id").select("entity_id", "headline"), "entity_id").distinct()
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy("headline"))
     return lines.withColumn("place", place).where("place <= 20").drop("place")
 

@@ -397,7 +397,7 @@ def u6(t):
     named = with_names(t.relationships.select("catalyst_id", "entity_a_id", "entity_b_id", "rel_type", "evidence_type"), t.entities)
     hedge = F.when(F.col("evidence_type") == "speculative", "may ").otherwise("")
     sentence = F.concat("from_name", F.lit(" "), hedge, F.replace("rel_type", F.lit("_"), F.lit(" ")), F.lit(" "), "to_name", F.lit(". It was said today."))
-    findings = named.groupBy("catalyst_id").agg(F.array_join(F.collect_list(sentence), " ").alias("finding"))
+    findings = t.dealt(named, "catalyst_id").groupBy("catalyst_id").agg(F.array_join(F.collect_list(sentence), " ").alias("finding"))
     edges = findings.select("catalyst_id", F.explode(stated_edges(F.col("finding"))).alias("e"))
     return edges.select("catalyst_id", "e.*").groupBy("catalyst_id", "entity_a", "rel_type", "entity_b", "evidence_type").agg(F.count("*").alias("n"))
 

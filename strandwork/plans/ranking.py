@@ -147,7 +147,8 @@ f AS (SELECT n.catalyst_id, name, min(place) AS place FROM n JOIN top USING (cat
 SELECT catalyst_id, name, place FROM f QUALIFY row_number() OVER (PARTITION BY catalyst_id ORDER BY place, name) <= 4""")
 def w7(t):
     """Up to four other names on an event's edges, in the order of the edges."""
-    edges = with_names(t.relationships, t.entities)
+    wanted = ["catalyst_id", "entity_a_id", "entity_b_id", "rel_type", "confidence", "l_partkey", "l_linenumber"]
+    edges = t.dealt(with_names(t.relationships.select(*wanted), t.entities), "catalyst_id")
     w = Window.partitionBy("catalyst_id").orderBy(F.desc("confidence"), "from_name", "rel_type", "l_partkey", "l_linenumber")
     whole = Window.partitionBy("catalyst_id").orderBy("place")
     ranked = edges.withColumn("place", F.row_number().over(w))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from strandwork.schema import REL_TYPES
 
+#: Tables of more lines than the first are dealt to tasks of so many as the second says.
+FEW_LINES, TASK_LINES = 1 << 22, 1 << 19
 AS_OF = datetime.date(2001, 8, 1)
 CUSTOMER_OFFSET = 10_000_000
 
@@ -32,6 +34,19 @@ class GraphTables:
             self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._raw[name]
 
+    @cached_property
+    def tasks(self) -> int:
+        """How many tasks edges are dealt to, from their number; 0 where they are few, or a stream, and Spark deals them."""
+        lines = self.raw("lineitem")
+        n = 0 if lines.isStreaming else lines.count()
+        return -(-n // TASK_LINES) if n > FEW_LINES else 0
+
+    def dealt(self, edges: DataFrame, *by: str) -> DataFrame:
+        """``edges``, or what there is about as much of, dealt by key for the step that follows, so that what a task holds
+        does not grow with the tables. Spark joins small partitions until they come to so many compressed bytes, and edges
+        are few of these and much memory."""
+        return edges.repartition(self.tasks, *by) if self.tasks else edges
+
     @cached_property
     def entities(self) -> DataFrame:
         s, c = self.raw("supplier"), self.raw("customer")
@@ -52,7 +67,7 @@ class GraphTables:
 
     @cached_property
     def catalysts(self) -> DataFrame:
-        joined = self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        joined = self.dealt(self.raw("orders"), "o_custkey").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
         day = F.col("o_orderdate").cast("date")
         number = F.row_number().over(Window.partitionBy("c_mktsegment", day).orderBy("o_orderkey"))
         return joined.select(
@@ -69,7 +84,8 @@ class GraphTables:
 
     @cached_property
     def relationships(self) -> DataFrame:
-        joined = self.raw("lineitem").join(self.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines, orders = self.dealt(self.raw("lineitem"), "l_orderkey"), self.raw("orders").select("o_orderkey", "o_custkey")
+        joined = lines.join(self.dealt(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         strength, impact = 1 - F.col("l_discount") * 5, F.col("l_quantity") / 50
         flag, line = F.col("l_returnflag"), F.col("l_linestatus")
         return joined.select(
