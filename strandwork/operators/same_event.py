@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.session import settled
+from strandwork.session import broadcast_if_small, settled
 
 # Scales of amounts as headlines write them.
 SCALES = {"thousand": 10**3, "k": 10**3, "million": 10**6, "m": 10**6, "mn": 10**6, "billion": 10**9, "b": 10**9, "bn": 10**9}
@@ -43,6 +43,7 @@ def by_rarity(rows: DataFrame, key: str, column: str) -> DataFrame:
 def classes_of(events: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
     """``event_id, day, key, class`` of each event, and ``class, bucket, ids, words`` of each class, from the rarest on. A
     bucket is a window of days; events without entities or words are the same as no other and left out."""
+    events = settled(events.select("event_id", "day", "key", "ids", "words"))
     sets = by_rarity(events, "event_id", "ids").join(by_rarity(events, "event_id", "words"), "event_id")
     whole = events.select("event_id", "day", "key", F.floor(F.col("day") / days).alias("bucket")).join(sets, "event_id")
     # Of one number of events the order is by value, so equal sets are equal arrays.
@@ -52,17 +53,27 @@ def classes_of(events: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
 
 
 def alike(classes: DataFrame, least_shared: int, overlap: float, buckets: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
-    """``a, b``: classes of buckets that far apart (the same or neighbouring ones) that share enough entities and words, each way and with itself."""
+    """``a, b``: classes of buckets that far apart (the same or neighbouring ones) that share enough entities and words, each way and with itself.
+
+    Most entries of the index meet no other class. Which ones do is told first by a hash of each key and the classes at it
+    alone, the first and the last of a key; only these entries are dealt with their entities and words.
+    """
     entity = F.explode(F.slice("ids", 1, F.greatest(F.size("ids") - (least_shared - 1), F.lit(0)))).alias("entity")
     rarest = F.size("words") - F.ceil(F.lit(overlap) * F.size("words") - 1e-9).cast("int") + 1
-    kept = ["class", "ids", "words"]
-    each = classes.select(*kept, "bucket", entity)
-    found_by = each.select(*kept, "bucket", "entity", F.explode("words").alias("word")).alias("r")
-    looks_for = each.select(*kept, F.explode(F.array(*[F.col("bucket") + k for k in buckets])).alias("bucket"), "entity", F.explode(F.slice("words", F.lit(1), rarest)).alias("word")).alias("l")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("bucket", "entity", "word")]
+    each = classes.select("class", "words", "bucket", entity)
+    key = F.xxhash64("bucket", "entity", "word").alias("key")
+    found_by = each.select("class", "bucket", "entity", F.explode("words").alias("word")).select(key, "class")
+    looks_for = each.select("class", F.explode(F.array(*[F.col("bucket") + k for k in buckets])).alias("bucket"), "entity", F.explode(F.slice("words", F.lit(1), rarest)).alias("word")).select(key, "class")
+    at = found_by.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
+    live = settled(looks_for.join(at, "key").where("class <> first or class <> last").select("key", "class"))
+    found_by = found_by.join(broadcast_if_small(live.select("key").distinct()), "key", "left_semi")
+    whole = classes.select("class", "bucket", "ids", "words")
+    left, right = live.join(whole, "class").alias("l"), found_by.join(whole, "class").alias("r")
+    # Keys of other entries can have the same hash; what is asked of two classes is asked of them themselves.
+    near = (F.col("r.bucket") - F.col("l.bucket")).isin(*buckets)
     both = F.size(F.array_intersect("l.words", "r.words")) >= overlap * F.least(F.size("l.words"), F.size("r.words")) - 1e-9
     enough = F.size(F.array_intersect("l.ids", "r.ids")) >= least_shared
-    met = looks_for.join(found_by, [*same, F.col("l.class") != F.col("r.class")]).where(both & enough).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.class") != F.col("r.class"))).where(near & both & enough).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
     itself = classes.where(F.size("ids") >= least_shared).select(F.col("class").alias("a"), F.col("class").alias("b"))
     return met.union(met.select("b", "a")).distinct().union(itself)
 

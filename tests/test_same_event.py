@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,23 @@ def test_hot_entities_do_not_square(spark):
     members, classes = classes_of(rows, 45)
     assert members.count() == n and alike(classes, 2, 0.7).where("a <> b").count() == 0
     assert reported_again(rows).count() == 0
+
+
+def test_entries_that_meet_nothing_are_small(spark):
+    """What the index deals of events that meet no other does not grow with their headlines for each entry."""
+
+    def written():
+        time.sleep(1)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.md5(F.concat_ws("-", F.col("id").cast("string"), i.cast("string"))))
+    ids = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.col("id") * 6 + i)
+    classes = spark.range(500).select(F.col("id").alias("class"), F.lit(0).alias("bucket"), ids.alias("ids"), words.alias("words"))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        assert alike(classes, 2, 0.7).where("a <> b").count() == 0
+        assert written() - before < 12_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
