@@ -2,90 +2,54 @@
 
 An edge that a later one of its pair follows gains confidence; one that comes invalidated, and is not followed, loses some;
 an active one that nothing follows for long goes stale. The edges of a pair that nothing has followed yet, which are those
-of its last day, are keyed state with a timer in event time. Every change is told once, and a run goes on where the last
-one has stopped.
+of its last day, are held in a table that each batch of the stream joins and replaces: nearly every edge has a pair of its
+own, and keyed state, a few calls for each, would take longer than all the rest. Every change is told once, and a run goes
+on where the last one has stopped.
 """
 
 from __future__ import annotations
 
 import datetime
 import uuid
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from strandwork.session import shared_dir
+from strandwork.session import settled, shared_dir
 from strandwork.sources.graph_tables import GraphTables
+from strandwork.streaming.store import Change, Store
 
 #: With its pair and day these tell an edge from others.
 EDGE = ["catalyst_id", "l_linenumber", "l_partkey"]
 CHANGES = "lo long, hi long, day long, catalyst_id long, l_linenumber long, l_partkey long, change string, status string, confidence double"
-PAIR = "day long, held array<struct<catalyst_id: long, l_linenumber: long, l_partkey: long, status: string, confidence: double, stale: boolean>>"
-DAY_MS = 86_400_000
+HELD = "lo long, hi long, day long, catalyst_id long, l_linenumber long, l_partkey long, status string, confidence double, stale boolean"
+#: A batch of the stream is a step of the store, and runs that let time pass are steps between two batches.
+BATCH_STEPS = 1 << 20
 #: Of several changes of an edge the last is the one that comes first here.
 LAST = {"followed": 0, "stale": 1, "invalidated": 2}
 
 
-class Lifecycle(StatefulProcessor):
-    """Holds the last day of a pair and its edges of that day, and tells what changes."""
-
-    def __init__(self, stale_days: int, boost: float, penalty: float):
-        self.stale_days, self.boost, self.penalty = stale_days, boost, penalty
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.pair = handle.getValueState("pair", PAIR)
-
-    def _state(self) -> tuple[int | None, list[tuple]]:
-        found = self.pair.get()
-        return (None, []) if found is None else (found[0], [tuple(e) for e in found[1]])
-
-    @staticmethod
-    def _waits(held: list[tuple]) -> bool:
-        return any(e[3] == "active" and not e[5] for e in held)
-
-    def _told(self, key, day: int, edge: tuple, change: str, status: str, confidence: float) -> Row:
-        return Row(lo=key[0], hi=key[1], day=day, catalyst_id=edge[0], l_linenumber=edge[1], l_partkey=edge[2], change=change, status=status, confidence=confidence)
-
-    def _followed(self, key, day: int, edge: tuple) -> Row:
-        return self._told(key, day, edge, "followed", edge[3], min(1.0, edge[4] + self.boost))
-
-    def _expiry(self, day: int) -> int:
-        return (day + self.stale_days) * DAY_MS  # time stands a day back
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        was, held = self._state()
-        day, waits = was, self._waits(held)
-        for r in sorted(rows, key=lambda r: r["day"]):
-            edge = (r["catalyst_id"], r["l_linenumber"], r["l_partkey"], r["status"], r["confidence"], False)
-            if day is not None and r["day"] < day:
-                yield self._followed(key, r["day"], edge)
-                continue
-            if day is None or r["day"] > day:
-                for old in held:
-                    yield self._followed(key, day, old)
-                day, held = r["day"], []
-            if edge[3] == "invalidated":
-                yield self._told(key, r["day"], edge, "invalidated", edge[3], max(0.0, edge[4] - self.penalty))
-            held.append(edge)
-        self.pair.update((day, held))
-        # Only a day with an edge that may go stale has a timer.
-        if waits and day != was:
-            self.handle.deleteTimer(self._expiry(was))
-        if self._waits(held) and not (waits and day == was):
-            self.handle.registerTimer(self._expiry(day))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        day, held = self._state()
-        for e in held:
-            if e[3] == "active" and not e[5]:
-                yield self._told(key, day, e, "stale", "stale", e[4])
-        self.pair.update((day, [(*e[:5], e[5] or e[3] == "active") for e in held]))
-
-    def close(self) -> None:
-        pass
+def arrived(held: DataFrame, batch: DataFrame, boost: float, penalty: float) -> tuple[DataFrame, DataFrame]:
+    """What edges of a batch change, ``CHANGES``, and what is ``HELD`` after it: of each pair its edges of its last day.
+
+    All pairs are judged in one sort; ``held`` are rows of the last day that each pair had before.
+    """
+    pair = Window.partitionBy("lo", "hi")
+    rows = held.withColumn("new", F.lit(False)).unionByName(batch.select("lo", "hi", "day", *EDGE, "status", "confidence", F.lit(False).alias("stale"), F.lit(True).alias("new")))
+    rows = settled(rows.withColumn("last", F.max("day").over(pair)).withColumn("was", F.max(F.when(~F.col("new"), F.col("day"))).over(pair)))
+    told = lambda change, confidence: F.struct(F.lit(change).alias("change"), F.col("status"), confidence.alias("confidence"))
+    invalid = F.when(F.col("new") & (F.col("status") == "invalidated") & (F.col("was").isNull() | (F.col("day") >= F.col("was"))), told("invalidated", F.greatest(F.lit(0.0), F.col("confidence") - penalty)))
+    followed = F.when(F.col("day") < F.col("last"), told("followed", F.least(F.lit(1.0), F.col("confidence") + boost)))
+    changes = rows.select("lo", "hi", "day", *EDGE, F.explode(F.array_compact(F.array(invalid, followed))).alias("c"))
+    return changes.select("lo", "hi", "day", *EDGE, "c.*"), rows.where("day = last").drop("new", "last", "was")
+
+
+def expired(held: DataFrame, before: int) -> tuple[DataFrame, DataFrame]:
+    """Active edges of days before ``before`` that nothing has followed and that were not told stale yet: these as
+    ``CHANGES``, and what is ``HELD`` then."""
+    due = (F.col("status") == "active") & ~F.col("stale") & (F.col("day") < before)
+    changes = held.where(due).select("lo", "hi", "day", *EDGE, F.lit("stale").alias("change"), F.lit("stale").alias("status"), "confidence")
+    return changes, held.withColumn("stale", F.col("stale") | due)
 
 
 def arriving(spark: SparkSession, folder: str, lines: str | None = None) -> DataFrame:
@@ -98,25 +62,29 @@ def arriving(spark: SparkSession, folder: str, lines: str | None = None) -> Data
 
 
 def changed(edges: DataFrame, as_of: datetime.date, root: str | None = None, stale_days: int = 90, boost: float = 0.15, penalty: float = 0.30, reader: SparkSession | None = None) -> DataFrame:
-    """``CHANGES`` of ``edges`` (a stream of ``arriving`` from a ``stateful_session``) up to the day ``as_of``.
+    """``CHANGES`` of ``edges`` (a stream of ``arriving``) up to the day ``as_of``.
 
-    Time is the day of arrival, ``as_of``, so that no edge comes too late, whatever its own day is. With ``root`` a run goes
-    on where the last one has stopped, and its ``as_of`` is not earlier; without an edge it still lets time pass. The result
-    is read in ``reader``.
+    Time is ``as_of``, so that no edge comes too late, whatever its own day is. With ``root`` a run goes on where the last
+    one has stopped, and its ``as_of`` is not earlier; without an edge it still lets time pass. A batch is a step of the
+    store: it reads what is held, and takes the place of it. The result is read in ``reader``.
     """
     spark = edges.sparkSession
     root = root or f"{shared_dir(spark).rstrip('/')}/edges-{uuid.uuid4().hex}"
-    spark.createDataFrame([(as_of,)], "ship_date date").write.mode("append").parquet(f"{root}/ticks")
-    ticks = spark.readStream.schema("ship_date date").parquet(f"{root}/ticks")
     a, b = F.col("entity_a_id"), F.col("entity_b_id")
-    known = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), *[F.col(c).cast("long").alias(c) for c in EDGE], "status", "confidence", "ship_date")
-    both = known.unionByName(ticks, allowMissingColumns=True)
-    timed = both.withColumn("at", F.lit(as_of).cast("timestamp")).withWatermark("at", "1 day")
-    timed = timed.select("lo", "hi", *EDGE, "status", "confidence", F.unix_date("ship_date").cast("long").alias("day"), "at")
-    found = timed.where("lo is not null").groupBy("lo", "hi").transformWithState(Lifecycle(stale_days, boost, penalty), CHANGES, "Append", "EventTime")
-    query = found.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/stream").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return (reader or spark).read.schema(CHANGES).parquet(f"{root}/changes")
+    known = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.unix_date("ship_date").cast("long").alias("day"), *[F.col(c).cast("long").alias(c) for c in EDGE], "status", "confidence").where("lo is not null")
+    store = Store(spark, {"changes": CHANGES, "held": HELD}, f"{root}/store")
+
+    def step(change: Change, made: tuple[DataFrame, DataFrame]) -> None:
+        change.append("changes", made[0])
+        change.replace("held", made[1])
+
+    def arrives(batch: DataFrame, n: int) -> None:
+        store.change((n + 1) * BATCH_STEPS, lambda change: step(change, arrived(store.read("held"), batch, boost, penalty)))
+
+    known.writeStream.foreachBatch(arrives).option("checkpointLocation", f"{root}/stream").trigger(availableNow=True).start().awaitTermination()
+    now = (as_of - datetime.date(1970, 1, 1)).days
+    store.change(max(store.commits(), default=0) + 1, lambda change: step(change, expired(store.read("held"), now - stale_days)))
+    return Store(reader or spark, store.schemas, store.root).read("changes")
 
 
 def final(edges: DataFrame, changes: DataFrame) -> DataFrame:

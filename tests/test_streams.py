@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,26 @@ def test_lifecycle_over_restarts(spark, tmp_path):
     assert {r.change for r in found} == {"followed", "stale", "invalidated"}
 
 
+def test_pairs_are_joined_not_called(spark, tmp_path):
+    """A new pair costs rows, not calls; runs without edges let time pass and take no batch's place."""
+    rows = [(k, 1, k, k, 100_000 + k, "active", 0.5, datetime.date(2024, 1, 1)) for k in range(30_000)]
+    place, root = str(tmp_path / "edges"), f"file://{tmp_path}/state"
+
+    def run(as_of):
+        stream = attempts.stateful_session(spark).readStream.schema(EDGES).parquet(place)
+        return edges.changed(stream, as_of, root, reader=spark)
+
+    spark.createDataFrame(rows, EDGES).write.parquet(place)
+    begin = time.monotonic()
+    assert run(rows[0][7] + 90 * DAY).count() == 0
+    assert time.monotonic() - begin < 20
+    assert [run(rows[0][7] + n * DAY).count() for n in (91, 92, 93)] == [30_000] * 3
+    later = [(k + 50_000, 1, k, k, 100_000 + k, "invalidated", 0.5, datetime.date(2024, 2, 1)) for k in range(10)]
+    spark.createDataFrame(later, EDGES).coalesce(1).write.mode("append").parquet(place)
+    counts = run(rows[0][7] + 94 * DAY).groupBy("change").count().collect()
+    assert {r["change"]: r["count"] for r in counts} == {"stale": 30_000, "followed": 10, "invalidated": 10}
+
+
 HANDLES = "name_key string, channel string, handle string, confidence double, source string"
 
 
