@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandwork.operators.components import connected_components
 from strandwork.operators.similar import links, nearest
-from strandwork.session import settled
+from strandwork.session import settled, shuffled
 
 
 def exact(mentions: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def exact(mentions: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataF
     known = known.groupBy("k").agg(F.min_by("entity_id", F.struct("p", "entity_id")).alias("entity_id"))
     by = lambda c, out: known.select(F.col("k").alias(c), F.col("entity_id").alias(out))
     keyed = mentions.withColumn("_r", F.lower("resolved")).withColumn("_m", F.lower("mention"))
-    found = keyed.join(by("_r", "_a"), "_r", "left").join(by("_m", "_b"), "_m", "left")
+    found = keyed.join(shuffled(by("_r", "_a")), "_r", "left").join(shuffled(by("_m", "_b")), "_m", "left")
     by_which = F.when(F.col("_a").isNotNull(), "resolved").when(F.col("_b").isNotNull(), "mention")
     return found.withColumn("entity_id", F.coalesce("_a", "_b")).withColumn("matched_by", by_which).drop("_r", "_m", "_a", "_b")
 
@@ -32,19 +32,19 @@ def resolved(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, thres
     another become one entity, named by the smallest of them; resolving one after the other would name it by the first.
     """
     first = exact(mentions, entities, aliases)
-    hit = first.where("entity_id is not null").join(entities.select("entity_id", "name"), "entity_id")
+    hit = first.where("entity_id is not null").join(shuffled(entities.select("entity_id", "name")), "entity_id")
     done = hit.select("mention", "resolved", F.lit(1).alias("tier"), "entity_id", F.col("name").alias("matched_name"), "matched_by")
     rest = first.where("entity_id is null").drop("entity_id", "matched_by")
     names = settled(rest.select("resolved").distinct())
     known = entities.groupBy("name").agg(F.min("entity_id").alias("entity_id"))
     found = nearest(names, known.select("name"), threshold, scorer).select(F.col("name").alias("resolved"), F.col("found").alias("name"))
-    best = settled(found.join(known, "name"))
-    near = rest.join(best.select("resolved", "entity_id", "name"), "resolved")
+    best = settled(found.join(shuffled(known), "name"))
+    near = rest.join(shuffled(best.select("resolved", "entity_id", "name")), "resolved")
     near = near.select("mention", "resolved", F.lit(2).alias("tier"), "entity_id", F.col("name").alias("matched_name"), F.lit("similar").alias("matched_by"))
-    new = settled(names.join(best.select("resolved"), "resolved", "left_anti"))
+    new = settled(names.join(shuffled(best.select("resolved")), "resolved", "left_anti"))
     roots = connected_components(links(new, threshold, scorer))
-    named = new.join(roots, F.col("resolved") == F.col("node"), "left").select("resolved", F.coalesce("root", "resolved").alias("matched_name"))
-    fresh = rest.join(named, "resolved").select("mention", "resolved", F.lit(3).alias("tier"), F.lit(None).cast("long").alias("entity_id"), "matched_name", F.lit("new").alias("matched_by"))
+    named = new.join(shuffled(roots), F.col("resolved") == F.col("node"), "left").select("resolved", F.coalesce("root", "resolved").alias("matched_name"))
+    fresh = rest.join(shuffled(named), "resolved").select("mention", "resolved", F.lit(3).alias("tier"), F.lit(None).cast("long").alias("entity_id"), "matched_name", F.lit("new").alias("matched_by"))
     return done.unionByName(near).unionByName(fresh)
 
 
@@ -57,7 +57,7 @@ def learned(found: DataFrame, aliases: DataFrame) -> DataFrame:
     apart = F.lower("mention") != F.lower("resolved")
     names = F.when(F.col("matched_by") == "similar", F.array("resolved", "mention")).when((F.col("matched_by") == "resolved") & apart, F.array("mention"))
     rows = found.where("entity_id is not null").select(F.explode(names).alias("alias"), "entity_id").where("alias is not null")
-    fresh = rows.withColumn("_k", F.lower("alias")).join(aliases.select(F.lower("alias").alias("_k")), "_k", "left_anti")
+    fresh = rows.withColumn("_k", F.lower("alias")).join(shuffled(aliases.select(F.lower("alias").alias("_k"))), "_k", "left_anti")
     return fresh.groupBy("alias").agg(F.min("entity_id").alias("entity_id"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.fuzzy import SCORERS, words
-from strandwork.session import settled
+from strandwork.session import settled, shuffled
 
 BLOCK = 1000
 LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
@@ -222,7 +222,7 @@ def _compared(left: DataFrame, right: DataFrame, threshold: float, scorer: str,
     a = _posted(left, threshold, grams, common, True)
     b = _posted(right, threshold, grams, common, False).withColumnRenamed("name", "found")
     a, b = settled(a), settled(b)
-    sizes = settled(a.groupBy("key").agg(F.count("*").alias("n")).join(b.groupBy("key").agg(F.count("*").alias("m")), "key").withColumn("pairs", F.col("n") * F.col("m")))
+    sizes = settled(a.groupBy("key").agg(F.count("*").alias("n")).join(shuffled(b.groupBy("key").agg(F.count("*").alias("m"))), "key").withColumn("pairs", F.col("n") * F.col("m")))
     lists, dense = sizes.where(F.col("pairs") <= LIST_PAIRS), sizes.where(F.col("pairs") > LIST_PAIRS).select("key")
     slots = max(1, (lists.agg(F.sum("pairs")).first()[0] or 0) // TASK_PAIRS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slot = lists.select("key", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int").alias("slot"))
@@ -231,9 +231,9 @@ def _compared(left: DataFrame, right: DataFrame, threshold: float, scorer: str,
         others = y.groupby("key")["found"].agg(list) if len(y) else {}
         return run((names, others[key]) for key, names in (x.groupby("key")["name"].agg(list) if len(x) else pd.Series(dtype=object)).items())
 
-    x, y = (side.join(slot, "key").select(F.col("slot").alias(at), "key", side.columns[1]) for side, at in ((a, "here"), (b, "there")))
+    x, y = (side.join(shuffled(slot), "key").select(F.col("slot").alias(at), "key", side.columns[1]) for side, at in ((a, "here"), (b, "there")))
     found = x.groupBy("here").cogroup(y.groupBy("there")).applyInPandas(met, schema)
-    crowd = [settled(x.join(dense, "key", "left_semi").select(x.columns[1]).distinct()) for x in (a, b)]
+    crowd = [settled(x.join(shuffled(dense), "key", "left_semi").select(x.columns[1]).distinct()) for x in (a, b)]
     if crowd[0].isEmpty() or crowd[1].isEmpty():
         return found
     if half:  # names look for and are found under other keys, but both meet both

@@ -91,3 +91,9 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 1 << 25) -> DataFrame:
     held = [F.octet_length(F.col(c)) for c, kind in kept.dtypes if kind in ("string", "binary")]
     size = F.sum(sum(held, F.lit(16 * len(kept.columns))).cast("long"))
     return F.broadcast(kept) if (kept.agg(size).first()[0] or 0) <= most_bytes else kept
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a shuffle whatever Spark takes its size for: that comes from the compressed bytes of files, of
+    which a million names have few, and what is broadcast passes through the driver."""
+    return df.hint("merge")

@@ -9,10 +9,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandwork.functions import fuzzy
 from strandwork.operators.layout import layout, placed
-from strandwork.operators.resolver import resolved
+from strandwork.operators.resolver import exact, learned, resolved
 from strandwork.operators.similar import Block, keys_of
 from strandwork.plans import ranking
 from strandwork.plans.registry import QUERIES
@@ -82,6 +83,16 @@ def test_resolver_compares_all_pairs(spark, monkeypatch, scorer, list_pairs):
     assert scorer != "weighted" or near["Nvdia"] == (2, 900, "Nvidia")
 
 
+def test_resolver_broadcasts_no_names(spark):
+    """What is known by name goes to the executors by shuffles; its files are small where it is not."""
+    entities = spark.range(50).select(F.col("id").alias("entity_id"), F.concat(F.lit("Name "), F.col("id").cast("string")).alias("name"))
+    mentions = entities.select(F.col("name").alias("mention"), F.concat("name", F.lit("q")).alias("resolved"))
+    aliases = entities.select(F.col("name").alias("alias"), "entity_id")
+    found = resolved(mentions, entities, aliases)
+    for df in (exact(mentions, entities, aliases), found, learned(found, aliases)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layout_places_every_node(spark):
     """Over 600 nodes in a group, and one without an edge."""
     edges = [("a", i, i + 1) for i in range(700)] + [("b", 1, 2)]
