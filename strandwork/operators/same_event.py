@@ -57,12 +57,17 @@ def alike(classes: DataFrame, least_shared: int, overlap: float, buckets: tuple[
 
     Most entries of the index meet no other class. Which ones do is told first by a hash of each key and the classes at it
     alone, the first and the last of a key; only these entries are dealt with their entities and words.
+
+    Words of both sides go from the rarest on. As many are shared as the class of the fewest words must share at least, so
+    of those shared the rarest is not among the last of a class, one less than that; these are in no key.
     """
     entity = F.explode(F.slice("ids", 1, F.greatest(F.size("ids") - (least_shared - 1), F.lit(0)))).alias("entity")
     rarest = F.size("words") - F.ceil(F.lit(overlap) * F.size("words") - 1e-9).cast("int") + 1
     each = classes.select("class", "words", "bucket", entity)
     key = F.xxhash64("bucket", "entity", "word").alias("key")
-    found_by = each.select("class", "bucket", "entity", F.explode("words").alias("word")).select(key, "class")
+    least = classes.agg(F.min(F.ceil(F.lit(overlap) * F.size("words") - 1e-9))).first()[0] or 1
+    early = F.slice("words", F.lit(1), F.greatest(F.size("words") - (max(int(least), 1) - 1), F.lit(0)))
+    found_by = each.select("class", "bucket", "entity", F.explode(early).alias("word")).select(key, "class")
     looks_for = each.select("class", F.explode(F.array(*[F.col("bucket") + k for k in buckets])).alias("bucket"), "entity", F.explode(F.slice("words", F.lit(1), rarest)).alias("word")).select(key, "class")
     at = found_by.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
     live = settled(looks_for.join(at, "key").where("class <> first or class <> last").select("key", "class"))
