@@ -34,6 +34,7 @@ from strandwork.llm.suffix_array import permuted_lcp, suffix_array
 LENGTH, GRAM = 50, 20
 CROWDED = 2000
 BLOCK_BITS = 20
+STRIP = 1 << 15
 
 RUN = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("key", "<i8"), ("start", "<u4"), ("windows", "<u2")])
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,27 +42,53 @@ _BYTE = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
 def _stirred(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _ODD[6]
-    h = (h ^ (h >> np.uint64(29))) * _ODD[7]
-    return h ^ (h >> np.uint64(32))
+    """``h`` mixed, in place."""
+    h ^= h >> np.uint64(31)
+    h *= _ODD[6]
+    h ^= h >> np.uint64(29)
+    h *= _ODD[7]
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings of ``GRAM`` and of ``LENGTH`` bytes at every position where they fit."""
+def _hashes_of(data: np.ndarray, *totals: int) -> list[np.ndarray]:
+    """Hashes of the strings of so many bytes at every position where they fit."""
     h = {1: _BYTE[data]}
     for level, width in enumerate((1, 2, 4, 8, 16)):
-        h[2 * width] = h[width][:-width] * _ODD[level] + h[width][width:]
-
-    def of(total: int) -> np.ndarray:
+        h[2 * width] = h[width][:-width] * _ODD[level]
+        h[2 * width] += h[width][width:]
+    out = []
+    for total in totals:
         n, at = len(data) - total + 1, 0
-        out = np.full(n, total, np.uint64)
+        some = np.full(n, total, np.uint64)
         for width in (32, 16, 8, 4, 2, 1):
             if total - at >= width:
-                out = out * _ODD[5] + h[width][at : at + n]
+                some *= _ODD[5]
+                some += h[width][at : at + n]
                 at += width
-        return _stirred(out)
+        out.append(_stirred(some))
+    return out
+
 
-    return of(GRAM), of(LENGTH)
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings of ``GRAM`` bytes at every position; for every window of ``LENGTH`` bytes the least of those in
+    it, with its place in the low bits; and the window's own hash. In strips that a processor's cache holds."""
+    low, span = np.uint64((1 << BLOCK_BITS) - 1), LENGTH - GRAM + 1
+    gram = np.empty(len(data) - GRAM + 1, np.uint64)
+    window = np.empty(len(data) - LENGTH + 1, np.uint64)
+    anchor = np.empty(len(window), np.uint64)
+    for at in range(0, len(window), STRIP):
+        some, own = _hashes_of(data[at : at + STRIP + LENGTH - 1], GRAM, LENGTH)
+        gram[at : at + len(some)], window[at : at + len(own)] = some, own
+        least = some & ~low
+        least |= np.arange(at, at + len(some), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = span - width
+        anchor[at : at + len(own)] = np.minimum(least[: len(least) - rest], least[rest:])
+    return gram, anchor, window
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,27 +97,16 @@ def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.uint64)
-    gram, window = _hashes(data)
-    low = np.uint64((1 << BLOCK_BITS) - 1)
-    least = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
-    span = LENGTH - GRAM + 1
-    width = 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = span - width
-    least = np.minimum(least[: len(least) - rest], least[rest:])
-    sizes = np.diff(np.append(starts, len(data)))
-    fits = np.arange(len(window)) + LENGTH <= np.repeat(starts + sizes, sizes)[: len(window)]
-    at = np.flatnonzero(fits)
-    if not len(at):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, window
-    place = (least[at] & low).astype(np.int64)
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1])])
-    heads = np.flatnonzero(new)
-    count = np.diff(np.append(heads, len(at)))
-    start = at[heads]
-    anchor = gram[place[heads]] >> np.uint64(16)
+    gram, least, window = _hashes(data)
+    fits = np.ones(len(window), bool)
+    across = (starts[1:, None] - np.arange(1, LENGTH)).ravel()  # what begins so near to an end goes beyond it
+    fits[across[(across >= 0) & (across < len(window))]] = False
+    new = fits.copy()
+    new[1:] &= ~fits[:-1] | (least[1:] != least[:-1])
+    bounds = np.append(np.flatnonzero(new | ~fits), len(window))
+    start, count = bounds[:-1], np.diff(bounds)
+    start, count = start[new[start]], count[new[start]]
+    anchor = gram[(least[start] & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)] >> np.uint64(16)
     context = _stirred(window[start] * _ODD[0] + window[start + count - 1] * _ODD[1] + count.astype(np.uint64))
     return start, count, anchor, context, np.searchsorted(starts, start, side="right") - 1, window
 
@@ -204,9 +220,12 @@ def shared_anchors(texts: Texts, firsts: DataFrame, crowded: int = CROWDED) -> D
             _, _, anchor, context, text, _ = runs_of(data, starts)
             found.append((anchor, context, key[rows[text]]))
         anchor, context, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
-        order = np.lexsort((context, anchor))
+        order = np.argsort(anchor)
+        heads, ends = groups(anchor[order])
+        again = np.repeat(ends - heads > 1, ends - heads)  # only these have contexts to put in order
+        some = order[again]
+        order[again] = some[np.lexsort((context[some], anchor[some]))]
         anchor, context, key = anchor[order], context[order], key[order]
-        heads, ends = groups(anchor)
         if not len(heads):
             return _framed(np.zeros(0, np.int64), anchor, block)
         new = np.zeros(len(anchor), np.int64)
@@ -234,11 +253,13 @@ def shared_anchors(texts: Texts, firsts: DataFrame, crowded: int = CROWDED) -> D
     return _spans.sharded(texts.each_with(firsts, tally, _spans.PACKED), texts).mapInArrow(shared, _spans.OF_BLOCK)
 
 
-def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The pieces of ``data`` at ``start``, end to end."""
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return data[np.arange(total) + np.repeat(start - (ends - size), size)]
+def _ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+    """The pieces of ``data`` at ``start``, end to end; all as short as contexts are, so each is taken at the longest's size."""
+    if not len(start):
+        return data[:0]
+    most = int(size.max())
+    pieces = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(most, np.uint8)), most)
+    return np.concatenate([pieces[start[at : at + step]][np.arange(most) < size[at : at + step, None]] for at in range(0, len(start), step)])
 
 
 def _run_bytes(runs: np.ndarray, contexts: np.ndarray) -> bytes:
@@ -335,14 +356,11 @@ def _equal_windows(runs: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     where = np.arange(len(contexts)) + np.repeat(at - (np.cumsum(size) - size), size)
     raw[where] = contexts
     code[where] = contexts.astype(np.int64) + 1
-    sa = suffix_array(code)
-    common = permuted_lcp(raw, sa, LENGTH)
     owner = np.repeat(np.arange(len(runs)), size + 1)
     inside = np.arange(len(code)) - at[owner]
-    is_window = inside < runs["windows"][owner]
-    group = np.cumsum(common[sa] < LENGTH)
-    keep = is_window[sa]
-    sa, group = sa[keep], group[keep]
+    sa = suffix_array(code)
+    sa = sa[(inside < runs["windows"][owner])[sa]]  # windows only: where two are equal, what lies between them has these bytes too
+    group = np.cumsum(permuted_lcp(raw, sa, LENGTH)[sa] < LENGTH)
     heads, ends = groups(group)
     key = runs["key"][owner[sa]]
     least = np.repeat(np.minimum.reduceat(key, heads), ends - heads)

@@ -2,10 +2,11 @@
 
 The steps are those of induced sorting: classify suffixes as smaller (S) or larger (L) than the next one; sort the
 leftmost S suffixes (LMS) by the substrings between them, recursively where substrings repeat; then induce the order of
-all L and of all S suffixes from them in one linear pass each. A pass handles a whole bucket of equal first characters
-at a time: what a bucket holds puts its predecessors at the ends of their buckets, in waves where they fall in the same
-one. In the recursion characters are the names of substrings, of which there can be as many as there are characters;
-with so few in a bucket the same passes go one character at a time.
+all L and of all S suffixes from them in one linear pass each. The substrings, of three characters on average, are packed
+into words and sorted as such, so that a level has these two passes once and not a second time for the substrings. A pass
+handles a whole bucket of equal first characters at a time: what a bucket holds puts its predecessors at the ends of
+their buckets, in waves where they fall in the same one. In the recursion characters are the names of substrings, of
+which there can be as many as there are characters; with so few in a bucket the same passes go one character at a time.
 """
 
 from __future__ import annotations
@@ -82,36 +83,74 @@ def _induced(text: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.nd
 
 def _induced_singly(text: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """As ``_induced``, one character at a time."""
-    n, chars, is_small = len(text), text.tolist(), small.tolist()
+    n = len(text)
+    # the character before each suffix if it begins one of the wanted type, else -1; the last is for places still empty
+    before_large, before_small = (np.concatenate([[-1], np.where(small[:-1] == kind, text[:-1], -1), [-1]]).tolist() for kind in (False, True))
     ends = np.cumsum(counts)
     sa = [-1] * n
     tail = (ends - 1).tolist()
-    for i in lms[::-1].tolist():
-        c = chars[i]
+    for i, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist(), strict=True):
         sa[tail[c]] = i
         tail[c] -= 1
     head = (ends - counts).tolist()
     for i in sa:  # grows while it is read
-        if i > 0 and not is_small[i - 1]:
-            c = chars[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
+        c = before_large[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = (ends - 1).tolist()
-    for k in range(n - 1, -1, -1):
-        i = sa[k]
-        if i > 0 and is_small[i - 1]:
-            c = chars[i - 1]
-            sa[tail[c]] = i - 1
-            tail[c] -= 1
+    for i in reversed(sa):
+        c = before_small[i]
+        if c >= 0:
+            at = tail[c]
+            sa[at] = i - 1
+            tail[c] = at - 1
     return np.array(sa)
 
 
+def _named(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Names 0, 1, ... of LMS substrings, each to the next LMS suffix inclusive, by their order; equal ones have one name.
+
+    They are compared by characters and types, of which none begins another, as many at a time as a word holds.
+    """
+    symbols = (2 * text + small).astype(np.uint64)
+    length = np.append(np.diff(lms), 0) + 1
+    bits = int(symbols.max()).bit_length()
+    step, names, left = 0, np.zeros(len(lms), np.int64), np.arange(len(lms))
+    while len(left):  # those that are equal to others so far
+        key = np.zeros(len(left), np.uint64)
+        upto = step + 64 // bits
+        for i in range(step, upto):
+            key <<= np.uint64(bits)
+            key |= np.where(i < length[left], symbols[np.minimum(lms[left] + i, len(text) - 1)], np.uint64(0))
+        order = np.lexsort((key, names[left])) if step else np.argsort(key)
+        left, key = left[order], key[order]
+        old = names[left]
+        at = np.arange(len(left))
+        new_old = np.concatenate([[True], old[1:] != old[:-1]])
+        new = new_old.copy()
+        new[1:] |= key[1:] != key[:-1]
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(left)))
+        # a name is the place of the first that has it, so that the others' names stay
+        names[left] = old + np.repeat(heads, size) - np.maximum.accumulate(np.where(new_old, at, 0))
+        left = left[np.repeat(size > 1, size) & (length[left] > upto)]
+        step = upto
+    used = np.zeros(len(lms), bool)
+    used[names] = True
+    return (np.cumsum(used) - 1)[names]
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes of ``text`` (non-negative integers); a suffix sorts before the longer ones it begins."""
-    values, codes = np.unique(text, return_inverse=True)
-    if not len(values):
+    if not len(text):
         return np.zeros(0, np.int64)
-    return _sorted(np.append(codes.astype(np.int64) + 1, 0))[1:]
+    if text.max() < len(text):
+        codes = np.cumsum(np.bincount(text) > 0)[text]
+    else:
+        codes = np.unique(text, return_inverse=True)[1] + 1
+    return _sorted(np.append(codes.astype(np.int64), 0))[1:]
 
 
 def _sorted(text: np.ndarray) -> np.ndarray:
@@ -122,27 +161,8 @@ def _sorted(text: np.ndarray) -> np.ndarray:
         return np.argsort(text)
     small = _smaller_types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sa = _induced(text, small, lms, counts)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
-    # names: an LMS substring runs to the next LMS suffix, inclusive
-    length = np.zeros(n, np.int64)
-    length[lms] = np.append(np.diff(lms), 0) + 1
-    a, b = ordered[:-1], ordered[1:]
-    same = length[a] == length[b]
-    at = np.flatnonzero(same)
-    step = 0
-    while len(at):
-        equal = text[a[at] + step] == text[b[at] + step]
-        same[at[~equal]] = False
-        step += 1
-        at = at[equal & (length[a[at]] > step)]
-    names = np.concatenate([[0], np.cumsum(~same)])
-    name_at = np.empty(n, np.int64)
-    name_at[ordered] = names
     # the last LMS suffix is the end of the text, whose name is 0 and occurs once
-    return _induced(text, small, lms[_sorted(name_at[lms])], counts)
+    return _induced(text, small, lms[_sorted(_named(text, small, lms))], counts)
 
 
 def permuted_lcp(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

@@ -559,6 +559,43 @@ def test_suffix_array():
     assert suffix_array(np.zeros(0, np.int64)).tolist() == []
 
 
+def test_suffix_array_induces_once_a_level(monkeypatch):
+    """LMS suffixes are at most half of a level, so passes over fewer than twice the text's characters are one a level."""
+    from strandwork.llm import suffix_array as module
+
+    r = np.random.default_rng(4)
+    phrases = [r.integers(1, 27, r.integers(3, 40)) for _ in range(60)]
+    far = np.array(([1] + [9] * 300 + [3]) * 3 + [1] + [9] * 300 + [2, 1])  # substrings that a word does not hold
+    texts = [np.concatenate([phrases[i] for i in r.integers(0, 60, 300)]), np.tile([1, 2, 1, 3], 500), far, far * 1_000_003]
+    passed, induced = [], module._induced
+    monkeypatch.setattr(module, "_induced", lambda text, *rest: passed.append(len(text)) or induced(text, *rest))
+    for t in texts:
+        passed.clear()
+        s = t.tolist()
+        assert module.suffix_array(t).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        assert 0 < sum(passed) < 2 * (len(t) + 1)
+
+
+def test_hashes_in_strips():
+    """What is found about windows does not depend on the strips that they are looked at in."""
+    length, gram, strip = substring_dedup.LENGTH, substring_dedup.GRAM, substring_dedup.STRIP
+    r = np.random.default_rng(5)
+    for n in (length, length + 1, strip, strip + length - 1, strip + length, 2 * strip + 7):
+        data = r.integers(97, 101, n).astype(np.uint8)
+        grams, least, windows = substring_dedup._hashes(data)
+        whole = substring_dedup._hashes_of(data, gram, length)
+        assert (grams == whole[0]).all() and (windows == whole[1]).all()
+        low = np.uint64((1 << substring_dedup.BLOCK_BITS) - 1)
+        named = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+        assert (least == np.lib.stride_tricks.sliding_window_view(named, length - gram + 1).min(axis=1)).all()
+        ends = np.sort(r.integers(0, n, 40))
+        starts = np.concatenate([[0], ends])
+        start, count, _, _, text, _ = substring_dedup.runs_of(data, starts)
+        got = sorted((t, s + i) for s, c, t in zip(start.tolist(), count.tolist(), text.tolist(), strict=True) for i in range(c))
+        borders = [*starts.tolist(), n]
+        assert got == [(k, p) for k in range(41) for p in range(borders[k], borders[k + 1] - length + 1)]
+
+
 def test_windows_across_blocks():
     """Runs of a text that is longer than a block cover every window once."""
     import pyarrow as pa
