@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandwork.functions import fuzzy
 from strandwork.operators.layout import layout, placed
 from strandwork.operators.resolver import exact, learned, resolved
-from strandwork.operators.similar import Block, keys_of
+from strandwork.operators.similar import Block, keys_of, nearest
 from strandwork.plans import ranking
 from strandwork.plans.registry import QUERIES
 
@@ -83,6 +83,36 @@ def test_resolver_compares_all_pairs(spark, monkeypatch, scorer, list_pairs):
     assert scorer != "weighted" or near["Nvdia"] == (2, 900, "Nvidia")
 
 
+def test_unlike_names_seldom_meet():
+    """Names without a rare word or bigram to tell them by, as hashes are, do not meet all the others; being equally long,
+    none is a part of another (``f``)."""
+    rng = random.Random(9)
+    names = [" ".join("".join(rng.choices("0123456789abcdef", k=12)) for _ in range(2)) for _ in range(400)]
+    grams = Counter(g for n in names for g in map("".join, zip(n, n[1:], strict=False)))
+    found, pairs = {}, set()
+    keys = {n: {k: v for k, v in keys_of(n, 88.0, grams, {}).items() if k != "f"} for n in names}
+    for n, kinds in keys.items():
+        for kind, (_, mine) in kinds.items():
+            for key in mine:
+                found.setdefault((kind, key), []).append(n)
+    for n, kinds in keys.items():
+        pairs |= {(n, m) for kind, (probe, _) in kinds.items() for key in probe for m in found.get((kind, key), ()) if m != n}
+    assert len(pairs) < 0.03 * len(names) ** 2
+
+
+def test_names_of_a_family_do_not_all_meet(spark, monkeypatch):
+    """Names that differ in their numbers alone, looked for with a letter too many: none goes to blocks where all meet all."""
+    monkeypatch.setattr("strandwork.operators.similar.LIST_PAIRS", 2000)
+    monkeypatch.setattr("strandwork.operators.similar.FEW_PAIRS", -1)
+    monkeypatch.setattr("strandwork.operators.similar._blocks", None)
+    known = [f"Supplier#{i:09d}" for i in range(400)]
+    said = {k.replace("#", "r#" if i % 2 else "#0"): k for i, k in enumerate(known)}
+    rows = nearest(spark.createDataFrame([(x,) for x in said], "name string"), spark.createDataFrame([(x,) for x in known], "name string"), 88.0).collect()
+    best = {x: min((-round(fuzzy.weighted_ratio(x, k), 4), k) for k in known) for x in list(said)[:40]}
+    got = {r.name: (-r.score, r.found) for r in rows}
+    assert got.keys() == said.keys() and all(got[x] == b for x, b in best.items())
+
+
 def test_resolver_broadcasts_no_names(spark):
     """What is known by name goes to the executors by shuffles; its files are small where it is not."""
     entities = spark.range(50).select(F.col("id").alias("entity_id"), F.concat(F.lit("Name "), F.col("id").cast("string")).alias("name"))
